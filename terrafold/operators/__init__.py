@@ -27,6 +27,7 @@ from terrafold.operators.folds import (
 )
 from terrafold.operators.joins import align_tables, category_bin_grid, enrich_left, pair_models, union_all
 from terrafold.operators.metrics import (
+    cv_report,
     cv_summary,
     error_by_observed_bin,
     error_line_series,

@@ -83,8 +83,9 @@ def node_table(spark: SparkSession, path: str) -> DataFrame:
     """Nodes of a saved ensemble: tree, node, children, split, gain, rows, value, tree weight."""
     base = path.rstrip("/")
     nodes = spark.read.parquet(f"{base}/data").select("treeID", "nodeData.*")
-    weights = spark.read.parquet(f"{base}/treesMetadata").select("treeID", "weights")
-    return nodes.join(weights, "treeID").select(
+    # Stored without stable column names: tree id, metadata text, weight.
+    weights = spark.read.parquet(f"{base}/treesMetadata").toDF("treeID", "meta", "weights")
+    return nodes.join(weights.drop("meta"), "treeID").select(
         F.col("treeID").alias("tree"),
         F.col("id").alias("node"),
         F.col("leftChild").alias("left"),

@@ -39,6 +39,9 @@ def fold_map(df: DataFrame, block: str, k: int = 5) -> DataFrame:
     )
     cells = blocks.groupBy("n_rows", "_p").agg(F.count(F.lit(1)).alias("_m"))
     sizes = cells.groupBy("n_rows").agg(F.sum("_m").alias("m"))
+    n_blocks = blocks.count()
+    if n_blocks < k:
+        raise ValueError(f"{n_blocks} blocks are not enough for {k} folds")
     plan = materialize(
         sizes.groupBy().applyInPandas(
             lambda pdf: _cycles(pdf, k),
@@ -46,9 +49,6 @@ def fold_map(df: DataFrame, block: str, k: int = 5) -> DataFrame:
         ),
         "cycles",
     )
-    n_blocks = blocks.count()
-    if n_blocks < k:
-        raise ValueError(f"{n_blocks} blocks are not enough for {k} folds")
     earlier_cells = (
         Window.partitionBy("n_rows").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -126,8 +126,8 @@ def fold_means(df: DataFrame, target: str, fold: str = "fold") -> DataFrame:
         fold,
         n_train.alias("n_train"),
         F.col("_n").alias("n_test"),
-        ((F.sum("_s").over(every) - F.col("_s")) / n_train).alias("train_mean_prediction"),
-        (F.col("_s") / F.col("_n")).alias("test_mean_observed"),
+        F.try_divide(F.sum("_s").over(every) - F.col("_s"), n_train).alias("train_mean_prediction"),
+        F.try_divide("_s", "_n").alias("test_mean_observed"),
     )
 
 

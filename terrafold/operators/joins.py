@@ -8,14 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions.columns import require_columns
+from terrafold.session import materialize
 
 
-def enrich_left(points: DataFrame, features: DataFrame, key: str = "cell_id") -> DataFrame:
-    """Left equi-join that keeps unmatched points; shared non-key columns come from ``points``."""
+def enrich_left(
+    points: DataFrame, features: DataFrame, key: str = "cell_id", stored: bool = False
+) -> DataFrame:
+    """Left equi-join that keeps unmatched points; shared non-key columns come from ``points``.
+
+    ``features`` holds one row per key. Unless it is ``stored`` already it is
+    written once, so that a small one is broadcast by its true size and points
+    that share a hot key are split over tasks.
+    """
     require_columns(points, [key], "points")
     require_columns(features, [key], "features")
     extra = [c for c in features.columns if c == key or c not in points.columns]
-    return points.join(features.select(*extra), key, "left")
+    narrow = features.select(*extra)
+    return points.join(narrow if stored else materialize(narrow, "features"), key, "left")
 
 
 def align_tables(left: DataFrame, *others: DataFrame, on: str = "row_id") -> DataFrame:

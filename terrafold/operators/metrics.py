@@ -52,6 +52,15 @@ def cv_summary(fold_metrics: DataFrame, by: Sequence[str] = ("model",)) -> DataF
     return fold_metrics.groupBy(*by).agg(*aggs, F.count_distinct("fold").alias("n_splits"))
 
 
+def cv_report(oof: DataFrame) -> DataFrame:
+    """Per model: fold-mean summary next to the pooled out-of-fold scores."""
+    folds = cv_summary(metrics_by_fold(oof))
+    pooled = regression_metrics(oof, by=["model"]).select(
+        "model", "n", *[F.col(m).alias(f"overall_cv_{m}") for m in ("r2", "rmse", "mae")]
+    )
+    return folds.join(pooled, "model")
+
+
 def _model_columns(residual_std: bool = True) -> list[Column]:
     cols = [
         F.count(F.lit(1)).alias("n"),

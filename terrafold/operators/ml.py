@@ -121,10 +121,18 @@ def oof_predictions(
 ) -> DataFrame:
     """Out-of-fold prediction of every row, in the predictions layout.
 
-    The assembled table is stored once; every fold's fit reads it with a
-    filter on the fold. Fits run side by side from driver threads.
+    The assembled table is stored once, partitioned by fold, so each fit
+    skips the files of its test fold. Fits run side by side from driver
+    threads.
     """
-    table = materialize(assemble(df, features, target, [*dict.fromkeys([*keep, fold])]), "features")
+    table = assemble(df, features, target, [*dict.fromkeys([*keep, fold])])
+    return _oof(materialize(table, "features", fold), estimator, fold, keep, model, parallelism)
+
+
+def _oof(
+    table: DataFrame, estimator, fold: str, keep: Sequence[str], model: str, parallelism: int
+) -> DataFrame:
+    """Out-of-fold predictions from a stored table with ``features`` and ``label``."""
     folds = sorted(r[0] for r in table.select(fold).distinct().collect())
 
     def predict(k) -> DataFrame:
@@ -205,14 +213,15 @@ def random_search(
     """
     spark = df.sparkSession
     records = (records or scratch_path(spark, "runs")).rstrip("/")
+    # A configuration table is a few rows of a finite grid.
     listed = [r.asDict() for r in configs.collect()] if isinstance(configs, DataFrame) else [dict(c) for c in configs]
-    tables = {
-        b: materialize(
-            spatial_folds(df, b, k, lat, lon).select("fold", F.col(target).alias("label_"), *features),
-            "search",
-        )
-        for b in blocks
-    }
+    fold_of = {b: f"fold_{block_label(b)}" for b in blocks}
+    folded = df
+    for b, name in fold_of.items():
+        folded = spatial_folds(folded, b, k, lat, lon, name).drop("block_id")
+    # One stored table serves every configuration and block size.
+    table = materialize(assemble(folded, features, target, list(fold_of.values())), "search")
+    n_rows = table.count()
     short = {"forest": "rf", "boosted": "gbt"}[family]
     done = _recorded(spark, records)
 
@@ -222,8 +231,7 @@ def random_search(
         name = f"{short}_{config['config_id']}_block{block_label(block)}_rs"
         if name in done:
             return
-        data = tables[block]
-        oof = oof_predictions(data, FAMILIES[family](**hp), features, "label_", "fold", (), name, 1)
+        oof = _oof(table, FAMILIES[family](**hp), fold_of[block], (), name, 1)
         summary = cv_summary(metrics_by_fold(oof)).drop("model").first().asDict()
         write_run_metrics(
             spark,
@@ -231,7 +239,7 @@ def random_search(
             {
                 "run_name": name,
                 "model_name": type(FAMILIES[family]()).__name__,
-                "n_rows": data.count(),
+                "n_rows": n_rows,
                 "n_features_used": len(features),
                 "params": hp | {"spatial_block_deg": float(block), "n_splits": k},
                 "spatial_cv": summary,

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +43,8 @@ def drop_failed_rows(df: DataFrame, error_col: str = "power_error") -> DataFrame
 
 
 def all_missing(columns: Sequence[str]) -> Column:
-    return F.coalesce(*[F.col(c).cast("string") for c in columns]).isNull()
+    """True where every column is NULL; its negation is pushed down to a Parquet scan."""
+    return reduce(and_, [F.col(c).isNull() for c in columns])
 
 
 def drop_all_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -61,7 +64,7 @@ def drop_counts(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
     total = F.count(F.lit(1))
     wide = df.agg(total.alias("_n"), *[F.count_if(c).alias(k) for k, c in conditions.items()])
     return wide.unpivot(["_n"], list(conditions), "step", "dropped").select(
-        "step", "dropped", (F.col("dropped") / F.col("_n")).alias("rate")
+        "step", "dropped", F.try_divide("dropped", "_n").alias("rate")
     )
 
 

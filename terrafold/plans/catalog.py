@@ -352,6 +352,11 @@ def cv_summary(spark, sf):
     return rounded(op.cv_summary(op.metrics_by_fold(fx.predictions(spark, sf))))
 
 
+@query
+def cv_report(spark, sf):
+    return rounded(op.cv_report(fx.predictions(spark, sf)))
+
+
 @query
 def error_by_observed_bin(spark, sf):
     return rounded(op.error_by_observed_bin(fx.predictions(spark, sf)))
@@ -629,9 +634,12 @@ def _saved(spark, sf, estimator):
 
 @query
 def save_load_model(spark, sf):
-    loaded = src.load_model(spark, _saved(spark, sf, op.forest(**SMALL_FOREST)))
-    rows = op.assemble(_model_table(spark, sf), FEATURES, "suitability", ["row_id"])
-    return loaded.transform(rows).select("row_id", "label", "predicted")
+    table = _model_table(spark, sf)
+    fitted = op.full_fit(table, op.forest(**SMALL_FOREST), FEATURES, "suitability")
+    loaded = src.load_model(spark, src.save_model(fitted, scratch_path(spark, "model")))
+    rows = fitted.transform(op.assemble(table, FEATURES, "suitability", ["row_id"]))
+    both = loaded.setPredictionCol("reloaded").transform(rows)
+    return both.select("row_id", "label", (F.col("predicted") == F.col("reloaded")).alias("same"))
 
 
 @query
@@ -647,5 +655,18 @@ def full_fit(spark, sf):
 @query
 def tree_contributions(spark, sf):
     path = _saved(spark, sf, op.boosted_trees(**SMALL_BOOSTED))
-    rows = op.sample_exact_n(_model_table(spark, sf), "row_id", 5000)
-    return op.tree_contributions(rows, path, FEATURES, "row_id", ["crop"])
+    return op.tree_contributions(_model_table(spark, sf), path, FEATURES, "row_id", ["crop"])
+
+
+@query
+def contribution_additivity(spark, sf):
+    """Distance between each prediction and its bias plus contributions."""
+    table = _model_table(spark, sf)
+    path = _saved(spark, sf, op.forest(**SMALL_FOREST))
+    parts = op.tree_contributions(table, path, FEATURES, "row_id")
+    total = parts.groupBy("row_id").agg((F.sum("contribution") + F.first("bias")).alias("total"))
+    rows = op.assemble(table, FEATURES, None, ["row_id", "crop"])
+    scored = src.load_model(spark, path).transform(rows).select("row_id", "crop", "predicted")
+    return rounded(
+        scored.join(total, "row_id").select("row_id", "crop", F.abs(F.col("predicted") - F.col("total")).alias("gap")), 6
+    )

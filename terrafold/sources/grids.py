@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.session import materialize
+
 # Soil properties, depth layers with their share of 0-30 cm, and
 # the divisor that turns stored integers into conventional units.
 SOIL_PROPERTIES = ["clay", "sand", "silt", "soc", "phh2o", "bdod", "cfvo"]
@@ -76,8 +78,8 @@ def sample_grid_at_points(
     Grids that share a geometry are first turned into one wide cell table, so
     the points are joined (and shuffled) once per geometry and not once per
     grid. Points off the grid, missing cells and no-data cells give NULL.
-    A hot cell skews only the point side of the join, which adaptive
-    execution splits.
+    The wide table is stored first: a small one is then broadcast, and in a
+    shuffle join the points of a hot cell are split over tasks.
     """
     by_geometry: dict[tuple, list[str]] = defaultdict(list)
     for name, meta in grids.items():
@@ -103,7 +105,7 @@ def sample_grid_at_points(
                 "_c": F.floor((F.col(lon) - F.lit(x0)) / F.lit(dx)),
             }
         )
-        out = placed.join(wide, ["_r", "_c"], "left").drop("_r", "_c")
+        out = placed.join(materialize(wide, "cells"), ["_r", "_c"], "left").drop("_r", "_c")
     return out
 
 

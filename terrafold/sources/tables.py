@@ -43,16 +43,24 @@ def _suffix(path: str) -> str:
     return PurePosixPath(path.rstrip("/")).suffix.lower()
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Read ``.parquet``, ``.csv`` or ``.txt`` by suffix, with NaN turned into NULL.
+def read_table(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    clean_nan: bool = False,
+) -> DataFrame:
+    """Read ``.parquet``, ``.csv`` or ``.txt`` by suffix.
 
-    Pass ``schema`` for text files of any size: without it Spark reads the
-    files once more to infer the types.
+    NaN in text files becomes NULL. Parquet written by Spark or Arrow holds
+    NULLs already; ask for ``clean_nan`` only where a file holds NaN, because
+    filters on a replaced column no longer reach the scan. Pass ``schema`` for
+    text files of any size: without it Spark reads them once more to infer it.
     """
     kind = _suffix(path)
     if kind == ".parquet":
         reader = spark.read if schema is None else spark.read.schema(schema)
-        return nan_to_null(reader.parquet(path))
+        table = reader.parquet(path)
+        return nan_to_null(table) if clean_nan else table
     if kind in (".csv", ".txt"):
         reader = spark.read.option("header", True)
         reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
@@ -97,11 +105,13 @@ def write_model_ready(
     report: DataFrame | None = None,
     exclude: Sequence[str] = (),
     soil_cols: Sequence[str] = (),
+    views: bool = True,
 ) -> str:
     """Write the prepared table and its X / y / meta views under ``directory/tag``.
 
     ``prepared`` is the table later stages read. The views each carry
-    ``row_id``, because Spark rows have no stable position.
+    ``row_id``, because Spark rows have no stable position; leave them out
+    with ``views=False`` where nobody outside reads them.
     """
     spark = df.sparkSession
     base = f"{directory.rstrip('/')}/{tag}"
@@ -110,9 +120,10 @@ def write_model_ready(
     x_cols = [c for c in df.columns if c not in left_out]
     df.write.parquet(f"{base}/prepared.parquet")
     stored = spark.read.schema(df.schema).parquet(f"{base}/prepared.parquet")
-    stored.select(row_id, *x_cols).write.parquet(f"{base}/X.parquet")
-    stored.select(row_id, target).write.parquet(f"{base}/y.parquet")
-    stored.select(row_id, *[c for c in meta if c != row_id]).write.parquet(f"{base}/meta.parquet")
+    if views:
+        stored.select(row_id, *x_cols).write.parquet(f"{base}/X.parquet")
+        stored.select(row_id, target).write.parquet(f"{base}/y.parquet")
+        stored.select(row_id, *[c for c in meta if c != row_id]).write.parquet(f"{base}/meta.parquet")
     features = {"target": target, "row_id": row_id, "meta": list(meta),
                 "soil_cols": list(soil_cols), "X_cols": x_cols}
     spark.createDataFrame([(json.dumps(features),)], "value string").coalesce(1).write.text(
