@@ -14,10 +14,12 @@ from terrafold.operators.quantiles import exact_quantiles
 from terrafold.session import materialize
 
 
-def quantile_edges(df: DataFrame, c: str, q: int, by: Sequence[str] = ()) -> DataFrame:
+def quantile_edges(
+    df: DataFrame, c: str, q: int, by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
     """Distinct quantile edges per group: ``by..., edges``; at most ``q + 1`` values."""
     probs = [i / q for i in range(q + 1)]
-    found = exact_quantiles(df, c, probs, by)
+    found = exact_quantiles(df, c, probs, by, weight)
     return materialize(
         found.select(*by, F.array_sort(F.array_distinct("quantiles")).alias("edges")), "edges"
     )

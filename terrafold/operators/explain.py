@@ -200,17 +200,24 @@ def _contributions(x: np.ndarray, blocks: list[tuple]) -> np.ndarray:
     """
     phi = np.zeros(x.shape)
     for value, index, above, upto, cover in blocks:
-        points, weights = np.polynomial.legendre.leggauss((index.shape[1] + 1) // 2)
-        for start in range(0, len(value), 512):
-            part = slice(start, start + 512)
-            seen = x[:, index[part]]
-            taken = ((seen > above[part]) & (seen <= upto[part])).astype(float)
-            share = np.zeros(taken.shape)
-            for t, w in zip((points + 1) / 2, weights / 2):
-                factor = (1 - t) * cover[part] + t * taken
-                share += w * factor.prod(axis=2, keepdims=True) / factor
-            gain = value[part][:, None] * (taken - cover[part]) * share
-            np.add.at(phi.T, index[part].ravel(), gain.reshape(len(x), -1).T)
+        length = index.shape[1]
+        points, weights = np.polynomial.legendre.leggauss((length + 1) // 2)
+        leaves = 512
+        # About a million numbers per array, whatever the batch and model sizes.
+        height = max(16, 1_000_000 // (min(leaves, len(value)) * length))
+        for start in range(0, len(value), leaves):
+            part = slice(start, start + leaves)
+            spread = np.zeros((index[part].size, x.shape[1]))
+            spread[np.arange(index[part].size), index[part].ravel()] = 1.0
+            for top in range(0, len(x), height):
+                seen = x[top : top + height][:, index[part]]
+                taken = ((seen > above[part]) & (seen <= upto[part])).astype(float)
+                share = np.zeros(taken.shape)
+                for t, w in zip((points + 1) / 2, weights / 2):
+                    factor = (1 - t) * cover[part] + t * taken
+                    share += w * factor.prod(axis=2, keepdims=True) / factor
+                gain = value[part][:, None] * (taken - cover[part]) * share
+                phi[top : top + height] += gain.reshape(len(gain), -1) @ spread
     return phi
 
 
@@ -220,11 +227,14 @@ def tree_contributions(
     features: Sequence[str],
     key: str = "row_id",
     keep: Sequence[str] = (),
+    partitions: int | None = None,
     leaves_per_pass: int = LEAVES_PER_BROADCAST,
 ) -> DataFrame:
     """Additive contributions: ``key, keep..., feature, value, contribution, bias``.
 
     For every row the contributions and the bias add up to the prediction.
+    The work per row is large next to its bytes, so a small table gains from
+    being spread over ``partitions`` tasks first.
     Contributions add over trees, so a model with more than
     ``leaves_per_pass`` leaves is applied in several passes of whole trees and
     the passes are summed; what is broadcast stays bounded.
@@ -245,6 +255,8 @@ def tree_contributions(
     names = list(features)
     carried = [key, *[c for c in keep if c != key]]
     rows = df.select(*carried, *[F.col(c).cast("double").alias(c) for c in names])
+    if partitions:
+        rows = rows.repartition(partitions, key)
     out = T.StructType(
         [rows.schema[c] for c in carried]
         + [
@@ -261,15 +273,14 @@ def tree_contributions(
 
         def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                for start in range(0, len(batch), 64):
-                    chunk = batch.iloc[start : start + 64]
-                    x = chunk[names].to_numpy(dtype=float)
-                    phi = _contributions(x, shared.value)
-                    long = chunk[carried].loc[chunk.index.repeat(len(names))].reset_index(drop=True)
-                    long["feature"] = names * len(chunk)
-                    long["value"] = x.ravel()
-                    long["contribution"] = phi.ravel()
-                    yield long
+                x = batch[names].to_numpy(dtype=float)
+                phi = _contributions(x, shared.value)
+                copies = np.repeat(np.arange(len(batch)), len(names))
+                long = batch[carried].take(copies).reset_index(drop=True)
+                long["feature"] = names * len(batch)
+                long["value"] = x.ravel()
+                long["contribution"] = phi.ravel()
+                yield long
 
         return rows.mapInPandas(explain, out), base
 

@@ -63,12 +63,16 @@ def union_all(*tables: DataFrame) -> DataFrame:
 def pair_models(
     a: DataFrame, b: DataFrame, on: str | Sequence[str] = "fold", suffixes: tuple[str, str] = ("_a", "_b")
 ) -> DataFrame:
-    """Inner-join two metric tables, suffixing columns they share; raise if nothing pairs."""
+    """Inner-join two metric tables, suffixing columns they share; raise if nothing pairs.
+
+    Metric tables hold a row per fold; the result is stored so that the check
+    and later steps do not score the predictions again.
+    """
     on = [on] if isinstance(on, str) else list(on)
     shared = [c for c in a.columns if c in b.columns and c not in on]
     left = a.withColumnsRenamed({c: c + suffixes[0] for c in shared})
     right = b.withColumnsRenamed({c: c + suffixes[1] for c in shared})
-    paired = left.join(right, on)
+    paired = materialize(left.join(right, on), "paired")
     if paired.isEmpty():
         raise ValueError(f"no matching {on} between the two tables")
     return paired

@@ -117,7 +117,7 @@ def oof_predictions(
     fold: str = "fold",
     keep: Sequence[str] = ("row_id", "crop", "lat", "lon"),
     model: str = "model",
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Out-of-fold prediction of every row, in the predictions layout.
 
@@ -155,7 +155,7 @@ def _fold_table(oof: DataFrame) -> DataFrame:
 
 
 def random_forest_cv(
-    df: DataFrame, features: Sequence[str], target: str, fold: str = "fold", parallelism: int = 2, **hp
+    df: DataFrame, features: Sequence[str], target: str, fold: str = "fold", parallelism: int = 4, **hp
 ) -> DataFrame:
     """Fold scores of a random forest: ``model, fold, n_train, n_test, r2, rmse, mae``."""
     oof = oof_predictions(df, forest(**hp), features, target, fold, (), "forest", parallelism)
@@ -163,7 +163,7 @@ def random_forest_cv(
 
 
 def boosted_trees_cv(
-    df: DataFrame, features: Sequence[str], target: str, fold: str = "fold", parallelism: int = 2, **hp
+    df: DataFrame, features: Sequence[str], target: str, fold: str = "fold", parallelism: int = 4, **hp
 ) -> DataFrame:
     """Fold scores of boosted trees, same layout as :func:`random_forest_cv`."""
     oof = oof_predictions(df, boosted_trees(**hp), features, target, fold, (), "boosted", parallelism)
@@ -202,7 +202,7 @@ def random_search(
     k: int = 5,
     lat: str = "lat",
     lon: str = "lon",
-    parallelism: int = 2,
+    parallelism: int = 4,
     records: str | None = None,
 ) -> DataFrame:
     """Score every configuration under every block size; one row per run.

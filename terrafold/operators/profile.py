@@ -79,7 +79,9 @@ def boxplot_stats(df: DataFrame, c: str, by: str, whisker: float = 1.5) -> DataF
     """
     v = F.col(c).cast("double")
     rows = df.select(by, v.alias("_v")).where(v.isNotNull() & ~F.isnan(v) & F.col(by).isNotNull())
-    quartiles = exact_quantiles(rows, "_v", [0.25, 0.5, 0.75], [by])
+    # One pass over the data; quartiles and whiskers come from the value counts.
+    values = materialize(rows.groupBy(by, "_v").agg(F.count(F.lit(1)).alias("_n")), "box-values")
+    quartiles = exact_quantiles(values, "_v", [0.25, 0.5, 0.75], [by], "_n")
     box = materialize(
         quartiles.select(
             by,
@@ -93,7 +95,7 @@ def boxplot_stats(df: DataFrame, c: str, by: str, whisker: float = 1.5) -> DataF
     reach = (F.col("q3") - F.col("q1")) * F.lit(whisker)
     above = F.col("_v") >= F.col("q1") - reach
     below = F.col("_v") <= F.col("q3") + reach
-    ends = rows.join(box, by).groupBy(by, "n", "q1", "median", "q3").agg(
+    ends = values.join(box, by).groupBy(by, "n", "q1", "median", "q3").agg(
         F.min(F.when(above, F.col("_v"))).alias("_low"), F.max(F.when(below, F.col("_v"))).alias("_high")
     )
     return ends.select(

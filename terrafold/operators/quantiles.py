@@ -19,6 +19,7 @@ def exact_quantiles(
     value: str | Column,
     probs: Sequence[float],
     by: Sequence[str] = (),
+    weight: str | None = None,
     direct_limit: int = DIRECT_DISTINCT_LIMIT,
     levels: int = 2,
 ) -> DataFrame:
@@ -31,17 +32,19 @@ def exact_quantiles(
     range is cut into cells, the cell holding each rank is found from the cell
     counts and cut again, and only the values of the final cells are sorted.
     Both ways give the same numbers. NULL and NaN values are ignored, and so are
-    rows whose group is NULL.
+    rows whose group is NULL. ``weight`` names a column with the number of
+    copies of each row, for tables that are counted already.
     """
     by = list(by)
     value = F.col(value) if isinstance(value, str) else value
     # `_all` is a stored constant, so that "no grouping" also joins on a key.
+    copies = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
     hist = materialize(
-        df.select(*by, value.cast("double").alias("_v"))
+        df.select(*by, value.cast("double").alias("_v"), copies.alias("_n"))
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .dropna(subset=by or None)
         .groupBy(*by, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum("_n").alias("_n"))
         .withColumn("_all", F.lit(0)),
         "values",
     )

@@ -134,15 +134,21 @@ def stratified_sample(
     bins, or cannot fill its total.
     """
     require_columns(df, [category, target, key, *required])
-    rows = df.dropna(subset=[target, category, *required])
-    positive = rows.where(F.col(target) > 0)
-    edges = quantile_edges(positive, target, q, [category])
-    binned = bin_by_edges(rows.where(F.col(target) >= 0), target, edges, q + 1, [category], "_bin")
-    strata = binned.withColumn(
-        "_stratum", F.when(F.col(target) == 0, F.lit(0)).otherwise(F.col("_bin") + 1)
-    ).drop("_bin", "_bin_lo", "_bin_hi")
+    rows = df.dropna(subset=[target, category, *required]).where(F.col(target) >= 0)
+    # One pass counts the target values; edges and stratum sizes come from the counts.
+    counted = materialize(
+        rows.groupBy(category, target).agg(F.count(F.lit(1)).alias("_n")), "target-values"
+    )
+    edges = quantile_edges(counted.where(F.col(target) > 0), target, q, [category], "_n")
+
+    def with_stratum(table: DataFrame) -> DataFrame:
+        binned = bin_by_edges(table, target, edges, q + 1, [category], "_bin")
+        stratum = F.when(F.col(target) == 0, F.lit(0)).otherwise(F.col("_bin") + 1)
+        return binned.withColumn("_stratum", stratum).drop("_bin", "_bin_lo", "_bin_hi")
+
+    strata = with_stratum(rows)
     sizes = materialize(
-        strata.groupBy(category, "_stratum").agg(F.count(F.lit(1)).alias("_size")), "strata"
+        with_stratum(counted).groupBy(category, "_stratum").agg(F.sum("_n").alias("_size")), "strata"
     )
     by_category = Window.partitionBy(category, F.col("_stratum") > 0)
     earlier = by_category.orderBy("_stratum")

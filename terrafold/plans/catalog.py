@@ -15,7 +15,7 @@ from terrafold import functions as fn
 from terrafold import operators as op
 from terrafold import sources as src
 from terrafold.plans import fixtures as fx
-from terrafold.session import scratch_path
+from terrafold.session import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -244,7 +244,7 @@ def depth_weighted_mean(spark, sf):
 
 @query
 def pair_models(spark, sf):
-    scores = op.metrics_by_fold(fx.predictions(spark, sf))
+    scores = materialize(op.metrics_by_fold(fx.predictions(spark, sf)), "scores")
     a, b = (scores.where(F.col("model") == m).drop("model") for m in "AB")
     return rounded(op.pair_models(a, b, "fold"))
 
@@ -523,7 +523,7 @@ def mean_baseline_summary(spark, sf):
 
 def _deltas(spark, sf):
     preds = fx.predictions(spark, sf)
-    scores = op.regression_metrics(preds, by=["model", "crop", "fold"])
+    scores = materialize(op.regression_metrics(preds, by=["model", "crop", "fold"]), "scores")
     a, b = (scores.where(F.col("model") == m).drop("model") for m in "AB")
     return op.paired_deltas(op.pair_models(a, b, ["crop", "fold"]), ["crop", "fold"])
 
@@ -586,9 +586,8 @@ SMALL_BOOSTED = {"n_estimators": 8, "max_depth": 3, "learning_rate": 0.2, "max_b
 
 
 def _model_table(spark, sf):
-    return op.prepare(
-        fx.points(spark, sf).drop("n_lines", "ext"), "row_id", drop_location=False
-    ).table
+    ready = op.prepare(fx.points(spark, sf).drop("n_lines", "ext"), "row_id", drop_location=False, check=False)
+    return op.assert_no_missing(materialize(ready.table, "prepared"), FEATURES)
 
 
 @query
@@ -655,7 +654,9 @@ def full_fit(spark, sf):
 @query
 def tree_contributions(spark, sf):
     path = _saved(spark, sf, op.boosted_trees(**SMALL_BOOSTED))
-    return op.tree_contributions(_model_table(spark, sf), path, FEATURES, "row_id", ["crop"])
+    return op.tree_contributions(
+        _model_table(spark, sf), path, FEATURES, "row_id", ["crop"], spark.sparkContext.defaultParallelism
+    )
 
 
 @query
@@ -663,7 +664,9 @@ def contribution_additivity(spark, sf):
     """Distance between each prediction and its bias plus contributions."""
     table = _model_table(spark, sf)
     path = _saved(spark, sf, op.forest(**SMALL_FOREST))
-    parts = op.tree_contributions(table, path, FEATURES, "row_id")
+    parts = op.tree_contributions(
+        table, path, FEATURES, "row_id", partitions=spark.sparkContext.defaultParallelism
+    )
     total = parts.groupBy("row_id").agg((F.sum("contribution") + F.first("bias")).alias("total"))
     rows = op.assemble(table, FEATURES, None, ["row_id", "crop"])
     scored = src.load_model(spark, path).transform(rows).select("row_id", "crop", "predicted")

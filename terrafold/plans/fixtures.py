@@ -22,14 +22,21 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
-    """One point per order, with a target, two soil columns and a few failures."""
+    """One point per order, with a target, two soil columns and a few failures.
+
+    Amounts have two decimals, so they are summed exactly as whole cents.
+    """
+
+    def total(c: str) -> Column:
+        return F.sum(F.rint(F.col(c) * 100).cast("long")) / F.lit(100.0)
+
     lines = (
         _read(spark, sf, "lineitem")
         .groupBy("l_orderkey")
         .agg(
             F.count(F.lit(1)).alias("n_lines"),
-            F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("double").alias("qty"),
-            F.sum(F.col("l_extendedprice").cast("decimal(14,2)")).cast("double").alias("ext"),
+            total("l_quantity").alias("qty"),
+            total("l_extendedprice").alias("ext"),
             F.max("l_discount").alias("dmax"),
             F.max("l_tax").alias("tmax"),
         )
