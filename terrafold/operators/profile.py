@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions.scalars import count_label
@@ -59,15 +59,22 @@ def zero_rate(df: DataFrame, c: str, by: Sequence[str] = (), expected: float | N
 def corr_with_target(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """Pairwise-complete Pearson correlation with the target, strongest positive first.
 
-    The target is in the list with 1. All correlations come from one
-    aggregation with a fixed-size state per column.
+    The target is in the list with 1; a column without spread has none. All
+    correlations come from one aggregation with a fixed-size state per column.
     """
     columns = [*[c for c in columns if c != target], target]
-    y = F.col(target).cast("double")
-    wide = df.agg(*[F.corr(F.col(f"`{c}`").cast("double"), y).alias(c) for c in columns])
-    long = wide.unpivot([], [F.col(f"`{c}`") for c in columns], "feature", "r")
-    return long.select(
-        "feature", F.when(~F.isnan("r"), F.col("r")).alias("corr_with_target")
+
+    def pearson(c: str) -> Column:
+        # Built from parts, because corr() fails on a constant column in ANSI mode.
+        x, y = F.col(f"`{c}`").cast("double"), F.col(target).cast("double")
+        spread_x = F.stddev_pop(F.when(y.isNotNull(), x))
+        spread_y = F.stddev_pop(F.when(x.isNotNull(), y))
+        both = (spread_x > 0) & (spread_y > 0)
+        return F.when(both, F.covar_pop(x, y) / spread_x / spread_y)
+
+    wide = df.agg(*[pearson(c).alias(c) for c in columns])
+    return wide.unpivot(
+        [], [F.col(f"`{c}`") for c in columns], "feature", "corr_with_target"
     ).orderBy(F.desc_nulls_last("corr_with_target"), "feature")
 
 

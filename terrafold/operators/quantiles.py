@@ -33,21 +33,21 @@ def exact_quantiles(
     counts and cut again, and only the values of the final cells are sorted.
     Both ways give the same numbers. NULL and NaN values are ignored, and so are
     rows whose group is NULL. ``weight`` names a column with the number of
-    copies of each row, for tables that are counted already.
+    copies of each row, for stored tables of counted values.
     """
     by = list(by)
     value = F.col(value) if isinstance(value, str) else value
     # `_all` is a stored constant, so that "no grouping" also joins on a key.
-    copies = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    hist = materialize(
-        df.select(*by, value.cast("double").alias("_v"), copies.alias("_n"))
+    hist = (
+        df.select(*by, value.cast("double").alias("_v"), *([weight] if weight else []))
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .dropna(subset=by or None)
-        .groupBy(*by, "_v")
-        .agg(F.sum("_n").alias("_n"))
-        .withColumn("_all", F.lit(0)),
-        "values",
     )
+    if weight is None:
+        counted = hist.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+        hist = materialize(counted.withColumn("_all", F.lit(0)), "values")
+    else:
+        hist = hist.withColumnRenamed(weight, "_n").withColumn("_all", F.lit(0))
     largest = hist.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     if largest <= direct_limit:
         return hist.groupBy(*by).agg(
