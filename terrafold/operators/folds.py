@@ -101,7 +101,7 @@ def group_kfold(df: DataFrame, block: str, k: int = 5, out: str = "fold") -> Dat
     on disk allows, and otherwise shuffles and splits a hot block's rows.
     """
     folds = fold_map(df, block, k).select(F.col("block").alias(block), F.col("fold").alias(out))
-    return df.join(folds, block)
+    return df.join(folds, block).select(*df.columns, out)
 
 
 def spatial_folds(

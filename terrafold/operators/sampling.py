@@ -87,7 +87,7 @@ def _sampled(df: DataFrame, key: str, seed: int, cutoffs: DataFrame, by: Sequenc
     """``df`` with a boolean ``_in``; the cut-off table has one row per group."""
     if by:
         joined = df.join(cutoffs, list(by))
-        return joined.withColumn("_in", row_hash(key, seed) <= F.col("_cut")).drop("_cut")
+        return joined.select(*df.columns, (row_hash(key, seed) <= F.col("_cut")).alias("_in"))
     return df.withColumn("_in", row_hash(key, seed) <= cutoffs.select("_cut").scalar())
 
 
@@ -185,7 +185,7 @@ def stratified_sample(
         )
     strata_keys = [category, "_stratum"]
     cutoffs = hash_cutoffs(strata, key, seed, quotas.select(*strata_keys, "_quota"), strata_keys)
-    return _sampled(strata, key, seed, cutoffs, strata_keys).where("_in").drop("_in", "_stratum")
+    return _sampled(strata, key, seed, cutoffs, strata_keys).where("_in").select(*df.columns)
 
 
 def param_sampler(
