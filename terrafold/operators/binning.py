@@ -172,9 +172,8 @@ def histogram_minmax(df: DataFrame, c: str, bins: int, by: Sequence[str] = ()) -
 
 
 def _with_empty_bins(counts: DataFrame, bins: int, by: list[str]) -> DataFrame:
-    """Add zero rows for absent bins by one more small aggregation, without a join."""
-    zeros = counts.select(
-        *by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), F.lit(0).cast("long").alias("n")
-    )
-    real = counts.where(F.col("bin").isNotNull()).select(*by, "bin", "n")
-    return real.unionByName(zeros).groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+    """Add zero rows for absent bins: gather each group's counts (at most ``bins``), then spread them."""
+    entry = F.when(F.col("bin").isNotNull(), F.struct("bin", "n"))
+    gathered = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("_counts"))
+    spread = gathered.select(*by, "_counts", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return spread.select(*by, "bin", F.coalesce(F.try_element_at("_counts", "bin"), F.lit(0)).alias("n"))

@@ -81,12 +81,14 @@ def pair_models(
 def category_bin_grid(report: DataFrame, by: Sequence[str], bin_col: str, bins: int) -> DataFrame:
     """Add the missing (group, bin) combinations to a per-bin report, with NULL measures.
 
-    The grid is exploded from the groups in the report, so nothing is crossed.
+    Each group's bins (at most ``bins`` rows) are gathered and spread again over
+    all bin numbers, so nothing is crossed and the report is computed once.
     """
     by = list(by)
-    grid = (
-        report.select(*by)
-        .distinct()
-        .withColumn(bin_col, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    )
-    return grid.join(report, [*by, bin_col], "left")
+    measures = [c for c in report.columns if c not in by and c != bin_col]
+    entry = F.when(F.col(bin_col).isNotNull(), F.struct(bin_col, F.struct(*measures)))
+    gathered = report.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("_bins"))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))
+    spread = gathered.select(*by, "_bins", numbers.alias(bin_col))
+    found = spread.select(*by, bin_col, F.try_element_at("_bins", bin_col).alias("_m"))
+    return found.select(*by, bin_col, *[F.col(f"_m.{c}").alias(c) for c in measures])

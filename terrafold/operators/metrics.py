@@ -53,12 +53,22 @@ def cv_summary(fold_metrics: DataFrame, by: Sequence[str] = ("model",)) -> DataF
 
 
 def cv_report(oof: DataFrame) -> DataFrame:
-    """Per model: fold-mean summary next to the pooled out-of-fold scores."""
-    folds = cv_summary(metrics_by_fold(oof))
-    pooled = regression_metrics(oof, by=["model"]).select(
-        "model", "n", *[F.col(m).alias(f"overall_cv_{m}") for m in ("r2", "rmse", "mae")]
+    """Per model: fold-mean summary next to the pooled out-of-fold scores, from one scan."""
+    model, fold = F.col("model"), F.col("fold")
+    scores = oof.groupingSets([[model, fold], [model]], model, fold).agg(
+        F.grouping("fold").alias("_pooled"),
+        F.count(F.lit(1)).alias("n"),
+        *[c.alias(name) for name, c in score_columns().items()],
+    )
+    one_fold, pooled = F.col("_pooled") == 0, F.col("_pooled") == 1
+    aggs = []
+    for m in ("r2", "rmse", "mae"):
+        of_fold = F.when(one_fold, F.col(m))
+        aggs += [F.avg(of_fold).alias(f"{m}_mean"), F.stddev_samp(of_fold).alias(f"{m}_std")]
+    overall = [F.max(F.when(pooled, F.col(m))).alias(f"overall_cv_{m}") for m in ("r2", "rmse", "mae")]
+    return scores.groupBy("model").agg(
+        *aggs, F.count_if(one_fold).alias("n_splits"), F.max(F.when(pooled, F.col("n"))).alias("n"), *overall
     )
-    return folds.join(pooled, "model")
 
 
 def _model_columns(residual_std: bool = True) -> list[Column]:
@@ -119,12 +129,14 @@ def error_by_observed_bin(
     by = ["model"] if edges_from == "own" else []
     source = preds if edges_from in ("union", "own") else preds.where(F.col("model") == edges_from)
     edges = quantile_edges(source, "observed", q, by)
-    binned = with_interval_label(bin_by_edges(preds, "observed", edges, q + 1, by))
+    binned = bin_by_edges(preds, "observed", edges, q + 1, by)
+    # Only fixed-width values are aggregated, which keeps this a hash aggregation.
     report = (
         binned.where(F.col("bin").isNotNull())
         .groupBy("model", "bin")
         .agg(
-            F.first("bin_label").alias("bin_label"),
+            F.min("bin_lo").alias("bin_lo"),
+            F.min("bin_hi").alias("bin_hi"),
             F.count(F.lit(1)).alias("n"),
             F.min("observed").alias("observed_min"),
             F.max("observed").alias("observed_max"),
@@ -136,6 +148,8 @@ def error_by_observed_bin(
             F.avg("squared_error").alias("squared_error_mean"),
         )
     )
+    report = with_interval_label(report).drop("bin_lo", "bin_hi")
+    report = report.select("model", "bin", "bin_label", *report.columns[2:-1])
     if not keep_empty or by:
         return report
     bins = edges.select(F.size("edges") - 1).first()[0]

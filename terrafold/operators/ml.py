@@ -45,8 +45,14 @@ def forest(
     max_features: str = "sqrt",
     seed: int = 42,
     max_bins: int = 32,
+    max_memory_mb: int = 1024,
 ) -> RandomForestRegressor:
-    """Random forest; a depth of None means Spark's deepest tree."""
+    """Random forest; a depth of None means Spark's deepest tree.
+
+    Deep trees pass over the data once per group of open nodes, so the memory
+    for node statistics is above Spark's default, and node ids are kept with
+    the rows instead of being found again from the root.
+    """
     return RandomForestRegressor(
         featuresCol="features",
         labelCol="label",
@@ -57,6 +63,8 @@ def forest(
         featureSubsetStrategy=str(max_features),
         seed=seed,
         maxBins=max_bins,
+        maxMemoryInMB=max_memory_mb,
+        cacheNodeIds=True,
     )
 
 

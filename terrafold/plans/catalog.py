@@ -59,7 +59,7 @@ def read_model_ready(spark, sf):
         ready.table, scratch_path(spark, "ready"), "v1", "row_id", "suitability",
         ["lat", "lon", "crop"], exclude=["cell_id"], report=ready.report,
     )
-    table, listed = src.read_model_ready(spark, base)
+    table, listed = src.read_model_ready(spark, base, views=True)
     return table.select("row_id", "crop", "suitability", *listed["X_cols"])
 
 
@@ -70,8 +70,7 @@ def write_model_ready(spark, sf):
         ready.table, scratch_path(spark, "ready"), "v1", "row_id", "suitability",
         ["lat", "lon", "crop"], exclude=["cell_id"], report=ready.report,
     )
-    x, y, meta = (spark.read.parquet(f"{base}/{n}.parquet") for n in ("X", "y", "meta"))
-    return op.align_tables(x, y, meta, on="row_id")
+    return src.read_model_ready(spark, base)[0].drop("cell_id")
 
 
 @query
@@ -98,6 +97,14 @@ def read_predictions_lenient(spark, sf):
     return rounded(op.regression_metrics(out, by=["model", "fold"]))
 
 
+@query
+def write_reports(spark, sf):
+    folder = scratch_path(spark, "reports")
+    scores = op.metrics_by_fold(fx.predictions(spark, sf))
+    src.write_reports({"folds": rounded(scores)}, folder, "json")
+    return spark.read.json(f"{folder}/folds.json").withColumn("fold", F.col("fold").cast("int"))
+
+
 @query
 def read_run_metrics(spark, sf):
     folder = scratch_path(spark, "runs")

@@ -16,6 +16,7 @@ from terrafold.sources.tables import (
     read_table,
     split_by_category_sink,
     write_model_ready,
+    write_reports,
     write_run_metrics,
     write_table,
 )
@@ -41,6 +42,7 @@ __all__ = [
     "save_model",
     "split_by_category_sink",
     "write_model_ready",
+    "write_reports",
     "write_run_metrics",
     "write_table",
 ]

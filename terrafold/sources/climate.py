@@ -84,31 +84,35 @@ def ingest_climatology(
     ``points``, every point gets a row and points without coordinates get the
     error ``NaN lat/lon``.
 
-    ``min_by`` / ``max_by`` combine partially before the shuffle, so a key
-    with very many attempts does not gather its bodies in one task.
+    Each body is parsed once and shrinks to its numbers before the shuffle.
+    ``min_by`` / ``max_by`` then combine within each input partition, so a key
+    with very many attempts sends one row per partition.
     """
-    ok = F.col("status").between(200, 299) & F.col("_valid")
-    error = F.when(F.col("status").between(200, 299), F.lit("invalid JSON")).otherwise(
+    answered = F.col("status").between(200, 299)
+    parsed = parse_climatology(responses.select(key, "attempt", "status", "body"))
+    flat = flatten_climatology(
+        parsed.withColumn("_ok", answered & F.col("parsed.properties").isNotNull()).drop("body"),
+        params,
+        periods,
+    )
+    values = [c for c in flat.columns if c not in (key, "attempt", "status", "_ok")]
+    error = F.when(answered, F.lit("invalid JSON")).otherwise(
         F.concat(F.lit("HTTP "), F.col("status").cast("string"))
     )
-    checked = responses.select(
-        key, "attempt", "status", "body",
-        F.coalesce(F.from_json("body", "struct<properties: string>")["properties"].isNotNull(),
-                   F.lit(False)).alias("_valid"),
+    chosen = flat.groupBy(key).agg(
+        F.min_by(F.struct(*values), F.when(F.col("_ok"), F.col("attempt"))).alias("_first"),
+        F.max_by(error, F.when(~F.col("_ok"), F.col("attempt"))).alias("_error"),
+        F.bool_or("_ok").alias("_any"),
     )
-    chosen = checked.groupBy(key).agg(
-        F.min_by(F.when(ok, F.col("body")), F.when(ok, F.col("attempt"))).alias("body"),
-        F.max_by(F.when(~ok, error), F.when(~ok, F.col("attempt"))).alias("_error"),
+    features = chosen.select(
+        key,
+        *[F.when(F.col("_any"), F.col(f"_first.{c}")).alias(c) for c in values],
+        F.when(~F.col("_any"), F.col("_error")).alias("power_error"),
     )
-    features = flatten_climatology(parse_climatology(chosen), params, periods)
-    features = features.withColumn(
-        "power_error", F.when(F.col("body").isNull(), F.col("_error"))
-    ).drop("body", "_error")
     if points is None:
         return features
     no_place = F.col(lat).isNull() | F.col(lon).isNull() | F.isnan(lat) | F.isnan(lon)
     spots = points.select(key, no_place.alias("_no_place"))
-    values = [c for c in features.columns if c not in (key, "power_error")]
     # Stored, so that points sharing a key can be split over tasks.
     return spots.join(materialize(features, "climate"), key, "left").select(
         key,

@@ -79,6 +79,21 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         raise ValueError(f"unsupported output type {kind!r}: use .parquet or .csv")
 
 
+def write_reports(
+    tables: Mapping[str, DataFrame], directory: str, kind: str = "csv", mode: str = "errorifexists"
+) -> None:
+    """Write report tables (a few rows each) as one CSV or JSON file folder per name."""
+    for name, table in tables.items():
+        writer = table.coalesce(1).write.mode(mode)
+        path = f"{directory.rstrip('/')}/{name}.{kind}"
+        if kind == "csv":
+            writer.option("header", True).csv(path)
+        elif kind == "json":
+            writer.json(path)
+        else:
+            raise ValueError(f"unsupported report type {kind!r}: use csv or json")
+
+
 def split_by_category_sink(
     df: DataFrame, category: str, path: str, mode: str = "errorifexists"
 ) -> None:
@@ -134,10 +149,19 @@ def write_model_ready(
     return base
 
 
-def read_model_ready(spark: SparkSession, base: str) -> tuple[DataFrame, dict]:
-    """Read what :func:`write_model_ready` wrote: the table and the feature list."""
-    listed = spark.read.text(f"{base}/feature_list.json").first()
-    return spark.read.parquet(f"{base}/prepared.parquet"), json.loads(listed[0])
+def read_model_ready(spark: SparkSession, base: str, views: bool = False) -> tuple[DataFrame, dict]:
+    """Read what :func:`write_model_ready` wrote: the table and the feature list.
+
+    With ``views`` the table is put together from X, y and meta, which must
+    hold the same row ids.
+    """
+    listed = json.loads(spark.read.text(f"{base}/feature_list.json").first()[0])
+    if not views:
+        return spark.read.parquet(f"{base}/prepared.parquet"), listed
+    from terrafold.operators.joins import align_tables  # operators import this module
+
+    parts = [spark.read.parquet(f"{base}/{name}.parquet") for name in ("X", "y", "meta")]
+    return align_tables(*parts, on=listed["row_id"]), listed
 
 
 def read_predictions(
