@@ -8,7 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrafold.operators.quantiles import counts_below
+from terrafold.session import materialize
+
 EXACT_LIMIT = 50  # most differences for which the exact Wilcoxon null is used
+SUM_LIMIT = 10_000  # most degrees of freedom for which the t distribution is summed
+DIRECT_RANK_LIMIT = 100_000  # most differences per group that one window ranks
 
 
 def paired_deltas(paired: DataFrame, keys: Sequence[str] = ("fold",), suffixes=("_a", "_b")) -> DataFrame:
@@ -39,8 +44,19 @@ def student_t_within(t: Column, df: Column) -> Column:
     """P(|T| <= t) for t >= 0 and a whole number of degrees of freedom.
 
     The finite trigonometric sum for the Student distribution, one term per
-    two degrees of freedom.
+    two degrees of freedom. Above 10,000 degrees of freedom, where the sum
+    would grow with the data, Wallace's transformation to a normal deviate is
+    used; it is off by less than 1e-9 there.
     """
+    many = df > SUM_LIMIT
+    nu = df.cast("double")
+    deviate = (8 * nu + 1) / (8 * nu + 3) * F.sqrt(nu * F.log1p(t * t / nu))
+    return F.when(many, 1 - 2 * normal_upper_tail(deviate)).otherwise(
+        _student_t_sum(t, F.least(df, F.lit(SUM_LIMIT)))
+    )
+
+
+def _student_t_sum(t: Column, df: Column) -> Column:
     theta = F.atan(t / F.sqrt(df.cast("double")))
     sin, cos = F.sin(theta), F.cos(theta)
     odd = df % 2 == 1
@@ -97,27 +113,49 @@ def signed_rank_null(spark: SparkSession, limit: int = EXACT_LIMIT) -> DataFrame
     )
 
 
-def paired_tests(deltas: DataFrame, by: Sequence[str] = ("metric",), value: str = "difference") -> DataFrame:
+def _ranked(rows: DataFrame, by: list[str], direct_limit: int) -> DataFrame:
+    """Append ``_rank``, the mid-rank of |_d| among the nonzero differences of the group."""
+    nonzero, size = F.col("_d") != 0, F.abs("_d")
+    mid = F.when(nonzero, F.col("_lowest") + (F.col("_ties") - 1) / 2.0)
+    largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest <= direct_limit:
+        # Zeros form their own partition, so ranks count the nonzero differences only.
+        ties = Window.partitionBy(*by, nonzero, size)
+        order = Window.partitionBy(*by, nonzero).orderBy(size)
+        return rows.withColumns(
+            {"_ties": F.count(F.lit(1)).over(ties), "_lowest": F.rank().over(order)}
+        ).withColumn("_rank", mid)
+    sized = rows.withColumn("_size", size)
+    counted = materialize(
+        sized.where(nonzero).groupBy(*by, "_size").agg(F.count(F.lit(1)).alias("_ties")), "sizes"
+    )
+    ranks = materialize(counts_below(counted, by, "_size", "_ties", "_below"), "ranks")
+    return (
+        sized.join(ranks, [*by, "_size"], "left")
+        .withColumn("_lowest", F.col("_below") + 1)
+        .withColumn("_rank", mid)
+    )
+
+
+def paired_tests(
+    deltas: DataFrame,
+    by: Sequence[str] = ("metric",),
+    value: str = "difference",
+    direct_limit: int = DIRECT_RANK_LIMIT,
+) -> DataFrame:
     """Effect size, t-test and Wilcoxon signed-rank test of the differences, per group.
 
-    One-sided tests ask whether the differences lie above zero. A group holds
-    one difference per fold, so the ranking window stays as small as the
-    number of folds. Exact Wilcoxon up to 50 differences without zeros,
-    otherwise the normal approximation with tie correction on the nonzero
-    ones. All-zero groups have no Wilcoxon result.
+    One-sided tests ask whether the differences lie above zero. Exact Wilcoxon
+    up to 50 differences without zeros, otherwise the normal approximation
+    with tie correction on the nonzero ones. All-zero groups have no Wilcoxon
+    result. A group usually holds one difference per fold and is ranked by a
+    window; with a group above ``direct_limit``, ranks are counted instead.
     """
     by = list(by)
     d = F.col("_d")
-    rows = deltas.select(*by, F.col(value).cast("double").alias("_d")).where(F.col("_d").isNotNull())
     nonzero = d != 0
-    size = F.abs(d)
-    # Zeros form their own partition, so ranks count the nonzero differences only.
-    ranked = rows.withColumns(
-        {
-            "_ties": F.count(F.lit(1)).over(Window.partitionBy(*by, nonzero, size)),
-            "_lowest": F.rank().over(Window.partitionBy(*by, nonzero).orderBy(size)),
-        }
-    ).withColumn("_rank", F.when(nonzero, F.col("_lowest") + (F.col("_ties") - 1) / 2.0))
+    rows = deltas.select(*by, F.col(value).cast("double").alias("_d")).dropna(subset=[*by, "_d"])
+    ranked = _ranked(rows, by, direct_limit)
     stats = ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_folds"),
         F.avg(d).alias("mean_difference"),

@@ -179,7 +179,9 @@ def mae_by_reference_bin(
     if found != q:
         raise ValueError(f"{q} labels do not match {found} distinct bins")
     if models is None:
-        models = sorted(r[0] for r in preds.select("model").distinct().limit(1000).collect())
+        models = sorted(r[0] for r in preds.select("model").distinct().limit(101).collect())
+        if len(models) > 100:
+            raise ValueError("more than 100 models: name those to put side by side")
     binned = bin_by_edges(preds, "observed", edges, q + 1).where(F.col("bin").isNotNull())
     measured = binned.groupBy("bin").agg(
         *[F.avg(F.when(F.col("model") == m, F.col("abs_error"))).alias(f"mae_{m}") for m in models]

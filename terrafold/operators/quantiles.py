@@ -57,6 +57,38 @@ def exact_quantiles(
     return _quantiles_by_counting(hist, [float(p) for p in probs], by, levels)
 
 
+def counts_below(hist: DataFrame, by: Sequence[str], value: str, count: str, out: str) -> DataFrame:
+    """Append to counted distinct values the number of smaller ones in their group.
+
+    The group's range is cut into cells; the running totals of the cells and
+    of the values inside one cell are added, so no window holds a whole group.
+    """
+    by = list(by)
+    limits = materialize(
+        hist.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")), "limits"
+    )
+    placed = hist.join(limits, by).withColumn("_cell", _cell_of(F.col(value))).drop("_lo", "_hi")
+    earlier = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = materialize(
+        placed.groupBy(*by, "_cell")
+        .agg(F.sum(count).alias("_total"))
+        .select(*by, "_cell", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")),
+        "cells",
+    )
+    inside = (
+        Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    below = F.col("_offset") + F.coalesce(F.sum(count).over(inside), F.lit(0))
+    return placed.join(cells, [*by, "_cell"]).select(*hist.columns, below.alias(out))
+
+
+def _cell_of(value: Column) -> Column:
+    """Equal-width cell of a value between the columns ``_lo`` and ``_hi``."""
+    span = F.col("_hi") - F.col("_lo")
+    place = F.floor((value - F.col("_lo")) / span * F.lit(float(CELLS_PER_LEVEL)))
+    return F.when(span > 0, F.least(F.lit(CELLS_PER_LEVEL - 1), place)).otherwise(F.lit(0)).cast("int")
+
+
 def _quantiles_by_counting(
     hist: DataFrame, probs: list[float], by: list[str], levels: int
 ) -> DataFrame:
@@ -79,15 +111,7 @@ def _quantiles_by_counting(
     for level in range(levels):
         cell = f"_c{level}"
         ranges = wanted.select(*cell_keys, "_lo", "_hi").distinct()
-        span = F.col("_hi") - F.col("_lo")
-        index = F.when(
-            span > 0,
-            F.least(
-                F.lit(CELLS_PER_LEVEL - 1),
-                F.floor((F.col("_v") - F.col("_lo")) / span * F.lit(float(CELLS_PER_LEVEL))),
-            ),
-        ).otherwise(F.lit(0)).cast("int")
-        hist = hist.join(ranges, cell_keys).withColumn(cell, index).drop("_lo", "_hi")
+        hist = hist.join(ranges, cell_keys).withColumn(cell, _cell_of(F.col("_v"))).drop("_lo", "_hi")
         earlier = (
             Window.partitionBy(*cell_keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
         )

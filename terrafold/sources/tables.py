@@ -82,9 +82,9 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def write_reports(
     tables: Mapping[str, DataFrame], directory: str, kind: str = "csv", mode: str = "errorifexists"
 ) -> None:
-    """Write report tables (a few rows each) as one CSV or JSON file folder per name."""
+    """Write each table as CSV or JSON under its name; adaptive execution keeps small ones in one file."""
     for name, table in tables.items():
-        writer = table.coalesce(1).write.mode(mode)
+        writer = table.write.mode(mode)
         path = f"{directory.rstrip('/')}/{name}.{kind}"
         if kind == "csv":
             writer.option("header", True).csv(path)

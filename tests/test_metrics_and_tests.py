@@ -80,6 +80,17 @@ def test_many_differences_use_the_approximation(spark):
     assert r["wilcoxon_p_one_sided"] == pytest.approx(math.erfc(z / math.sqrt(2)) / 2, abs=1e-12)
 
 
+def test_counted_ranks_give_the_same_tests(spark):
+    rows = [("a", float((i * 7919) % 83 - 40)) for i in range(400)] + [("b", 0.5), ("b", -1.5), ("b", 1e30)]
+    rows += [("z", 0.0), ("z", 0.0), ("c", 2.0), ("c", 2.0), ("c", -2.0)]
+    df = spark.createDataFrame(rows, "metric string, difference double")
+    windowed = op.paired_tests(df).orderBy("metric").collect()
+    counted = op.paired_tests(df, direct_limit=0).orderBy("metric").collect()
+    assert len(windowed) == 4
+    for a, b in zip(windowed, counted):
+        assert list(a)[0] == list(b)[0] and list(a)[1:] == pytest.approx(list(b)[1:], nan_ok=True)
+
+
 def test_null_distribution_sums_to_two_to_the_n(spark):
     for r in signed_rank_null(spark).collect():
         n = r["n_used"]
@@ -98,6 +109,16 @@ def test_student_t_against_integration(spark):
         assert r["p"] == pytest.approx(want, abs=1e-10)
 
 
+def test_student_t_is_smooth_where_the_method_changes(spark):
+    rows = [(t, df) for t in (0.1, 1.0, 2.0, 4.0) for df in (9_999, 10_000, 10_001)]
+    table = spark.createDataFrame(rows, "t double, df long")
+    got = {(r["t"], r["df"]): r["p"] for r in
+           table.select("t", "df", student_t_within(F.col("t"), F.col("df")).alias("p")).collect()}
+    for t in (0.1, 1.0, 2.0, 4.0):
+        step = got[t, 10_000] - got[t, 9_999]
+        assert got[t, 10_001] - got[t, 10_000] == pytest.approx(step, abs=2e-9)
+
+
 def test_normal_tail_against_erfc(spark):
     table = spark.createDataFrame([(z / 4,) for z in range(-36, 37)], "z double")
     for r in table.select("z", normal_upper_tail(F.col("z")).alias("p")).collect():
