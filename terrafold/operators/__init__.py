@@ -23,6 +23,7 @@ from terrafold.operators.folds import (
     fold_means,
     group_kfold,
     mean_baseline_cv,
+    mean_baseline_folds,
     spatial_folds,
 )
 from terrafold.operators.joins import align_tables, category_bin_grid, enrich_left, pair_models, union_all

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions.columns import require_columns
 from terrafold.functions.scalars import spatial_block, with_residuals
+from terrafold.operators.metrics import regression_metrics
 from terrafold.session import materialize
 
 _CELL_DIGITS = 3  # 4,096 hash prefixes per block size
@@ -131,6 +132,19 @@ def fold_means(df: DataFrame, target: str, fold: str = "fold") -> DataFrame:
     )
 
 
+def mean_baseline_folds(df: DataFrame, target: str, fold: str = "fold") -> DataFrame:
+    """Fold scores of the mean baseline with its training and test means."""
+    means = materialize(fold_means(df, target, fold), "fold-means")
+    observed = df.select(fold, F.col(target).cast("double").alias("observed"))
+    scores = regression_metrics(
+        observed.join(means.select(fold, "train_mean_prediction"), fold),
+        "observed",
+        "train_mean_prediction",
+        [fold],
+    )
+    return scores.drop("n").join(means, fold)
+
+
 def mean_baseline_cv(
     df: DataFrame,
     target: str,

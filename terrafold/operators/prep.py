@@ -210,7 +210,8 @@ def prepare(
 
     Medians are taken over all remaining rows, before any fold is drawn. The
     result is one table keyed by ``row_id`` that holds meta columns, target
-    and features together.
+    and features together. ``features`` leaves out the identifiers in
+    ``exclude``; the report counts them as X columns.
     """
     names = resolve_columns(merged)
     auxiliary = dropped_columns(merged, SERVICE_COLUMNS)
@@ -225,17 +226,18 @@ def prepare(
     ).withColumn("is_wheat", encode_category(names["crop"]))
     if clip is not None:
         filled = filled.withColumn(names["target"], clip_target(names["target"], *clip))
-    left_out = {row_id, names["target"], names["crop"], *exclude}
+    left_out = {names["target"], names["crop"]}
     if drop_location:
         left_out |= {names["lat"], names["lon"]}
-    features = [c for c in filled.columns if c not in left_out]
+    x_cols = [c for c in filled.columns if c not in left_out]
     if check:
-        assert_no_missing(filled, features)
+        assert_no_missing(filled, x_cols)
+    features = [c for c in x_cols if c not in (row_id, *exclude)]
     dropped = dropped_columns(merged, [error_col]) + auxiliary
     report = prep_report(
         merged, names["target"], soil, error_col, clip, medians,
         {"target_col": names["target"], "crop_col": names["crop"], "lat_col": names["lat"],
          "lon_col": names["lon"], "dropped_cols": dropped, "soil_cols": soil,
-         "x_num_features": len(features)},
+         "x_num_features": len(x_cols)},
     )
     return Prepared(filled, report, features, names, soil)

@@ -519,6 +519,12 @@ def mean_baseline_cv(spark, sf):
     return rounded(op.metrics_by_fold(oof))
 
 
+@query
+def mean_baseline_folds(spark, sf):
+    folds = op.spatial_folds(fx.points(spark, sf), 10.0)
+    return rounded(op.mean_baseline_folds(folds, "suitability"))
+
+
 @query
 def mean_baseline_summary(spark, sf):
     folds = op.spatial_folds(fx.points(spark, sf), 10.0)

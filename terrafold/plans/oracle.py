@@ -386,6 +386,11 @@ def _statements() -> dict[str, str]:
                {_r('(sum(s) OVER () - s) / (sum(n) OVER () - n)', 'train_mean_prediction')}, {_r('s / n', 'test_mean_observed')}
         FROM (SELECT CAST(row_id % 5 + 1 AS INTEGER) AS fold, count(*) AS n, CAST(sum(suitability) AS DOUBLE) AS s FROM points GROUP BY 1) t"""
     s["mean_baseline_cv"] = f"SELECT model, fold, n_test, {_rs('r2 rmse mae')} FROM baseline_scores"
+    s["mean_baseline_folds"] = f"""
+        SELECT b.fold, {_rs('r2 rmse mae')}, CAST(t.n - b.n_test AS BIGINT) AS n_train, b.n_test,
+               {_r('p.predicted', 'train_mean_prediction')}, {_r('p.seen', 'test_mean_observed')}
+        FROM baseline_scores b JOIN (SELECT fold, any_value(predicted) AS predicted, avg(observed) AS seen FROM baseline GROUP BY fold) p
+          ON p.fold = b.fold, (SELECT count(*) AS n FROM points) t"""
     s["mean_baseline_summary"] = f"SELECT model, {means}, count(*) AS n_splits FROM baseline_scores GROUP BY model"
     s["paired_deltas"] = f"SELECT crop, fold, metric, {_r('difference', 'difference')} FROM deltas"
     s["paired_tests"] = f"""

@@ -21,12 +21,13 @@ CLIMATE_PERIODS = [
 # text is kept here and read a second time in flatten_climatology.
 RESPONSE_SCHEMA = (
     "struct<geometry: struct<coordinates: array<double>>,"
-    " properties: struct<elevation: double, parameter: map<string, string>>>"
+    " properties: struct<elevation: string, parameter: map<string, string>>,"
+    " _corrupt_record: string>"
 )
 
 
 def parse_climatology(responses: DataFrame, body: str = "body") -> DataFrame:
-    """Append ``parsed``, the typed response; NULL where the text is not valid JSON."""
+    """Append ``parsed``, the typed response; ``_corrupt_record`` holds text that is not valid JSON."""
     return responses.withColumn("parsed", F.from_json(F.col(body), RESPONSE_SCHEMA))
 
 
@@ -49,7 +50,7 @@ def flatten_climatology(
         *keep,
         F.when(has_pair, F.get(coords, F.lit(0))).alias("power_lon"),
         F.when(has_pair, F.get(coords, F.lit(1))).alias("power_lat"),
-        F.col("parsed.properties.elevation").alias("power_elevation_m"),
+        F.col("parsed.properties.elevation").try_cast("double").alias("power_elevation_m"),
         F.struct(
             *[
                 F.from_json(F.col("parsed.properties.parameter")[p], "map<string, double>").alias(p)
@@ -90,10 +91,9 @@ def ingest_climatology(
     """
     answered = F.col("status").between(200, 299)
     parsed = parse_climatology(responses.select(key, "attempt", "status", "body"))
+    readable = F.col("parsed").isNotNull() & F.col("parsed._corrupt_record").isNull()
     flat = flatten_climatology(
-        parsed.withColumn("_ok", answered & F.col("parsed.properties").isNotNull()).drop("body"),
-        params,
-        periods,
+        parsed.withColumn("_ok", answered & readable).drop("body"), params, periods
     )
     values = [c for c in flat.columns if c not in (key, "attempt", "status", "_ok")]
     error = F.when(answered, F.lit("invalid JSON")).otherwise(

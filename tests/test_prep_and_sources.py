@@ -92,7 +92,7 @@ def test_prepare_order_and_report(spark):
     assert (r["n_rows_in"], r["n_rows_out"], r["dropped_failed_rows"], r["dropped_all_missing_rows"]) == (5, 3, 1, 1)
     assert r["dropped_failed_rate"] == 0.2 and r["dropped_all_missing_rate"] == 0.25
     assert r["soil_missing_before_pct"]["sg_clay"] == 50.0 and r["soil_missing_after_pct"]["sg_clay"] == 0.0
-    assert (r["target_min"], r["target_max"], r["x_num_features"]) == (0.0, 10000.0, 4)
+    assert (r["target_min"], r["target_max"], r["x_num_features"]) == (0.0, 10000.0, 5)
     assert json.loads(r["dropped_cols"]) == ["power_error", "power_lat"]
 
 
@@ -146,6 +146,9 @@ def test_first_success_wins_and_last_error_is_kept(spark):
         ("b", 1, 429, None), ("b", 2, 500, None),
         ("c", 1, 200, "not json"),
         ("d", 1, 404, None), ("d", 2, 200, BODY % 5),
+        ("e", 1, 200, "{}"),
+        ("f", 1, 200, None),
+        ("g", 1, 200, '{"properties":{"elevation":"high","parameter":{"T2M":{"JAN":6}}}}'),
     ]
     out = src.ingest_climatology(
         table(spark, rows, "cell_id string, attempt int, status int, body string"), "cell_id", ["T2M"], ["JAN", "ANN"]
@@ -155,6 +158,10 @@ def test_first_success_wins_and_last_error_is_kept(spark):
     assert got["b"]["T2M_JAN"] is None and got["b"]["power_error"] == "HTTP 500"
     assert got["c"]["power_error"] == "invalid JSON"
     assert got["d"]["T2M_JAN"] == 5.0 and got["d"]["power_error"] is None
+    # An empty answer is an answer; so is one with an odd elevation.
+    assert got["e"]["T2M_JAN"] is None and got["e"]["power_error"] is None
+    assert got["f"]["power_error"] == "invalid JSON"
+    assert got["g"]["T2M_JAN"] == 6.0 and got["g"]["power_elevation_m"] is None and got["g"]["power_error"] is None
 
 
 def test_points_without_coordinates_get_an_error(spark):
