@@ -234,6 +234,14 @@ def enrich_left(spark, sf):
     return op.enrich_left(left, features, "cell_id")
 
 
+@query
+def enrich_climatology(spark, sf):
+    features = src.ingest_climatology(fx.climate_responses(spark, sf), "cell_id", ["T2M"], ["ANN"])
+    lat = F.when(F.col("row_id") % 31 != 0, F.col("lat"))
+    left = fx.points(spark, sf).select("cell_id", "crop", lat.alias("lat"), "lon")
+    return src.enrich_climatology(left, features).drop("power_lon", "power_lat", "power_elevation_m")
+
+
 @query
 def sample_grid_at_points(spark, sf):
     spots = fx.points(spark, sf).select("row_id", "lat", "lon")
@@ -623,6 +631,23 @@ def oof_predictions(spark, sf):
     return op.oof_predictions(folds, op.forest(**SMALL_FOREST), FEATURES, "suitability", model="forest")
 
 
+@query
+def oof_coverage(spark, sf):
+    """Each point once, in the fold of its block, predicted within the target's range."""
+    df = fx.points(spark, sf).select(
+        "row_id", "crop", "lat", "lon", "suitability", F.coalesce("qty", F.lit(0.0)).alias("qty"),
+        fn.encode_category("crop").alias("is_wheat"),
+    )
+    oof = op.oof_predictions(
+        op.spatial_folds(df, 10.0), op.forest(4, 4), ["qty", "lat", "lon", "is_wheat"], "suitability"
+    )
+    return oof.select(
+        "row_id", "crop", "fold", "observed",
+        F.col("predicted").between(0, 10000).alias("in_range"),
+        (F.col("residual") == F.col("observed") - F.col("predicted")).alias("consistent"),
+    )
+
+
 @query
 def holdout_eval(spark, sf):
     return op.holdout_eval(

@@ -28,7 +28,7 @@ from terrafold.operators.explain import (
     tree_contributions,
 )
 from terrafold.operators.folds import mean_baseline_cv, spatial_folds
-from terrafold.operators.joins import enrich_left, pair_models, union_all
+from terrafold.operators.joins import pair_models, union_all
 from terrafold.operators.metrics import (
     cv_report,
     error_by_observed_bin,
@@ -40,7 +40,12 @@ from terrafold.operators.metrics import (
 from terrafold.operators.prep import Prepared, prepare
 from terrafold.operators.sampling import sample_exact_n, sample_per_group, stratified_sample
 from terrafold.session import materialize
-from terrafold.sources.climate import CLIMATE_PARAMS, CLIMATE_PERIODS, ingest_climatology
+from terrafold.sources.climate import (
+    CLIMATE_PARAMS,
+    CLIMATE_PERIODS,
+    enrich_climatology,
+    ingest_climatology,
+)
 from terrafold.sources.grids import (
     DEPTH_WEIGHTS,
     SOIL_PROPERTIES,
@@ -81,8 +86,7 @@ def add_climate(
     periods: Sequence[str] = CLIMATE_PERIODS,
 ) -> DataFrame:
     """Points with climate columns and ``power_error``."""
-    features = ingest_climatology(responses, "cell_id", params, periods, points)
-    return enrich_left(points, features, "cell_id")
+    return enrich_climatology(points, ingest_climatology(responses, "cell_id", params, periods))
 
 
 def add_soil(

@@ -233,6 +233,10 @@ def _statements() -> dict[str, str]:
     s["assert_no_missing"] = "SELECT row_id, lat, lon, suitability FROM points"
     s["enrich_left"] = """SELECT p.cell_id, p.crop, p.suitability, c.power_lon, c.power_lat, c.power_elevation_m, c."T2M_ANN", c.power_error
         FROM points p LEFT JOIN climate c ON c.cell_id = p.cell_id"""
+    s["enrich_climatology"] = """SELECT p.cell_id, p.crop, CASE WHEN row_id % 31 <> 0 THEN lat END AS lat, lon,
+        CASE WHEN row_id % 31 <> 0 THEN c."T2M_ANN" END AS "T2M_ANN",
+        CASE WHEN row_id % 31 = 0 THEN 'NaN lat/lon' ELSE c.power_error END AS power_error
+        FROM points p LEFT JOIN climate c ON c.cell_id = p.cell_id"""
     s["sample_grid_at_points"] = """SELECT row_id, lat, lon, CAST(v1 AS DOUBLE) AS "0-5cm", CAST(v2 AS DOUBLE) AS "5-15cm",
         CAST(v3 AS DOUBLE) AS "15-30cm" FROM sampled"""
     weighted = " + ".join(
@@ -437,6 +441,8 @@ def _statements() -> dict[str, str]:
                {_r('avg(abs(contribution)) FILTER (value = 0)', 'mean_abs_contrib_when_0')}
         FROM contributions WHERE feature = 'is_wheat'"""
     s["save_load_model"] = "SELECT row_id, CAST(suitability AS DOUBLE) AS label, true AS same FROM prepared"
+    s["oof_coverage"] = """SELECT row_id, crop, fold, CAST(suitability AS DOUBLE) AS observed, true AS in_range, true AS consistent
+        FROM folded"""
     s["contribution_additivity"] = "SELECT row_id, crop, CAST(0 AS DOUBLE) AS gap FROM prepared"
     s["bias_summary"] = f"SELECT {_r('avg(predicted)', 'mean_bias')}, {_r('stddev_pop(predicted)', 'std_bias')} FROM predictions"
     s["top_k_features"] = f"""SELECT feature, {_rs('mean_abs_contrib importance_pct')} FROM importances

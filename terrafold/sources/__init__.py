@@ -1,6 +1,7 @@
 from terrafold.sources.climate import (
     CLIMATE_PARAMS,
     CLIMATE_PERIODS,
+    enrich_climatology,
     flatten_climatology,
     ingest_climatology,
     parse_climatology,
@@ -27,6 +28,7 @@ __all__ = [
     "GridMeta",
     "PREDICTION_SCHEMA",
     "depth_weighted_mean",
+    "enrich_climatology",
     "flatten_climatology",
     "grid_to_points",
     "ingest_climatology",

@@ -74,16 +74,11 @@ def ingest_climatology(
     key: str = "cell_id",
     params: Sequence[str] = CLIMATE_PARAMS,
     periods: Sequence[str] = CLIMATE_PERIODS,
-    points: DataFrame | None = None,
-    lat: str = "lat",
-    lon: str = "lon",
 ) -> DataFrame:
     """One feature row per key from a table ``(key, attempt, status, body)``.
 
     The first successful attempt wins. A key without any success keeps NULL
-    features and the error of its last attempt in ``power_error``. With
-    ``points``, every point gets a row and points without coordinates get the
-    error ``NaN lat/lon``.
+    features and the error of its last attempt in ``power_error``.
 
     Each body is parsed once and shrinks to its numbers before the shuffle.
     ``min_by`` / ``max_by`` then combine within each input partition, so a key
@@ -104,18 +99,27 @@ def ingest_climatology(
         F.max_by(error, F.when(~F.col("_ok"), F.col("attempt"))).alias("_error"),
         F.bool_or("_ok").alias("_any"),
     )
-    features = chosen.select(
+    return chosen.select(
         key,
         *[F.when(F.col("_any"), F.col(f"_first.{c}")).alias(c) for c in values],
         F.when(~F.col("_any"), F.col("_error")).alias("power_error"),
     )
-    if points is None:
-        return features
+
+
+def enrich_climatology(
+    points: DataFrame, features: DataFrame, key: str = "cell_id", lat: str = "lat", lon: str = "lon"
+) -> DataFrame:
+    """Points with the features of their key; points without coordinates get ``NaN lat/lon``.
+
+    The features are stored first, so that a small table is broadcast and
+    points sharing a key can be split over tasks.
+    """
+    extra = [c for c in features.columns if c not in points.columns]
+    values = [c for c in extra if c not in (key, "power_error")]
+    joined = points.join(materialize(features.select(key, *extra), "climate"), key, "left")
     no_place = F.col(lat).isNull() | F.col(lon).isNull() | F.isnan(lat) | F.isnan(lon)
-    spots = points.select(key, no_place.alias("_no_place"))
-    # Stored, so that points sharing a key can be split over tasks.
-    return spots.join(materialize(features, "climate"), key, "left").select(
-        key,
-        *[F.when(~F.col("_no_place"), F.col(c)).alias(c) for c in values],
-        F.when(F.col("_no_place"), F.lit("NaN lat/lon")).otherwise(F.col("power_error")).alias("power_error"),
+    return joined.select(
+        *points.columns,
+        *[F.when(~no_place, F.col(c)).alias(c) for c in values],
+        F.when(no_place, F.lit("NaN lat/lon")).otherwise(F.col("power_error")).alias("power_error"),
     )

@@ -167,7 +167,8 @@ def test_first_success_wins_and_last_error_is_kept(spark):
 def test_points_without_coordinates_get_an_error(spark):
     rows = table(spark, [("a", 1, 200, BODY % 1), ("n", 1, 200, BODY % 1)], "cell_id string, attempt int, status int, body string")
     points = table(spark, [("a", 1.0, 1.0), ("n", None, 1.0), ("m", 2.0, 2.0)], "cell_id string, lat double, lon double")
-    got = {r["cell_id"]: r for r in src.ingest_climatology(rows, "cell_id", ["T2M"], ["JAN"], points).collect()}
+    features = src.ingest_climatology(rows, "cell_id", ["T2M"], ["JAN"])
+    got = {r["cell_id"]: r for r in src.enrich_climatology(points, features).collect()}
     assert got["n"]["power_error"] == "NaN lat/lon" and got["n"]["T2M_JAN"] is None
     assert got["a"]["T2M_JAN"] == 1.0 and got["m"]["T2M_JAN"] is None and got["m"]["power_error"] is None
 
