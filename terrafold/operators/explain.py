@@ -254,7 +254,8 @@ def tree_contributions(
         filled += size
     names = list(features)
     carried = [key, *[c for c in keep if c != key]]
-    rows = df.select(*carried, *[F.col(c).cast("double").alias(c) for c in names])
+    inputs = [f"_x{i}" for i in range(len(names))]
+    rows = df.select(*carried, *[F.col(c).cast("double").alias(x) for c, x in zip(names, inputs)])
     if partitions:
         rows = rows.repartition(partitions, key)
     out = T.StructType(
@@ -273,7 +274,7 @@ def tree_contributions(
 
         def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                x = batch[names].to_numpy(dtype=float)
+                x = batch[inputs].to_numpy(dtype=float)
                 phi = _contributions(x, shared.value)
                 copies = np.repeat(np.arange(len(batch)), len(names))
                 long = batch[carried].take(copies).reset_index(drop=True)

@@ -36,6 +36,7 @@ def hash_cutoffs(
 
     ``quotas`` is a row count, a Column over the group size ``_total``, or a
     table ``(by..., _quota)``. A quota of the whole group or more keeps all.
+    Raises when copies of one key would make a sample larger than asked.
     """
     keys = [*by, "_all"]
     hashed = df.select(
@@ -70,17 +71,24 @@ def hash_cutoffs(
         "edges",
     )
     whole = edges.where(F.col("_whole") | (F.col("_take") <= 0)).select(
-        *by, F.when(F.col("_take") <= 0, F.lit("")).otherwise(F.lit(_ABOVE_ALL)).alias("_cut")
+        *by,
+        F.when(F.col("_take") <= 0, F.lit("")).otherwise(F.lit(_ABOVE_ALL)).alias("_cut"),
+        F.lit(False).alias("_tied"),
     )
     partial = edges.where(~F.col("_whole") & (F.col("_take") > 0)).drop("_whole")
     inside = Window.partitionBy(*keys, "_p").orderBy("_h")
     cut = (
         hashed.join(partial, [*keys, "_p"])
-        .withColumn("_rank", F.row_number().over(inside))
+        .withColumns(
+            {"_rank": F.row_number().over(inside), "_upto": F.count(F.lit(1)).over(inside)}
+        )
         .where(F.col("_rank") == F.col("_take"))
-        .select(*by, F.col("_h").alias("_cut"))
+        .select(*by, F.col("_h").alias("_cut"), (F.col("_upto") > F.col("_take")).alias("_tied"))
     )
-    return materialize(whole.unionByName(cut), "cutoffs")
+    cutoffs = materialize(whole.unionByName(cut), "cutoffs")
+    if not cutoffs.where("_tied").isEmpty():
+        raise ValueError(f"{key!r} does not identify rows: copies straddle the end of a sample")
+    return cutoffs.drop("_tied")
 
 
 def _sampled(df: DataFrame, key: str, seed: int, cutoffs: DataFrame, by: Sequence[str]) -> DataFrame:

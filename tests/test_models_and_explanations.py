@@ -50,6 +50,7 @@ def test_loaded_model_predicts_the_same(spark, data, saved):
 def test_contributions_add_up(spark, data, saved):
     _, model, path = saved
     want = predicted(model, data)
+    assert "a" in op.tree_contributions(data.limit(5), path, FEATURES, "row_id", ["a"]).columns
     parts = op.tree_contributions(data, path, FEATURES, "row_id", ["crop"])
     assert parts.columns == ["row_id", "crop", "feature", "value", "contribution", "bias"]
     total = parts.groupBy("row_id").agg((F.sum("contribution") + F.first("bias")).alias("t"), F.count("*").alias("n"))

@@ -31,6 +31,12 @@ def test_split_marks_exactly_the_rounded_up_share(spark, n, want):
     assert df.count() == n and df.where("is_test").count() == want
 
 
+def test_copies_of_a_key_are_refused(spark):
+    df = spark.range(100).select((F.col("id") % 2).alias("k"))
+    with pytest.raises(ValueError, match="does not identify rows"):
+        op.sample_exact_n(df, "k", 10)
+
+
 def cells(spark, zeros=50, nonzeros=400, crop="wheat"):
     z = spark.range(zeros).select(F.concat(F.lit(crop + "_z"), F.col("id")).alias("cell_id"), F.lit(0).alias("s"))
     p = spark.range(nonzeros).select(
