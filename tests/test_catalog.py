@@ -12,8 +12,8 @@ _spec = importlib.util.spec_from_file_location("spark_entry", os.path.join(ROOT,
 entry_module = importlib.util.module_from_spec(_spec)
 _spec.loader.exec_module(entry_module)
 
-QUERIES = entry_module.queries()
-SQL = entry_module.oracle_sql()
+QUERIES = entry_module.catalog.queries()
+SQL = entry_module.oracle.statements()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 # Results that depend on how a learner was implemented.
 LEARNED = {
@@ -39,6 +39,11 @@ def _rows(columns, rows):
     return sorted((tuple(clean(r[i]) for i in order) for r in rows), key=lambda r: tuple(map(str, r)))
 
 
+def test_entry_lists_every_query():
+    assert QUERIES.keys() <= entry_module.queries().keys()
+    assert SQL.items() <= entry_module.oracle_sql().items()
+
+
 def test_every_statement_has_a_query():
     assert SQL.keys() <= QUERIES.keys()
     assert QUERIES.keys() - SQL.keys() == LEARNED
