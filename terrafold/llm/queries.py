@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import chat, decontaminate, quality, warc
+from terrafold.llm import chat, decontaminate, line_dedup, packing, quality, span_dedup, spotsigs, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,17 +126,77 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return span_dedup.remove_repeated_spans(docs).select("doc_id", "text", "n_bytes", "n_removed")
+
+
+def line_dedup_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_template_lines(docs).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+LINE_DEDUP_SQL = r"""
+with raw as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as place
+  from documents where text is not null),
+lines as (
+  select doc_id, place, line, regexp_extract_all(
+    regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') as toks from raw),
+counts as (select toks, count(distinct doc_id) as docs from lines where len(toks) > 0 group by toks),
+leaves as (select len(toks) as n, toks[1:3] as lead, sum(docs) as docs from counts group by all having sum(docs) >= 3),
+kept as (select c.* from counts c join leaves l on len(c.toks) = l.n and c.toks[1:3] = l.lead),
+words as (select toks, docs, unnest(toks) as word, generate_subscripts(toks, 1) as slot from kept),
+constants as (select len(toks) as n, toks[1:3] as lead, slot, word, sum(docs) >= 3 as constant from words group by all),
+marked as (
+  select w.toks, list(case when c.constant then w.word else '<*>' end order by w.slot) as template
+  from words w join constants c on len(w.toks) = c.n and w.toks[1:3] = c.lead and w.slot = c.slot and w.word = c.word
+  group by w.toks),
+templates as (
+  select toks, template from marked where len(list_filter(template, lambda x: x <> '<*>')) >= 0.6 * len(template)),
+found as (select doc_id, place, template from lines join templates using (toks)),
+recurring as (select template, min(doc_id) as first_doc from found group by template having count(distinct doc_id) >= 3),
+dropped as (select doc_id, place from found join recurring using (template) where doc_id > first_doc)
+select d.doc_id,
+  case when d.text is not null then coalesce(string_agg(r.line, chr(10) order by r.place) filter (where x.place is null), '') end as text,
+  count(r.place) as n_lines, count(x.place) as n_dropped
+from documents d left join raw r on d.doc_id = r.doc_id left join dropped x on x.doc_id = r.doc_id and x.place = r.place
+group by d.doc_id, d.text
+"""
+
+
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spotsigs.edited_pairs(_read(spark, sf_dir, "documents"))
+    sets = spotsigs.with_signatures(pairs, {"own_set": "text", "edited_set": "edited"})
+    return sets.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("own_set")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited_set")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("own_set"), F.col("edited_set")).alias("near_edited"),
+        spotsigs.likeness(F.col("own_set"), F.col("next_set")).alias("near_next"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": substring_dedup,
+        "op2_line_dedup": line_dedup_templates,
         "op3_chat_formatting": chat_formatting,
+        "op5_best_fit_packing": best_fit_packing,
         "op7_warc_revisits": warc_revisits,
         "op8_quality_classifier": quality_classifier,
+        "op9_document_fingerprints": document_fingerprints,
         "op10_benchmark_decontamination": benchmark_decontamination,
     }
 
 
 def statements() -> dict[str, str]:
     return {
+        "op2_line_dedup": LINE_DEDUP_SQL,
         "op3_chat_formatting": CHAT_SQL,
         "op7_warc_revisits": WARC_SQL,
         "op10_benchmark_decontamination": DECONTAMINATION_SQL,
