@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import chat, decontaminate, line_dedup, packing, quality, span_dedup, spotsigs, warc
+from terrafold.llm import chat, decontaminate, jaccard_join, line_dedup, packing, quality, span_dedup, spotsigs, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,6 +165,35 @@ group by d.doc_id, d.text
 """
 
 
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
+JACCARD_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, list_distinct(case when coalesce(len(w), 0) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) end) as s from words),
+classes as (select list_sort(s) as s, len(s) as n, min(doc_id) as c from sets where len(s) > 0 group by all),
+listed as (select c, n, unnest(s) as t from classes),
+shared as (select *, count(*) over (partition by t) as df from listed),
+ranked as (select *, row_number() over (partition by c order by df, t) as r from shared),
+prefix as (select * from ranked where r <= n - cast(ceil(n * 85 / 100.0) as bigint) + 1 and df > 1),
+pairs as (select distinct a.c as a, b.c as b from prefix a join prefix b on a.t = b.t and a.c < b.c
+  where 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+sized as (select a, b, count(*) as common from pairs join listed x on x.c = a join listed y on y.c = b and y.t = x.t group by a, b),
+links as (
+  select a, b from sized join classes x on x.c = a join classes y on y.c = b where 100 * common >= 85 * (x.n + y.n - common)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(c, m) as (select c, c from classes union select r.c, e.b from reach r join both_ways e on e.a = r.m),
+named as (select c, min(m) as component_id from reach group by c)
+select d.doc_id, len(d.s) as n_shingles, coalesce(component_id, d.doc_id) as component_id
+from sets d left join classes k on list_sort(d.s) = k.s left join named using (c)
+"""
+
+
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -186,6 +215,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": substring_dedup,
         "op2_line_dedup": line_dedup_templates,
         "op3_chat_formatting": chat_formatting,
+        "op4_ngram_jaccard_join": ngram_jaccard_join,
         "op5_best_fit_packing": best_fit_packing,
         "op7_warc_revisits": warc_revisits,
         "op8_quality_classifier": quality_classifier,
@@ -198,6 +228,7 @@ def statements() -> dict[str, str]:
     return {
         "op2_line_dedup": LINE_DEDUP_SQL,
         "op3_chat_formatting": CHAT_SQL,
+        "op4_ngram_jaccard_join": JACCARD_SQL,
         "op7_warc_revisits": WARC_SQL,
         "op10_benchmark_decontamination": DECONTAMINATION_SQL,
     }
