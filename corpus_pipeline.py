@@ -1,34 +1,60 @@
-"""Corpus pipeline: good documents, without boilerplate, copies and benchmark text, packed into bins."""
+"""Corpus pipeline: good documents, without boilerplate, copies and benchmark text, packed into bins.
+
+Every stage takes (spark, docs, sf_dir) and works on all documents its
+predecessor kept; the result is stored as Parquet and read again as the next
+stage's ``docs``. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrafold.llm import decontaminate, quality
+from terrafold.llm import decontaminate, jaccard_join, line_dedup, packing, quality
 from terrafold.session import materialize
 
+#: Near duplicates: shared runs of five words, similarity of 80 percent.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier accepts."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines of recurring templates, which stay in the first document that has them."""
+    return line_dedup.clean_lines(docs)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of near duplicates."""
+    return jaccard_join.one_per_component(docs, n=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bin and place of every piece of every document."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality classifier", good_documents),
+    ("line dedup", without_boilerplate),
+    ("n-gram Jaccard join", without_copies),
     ("benchmark decontamination", without_benchmark),
+    ("best-fit packing", packed),
 ]
 
-#: The classifier is a fitted model, which SQL cannot express.
+#: The classifier is a fitted model and packing an iterative search, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each reads what the one before it stored."""
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "stage")

@@ -227,6 +227,9 @@ def jaccard_components(
 
 
 def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without those linked to one with a smaller id; columns and rows else as they are."""
+    """The documents without those linked to one with a smaller id; columns and rows else as they are.
+
+    Rows without id, and repeated rows of a document that stays, stay.
+    """
     copies = jaccard_components(docs, key, text, **options).where("component_id < doc_id").select(F.col("doc_id").alias(key)).distinct()
     return docs.join(copies, key, "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import chat, decontaminate, jaccard_join, line_dedup, packing, quality, span_dedup, spotsigs, warc
+from terrafold.llm import chat, decontaminate, jaccard_join, line_dedup, packing, quality, span_dedup, spotsigs, suffix_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -210,6 +210,12 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_covered(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring_dedup,
@@ -217,6 +223,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_formatting": chat_formatting,
         "op4_ngram_jaccard_join": ngram_jaccard_join,
         "op5_best_fit_packing": best_fit_packing,
+        "op6_suffix_array_dedup": suffix_array_dedup,
         "op7_warc_revisits": warc_revisits,
         "op8_quality_classifier": quality_classifier,
         "op9_document_fingerprints": document_fingerprints,
