@@ -189,4 +189,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     apart, back = set_aside(docs, RESULT_COLUMNS)
     found = find_contamination(apart, benchmark, **options)
     kept = remove_spans(found, options.get("text", "text")) if remove == "spans" else found.where("n_hit = 0")
-    return kept.withColumnsRenamed(back).select(*docs.columns)
+    return kept.drop(*RESULT_COLUMNS).withColumnsRenamed(back).select(*docs.columns)

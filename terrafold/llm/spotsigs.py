@@ -66,7 +66,7 @@ def signatures(pieces: Column, chain: int = CHAIN) -> Column:
 
     def signature(piece: Column, i: Column) -> Column:
         ahead = F.concat(*(F.coalesce(after(i + k), F.lit("")) for k in range(_AHEAD)))
-        words = F.substring_index(F.ltrim(F.regexp_replace(ahead, " +", " ")), " ", chain)
+        words = F.rtrim(F.substring_index(F.ltrim(F.regexp_replace(ahead, " +", " ")), " ", chain))
         spot = F.concat(F.substring_index(piece, " ", 1), F.lit(" "), words)
         return F.when((i > 0) & (words != ""), F.xxhash64(spot))
 
