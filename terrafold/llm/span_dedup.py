@@ -8,9 +8,10 @@ batches. A span that already began earlier in its document is a repeat there and
 then; the others are joined globally: a span in several documents stays in the
 one with the smallest id, and all sentences it covers go in the others.
 
-Globally, first occurrences are counted with partial aggregation over
-fixed-width values; only spans that occur in several documents are stored, and
-the join back reads plain shuffles, so adaptive execution splits hot spans.
+A first pass finds the spans of several documents, with partial aggregation over
+fixed-width values. A second one keeps only the occurrences that a bitmap of
+fixed size lets through, and joins them with the exact spans; both sides are
+plain shuffles, so adaptive execution splits hot spans.
 
 Defined cases: null and empty texts stay as they are; repeated rows (same id and
 text) are one document and cut alike; rows that share an id but not the text do
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrafold.llm.bitmap import broadcast_bitmap, in_bitmap
 from terrafold.llm.naming import set_aside
 from terrafold.llm.text_arrays import Hasher, ValueHasher, Words, lower_ascii, slices, text_bytes, word_bytes
 from terrafold.session import materialize
@@ -74,24 +76,44 @@ def sentence_spans(data: np.ndarray, at: np.ndarray, min_sentences: int, min_wor
     return ranges, np.stack(hasher.spans(begin, end), axis=1)
 
 
-def _found_spans(docs: DataFrame, min_sentences: int, min_words: int, long_sentence: int) -> DataFrame:
-    """Spans of (doc, version, text) rows; the first one of each hash in a document, or a later one (``again``)."""
+def _numbered_spans(part: pa.RecordBatch, limits: tuple[int, int, int]):
+    """Spans of (doc, version, text) rows by owner and hash; ``again`` marks all but the first of a hash in its document."""
+    ranges, codes = sentence_spans(*text_bytes(part.column(2)), *limits)
+    order = np.lexsort((ranges[:, 1], codes[:, 1], codes[:, 0], ranges[:, 0]))
+    ranges, codes = ranges[order], codes[order]
+    again = np.zeros(len(ranges), dtype=bool)
+    again[1:] = (ranges[1:, 0] == ranges[:-1, 0]) & (codes[1:] == codes[:-1]).all(axis=1)
+    return ranges, codes[:, 0], (codes[:, 1] >> np.uint64(33)).astype(np.int32), again
+
+
+def _span_counts(docs: DataFrame, limits: tuple[int, int, int]) -> DataFrame:
+    """Span hashes with the smallest and largest document that has them."""
 
     def run(batches):
         for part in slices(batches, "text"):
-            data, at = text_bytes(part.column(2))
-            ranges, codes = sentence_spans(data, at, min_sentences, min_words, long_sentence)
-            order = np.lexsort((ranges[:, 1], codes[:, 1], codes[:, 0], ranges[:, 0]))
-            ranges, codes = ranges[order], codes[order]
-            again = np.zeros(len(ranges), dtype=bool)
-            again[1:] = (ranges[1:, 0] == ranges[:-1, 0]) & (codes[1:] == codes[:-1]).all(axis=1)
-            owner = ranges[:, 0]
+            ranges, code_a, code_b, again = _numbered_spans(part, limits)
+            first = np.flatnonzero(~again)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(code_a[first].view(np.int64)), pa.array(code_b[first]), part.column(0).take(pa.array(ranges[first, 0]))],
+                names=["span_a", "span_b", "doc"],
+            )
+
+    spans = docs.mapInArrow(run, "span_a long, span_b int, doc long")
+    return spans.groupBy("span_a", "span_b").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
+
+
+def _spans_of(docs: DataFrame, bitmap, limits: tuple[int, int, int]) -> DataFrame:
+    """Spans that may be in several documents, by the bitmap, and those found again in their own."""
+
+    def run(batches):
+        for part in slices(batches, "text"):
+            ranges, code_a, code_b, again = _numbered_spans(part, limits)
+            kept = np.flatnonzero(again | in_bitmap(code_a, bitmap.value))
+            owner = pa.array(ranges[kept, 0])
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner)),
-                    pa.array(codes[:, 0].view(np.int64)), pa.array((codes[:, 1] >> np.uint64(33)).astype(np.int32)),
-                    pa.array(ranges[:, 1].astype(np.int32)), pa.array(ranges[:, 2].astype(np.int32)),
-                    pa.array(again),
+                    part.column(0).take(owner), part.column(1).take(owner), pa.array(code_a[kept].view(np.int64)), pa.array(code_b[kept]),
+                    pa.array(ranges[kept, 1].astype(np.int32)), pa.array(ranges[kept, 2].astype(np.int32)), pa.array(again[kept]),
                 ],
                 names=["doc", "version", "span_a", "span_b", "first", "last", "again"],
             )
@@ -106,13 +128,9 @@ def repeated_spans(
     rows = docs.where(F.col(text).isNotNull()).select(
         F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("text")
     )
-    spans = materialize(_found_spans(rows, min_sentences, min_words, long_sentence), "spans")
-    shared = (
-        spans.where("not again").groupBy("span_a", "span_b")
-        .agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
-        .where("first_doc < last_doc").drop("last_doc")
-    )
-    shared = materialize(shared, "shared-spans")
+    limits = (min_sentences, min_words, long_sentence)
+    shared = materialize(_span_counts(rows, limits).where("first_doc < last_doc").drop("last_doc"), "shared-spans")
+    spans = materialize(_spans_of(rows, broadcast_bitmap(shared, "span_a"), limits), "spans")
     later = spans.join(shared, ["span_a", "span_b"]).where("doc > first_doc").select("doc", "version", "first", "last")
     local = spans.where("again").select("doc", "version", "first", "last")
     return later.unionByName(local).groupBy("doc", "version").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))

@@ -35,13 +35,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.llm.bitmap import BITS, broadcast_bitmap, in_bitmap
 from terrafold.llm.suffix_sort import equal_windows
 from terrafold.llm.text_arrays import Hasher, mix, slices, text_bytes
 from terrafold.session import materialize
 
 WIDTH = 100
 GRAM = 32
-BITMAP_BITS = 1 << 27
 SHARD_BYTES = 32 << 20
 ANCHOR_RUNS = 50_000
 _LAST = (1 << 63) - 1
@@ -96,26 +96,6 @@ def _anchor_counts(rows: DataFrame, width: int, gram: int) -> DataFrame:
     return rows.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-def _bitmap(anchors: DataFrame, bits: int):
-    """A broadcast bitmap of ``bits`` bits (a power of two) with those of the anchors set."""
-    place = F.col("anchor").bitwiseAND(F.lit(bits - 1)) + 1  # Spark's bitmap buckets begin at place 1
-    parts = (
-        anchors.select(place.alias("place"))
-        .groupBy(F.bitmap_bucket_number("place").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap"))
-    )
-    whole = np.zeros(max(bits // 8, 4096), dtype=np.uint8)
-    for row in parts.toLocalIterator():  # bits / 32768 parts of 4 kB at most
-        at = (row["bucket"] - 1) * 4096
-        whole[at : at + 4096] = np.frombuffer(row["bitmap"], np.uint8)
-    return anchors.sparkSession.sparkContext.broadcast(whole)
-
-
-def _in_bitmap(anchors: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
-    place = (anchors & np.uint64(bits - 1)).astype(np.int64)
-    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-
-
 def _runs(rows: DataFrame, bitmap, bits: int, width: int, gram: int, with_bytes: bool) -> DataFrame:
     """Runs of the anchors in the bitmap, with their bytes if asked for."""
 
@@ -123,7 +103,7 @@ def _runs(rows: DataFrame, bitmap, bits: int, width: int, gram: int, with_bytes:
         for part in slices(batches, "text"):
             data, at = text_bytes(part.column(2))
             anchor, code, owner, start, count = window_runs(data, at, width, gram)
-            kept = np.flatnonzero(_in_bitmap(anchor, bitmap.value, bits))
+            kept = np.flatnonzero(in_bitmap(anchor, bitmap.value, bits))
             owner, start, count = owner[kept], start[kept], count[kept]
             columns = [
                 pa.array(anchor[kept].view(np.int64)), pa.array(code[kept].view(np.int64)),
@@ -236,13 +216,13 @@ def _counted_windows(runs: DataFrame, width: int) -> DataFrame:
 
 
 def covered_spans(
-    rows: DataFrame, width: int = WIDTH, gram: int = GRAM, bitmap_bits: int = BITMAP_BITS, shard_bytes: int = SHARD_BYTES, anchor_runs: int = ANCHOR_RUNS,
+    rows: DataFrame, width: int = WIDTH, gram: int = GRAM, bitmap_bits: int = BITS, shard_bytes: int = SHARD_BYTES, anchor_runs: int = ANCHOR_RUNS,
 ) -> DataFrame:
     """Byte ranges (doc, version, first, last) covered by earlier windows; they may overlap.
 
     ``rows`` holds doc, version and text.
     """
-    recurring = _bitmap(_anchor_counts(rows, width, gram).where("n > 1"), bitmap_bits)
+    recurring = broadcast_bitmap(_anchor_counts(rows, width, gram).where("n > 1"), "anchor", bitmap_bits)
     runs = materialize(_runs(rows, recurring, bitmap_bits, width, gram, False), "runs")
     place = F.struct("doc", "version", "start")
     classes = runs.groupBy("anchor", "bytes_hash", "n_windows").agg(F.min(place).alias("earliest"), F.count("*").alias("n"))
@@ -251,7 +231,7 @@ def covered_spans(
     again = again.select("doc", "version", F.col("start").alias("first"), (F.col("start") + F.col("n_windows") + (width - 1)).alias("last"))
     several = materialize(classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"), "varied-anchors")
     heads = classes.join(several, "anchor").select("anchor", "bytes_hash", "n_windows", "earliest.*", "classes")
-    varied = _bitmap(several, bitmap_bits)
+    varied = broadcast_bitmap(several, "anchor", bitmap_bits)
     contents = _runs(rows, varied, bitmap_bits, width, gram, True).join(
         heads, ["anchor", "bytes_hash", "n_windows", "doc", "version", "start"]
     ).dropDuplicates(["anchor", "bytes_hash", "n_windows"])
