@@ -54,5 +54,22 @@ def materialize(df: DataFrame, name: str = "table", partition_by: str | None = N
     path = scratch_path(spark, name)
     writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
     writer.parquet(path)
-    stored = spark.read.schema(df.schema).parquet(path)
-    return stored.select(*df.columns)
+    stored = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    stored._stored_at = path
+    return stored
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` returned and nothing reads any more.
+
+    The driver's JVM then collects its garbage, so that Spark's cleaner also drops
+    the shuffle files of the finished steps; a long job's disk need is that of
+    its largest step, not of all.
+    """
+    if not tables:
+        return
+    sc = tables[0].sparkSession.sparkContext
+    for table in tables:
+        path = sc._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    sc._jvm.System.gc()
