@@ -57,10 +57,12 @@ def clip_target(c: str | Column, low: float = 0, high: float = 10000) -> Column:
 
 
 def spatial_block(degrees: float, lat: str | Column = "lat", lon: str | Column = "lon") -> Column:
-    """Identifier ``latbin_lonbin`` of the square block holding a point."""
-    lat_bin = F.floor((_col(lat) + F.lit(90.0)) / F.lit(float(degrees)))
-    lon_bin = F.floor((_col(lon) + F.lit(180.0)) / F.lit(float(degrees)))
-    return F.concat_ws("_", lat_bin.cast("string"), lon_bin.cast("string"))
+    """Identifier ``latbin_lonbin`` of the square block holding a point; NULL unless both are finite."""
+    lat, lon = _col(lat).cast("double"), _col(lon).cast("double")
+    lat_bin = F.floor((lat + F.lit(90.0)) / F.lit(float(degrees)))
+    lon_bin = F.floor((lon + F.lit(180.0)) / F.lit(float(degrees)))
+    placed = ~F.isnan(lat) & ~F.isnan(lon) & (F.abs(lat) < float("inf")) & (F.abs(lon) < float("inf"))
+    return F.when(placed, F.concat(lat_bin.cast("string"), F.lit("_"), lon_bin.cast("string")))
 
 
 def block_label(degrees: float) -> str:

@@ -5,15 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.operators.quantiles import counts_below
 from terrafold.session import materialize
 
-EXACT_LIMIT = 50  # most differences for which the exact Wilcoxon null is used
-SUM_LIMIT = 10_000  # most degrees of freedom for which the t distribution is summed
-DIRECT_RANK_LIMIT = 100_000  # most differences per group that one window ranks
+AUTO_EXACT = 50  # most differences for which the "auto" Wilcoxon test is exact
+_FRACTION_STEPS = 400
 
 
 def paired_deltas(paired: DataFrame, keys: Sequence[str] = ("fold",), suffixes=("_a", "_b")) -> DataFrame:
@@ -40,122 +39,115 @@ def paired_deltas(paired: DataFrame, keys: Sequence[str] = ("fold",), suffixes=(
     ).select(*keys, "_d.metric", "_d.difference")
 
 
-def student_t_within(t: Column, df: Column) -> Column:
-    """P(|T| <= t) for t >= 0 and a whole number of degrees of freedom.
+def _fraction(steps: int, first: Column, step) -> Column:
+    """A continued fraction from its innermost term outwards."""
+    return F.aggregate(F.sequence(F.lit(steps), F.lit(1), F.lit(-1)), first, step)
 
-    The finite trigonometric sum for the Student distribution, one term per
-    two degrees of freedom. Above 10,000 degrees of freedom, where the sum
-    would grow with the data, Wallace's transformation to a normal deviate is
-    used; it is off by less than 1e-9 there.
-    """
-    many = df > SUM_LIMIT
-    nu = df.cast("double")
-    deviate = (8 * nu + 1) / (8 * nu + 3) * F.sqrt(nu * F.log1p(t * t / nu))
-    return F.when(many, 1 - 2 * normal_upper_tail(deviate)).otherwise(
-        _student_t_sum(t, F.least(df, F.lit(SUM_LIMIT)))
-    )
 
+def _gamma_ratio(a: Column) -> Column:
+    """Gamma(a + 1/2) / Gamma(a) for a > 0: recurrence up to a + 30, then the asymptotic series."""
+    shift, ratio = 30, F.lit(1.0)
+    for k in range(shift):
+        ratio = ratio * (a + k) / (a + k + 0.5)
+    x = F.lit(1.0) / (a + shift)
+    series = 1 - x / 8 + x**2 / 128 + 5 * x**3 / 1024 - 21 * x**4 / 32768 - 399 * x**5 / 262144 + 869 * x**6 / 4194304
+    return ratio * F.sqrt(a + shift) * series
 
-def _student_t_sum(t: Column, df: Column) -> Column:
-    theta = F.atan(t / F.sqrt(df.cast("double")))
-    sin, cos = F.sin(theta), F.cos(theta)
-    odd = df % 2 == 1
-    # Odd: cos * (1 + 2/3 cos^2 + 2*4/(3*5) cos^4 ...); even: 1 + 1/2 cos^2 + 1*3/(2*4) cos^4 ...
-    steps = F.floor((df - F.when(odd, F.lit(3)).otherwise(F.lit(2))) / 2).cast("int")
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-    last = F.when(steps > 0, F.sequence(F.lit(1), F.greatest(steps, F.lit(1)))).otherwise(
-        F.array().cast("array<int>")
-    )
 
-    def step(acc: Column, i: Column) -> Column:
-        ratio = F.when(odd, (2.0 * i) / (2.0 * i + 1)).otherwise((2.0 * i - 1) / (2.0 * i))
-        term = acc["term"] * ratio * cos * cos
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function."""
+
+    def step(acc: Column, k: Column) -> Column:
+        m = F.floor(k / 2).cast("double")
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        return 1 + F.when(k % 2 == 1, odd).otherwise(even) / acc
+
+    return 1 / _fraction(_FRACTION_STEPS, F.lit(1.0), step)
 
-    total = F.aggregate(last, start, step, lambda acc: acc["total"])
-    return (
-        F.when(df == 1, F.lit(2 / math.pi) * theta)
-        .when(odd, F.lit(2 / math.pi) * (theta + sin * cos * total))
-        .otherwise(sin * total)
+
+def student_t_beyond(t: Column, df: Column) -> Column:
+    """P(|T| >= t) for t >= 0 and any positive degrees of freedom.
+
+    The tail itself is computed, by the continued fraction of the incomplete
+    beta function, so small probabilities keep their relative accuracy.
+    """
+    nu, square = df.cast("double"), t * t
+    a, x, y = nu / 2, nu / (nu + square), square / (nu + square)
+    front = F.exp(-a * F.log1p(square / nu)) * F.sqrt(y) * _gamma_ratio(a) / math.sqrt(math.pi)
+    far = front / a * _beta_fraction(a, F.lit(0.5), x)
+    near = 1 - 2 * front * _beta_fraction(F.lit(0.5), a, y)
+    return F.when(t == float("inf"), F.lit(0.0)).otherwise(
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(square > 3, far).otherwise(near)))
     )
 
 
 def normal_upper_tail(z: Column) -> Column:
-    """P(Z > z) for the standard normal, by the all-positive series of its centre."""
-    x = F.least(F.abs(z), F.lit(9.0))
+    """P(Z > z) for the standard normal: a series near the centre, a continued fraction beyond."""
+    x = F.abs(z)
+    density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
     start = F.struct(x.alias("term"), x.alias("total"))
 
-    def step(acc: Column, i: Column) -> Column:
+    def add(acc: Column, i: Column) -> Column:
         term = acc["term"] * x * x / (2.0 * i + 1)
         return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, step, lambda acc: acc["total"])
-    upper = F.greatest(F.lit(0.5) - series * F.exp(-x * x / 2) / math.sqrt(2 * math.pi), F.lit(0.0))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, add, lambda acc: acc["total"])
+    far = density / _fraction(150, x, lambda acc, k: x + k / acc)
+    upper = F.when(x < 2.5, 0.5 - series * density).otherwise(far)
     return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
-def signed_rank_null(spark: SparkSession, limit: int = EXACT_LIMIT) -> DataFrame:
-    """``n_used, ways``: how many sign choices over ranks 1..n give each rank sum.
+def signed_rank_null(sizes: DataFrame) -> DataFrame:
+    """``n_used, chances``: how likely each rank sum of ranks 1..n is, for every size in ``n_used``.
 
     Built by adding one rank at a time: each new rank is either absent or
-    shifts every sum by its value.
+    shifts every sum by its value, with equal chances.
     """
 
-    def add_rank(ways: Column, rank: Column) -> Column:
+    def add_rank(chances: Column, rank: Column) -> Column:
         pad = F.array_repeat(F.lit(0.0), rank.cast("int"))
-        return F.zip_with(F.concat(ways, pad), F.concat(pad, ways), lambda a, b: a + b)
+        return F.zip_with(F.concat(chances, pad), F.concat(pad, chances), lambda a, b: (a + b) / 2)
 
-    return spark.range(1, limit + 1).select(
-        F.col("id").alias("n_used"),
+    return sizes.where("n_used > 0").select(
+        "n_used",
         F.aggregate(
-            F.sequence(F.lit(1), F.col("id").cast("int")), F.array(F.lit(1.0)), add_rank
-        ).alias("ways"),
+            F.sequence(F.lit(1), F.col("n_used").cast("int")), F.array(F.lit(1.0)), add_rank
+        ).alias("chances"),
     )
 
 
-def _ranked(rows: DataFrame, by: list[str], direct_limit: int) -> DataFrame:
+def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
     """Append ``_rank``, the mid-rank of |_d| among the nonzero differences of the group."""
-    nonzero, size = F.col("_d") != 0, F.abs("_d")
-    mid = F.when(nonzero, F.col("_lowest") + (F.col("_ties") - 1) / 2.0)
-    largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= direct_limit:
-        # Zeros form their own partition, so ranks count the nonzero differences only.
-        ties = Window.partitionBy(*by, nonzero, size)
-        order = Window.partitionBy(*by, nonzero).orderBy(size)
-        return rows.withColumns(
-            {"_ties": F.count(F.lit(1)).over(ties), "_lowest": F.rank().over(order)}
-        ).withColumn("_rank", mid)
-    sized = rows.withColumn("_size", size)
-    counted = materialize(
-        sized.where(nonzero).groupBy(*by, "_size").agg(F.count(F.lit(1)).alias("_ties")), "sizes"
-    )
+    nonzero = F.col("_d") != 0
+    sized = rows.withColumn("_size", F.abs("_d"))
+    counted = sized.where(nonzero).groupBy(*by, "_size").agg(F.count(F.lit(1)).alias("_ties"))
     ranks = materialize(counts_below(counted, by, "_size", "_ties", "_below"), "ranks")
-    return (
-        sized.join(ranks, [*by, "_size"], "left")
-        .withColumn("_lowest", F.col("_below") + 1)
-        .withColumn("_rank", mid)
-    )
+    mid = F.col("_below") + 1 + (F.col("_ties") - 1) / 2.0
+    return sized.join(ranks, [*by, "_size"], "left").withColumn("_rank", F.when(nonzero, mid))
 
 
 def paired_tests(
     deltas: DataFrame,
     by: Sequence[str] = ("metric",),
     value: str = "difference",
-    direct_limit: int = DIRECT_RANK_LIMIT,
+    method: str = "auto",
 ) -> DataFrame:
     """Effect size, t-test and Wilcoxon signed-rank test of the differences, per group.
 
-    One-sided tests ask whether the differences lie above zero. Exact Wilcoxon
-    up to 50 differences without zeros, otherwise the normal approximation
-    with tie correction on the nonzero ones. All-zero groups have no Wilcoxon
-    result. A group usually holds one difference per fold and is ranked by a
-    window; with a group above ``direct_limit``, ranks are counted instead.
+    One-sided tests ask whether the differences lie above zero. The Wilcoxon
+    ``method`` is ``"exact"`` (for groups without zeros), ``"approx"`` (the
+    normal approximation with tie correction on the nonzero differences, which
+    groups with zeros always take) or ``"auto"``: exact up to 50 differences.
+    All-zero groups have no Wilcoxon result.
     """
+    if method not in ("auto", "exact", "approx"):
+        raise ValueError(f"unknown method {method!r}: use 'auto', 'exact' or 'approx'")
     by = list(by)
     d = F.col("_d")
     nonzero = d != 0
     rows = deltas.select(*by, F.col(value).cast("double").alias("_d")).dropna(subset=[*by, "_d"])
-    ranked = _ranked(rows, by, direct_limit)
+    ranked = _ranked(rows, by)
     stats = ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_folds"),
         F.avg(d).alias("mean_difference"),
@@ -172,25 +164,25 @@ def paired_tests(
         (sd == 0) & (mean != 0), F.signum(mean) * F.lit(float("inf"))
     )
     tested = stats.withColumn("_t", t)
-    t_two = F.when(F.abs("_t") == float("inf"), F.lit(0.0)).when(
-        F.col("_t").isNotNull(), 1 - student_t_within(F.abs("_t"), n - 1)
-    )
+    t_two = F.when(F.col("_t").isNotNull(), student_t_beyond(F.abs("_t"), n - 1))
     tested = tested.withColumn("_t_two", t_two)
     t_one = F.when(F.col("_t") >= 0, F.col("_t_two") / 2).when(F.col("_t") < 0, 1 - F.col("_t_two") / 2)
 
-    null = F.broadcast(signed_rank_null(deltas.sparkSession))  # 50 rows
     m, plus = F.col("n_used"), F.col("_plus")
+    most = {"auto": F.lit(AUTO_EXACT), "exact": n, "approx": F.lit(0)}[method]
+    exact = (n == m) & (m > 0) & (n <= most)
+    tested = materialize(tested.withColumn("_exact", exact), "tested")
+    null = materialize(signed_rank_null(tested.where("_exact").select("n_used").distinct()), "null")
     tested = tested.join(null, "n_used", "left")
-    exact = (n == m) & (m > 0) & (n <= EXACT_LIMIT)
+    exact = F.col("_exact")
     place = F.floor(plus).cast("int")
-    total = F.pow(F.lit(2.0), m)
 
     def add(acc: Column, x: Column) -> Column:
         return acc + x
 
-    at_least = F.aggregate(F.slice("ways", place + 1, F.size("ways")), F.lit(0.0), add) / total
-    at_most = F.aggregate(F.slice("ways", F.lit(1), place + 1), F.lit(0.0), add) / total
-    centre = place == F.floor((F.size("ways") - 1) / 2)
+    at_least = F.aggregate(F.slice("chances", place + 1, F.size("chances")), F.lit(0.0), add)
+    at_most = F.aggregate(F.slice("chances", F.lit(1), place + 1), F.lit(0.0), add)
+    centre = place == F.floor((F.size("chances") - 1) / 2)
     exact_two = F.when(centre, F.lit(1.0)).otherwise(
         F.least(F.lit(1.0), 2 * F.least(at_least, at_most))
     )

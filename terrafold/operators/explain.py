@@ -6,17 +6,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrafold.functions.columns import require_columns
 from terrafold.functions.scalars import guarded_share
-from terrafold.operators.joins import union_all
 from terrafold.sources.models import model_kind
 from terrafold.session import materialize
 
-LEAVES_PER_BROADCAST = 200_000  # at most some tens of MB of paths per pass
+LEAVES_PER_PASS = 200_000  # at most some tens of MB of paths are broadcast at a time
 
 
 def top_k_features(importances: DataFrame, k: int, value: str = "importance") -> DataFrame:
@@ -107,7 +107,8 @@ def feature_importance(
 
     ``impurity`` (default for forests) weights each split's gain by its rows,
     normalises within each tree and averages the trees. ``gain`` (default for
-    boosted trees) is the mean gain per split. Both are scaled to sum to 1.
+    boosted trees) is the mean over splits of the loss reduction, which is the
+    stored gain per row times the rows of the split. Both are scaled to sum to 1.
     Features that no split uses have importance 0.
     """
     kind = kind or ("impurity" if model_kind(spark, path).startswith("RandomForest") else "gain")
@@ -119,7 +120,7 @@ def feature_importance(
         per_tree = with_share(per_tree, "_g", "_raw", by=["tree"])
         raw = per_tree.groupBy("feature_index").agg(F.sum("_raw").alias("_raw"))
     elif kind == "gain":
-        raw = splits.groupBy("feature_index").agg(F.avg("gain").alias("_raw"))
+        raw = splits.groupBy("feature_index").agg(F.avg(F.col("gain") * F.col("rows")).alias("_raw"))
     else:
         raise ValueError(f"unknown importance {kind!r}: use 'impurity' or 'gain'")
     highest = raw.agg(F.max("feature_index")).first()[0]
@@ -137,6 +138,7 @@ def feature_importance(
 _PATHS = T.StructType(
     [
         T.StructField("tree", T.IntegerType()),
+        T.StructField("leaf", T.IntegerType()),
         T.StructField("value", T.DoubleType()),
         T.StructField("feature_index", T.ArrayType(T.IntegerType())),
         T.StructField("above", T.ArrayType(T.DoubleType())),
@@ -154,8 +156,8 @@ def _paths_of_tree(nodes: pd.DataFrame) -> pd.DataFrame:
         node_id, path = stack.pop()
         n = by_id[node_id]
         if n.left < 0:
-            rows.append((n.tree, n.value * n.weight, list(path), *map(list, zip(*path.values()))) if path
-                        else (n.tree, n.value * n.weight, [], [], [], []))
+            intervals = map(list, zip(*path.values())) if path else ([], [], [])
+            rows.append((n.tree, len(rows), n.value * n.weight, list(path), *intervals))
             continue
         low, high, share = path.get(n.feature_index, (-np.inf, np.inf, 1.0))
         left, right = by_id[n.left].rows / n.rows, by_id[n.right].rows / n.rows
@@ -228,67 +230,65 @@ def tree_contributions(
     key: str = "row_id",
     keep: Sequence[str] = (),
     partitions: int | None = None,
-    leaves_per_pass: int = LEAVES_PER_BROADCAST,
+    leaves_per_pass: int = LEAVES_PER_PASS,
 ) -> DataFrame:
     """Additive contributions: ``key, keep..., feature, value, contribution, bias``.
 
     For every row the contributions and the bias add up to the prediction.
     The work per row is large next to its bytes, so a small table gains from
     being spread over ``partitions`` tasks first.
-    Contributions add over trees, so a model with more than
-    ``leaves_per_pass`` leaves is applied in several passes of whole trees and
-    the passes are summed; what is broadcast stays bounded.
+    Contributions add over leaves, so a model with more than
+    ``leaves_per_pass`` leaves is applied in several passes, each adding to the
+    stored sums of the one before; what the driver collects and broadcasts
+    stays bounded. A NULL feature raises, as the model has no prediction there.
     """
     require_columns(df, [key, *keep, *features])
     spark = df.sparkSession
     leaves = materialize(leaf_paths(spark, model_path), "paths")
     # Per-tree leaf counts: one number per tree of the model.
     sizes = [(r["tree"], r["count"]) for r in leaves.groupBy("tree").count().orderBy("tree").collect()]
-    passes: list[list[int]] = [[]]
-    filled = 0
-    for tree, size in sizes:
-        if passes[-1] and filled + size > leaves_per_pass:
-            passes.append([])
-            filled = 0
-        passes[-1].append(tree)
-        filled += size
+    total = sum(n for _, n in sizes)
+    firsts = np.concatenate(([0], np.cumsum([n for _, n in sizes])))[:-1]
+    offset = F.create_map(*[F.lit(int(x)) for (tree, _), first in zip(sizes, firsts) for x in (tree, first)])
+    placed = leaves.withColumn("place", offset[F.col("tree")] + F.col("leaf"))
     names = list(features)
     carried = [key, *[c for c in keep if c != key]]
-    inputs = [f"_x{i}" for i in range(len(names))]
-    rows = df.select(*carried, *[F.col(c).cast("double").alias(x) for c, x in zip(names, inputs)])
+    numbers = F.array(*[F.col(c).cast("double") for c in names])
+    rows = df.select(*carried, numbers.alias("_x"), F.array_repeat(F.lit(0.0), len(names)).alias("_phi"))
     if partitions:
         rows = rows.repartition(partitions, key)
-    out = T.StructType(
-        [rows.schema[c] for c in carried]
-        + [
-            T.StructField("feature", T.StringType()),
-            T.StructField("value", T.DoubleType()),
-            T.StructField("contribution", T.DoubleType()),
-        ]
+    bias = 0.0
+    for start in range(0, max(total, 1), leaves_per_pass):
+        part = placed.where((F.col("place") >= start) & (F.col("place") < start + leaves_per_pass)).toPandas()
+        base, blocks = _path_blocks(part)
+        bias += base
+        rows = rows.mapInPandas(_add_contributions(spark.sparkContext.broadcast(blocks)), rows.schema)
+        if start + leaves_per_pass < total:
+            rows = materialize(rows, "contributions")
+    entry = F.transform(
+        F.sequence(F.lit(0), F.lit(len(names) - 1)),
+        lambda i: F.struct(
+            F.get(F.array(*[F.lit(n) for n in names]), i).alias("feature"),
+            F.get("_x", i).alias("value"),
+            F.get("_phi", i).alias("contribution"),
+        ),
+    )
+    return rows.select(*carried, F.explode(entry).alias("_e")).select(
+        *carried, "_e.feature", "_e.value", "_e.contribution", F.lit(float(bias)).alias("bias")
     )
 
-    def one_pass(trees: list[int]) -> tuple[DataFrame, float]:
-        part = leaves.where(F.col("tree").between(trees[0], trees[-1])).toPandas()
-        base, blocks = _path_blocks(part)
-        shared = spark.sparkContext.broadcast(blocks)
-
-        def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                x = batch[inputs].to_numpy(dtype=float)
-                phi = _contributions(x, shared.value)
-                copies = np.repeat(np.arange(len(batch)), len(names))
-                long = batch[carried].take(copies).reset_index(drop=True)
-                long["feature"] = names * len(batch)
-                long["value"] = x.ravel()
-                long["contribution"] = phi.ravel()
-                yield long
-
-        return rows.mapInPandas(explain, out), base
-
-    parts = [one_pass(trees) for trees in passes]
-    bias = sum(base for _, base in parts)
-    total = parts[0][0]
-    if len(parts) > 1:
-        every = union_all(*[p for p, _ in parts])
-        total = every.groupBy(*carried, "feature", "value").agg(F.sum("contribution").alias("contribution"))
-    return total.withColumn("bias", F.lit(float(bias)))
+
+def _add_contributions(shared: Broadcast):
+    """A function for mapInPandas that adds the contributions of some leaves to ``_phi``."""
+
+    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.array(batch["_x"].tolist(), dtype=float)
+            if np.isnan(x).any():
+                raise ValueError("a feature is NULL or NaN: the model has no prediction to explain there")
+            phi = np.array(batch["_phi"].tolist(), dtype=float) + _contributions(x, shared.value)
+            yield batch.assign(_phi=list(phi))
+
+    return explain

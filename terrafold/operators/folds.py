@@ -14,7 +14,7 @@ from terrafold.session import materialize
 _CELL_DIGITS = 3  # 4,096 hash prefixes per block size
 
 
-def fold_map(df: DataFrame, block: str, k: int = 5) -> DataFrame:
+def fold_map(df: DataFrame, block: str, k: int = 5, null_blocks: str = "raise") -> DataFrame:
     """Fold of each block: ``block, n_rows, fold`` with folds numbered from 1.
 
     Blocks are taken largest first and each goes to the fold with fewest rows
@@ -27,17 +27,22 @@ def fold_map(df: DataFrame, block: str, k: int = 5) -> DataFrame:
     ``sqrt(2 * rows)`` of them) yields, per size, the cycles and the ranks at
     which they begin, and every block finds its fold from its own rank.
     Ranks are counted through hash prefixes, so no window holds all blocks.
+    Rows without a block raise, or have no fold with ``null_blocks="keep"``.
     """
+    if null_blocks not in ("raise", "keep"):
+        raise ValueError("null_blocks must be 'raise' or 'keep'")
     if k < 2:
         raise ValueError("at least two folds are needed")
-    blocks = materialize(
-        df.where(F.col(block).isNotNull())
-        .groupBy(F.col(block).alias("block"))
+    every = materialize(
+        df.groupBy(F.col(block).alias("block"))
         .agg(F.count(F.lit(1)).alias("n_rows"))
         .withColumn("_h", F.md5("block"))
         .withColumn("_p", F.substring("_h", 1, _CELL_DIGITS)),
         "blocks",
     )
+    if null_blocks == "raise" and (lost := every.where("block is null").select("n_rows").first()):
+        raise ValueError(f"{lost['n_rows']} rows have no {block}; drop them or keep them without a fold")
+    blocks = every.where("block is not null")
     cells = blocks.groupBy("n_rows", "_p").agg(F.count(F.lit(1)).alias("_m"))
     sizes = cells.groupBy("n_rows").agg(F.sum("_m").alias("m"))
     n_blocks = blocks.count()
@@ -95,21 +100,30 @@ def _cycles(sizes: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_rows", "first", "last", "cycle"])
 
 
-def group_kfold(df: DataFrame, block: str, k: int = 5, out: str = "fold") -> DataFrame:
+def group_kfold(
+    df: DataFrame, block: str, k: int = 5, out: str = "fold", null_blocks: str = "raise"
+) -> DataFrame:
     """Append the fold of each row's block; no block spans two folds.
 
+    Rows without a block raise, or keep a NULL fold with ``null_blocks="keep"``.
+
     The stored block table is joined back. Spark broadcasts it when its size
     on disk allows, and otherwise shuffles and splits a hot block's rows.
     """
-    folds = fold_map(df, block, k).select(F.col("block").alias(block), F.col("fold").alias(out))
-    return df.join(folds, block).select(*df.columns, out)
+    folds = fold_map(df, block, k, null_blocks).select(F.col("block").alias(block), F.col("fold").alias(out))
+    return df.join(folds, block, "left").select(*df.columns, out)
 
 
 def spatial_folds(
-    df: DataFrame, degrees: float, k: int = 5, lat: str = "lat", lon: str = "lon", out: str = "fold"
+    df: DataFrame, degrees: float, k: int = 5, lat: str = "lat", lon: str = "lon", out: str = "fold",
+    null_blocks: str = "raise",
 ) -> DataFrame:
-    """Folds over square blocks of ``degrees``; the block id is kept as ``block_id``."""
-    return group_kfold(df.withColumn("block_id", spatial_block(degrees, lat, lon)), "block_id", k, out)
+    """Folds over square blocks of ``degrees``; the block id is kept as ``block_id``.
+
+    Points without finite coordinates have no block; see :func:`group_kfold`.
+    """
+    blocked = df.withColumn("block_id", spatial_block(degrees, lat, lon))
+    return group_kfold(blocked, "block_id", k, out, null_blocks)
 
 
 def fold_means(df: DataFrame, target: str, fold: str = "fold") -> DataFrame:

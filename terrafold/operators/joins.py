@@ -12,18 +12,21 @@ from terrafold.session import materialize
 
 
 def enrich_left(
-    points: DataFrame, features: DataFrame, key: str = "cell_id", stored: bool = False
+    points: DataFrame, features: DataFrame, key: str = "cell_id", stored: bool = False, suffix: str | None = None
 ) -> DataFrame:
-    """Left equi-join that keeps unmatched points; shared non-key columns come from ``points``.
+    """Left equi-join that keeps unmatched points.
 
+    A feature column that ``points`` has too raises, or gets the ``suffix`` if one is given.
     ``features`` holds one row per key. Unless it is ``stored`` already it is
     written once, so that a small one is broadcast by its true size and points
     that share a hot key are split over tasks.
     """
     require_columns(points, [key], "points")
     require_columns(features, [key], "features")
-    extra = [c for c in features.columns if c == key or c not in points.columns]
-    narrow = features.select(*extra)
+    shared = [c for c in features.columns if c != key and c in points.columns]
+    if shared and suffix is None:
+        raise ValueError(f"both tables have {shared}: drop them from one, or give a suffix")
+    narrow = features.withColumnsRenamed({c: c + suffix for c in shared}) if shared else features
     return points.join(narrow if stored else materialize(narrow, "features"), key, "left")
 
 

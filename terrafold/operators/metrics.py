@@ -8,18 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions.columns import require_columns
-from terrafold.operators.binning import bin_by_edges, quantile_edges, with_interval_label
-from terrafold.operators.joins import category_bin_grid
+from terrafold.operators.binning import attach_edges, bin_by_edges, quantile_edges, with_interval_label
 
 
 def score_columns(target: str = "observed", pred: str = "predicted") -> dict[str, Column]:
-    """Aggregates for r2, rmse and mae, all from one pass.
+    """Aggregates for r2, rmse and mae, all from one pass over the complete pairs.
 
     A constant target scores 1 when it is met exactly and 0 otherwise; fewer
-    than two rows have no r2.
+    than two complete pairs have no r2.
     """
-    y, error = F.col(target).cast("double"), F.col(target) - F.col(pred)
-    n = F.count(F.lit(1))
+    error = F.col(target) - F.col(pred)
+    y = F.when(error.isNotNull(), F.col(target).cast("double"))
+    n = F.count(error)
     sse = F.sum(error * error)
     spread = F.var_pop(y) * n
     r2 = (
@@ -33,9 +33,9 @@ def score_columns(target: str = "observed", pred: str = "predicted") -> dict[str
 def regression_metrics(
     df: DataFrame, target: str = "observed", pred: str = "predicted", by: Sequence[str] = ()
 ) -> DataFrame:
-    """``by..., n, r2, rmse, mae``."""
+    """``by..., n, r2, rmse, mae``; n counts the pairs in which neither value is NULL."""
     scores = [c.alias(name) for name, c in score_columns(target, pred).items()]
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *scores)
+    return df.groupBy(*by).agg(F.count(F.col(target) - F.col(pred)).alias("n"), *scores)
 
 
 def metrics_by_fold(preds: DataFrame) -> DataFrame:
@@ -124,7 +124,8 @@ def error_by_observed_bin(
 
     ``edges_from`` is ``"union"`` (one set of edges over all rows, so models
     are compared on equal ranges), ``"own"`` (edges of each model alone) or
-    the name of a model whose edges serve all.
+    the name of a model whose edges serve all. Bins without rows are kept with
+    ``n = 0`` and their label, in either mode, unless ``keep_empty`` is false.
     """
     by = ["model"] if edges_from == "own" else []
     source = preds if edges_from in ("union", "own") else preds.where(F.col("model") == edges_from)
@@ -135,8 +136,6 @@ def error_by_observed_bin(
         binned.where(F.col("bin").isNotNull())
         .groupBy("model", "bin")
         .agg(
-            F.min("bin_lo").alias("bin_lo"),
-            F.min("bin_hi").alias("bin_hi"),
             F.count(F.lit(1)).alias("n"),
             F.min("observed").alias("observed_min"),
             F.max("observed").alias("observed_max"),
@@ -148,13 +147,16 @@ def error_by_observed_bin(
             F.avg("squared_error").alias("squared_error_mean"),
         )
     )
-    report = with_interval_label(report).drop("bin_lo", "bin_hi")
-    report = report.select("model", "bin", "bin_label", *report.columns[2:-1])
-    if not keep_empty or by:
-        return report
-    bins = edges.select(F.size("edges") - 1).first()[0]
-    full = category_bin_grid(report, ["model"], "bin", bins)
-    return full.withColumn("n", F.coalesce("n", F.lit(0)))
+    # Every model with all bins of its edges, whether rows fall into them or not.
+    limits = edges if by else attach_edges(report.select("model").distinct(), edges)
+    numbers = F.explode(F.sequence(F.lit(0), F.size("edges") - 2))
+    grid = limits.where(F.size("edges") > 1).select("model", "edges", numbers.alias("bin"))
+    grid = grid.select(
+        "model", "bin", F.get("edges", F.col("bin")).alias("bin_lo"), F.get("edges", F.col("bin") + 1).alias("bin_hi")
+    )
+    full = with_interval_label(grid).drop("bin_lo", "bin_hi").join(report, ["model", "bin"], "left" if keep_empty else "inner")
+    measures = [c for c in report.columns if c not in ("model", "bin", "n")]
+    return full.select("model", "bin", "bin_label", F.coalesce("n", F.lit(0)).alias("n"), *measures)
 
 
 # Names of the five observed-value bins, lowest first.
@@ -171,18 +173,19 @@ def mae_by_reference_bin(
     """Mean absolute error per labelled bin, models side by side.
 
     Edges are the observed quantiles of ``reference`` and serve every model.
-    Raises when ties leave fewer bins than labels.
+    Raises when ties leave fewer bins than labels. Without ``models`` the report
+    is long, ``bin, bin_label, model, mae`` for every model there is.
     """
     q = len(labels)
     edges = quantile_edges(preds.where(F.col("model") == reference), "observed", q)
     found = edges.select(F.size("edges") - 1).first()[0]
     if found != q:
         raise ValueError(f"{q} labels do not match {found} distinct bins")
-    if models is None:
-        models = sorted(r[0] for r in preds.select("model").distinct().limit(101).collect())
-        if len(models) > 100:
-            raise ValueError("more than 100 models: name those to put side by side")
     binned = bin_by_edges(preds, "observed", edges, q + 1).where(F.col("bin").isNotNull())
+    if models is None:
+        name = F.get(F.array(*[F.lit(x) for x in labels]), F.col("bin"))
+        long = binned.groupBy("bin", "model").agg(F.round(F.avg("abs_error"), digits).alias("mae"))
+        return long.select("bin", name.alias("bin_label"), "model", "mae").orderBy("bin", "model")
     measured = binned.groupBy("bin").agg(
         *[F.avg(F.when(F.col("model") == m, F.col("abs_error"))).alias(f"mae_{m}") for m in models]
     )

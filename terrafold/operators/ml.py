@@ -34,7 +34,6 @@ BOOSTED_GRID = {
     "learning_rate": [0.03, 0.05, 0.07],
     "subsample": [0.7, 0.8, 0.9],
     "colsample_bytree": [0.7, 0.8],
-    "reg_lambda": [0.5, 1.0, 2.0],
 }
 
 
@@ -82,10 +81,10 @@ def boosted_trees(
     """Gradient-boosted trees on squared error.
 
     Spark draws the feature share per node instead of per tree, and has no
-    leaf regularisation: ``reg_lambda`` is accepted so that run records keep
-    it, and has no effect.
+    leaf regularisation, so a ``reg_lambda`` other than None is refused.
     """
-    del reg_lambda
+    if reg_lambda is not None:
+        raise ValueError("Spark's boosted trees have no leaf regularisation: leave reg_lambda out")
     return GBTRegressor(
         featuresCol="features",
         labelCol="label",

@@ -60,11 +60,15 @@ def dropna_subset(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def drop_counts(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
-    """How many rows each condition hits and at what rate: ``step, dropped, rate``."""
-    total = F.count(F.lit(1))
-    wide = df.agg(total.alias("_n"), *[F.count_if(c).alias(k) for k, c in conditions.items()])
-    return wide.unpivot(["_n"], list(conditions), "step", "dropped").select(
-        "step", "dropped", F.try_divide("dropped", "_n").alias("rate")
+    """Rows each step drops, in order, and their share of the rows left by the steps before: ``step, dropped, rate``."""
+    left, counts = F.lit(True), []
+    for name, condition in conditions.items():
+        hit = F.coalesce(condition, F.lit(False))
+        counts.append(F.struct(F.lit(name).alias("step"), F.count_if(left & hit).alias("dropped"), F.count_if(left).alias("_n")))
+        left = left & ~hit
+    wide = df.agg(F.array(*counts).alias("_steps"))
+    return wide.select(F.explode("_steps").alias("_s")).select(
+        "_s.step", "_s.dropped", F.try_divide("_s.dropped", "_s._n").alias("rate")
     )
 
 

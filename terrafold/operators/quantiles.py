@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from terrafold.session import materialize
 
-# Up to this many distinct values per group, one task aggregates them directly.
-DIRECT_DISTINCT_LIMIT = 100_000
 CELLS_PER_LEVEL = 4096
+ROWS_PER_TASK = 100_000  # a cell with more rows is cut again before it is sorted
 
 
 def exact_quantiles(
@@ -20,133 +19,120 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     weight: str | None = None,
-    direct_limit: int = DIRECT_DISTINCT_LIMIT,
-    levels: int = 2,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Linearly interpolated quantiles, one row per group: ``by..., n, quantiles``.
 
-    The column is first reduced to a histogram of its distinct values, which
-    makes hot values and copies cost one row each. When every group has at most
-    ``direct_limit`` distinct values the built-in ``percentile`` reads the
-    histogram. Beyond that the wanted ranks are located by counting: the value
-    range is cut into cells, the cell holding each rank is found from the cell
-    counts and cut again, and only the values of the final cells are sorted.
-    Both ways give the same numbers. NULL and NaN values are ignored, and so are
-    rows whose group is NULL. ``weight`` names a column with the number of
-    copies of each row, for stored tables of counted values.
+    The narrow input is stored once and the wanted ranks are located by
+    counting. Values are first counted by sign and power of two, then the range
+    that holds a rank is cut into equal cells, and so on until no such cell has
+    more than ``rows_per_task`` rows; only those are sorted. Counts combine
+    within each input partition, so no shuffle carries the values themselves.
+    NULL and NaN values are ignored, and so are rows whose group is NULL.
+    ``weight`` names a column with the number of copies of each row.
     """
-    by = list(by)
+    by, probs = list(by), [float(p) for p in probs]
     value = F.col(value) if isinstance(value, str) else value
+    copies = F.col(weight) if weight else F.lit(1)
     # `_all` is a stored constant, so that "no grouping" also joins on a key.
-    hist = (
-        df.select(*by, value.cast("double").alias("_v"), *([weight] if weight else []))
-        .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        .dropna(subset=by or None)
+    rows = materialize(
+        df.select(*by, (value.cast("double") + 0.0).alias("_v"), copies.cast("long").alias("_n"), F.lit(0).alias("_all"))
+        .where(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.col("_n") > 0))
+        .dropna(subset=by or None),
+        "values",
+    )
+    keys = [*by, "_all"]
+    cell_keys, placed = [*keys, "_c0"], rows.withColumn("_c0", _magnitude(F.col("_v")))
+    cells = materialize(_count_cells(placed, keys, "_c0"), "cells")
+    n = F.sum("_cn").over(Window.partitionBy(*keys))
+    position = lambda total, p: (total - 1) * F.lit(p)
+    with_n = cells.withColumn("n", n)
+    ranks = F.array_distinct(
+        F.flatten(F.array(*[F.array(F.floor(position(F.col("n"), p)), F.ceil(position(F.col("n"), p))) for p in probs]))
     )
-    if weight is None:
-        counted = hist.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-        hist = materialize(counted.withColumn("_all", F.lit(0)), "values")
-    else:
-        hist = hist.withColumnRenamed(weight, "_n").withColumn("_all", F.lit(0))
-    largest = hist.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= direct_limit:
-        return hist.groupBy(*by).agg(
-            F.coalesce(F.sum("_n"), F.lit(0)).alias("n"),
-            F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), F.col("_n")).alias("quantiles"),
-        )
-    return _quantiles_by_counting(hist, [float(p) for p in probs], by, levels)
+    # One row per wanted rank; `_k` is the rank still to go inside its cell.
+    spread = with_n.withColumn("_rank", F.explode(ranks)).withColumn("_k", F.col("_rank"))
+    wanted = materialize(_cells_of_ranks(spread), "ranks")
+    level = 0
+    while True:
+        open_cells = wanted.where("_lo < _hi")
+        largest = open_cells.agg(F.max("_rows")).first()[0]
+        if largest is None or largest <= rows_per_task:
+            break
+        level += 1
+        cell = f"_c{level}"
+        ranges = open_cells.select(*cell_keys, "_lo", "_hi").distinct()
+        placed = placed.join(ranges, cell_keys).withColumn(cell, _cell_of(F.col("_v"))).drop("_lo", "_hi")
+        cut = wanted.drop("_rows", "_lo", "_hi").join(_count_cells(placed, cell_keys, cell), cell_keys)
+        settled = wanted.where("_lo = _hi").withColumn(cell, F.lit(0))
+        wanted = materialize(_cells_of_ranks(cut).unionByName(settled), "ranks")
+        cell_keys.append(cell)
+    inside = Window.partitionBy(*cell_keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    sorted_cells = placed.join(wanted.where("_lo < _hi").select(*cell_keys).distinct(), cell_keys).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    )
+    within = (F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_n"))
+    found = wanted.where("_lo < _hi").join(sorted_cells, cell_keys).where(within).select(*keys, "_rank", "_v")
+    found = found.unionByName(wanted.where("_lo = _hi").select(*keys, "_rank", F.col("_lo").alias("_v")))
+    at = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+
+    def interpolate(p: float) -> Column:
+        place = position(F.col("n"), p)
+        low, high = F.floor(place), F.ceil(place)
+        a, b = F.col("_at")[low], F.col("_at")[high]
+        mixed = (high - place) * a + (place - low) * b
+        return F.when(a == b, a).otherwise(mixed)
+
+    totals = cells.groupBy(*keys).agg(F.sum("_cn").alias("n"))
+    filled = totals.join(at, keys).select(*by, "n", F.array(*[interpolate(p) for p in probs]).alias("quantiles"))
+    if by:
+        return filled
+    # Without groups there is always one row, also for an empty column.
+    return filled.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("quantiles").alias("quantiles"))
+
+
+def _count_cells(placed: DataFrame, keys: list[str], cell: str) -> DataFrame:
+    """Copies, rows and limits of every cell, and the copies in lower cells of the same keys."""
+    earlier = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        placed.groupBy(*keys, cell)
+        .agg(F.sum("_n").alias("_cn"), F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .withColumn("_before", F.coalesce(F.sum("_cn").over(earlier), F.lit(0)))
+    )
+
+
+def _cells_of_ranks(spread: DataFrame) -> DataFrame:
+    """Keep for every rank the cell it lies in, and count the rank from there."""
+    within = (F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_cn"))
+    return spread.where(within).withColumn("_k", F.col("_k") - F.col("_before")).drop("_cn", "_before", "n")
+
+
+def _magnitude(value: Column) -> Column:
+    """A number that grows with the value: its sign and power of two (at most some 4,300 different)."""
+    power = F.when(F.abs(value) == float("inf"), F.lit(1100)).otherwise(F.floor(F.log2(F.abs(value)))) + 1100
+    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value) * power).cast("int")
 
 
 def counts_below(hist: DataFrame, by: Sequence[str], value: str, count: str, out: str) -> DataFrame:
     """Append to counted distinct values the number of smaller ones in their group.
 
-    The group's range is cut into cells; the running totals of the cells and
-    of the values inside one cell are added, so no window holds a whole group.
+    The values are range-partitioned, which is balanced for any distribution,
+    and stored with their partition. Running totals of the partitions and
+    of the values inside one partition are added, so no window holds a whole group.
     """
     by = list(by)
-    limits = materialize(
-        hist.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")), "limits"
-    )
-    placed = hist.join(limits, by).withColumn("_cell", _cell_of(F.col(value))).drop("_lo", "_hi")
-    earlier = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = materialize(
-        placed.groupBy(*by, "_cell")
-        .agg(F.sum(count).alias("_total"))
-        .select(*by, "_cell", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")),
-        "cells",
-    )
-    inside = (
-        Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    ranged = hist.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id())
+    stored = materialize(ranged, "ranges")
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = stored.groupBy(*by, "_part").agg(F.sum(count).alias("_total"))
+    parts = parts.select(*by, "_part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("_offset") + F.coalesce(F.sum(count).over(inside), F.lit(0))
-    return placed.join(cells, [*by, "_cell"]).select(*hist.columns, below.alias(out))
+    return stored.join(parts, [*by, "_part"]).select(*hist.columns, below.alias(out))
 
 
 def _cell_of(value: Column) -> Column:
-    """Equal-width cell of a value between the columns ``_lo`` and ``_hi``."""
+    """Equal-width cell of a value between the columns ``_lo`` and ``_hi``, which have one sign and power of two."""
     span = F.col("_hi") - F.col("_lo")
     place = F.floor((value - F.col("_lo")) / span * F.lit(float(CELLS_PER_LEVEL)))
     return F.when(span > 0, F.least(F.lit(CELLS_PER_LEVEL - 1), place)).otherwise(F.lit(0)).cast("int")
-
-
-def _quantiles_by_counting(
-    hist: DataFrame, probs: list[float], by: list[str], levels: int
-) -> DataFrame:
-    keys = [*by, "_all"]
-    groups = materialize(
-        hist.groupBy(*keys).agg(
-            F.sum("_n").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-        ),
-        "groups",
-    )
-    positions = [(F.col("n") - 1) * F.lit(p) for p in probs]
-    ranks = F.array_distinct(
-        F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in positions]))
-    )
-    # One row per wanted rank; `_k` is the rank still to go inside its cell.
-    wanted = groups.select(*keys, "_lo", "_hi", F.explode(ranks).alias("_rank")).withColumn(
-        "_k", F.col("_rank")
-    )
-    cell_keys = list(keys)
-    for level in range(levels):
-        cell = f"_c{level}"
-        ranges = wanted.select(*cell_keys, "_lo", "_hi").distinct()
-        hist = hist.join(ranges, cell_keys).withColumn(cell, _cell_of(F.col("_v"))).drop("_lo", "_hi")
-        earlier = (
-            Window.partitionBy(*cell_keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-        )
-        cells = (
-            hist.groupBy(*cell_keys, cell)
-            .agg(F.sum("_n").alias("_cn"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-            .withColumn("_before", F.coalesce(F.sum("_cn").over(earlier), F.lit(0)))
-        )
-        wanted = materialize(
-            wanted.drop("_lo", "_hi")
-            .join(cells, cell_keys)
-            .where((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_cn")))
-            .withColumn("_k", F.col("_k") - F.col("_before"))
-            .drop("_cn", "_before"),
-            "ranks",
-        )
-        cell_keys.append(cell)
-    inside = Window.partitionBy(*cell_keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    values = hist.join(wanted.select(*cell_keys).distinct(), cell_keys).withColumn(
-        "_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    )
-    found = (
-        wanted.drop("_lo", "_hi")
-        .join(values, cell_keys)
-        .where((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_n")))
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
-    )
-
-    def interpolate(position: Column) -> Column:
-        low, high = F.floor(position), F.ceil(position)
-        a, b = F.col("_at")[low], F.col("_at")[high]
-        mixed = (high - position) * a + (position - low) * b
-        return F.when(a == b, a).otherwise(mixed)
-
-    return groups.join(found, keys).select(
-        *by, "n", F.array(*[interpolate(p) for p in positions]).alias("quantiles")
-    )

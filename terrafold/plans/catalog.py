@@ -379,7 +379,7 @@ def error_by_observed_bin(spark, sf):
 
 @query
 def error_by_observed_bin_single(spark, sf):
-    return rounded(op.error_by_observed_bin(fx.predictions(spark, sf).where("model = 'A' or crop = 'wheat'"), edges_from="own"))
+    return rounded(op.error_by_observed_bin(fx.predictions(spark, sf), edges_from="own"))
 
 
 @query
@@ -502,7 +502,7 @@ def cut_by_edges(spark, sf):
 
 @query
 def exact_quantiles(spark, sf):
-    q = op.exact_quantiles(fx.points(spark, sf), "ext", [0.1, 0.5, 0.99], ["crop"], direct_limit=0)
+    q = op.exact_quantiles(fx.points(spark, sf), "ext", [0.1, 0.5, 0.99], ["crop"], rows_per_task=1_000)
     return rounded(q.select("crop", "n", *[F.get("quantiles", F.lit(i)).alias(f"q{i}") for i in range(3)]), 6)
 
 

@@ -84,9 +84,10 @@ def add_climate(
     responses: DataFrame,
     params: Sequence[str] = CLIMATE_PARAMS,
     periods: Sequence[str] = CLIMATE_PERIODS,
+    scalar_params: Sequence[str] = (),
 ) -> DataFrame:
     """Points with climate columns and ``power_error``."""
-    return enrich_climatology(points, ingest_climatology(responses, "cell_id", params, periods))
+    return enrich_climatology(points, ingest_climatology(responses, "cell_id", params, periods, scalar_params))
 
 
 def add_soil(

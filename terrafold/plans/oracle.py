@@ -224,7 +224,8 @@ def _statements() -> dict[str, str]:
         SELECT 'failed' AS step, count(power_error) AS dropped, {_r('count(power_error) / count(*)', 'rate', 8)} FROM points
         UNION ALL
         SELECT 'bare', count(*) FILTER (sg_clay_0_30 IS NULL AND sg_sand_0_30 IS NULL),
-               {_r('count(*) FILTER (sg_clay_0_30 IS NULL AND sg_sand_0_30 IS NULL) / count(*)', 'rate', 8)} FROM points"""
+               {_r('count(*) FILTER (sg_clay_0_30 IS NULL AND sg_sand_0_30 IS NULL) / count(*)', 'rate', 8)}
+        FROM points WHERE power_error IS NULL"""
     s["dropna_subset"] = "SELECT row_id, qty, sg_clay_0_30 FROM points WHERE qty IS NOT NULL AND sg_clay_0_30 IS NOT NULL"
     s["finite_filter"] = """SELECT row_id, lat, lon, ext AS measure FROM points
         WHERE ext IS NOT NULL AND row_id % 19 <> 0 AND row_id % 23 <> 0"""
@@ -294,9 +295,8 @@ def _statements() -> dict[str, str]:
         FROM ({s['cv_summary']}) f JOIN (SELECT model, {_SCORES} FROM predictions GROUP BY model) p ON p.model = f.model"""
     s["error_by_observed_bin"] = f"""SELECT model, CAST(bin AS INTEGER) AS bin, {_BIN_REPORT}
         FROM ({_binned('predictions', 'predictions', 'observed', 5)}) t GROUP BY model, bin"""
-    some = "(SELECT * FROM predictions WHERE model = 'A' OR crop = 'wheat')"
     s["error_by_observed_bin_single"] = f"""SELECT model, CAST(bin AS INTEGER) AS bin, {_BIN_REPORT}
-        FROM ({_binned(some, some, 'observed', 5, 'model')}) t GROUP BY model, bin"""
+        FROM ({_binned('predictions', 'predictions', 'observed', 5, 'model')}) t GROUP BY model, bin"""
     s["error_line_series"] = f"""SELECT model, CAST(bin AS INTEGER) AS bin,
         {', '.join(_r(f'avg({c})', f'{c}_mean') for c in ('observed', 'abs_error', 'residual'))}
         FROM ({_binned('predictions', 'predictions', 'observed', 5)}) t GROUP BY model, bin"""

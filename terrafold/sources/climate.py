@@ -74,6 +74,7 @@ def ingest_climatology(
     key: str = "cell_id",
     params: Sequence[str] = CLIMATE_PARAMS,
     periods: Sequence[str] = CLIMATE_PERIODS,
+    scalar_params: Sequence[str] = (),
 ) -> DataFrame:
     """One feature row per key from a table ``(key, attempt, status, body)``.
 
@@ -88,7 +89,7 @@ def ingest_climatology(
     parsed = parse_climatology(responses.select(key, "attempt", "status", "body"))
     readable = F.col("parsed").isNotNull() & F.col("parsed._corrupt_record").isNull()
     flat = flatten_climatology(
-        parsed.withColumn("_ok", answered & readable).drop("body"), params, periods
+        parsed.withColumn("_ok", answered & readable).drop("body"), params, periods, scalar_params
     )
     values = [c for c in flat.columns if c not in (key, "attempt", "status", "_ok")]
     error = F.when(answered, F.lit("invalid JSON")).otherwise(
@@ -109,17 +110,26 @@ def ingest_climatology(
 def enrich_climatology(
     points: DataFrame, features: DataFrame, key: str = "cell_id", lat: str = "lat", lon: str = "lon"
 ) -> DataFrame:
-    """Points with the features of their key; points without coordinates get ``NaN lat/lon``.
+    """Points with the features of their key.
 
+    ``power_error`` is ``NaN lat/lon`` for points without coordinates and
+    ``no response`` for points whose key has no row. A feature column that
+    ``points`` has too raises.
     The features are stored first, so that a small table is broadcast and
     points sharing a key can be split over tasks.
     """
-    extra = [c for c in features.columns if c not in points.columns]
-    values = [c for c in extra if c not in (key, "power_error")]
-    joined = points.join(materialize(features.select(key, *extra), "climate"), key, "left")
+    shared = [c for c in features.columns if c != key and c in points.columns]
+    if shared:
+        raise ValueError(f"both tables have {shared}")
+    values = [c for c in features.columns if c not in (key, "power_error")]
+    marked = features.withColumn("_answered", F.lit(True))
+    joined = points.join(materialize(marked, "climate"), key, "left")
     no_place = F.col(lat).isNull() | F.col(lon).isNull() | F.isnan(lat) | F.isnan(lon)
     return joined.select(
         *points.columns,
         *[F.when(~no_place, F.col(c)).alias(c) for c in values],
-        F.when(no_place, F.lit("NaN lat/lon")).otherwise(F.col("power_error")).alias("power_error"),
+        F.when(no_place, F.lit("NaN lat/lon"))
+        .when(F.col("_answered").isNull(), F.lit("no response"))
+        .otherwise(F.col("power_error"))
+        .alias("power_error"),
     )

@@ -37,6 +37,11 @@ RUN_COLUMN_ORDER = [
     "n_estimators", "max_depth", "min_samples_leaf", "max_features",
     "random_state", "n_splits", "drop_index_cols", "n_features_used", "n_rows", "file",
 ]
+# Types of the columns whose values may all be null.
+RUN_TYPES = {
+    "n_estimators": "long", "max_depth": "long", "min_samples_leaf": "long", "max_features": "string",
+    "random_state": "long", "learning_rate": "double", "subsample": "double", "colsample_bytree": "double",
+}
 
 
 def _suffix(path: str) -> str:
@@ -174,8 +179,17 @@ def read_predictions(
     return nan_to_null(header.select(*typed)).withColumn("model", F.lit(model))
 
 
-def read_predictions_lenient(df: DataFrame, model: str) -> DataFrame:
-    """Project any predictions table to ``model, fold, observed, predicted``."""
+def read_predictions_lenient(source: DataFrame | str, model: str, spark: SparkSession | None = None) -> DataFrame:
+    """Project any predictions table, or CSV file with a header, to ``model, fold, observed, predicted``.
+
+    Columns are found by their usual names. A path needs the session.
+    """
+    if isinstance(source, str):
+        if spark is None:
+            raise ValueError("reading a path needs the Spark session")
+        df = nan_to_null(spark.read.option("header", True).option("inferSchema", False).csv(source))
+    else:
+        df = source
     names = resolve_columns(df, PREDICTION_ROLES, substring_roles=())
     return df.select(
         F.lit(model).alias("model"),
@@ -193,10 +207,13 @@ def write_run_metrics(spark: SparkSession, path: str, record: Mapping) -> None:
 def read_run_metrics(spark: SparkSession, glob: str) -> DataFrame:
     """Read nested run records and flatten them to one row per run.
 
-    ``params.*`` keeps its names and ``spatial_cv.*`` gets a ``spatial_``
-    prefix. Columns that a run does not have are NULL.
+    A record may span lines. ``params.*`` keeps its names and ``spatial_cv.*``
+    gets a ``spatial_`` prefix. Columns that a run does not have are NULL, and
+    known columns have a fixed type, also where every run has null. ``file`` is
+    the record's file, or its folder if Spark wrote it. A file that is no JSON
+    record raises.
     """
-    raw = spark.read.json(glob)
+    raw = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(glob)
     kinds = {f.name: f.dataType for f in raw.schema.fields}
     plain = ["run_name", "model_name", "n_rows", "n_features_used", "drop_index_cols"]
     cols = [F.col(c) for c in plain if c in kinds]
@@ -204,6 +221,10 @@ def read_run_metrics(spark: SparkSession, glob: str) -> DataFrame:
         cols += [F.col(f"params.{n}").alias(n) for n in kinds["params"].fieldNames() if n not in plain]
     if isinstance(kinds.get("spatial_cv"), T.StructType):
         cols += [F.col(f"spatial_cv.{n}").alias(f"spatial_{n}") for n in kinds["spatial_cv"].fieldNames()]
-    flat = raw.select(*cols, F.element_at(F.split(F.input_file_name(), "/"), -2).alias("file"))
+    steps = F.split(F.col("_metadata.file_path"), "/")
+    own, folder = F.element_at(steps, -1), F.element_at(steps, -2)
+    flat = raw.select(*cols, F.when(own.startswith("part-"), folder).otherwise(own).alias("file"))
+    typed = {c: F.col(c).cast(kind) for c, kind in RUN_TYPES.items() if c in flat.columns}
+    flat = flat.withColumns(typed)
     order = [c for c in RUN_COLUMN_ORDER if c in flat.columns]
     return flat.select(*order, *[c for c in flat.columns if c not in order])

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from terrafold import operators as op
+from terrafold.functions.scalars import with_residuals as op_with_residuals
 
 
 def column(spark, values, name="v"):
@@ -50,15 +51,17 @@ def test_cut_outside_is_null_and_labels_must_fit(spark):
     list(range(1000)),
     [0.0] * 500 + [1.0] * 3 + [7.5],
     [1e30] + [i / 7 for i in range(300)],
+    [s * 10.0 ** e for e in range(-300, 300, 7) for s in (-1, 1, 1.5)],
+    [-0.0, 0.0, 0.0, 5e-324, 1.0 + 2e-16, 1.0],
     [-5.0, -5.0, 2.0],
     [3.0],
 ])
-def test_counting_and_direct_ways_agree_with_numpy(spark, values):
+def test_quantiles_agree_with_numpy_at_any_cell_size(spark, values):
     df = column(spark, [float(v) for v in values] + [None, float("nan")])
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     want = np.quantile(np.array(values, dtype=float), probs)
     for limit in (0, 10**6):
-        row = op.exact_quantiles(df, "v", probs, direct_limit=limit).first()
+        row = op.exact_quantiles(df, "v", probs, rows_per_task=limit).first()
         assert row["n"] == len(values)
         assert np.allclose(row["quantiles"], want, rtol=1e-12, atol=1e-12)
 
@@ -68,7 +71,7 @@ def test_counting_and_direct_ways_agree_with_numpy(spark, values):
 def test_grouped_counting_quantiles(spark, rows):
     df = spark.createDataFrame(rows, "g int, v double")
     got = {r["g"]: r["quantiles"] for r in
-           op.exact_quantiles(df, "v", [0.3, 0.5], ["g"], direct_limit=0).collect()}
+           op.exact_quantiles(df, "v", [0.3, 0.5], ["g"], rows_per_task=0).collect()}
     for g in {r[0] for r in rows}:
         assert np.allclose(got[g], np.quantile([v for k, v in rows if k == g], [0.3, 0.5]), rtol=1e-9, atol=1e-6)
 
@@ -113,8 +116,10 @@ def test_labelled_bins_need_distinct_edges(spark):
 def test_reference_edges_leave_outside_values_out(spark):
     rows = [("A", float(i), 1.0) for i in range(11)] + [("B", 100.0, 9.0), ("B", 0.0, 3.0)]
     df = spark.createDataFrame(rows, "model string, observed double, abs_error double")
-    out = {r["bin_label"]: r["mae_B"] for r in op.mae_by_reference_bin(df, "A").collect()}
-    assert out["Lowest"] == 3.0 and out["Highest"] is None and len(out) == 5
+    out = {r["bin_label"]: r["mae"] for r in op.mae_by_reference_bin(df, "A").where("model = 'B'").collect()}
+    assert out == {"Lowest": 3.0}
+    wide = {r["bin_label"]: r["mae_B"] for r in op.mae_by_reference_bin(df, "A", models=["A", "B"]).collect()}
+    assert wide["Lowest"] == 3.0 and wide["Highest"] is None and len(wide) == 5
 
 
 def test_describe_and_zero_rate(spark):
@@ -131,3 +136,13 @@ def test_correlation_skips_pairs_and_lists_target(spark):
     assert all(v == pytest.approx(1.0) for v in out.values()) and set(out) == {"a", "b", "t"}
     flat = op.corr_with_target(df.withColumn("c", F.lit(1.0)), ["c"], "t").where("feature = 'c'").first()
     assert flat["corr_with_target"] is None
+
+
+@pytest.mark.parametrize("edges_from", ["own", "union"])
+def test_bins_without_rows_keep_their_label(spark, edges_from):
+    rows = [("A", float(v), float(v)) for v in range(12)] + [("B", 0.0, 1.0), ("B", 11.0, 1.0)]
+    df = op_with_residuals(spark.createDataFrame(rows, "model string, observed double, predicted double"))
+    out = op.error_by_observed_bin(df, 3, edges_from).collect()
+    assert all(r["bin_label"] for r in out)
+    b = [r["n"] for r in sorted((r for r in out if r["model"] == "B"), key=lambda r: r["bin"])]
+    assert sum(b) == 2 and 0 in b

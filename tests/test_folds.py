@@ -74,3 +74,12 @@ def test_block_ids_count_from_the_south_west_corner(spark):
     df = spark.createDataFrame([(-90.0, -180.0), (89.9, 179.9), (0.0, 0.0)], "lat double, lon double")
     got = [r[0] for r in df.select(spatial_block(0.5)).collect()]
     assert got == ["0_0", "359_719", "180_360"]
+
+
+def test_rows_without_a_block_raise_or_keep_no_fold(spark):
+    rows = [(i, float(i * 7 % 80), float(i * 11 % 160)) for i in range(60)] + [(100, None, 1.0), (101, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "row_id long, lat double, lon double")
+    with pytest.raises(ValueError, match="2 rows have no block_id"):
+        op.spatial_folds(df, 10.0, 3)
+    out = op.spatial_folds(df, 10.0, 3, null_blocks="keep").collect()
+    assert len(out) == 62 and {r["row_id"] for r in out if r["fold"] is None} == {100, 101}

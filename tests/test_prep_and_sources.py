@@ -170,7 +170,7 @@ def test_points_without_coordinates_get_an_error(spark):
     features = src.ingest_climatology(rows, "cell_id", ["T2M"], ["JAN"])
     got = {r["cell_id"]: r for r in src.enrich_climatology(points, features).collect()}
     assert got["n"]["power_error"] == "NaN lat/lon" and got["n"]["T2M_JAN"] is None
-    assert got["a"]["T2M_JAN"] == 1.0 and got["m"]["T2M_JAN"] is None and got["m"]["power_error"] is None
+    assert got["a"]["T2M_JAN"] == 1.0 and got["m"]["T2M_JAN"] is None and got["m"]["power_error"] == "no response"
 
 
 def test_scalar_parameters_keep_their_name(spark):
@@ -252,3 +252,35 @@ def test_run_records_flatten_with_missing_parts(spark, tmp_path):
     got = {r["run_name"]: r for r in src.read_run_metrics(spark, f"{tmp_path}/*.json").collect()}
     assert got["r1"]["spatial_r2_mean"] == 0.5 and got["r2"]["spatial_r2_mean"] is None
     assert (got["r1"]["leaf"], got["r2"]["leaf"]) == (2, 3) and got["r1"]["file"] == "r1.json"
+
+
+def test_shared_feature_columns_raise_or_get_a_suffix(spark):
+    points = spark.createDataFrame([("a", 1)], "cell_id string, T2M_ANN long")
+    features = spark.createDataFrame([("a", 9)], "cell_id string, T2M_ANN long")
+    with pytest.raises(ValueError, match="T2M_ANN"):
+        op.enrich_left(points, features)
+    assert op.enrich_left(points, features, suffix="_new").first()["T2M_ANN_new"] == 9
+
+
+def test_indented_run_records(spark, tmp_path):
+    for name, depth in (("a", None), ("b", None)):
+        record = {"run_name": name, "n_rows": 5, "params": {"max_depth": depth, "n_estimators": 10}, "spatial_cv": {"r2_mean": 0.5}}
+        (tmp_path / f"{name}.json").write_text(json.dumps(record, indent=2))
+    rows = src.read_run_metrics(spark, f"{tmp_path}/*.json")
+    assert dict(rows.dtypes)["max_depth"] == "bigint"
+    assert {(r["run_name"], r["file"], r["n_estimators"]) for r in rows.collect()} == {("a", "a.json", 10), ("b", "b.json", 10)}
+    (tmp_path / "c.json").write_text("{ not json")
+    with pytest.raises(Exception, match="(?i)malformed|json"):
+        src.read_run_metrics(spark, f"{tmp_path}/*.json").collect()
+
+
+def test_lenient_predictions_from_a_file(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("CV_Fold,y_true,Pred\n1,2.5,2.0\n2,,1.0\n")
+    rows = src.read_predictions_lenient(str(tmp_path / "p.csv"), "X", spark).collect()
+    assert [tuple(r) for r in rows] == [("X", 1, 2.5, 2.0), ("X", 2, None, 1.0)]
+
+
+def test_drop_counts_take_each_step_from_the_rest(spark):
+    df = spark.createDataFrame([(1, None), (1, 2), (None, None), (None, 3)], "failed long, soil long")
+    got = op.drop_counts(df, {"failed": F.col("failed").isNotNull(), "bare": F.col("soil").isNull()}).collect()
+    assert [tuple(r) for r in got] == [("failed", 2, 0.5), ("bare", 1, 0.5)]
