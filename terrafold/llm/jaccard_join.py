@@ -34,9 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.llm.bitmap import broadcast_bitmap, in_bitmap
 from terrafold.llm.components import connected_components
 from terrafold.llm.text_arrays import Hasher, Words, lower_ascii, mix, runs_of, slices, text_bytes, word_bytes
-from terrafold.session import materialize
+from terrafold.session import materialize, release
 
 LOW_RANGE = 0.25
 BLOCK_BYTES = 16 << 20
@@ -171,6 +172,19 @@ def linked_members(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return label
 
 
+def _likely(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Documents that may be members, by a bitmap of their ids, so that few texts are shuffled."""
+    wanted = broadcast_bitmap(members.select(F.xxhash64("doc_id").alias("mark")), "mark")
+
+    def run(batches):
+        for part in batches:
+            marks = part.column(2).to_numpy().view(np.uint64)
+            yield part.filter(pa.array(in_bitmap(marks, wanted.value))).select(["doc_id", "text"])
+
+    marked = rows.where(F.col("text").isNotNull()).withColumn("mark", F.xxhash64("doc_id"))
+    return marked.mapInArrow(run, rows.schema)
+
+
 def _links(members: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (u, v) between sets of one block pair that connect what is similar in it."""
 
@@ -207,8 +221,9 @@ def jaccard_components(
     several = materialize(members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "several")
     first = linked.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     members = materialize(members.join(several, "component").join(first, "set_id"), "members")
-    texts = rows.where(F.col("text").isNotNull()).join(members, "doc_id").select("component", "set_id", "text")
+    texts = _likely(rows, members).join(members, "doc_id").select("component", "set_id", "text")
     texts = materialize(texts, "member-texts")
+    release(groups, several, members)
     size = texts.groupBy("component").agg(F.ceil(F.sum(F.octet_length("text")) / block_bytes).cast("int").alias("blocks"))
     placed = texts.join(materialize(size, "blocks"), "component").withColumn("block", F.pmod(F.col("set_id"), "blocks").cast("int"))
     placed = placed.select("component", "set_id", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
