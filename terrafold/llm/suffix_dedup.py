@@ -10,7 +10,7 @@ equal anchors, so they can be compared anchor by anchor:
    bytes are equal form a class; all but its first run are covered, whole, and
    no bytes need to move. This settles copies, however many.
 3. Anchors with several classes have windows that may recur in part. The bytes
-   of each class's first run go to the shard of the anchor. A task writes its
+   of each class's first run (another bitmap tells which) go to the shard of the anchor. A task writes its
    shard to disk and sorts its suffixes by external induction (suffix_sort);
    neighbours with a common prefix of ``width`` bytes or more are equal windows,
    of which all but the first are covered.
@@ -32,21 +32,21 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm.bitmap import BITS, broadcast_bitmap, in_bitmap
 from terrafold.llm.suffix_sort import equal_windows
 from terrafold.llm.text_arrays import Hasher, mix, slices, text_bytes
-from terrafold.session import materialize
+from terrafold.session import materialize, release
 
 WIDTH = 100
 GRAM = 32
 SHARD_BYTES = 32 << 20
 ANCHOR_RUNS = 50_000
 _LAST = (1 << 63) - 1
-_RUN = "anchor long, bytes_hash long, doc long, version long, start long, n_windows long"
-_SPAN = "doc long, version long, first long, last long"
+_RUN = "anchor long, bytes_hash long, doc long, start long, n_windows long"
+_SPAN = "doc long, first long, last long"
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -89,34 +89,54 @@ def window_runs(data: np.ndarray, at: np.ndarray, width: int, gram: int):
 def _anchor_counts(rows: DataFrame, width: int, gram: int) -> DataFrame:
     def run(batches):
         for part in slices(batches, "text"):
-            anchors = window_runs(*text_bytes(part.column(2)), width, gram)[0]
+            anchors = window_runs(*text_bytes(part.column(1)), width, gram)[0]
             values, counts = np.unique(anchors, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["anchor", "n"])
 
     return rows.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-def _runs(rows: DataFrame, bitmap, bits: int, width: int, gram: int, with_bytes: bool) -> DataFrame:
-    """Runs of the anchors in the bitmap, with their bytes if asked for."""
+def _representative(anchor, code, doc, start):
+    """A number that tells the runs of a class apart; as arrays or as columns."""
+    if isinstance(anchor, np.ndarray):
+        return anchor ^ code ^ doc.view(np.uint64) ^ (start.view(np.uint64) << np.uint64(13))
+    return anchor.bitwiseXOR(code).bitwiseXOR(doc).bitwiseXOR(F.shiftleft(start, 13))
+
+
+def _recurring_runs(rows: DataFrame, recurring, bits: int, width: int, gram: int) -> DataFrame:
+    """Runs of the anchors in the bitmap."""
 
     def run(batches):
         for part in slices(batches, "text"):
-            data, at = text_bytes(part.column(2))
+            anchor, code, owner, start, count = window_runs(*text_bytes(part.column(1)), width, gram)
+            kept = np.flatnonzero(in_bitmap(anchor, recurring.value, bits))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor[kept].view(np.int64)), pa.array(code[kept].view(np.int64)),
+                 part.column(0).take(pa.array(owner[kept])), pa.array(start[kept]), pa.array(count[kept])],
+                names=["anchor", "bytes_hash", "doc", "start", "n_windows"],
+            )
+
+    return rows.mapInArrow(run, _RUN)
+
+
+def _first_runs(rows: DataFrame, firsts, large, bits: int, width: int, gram: int) -> DataFrame:
+    """The bytes of the first runs of classes, by the bitmap of representatives; ``large`` marks runs of large anchors."""
+
+    def run(batches):
+        for part in slices(batches, "text"):
+            data, at = text_bytes(part.column(1))
             anchor, code, owner, start, count = window_runs(data, at, width, gram)
-            kept = np.flatnonzero(in_bitmap(anchor, bitmap.value, bits))
-            owner, start, count = owner[kept], start[kept], count[kept]
-            columns = [
-                pa.array(anchor[kept].view(np.int64)), pa.array(code[kept].view(np.int64)),
-                part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner)), pa.array(start), pa.array(count),
-            ]
-            names = ["anchor", "bytes_hash", "doc", "version", "start", "n_windows"]
-            if with_bytes:
-                begin = at[owner] + start
-                columns.append(pa.array([data[a : a + n + width - 1].tobytes() for a, n in zip(begin, count)], pa.binary()))
-                names.append("content")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return rows.mapInArrow(run, _RUN + (", content binary" if with_bytes else ""))
+            doc = part.column(0).to_numpy()[owner]
+            kept = np.flatnonzero(in_bitmap(_representative(anchor, code, doc, start), firsts.value, bits))
+            begin = at[owner[kept]] + start[kept]
+            content = [data[a : a + n + width - 1].tobytes() for a, n in zip(begin, count[kept])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor[kept].view(np.int64)), pa.array(doc[kept]), pa.array(start[kept]), pa.array(count[kept]),
+                 pa.array(content, pa.binary()), pa.array(in_bitmap(anchor[kept], large.value, bits))],
+                names=["anchor", "doc", "start", "n_windows", "content", "large"],
+            )
+
+    return rows.mapInArrow(run, "anchor long, doc long, start long, n_windows long, content binary, large boolean")
 
 
 class _Shard:
@@ -124,7 +144,7 @@ class _Shard:
 
     def __init__(self, batches, width: int):
         self.file, self.width, size = tempfile.TemporaryFile(), width, 0
-        columns: dict[str, list[np.ndarray]] = {"doc": [], "version": [], "start": [], "n_windows": [], "at": []}
+        columns: dict[str, list[np.ndarray]] = {"doc": [], "start": [], "n_windows": [], "at": []}
         for batch in batches:
             contents = batch.column(batch.schema.get_field_index("content")).to_pylist()
             places = []
@@ -151,10 +171,7 @@ class _Shard:
             is_window, again = flags
             for at, n in zip(c["at"], c["n_windows"]):
                 is_window[at : at + n] = True
-            order = np.lexsort((c["version"], c["doc"]))
-            doc_rank = np.empty(len(order), np.int64)
-            fresh = (np.diff(c["doc"][order]) != 0) | (np.diff(c["version"][order]) != 0)
-            doc_rank[order] = np.concatenate(([0], np.cumsum(fresh)))
+            doc_rank = np.unique(c["doc"], return_inverse=True)[1].astype(np.int64)
             for position, group in equal_windows(text, width, is_window):
                 row = np.searchsorted(c["at"], position, side="right") - 1
                 key = (doc_rank[row] << 40) + c["start"][row] + position - c["at"][row]
@@ -172,8 +189,7 @@ class _Shard:
         first = c["start"][row] + begin - c["at"][row]
         last = c["start"][row] + end - c["at"][row] + width
         return pa.RecordBatch.from_arrays(
-            [pa.array(c["doc"][row]), pa.array(c["version"][row]), pa.array(first), pa.array(last)],
-            names=["doc", "version", "first", "last"],
+            [pa.array(c["doc"][row]), pa.array(first), pa.array(last)], names=["doc", "first", "last"]
         )
 
 
@@ -192,53 +208,83 @@ def _counted_windows(runs: DataFrame, width: int) -> DataFrame:
     """Covered windows of large anchors, counted by hash."""
 
     def run(batches):
-        for batch in batches:
-            get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
-            for part in slices([pa.RecordBatch.from_arrays([get("doc"), get("version"), get("start"), get("content")], names=["doc", "version", "start", "content"])], "content"):
-                data, at = text_bytes(part.column(3))
-                count = np.diff(at) - width + 1
-                owner = np.repeat(np.arange(len(count)), count)
-                offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-                place = at[owner] + offset
-                code = Hasher(data).spans(place, place + width)
-                turned = Hasher((data * np.uint8(151) + np.uint8(43)).astype(np.uint8)).spans(place, place + width)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(code.view(np.int64)), pa.array(mix(turned).view(np.int64)), part.column(0).take(pa.array(owner)),
-                     part.column(1).take(pa.array(owner)), pa.array(part.column(2).to_numpy()[owner] + offset)],
-                    names=["code_a", "code_b", "doc", "version", "first"],
-                )
-
-    windows = materialize(runs.mapInArrow(run, "code_a long, code_b long, doc long, version long, first long"), "windows")
-    place = F.struct("doc", "version", "first")
+        for part in slices(batches, "content"):
+            data, at = text_bytes(part.column(2))
+            count = np.diff(at) - width + 1
+            owner = np.repeat(np.arange(len(count)), count)
+            offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            place = at[owner] + offset
+            code = Hasher(data).spans(place, place + width)
+            turned = Hasher(data * np.uint8(151) + np.uint8(43)).spans(place, place + width)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(code.view(np.int64)), pa.array(mix(turned).view(np.int64)), part.column(0).take(pa.array(owner)),
+                 pa.array(part.column(1).to_numpy()[owner] + offset)],
+                names=["code_a", "code_b", "doc", "first"],
+            )
+
+    runs = runs.select("doc", "start", "content")
+    windows = materialize(runs.mapInArrow(run, "code_a long, code_b long, doc long, first long"), "windows")
+    place = F.struct("doc", "first")
     firsts = windows.groupBy("code_a", "code_b").agg(F.min(place).alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = windows.join(materialize(firsts, "first-windows"), ["code_a", "code_b"]).where(place > F.col("earliest"))
-    return later.select("doc", "version", "first", (F.col("first") + width).alias("last"))
+    return later.select("doc", "first", (F.col("first") + width).alias("last"))
 
 
 def covered_spans(
     rows: DataFrame, width: int = WIDTH, gram: int = GRAM, bitmap_bits: int = BITS, shard_bytes: int = SHARD_BYTES, anchor_runs: int = ANCHOR_RUNS,
 ) -> DataFrame:
-    """Byte ranges (doc, version, first, last) covered by earlier windows; they may overlap.
+    """Stored byte ranges (doc, first, last) covered by earlier windows; they may overlap.
 
-    ``rows`` holds doc, version and text.
+    ``rows`` holds ``doc``, a number that orders the documents, and ``text``.
     """
     recurring = broadcast_bitmap(_anchor_counts(rows, width, gram).where("n > 1"), "anchor", bitmap_bits)
-    runs = materialize(_runs(rows, recurring, bitmap_bits, width, gram, False), "runs")
-    place = F.struct("doc", "version", "start")
+    runs = materialize(_recurring_runs(rows, recurring, bitmap_bits, width, gram), "runs")
+    place = F.struct("doc", "start")
     classes = runs.groupBy("anchor", "bytes_hash", "n_windows").agg(F.min(place).alias("earliest"), F.count("*").alias("n"))
     classes = materialize(classes, "run-classes")
     again = runs.join(classes.where("n > 1").drop("n"), ["anchor", "bytes_hash", "n_windows"]).where(place > F.col("earliest"))
-    again = again.select("doc", "version", F.col("start").alias("first"), (F.col("start") + F.col("n_windows") + (width - 1)).alias("last"))
+    again = again.select("doc", F.col("start").alias("first"), (F.col("start") + F.col("n_windows") + (width - 1)).alias("last"))
+    again = materialize(again, "covered")
+    release(runs)
     several = materialize(classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"), "varied-anchors")
-    heads = classes.join(several, "anchor").select("anchor", "bytes_hash", "n_windows", "earliest.*", "classes")
-    varied = broadcast_bitmap(several, "anchor", bitmap_bits)
-    contents = _runs(rows, varied, bitmap_bits, width, gram, True).join(
-        heads, ["anchor", "bytes_hash", "n_windows", "doc", "version", "start"]
-    ).dropDuplicates(["anchor", "bytes_hash", "n_windows"])
-    contents = materialize(contents, "varied-runs")
-    return again.unionByName(_sorted_shards(contents.where(F.col("classes") <= anchor_runs), width, shard_bytes)).unionByName(
-        _counted_windows(contents.where(F.col("classes") > anchor_runs), width)
+    heads = classes.join(several, "anchor").select(
+        _representative(F.col("anchor"), F.col("bytes_hash"), F.col("earliest.doc"), F.col("earliest.start")).alias("mark")
+    )
+    firsts = broadcast_bitmap(heads, "mark", bitmap_bits)
+    large = broadcast_bitmap(several.where(F.col("classes") > anchor_runs), "anchor", bitmap_bits)
+    contents = materialize(_first_runs(rows, firsts, large, bitmap_bits, width, gram), "varied-runs")
+    release(classes, several)
+    found = materialize(
+        _sorted_shards(contents.where("not large").drop("large"), width, shard_bytes).unionByName(
+            _counted_windows(contents.where("large"), width)
+        ),
+        "covered",
+    )
+    release(contents)
+    return again.unionByName(found)
+
+
+def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The documents with ``doc``, a number in the order of ids and, for one id, of text hashes.
+
+    The id itself, unless some id has several texts; then ids and hashes are
+    ranked: range-partitioned, and counted within partitions.
+    """
+    rows = docs.select(
+        F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc"),
+        F.xxhash64(text).alias("version"), F.col(text).alias("text"),
     )
+    shared = rows.groupBy("doc").agg(F.min("version").alias("a"), F.max("version").alias("b")).where("a <> b")
+    if shared.isEmpty():
+        return rows.drop("version")
+    ranged = rows.select("doc", "version").distinct().repartitionByRange("doc", "version")
+    stored = materialize(ranged.withColumn("part", F.spark_partition_id()), "id-ranges")
+    sizes = stored.groupBy("part").agg(F.count("*").alias("n"))  # one row per partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("doc", "version"))
+    numbers = stored.withColumn("i", inside).join(sizes.select("part", before.alias("before")), "part")
+    numbers = materialize(numbers.select("doc", "version", (F.col("i") + F.col("before")).alias("number")), "numbers")
+    return rows.join(numbers, ["doc", "version"]).select("doc_id", F.col("number").alias("doc"), "text")
 
 
 def _merge(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,11 +297,10 @@ def _merge(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def remove_covered(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Per document its id, ``kept`` bytes (binary), ``n_bytes``, ``n_removed`` and ``n_spans``."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
-    spans = materialize(covered_spans(rows.where(F.col("text").isNotNull()), **options), "covered")
-    spans = spans.groupBy("doc", "version").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))
-    keyed = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
-    joined = keyed.join(spans, ["doc", "version"], "left").select("doc_id", "text", "cuts")
+    numbered = _numbered(docs, key, text)
+    spans = covered_spans(numbered.select("doc", "text").where("text is not null"), **options)
+    cuts = spans.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))
+    joined = numbered.join(cuts, "doc", "left").select("doc_id", "text", "cuts")
 
     def run(batches):
         for part in slices(batches, "text"):
