@@ -16,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from terrafold.plans import catalog  # noqa: E402
+from terrafold.session import use_local_folder  # noqa: E402
 
 HEADLINE = [
     "ingest_climatology", "sample_grid_at_points", "depth_weighted_mean", "stratified_sample",
@@ -42,6 +43,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    use_local_folder(spark)
     spark.read.parquet(f"{sf_dir}/orders.parquet").count()  # start the JVM before timing
     seconds: dict[str, float] = {}
     for name in names:

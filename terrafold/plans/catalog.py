@@ -83,9 +83,12 @@ def split_by_category_sink(spark, sf):
 
 @query
 def read_predictions(spark, sf):
-    path = scratch_path(spark, "preds") + ".csv"
-    src.write_table(fx.predictions(spark, sf).where("model = 'A'").drop("model"), path)
-    return src.read_predictions(spark, path, "A")
+    read = []
+    for model in ("A", "B"):
+        path = scratch_path(spark, "preds") + ".csv"
+        src.write_table(fx.predictions(spark, sf).where(F.col("model") == model).drop("model"), path)
+        read.append(src.read_predictions(spark, path, model))
+    return op.union_all(*read)
 
 
 @query
@@ -274,9 +277,7 @@ def align_tables(spark, sf):
 
 @query
 def category_bin_grid(spark, sf):
-    bands = fx.points(spark, sf).where("suitability < 6000 or crop = 'maize'").withColumn(
-        "bin", F.floor(F.col("suitability") / 1000).cast("int")
-    )
+    bands = fx.points(spark, sf).withColumn("bin", F.floor(F.col("suitability") / 1000).cast("int"))
     counts = bands.groupBy("crop", "bin").agg(F.count(F.lit(1)).alias("n"))
     return op.category_bin_grid(counts, ["crop"], "bin", 11)
 
@@ -359,7 +360,7 @@ def metrics_all_levels(spark, sf):
 
 @query
 def subgroup_metrics(spark, sf):
-    return rounded(op.subgroup_metrics(fx.predictions(spark, sf).where("model = 'B'")))
+    return rounded(op.subgroup_metrics(fx.predictions(spark, sf)))
 
 
 @query
@@ -473,8 +474,8 @@ def stratified_sample(spark, sf):
 
 @query
 def sample_exact_n(spark, sf):
-    df = fx.predictions(spark, sf).where("model = 'B'").select("row_index", "observed", "predicted")
-    return op.sample_exact_n(df, "row_index", 1000)
+    df = fx.points(spark, sf).select("row_id", "suitability", "qty")
+    return op.sample_exact_n(df, "row_id", 1000)
 
 
 @query

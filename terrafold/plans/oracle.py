@@ -192,7 +192,7 @@ def _statements() -> dict[str, str]:
     s["read_model_ready"] = """SELECT row_id, crop, suitability, qty, ext, sg_clay_0_30, sg_sand_0_30, is_wheat FROM prepared"""
     s["write_model_ready"] = """SELECT row_id, lat, lon, crop, suitability, qty, ext, sg_clay_0_30, sg_sand_0_30, is_wheat FROM prepared"""
     s["split_by_category_sink"] = "SELECT row_id, crop, suitability FROM points WHERE crop = 'wheat'"
-    s["read_predictions"] = "SELECT * FROM predictions WHERE model = 'A'"
+    s["read_predictions"] = "SELECT * FROM predictions"
     s["read_predictions_lenient"] = f"SELECT 'X' AS model, fold, {_SCORES} FROM predictions GROUP BY fold"
     s["read_run_metrics"] = f"""SELECT run_name, model_name, spatial_block_deg,
         {_rs('spatial_r2_mean spatial_r2_std spatial_rmse_mean spatial_rmse_std spatial_mae_mean spatial_mae_std')},
@@ -254,8 +254,7 @@ def _statements() -> dict[str, str]:
     s["category_bin_grid"] = """
         SELECT g.crop, CAST(g.bin AS INTEGER) AS bin, n
         FROM (SELECT * FROM (VALUES ('wheat'), ('maize')) a(crop), range(11) b(bin)) g
-        LEFT JOIN (SELECT crop, CAST(floor(suitability / 1000) AS INTEGER) AS bin, count(*) AS n FROM points
-                   WHERE suitability < 6000 OR crop = 'maize' GROUP BY 1, 2) t ON t.crop = g.crop AND t.bin = g.bin"""
+        LEFT JOIN (SELECT crop, CAST(floor(suitability / 1000) AS INTEGER) AS bin, count(*) AS n FROM points GROUP BY 1, 2) t ON t.crop = g.crop AND t.bin = g.bin"""
     s["union_all"] = """SELECT row_id, crop, qty, CAST(NULL AS INTEGER) AS suitability FROM points WHERE crop = 'wheat'
         UNION ALL SELECT row_id, crop, NULL, suitability FROM points WHERE crop = 'maize'"""
     s["encode_category"] = """
@@ -284,7 +283,7 @@ def _statements() -> dict[str, str]:
     s["metrics_all_levels"] = f"""
         SELECT model, crop, {_MODEL}, {_STD}, {_MAE}, 'category' AS level FROM predictions GROUP BY model, crop
         UNION ALL SELECT model, NULL, {_MODEL}, {_STD}, {_MAE}, 'model' FROM predictions GROUP BY model"""
-    s["subgroup_metrics"] = f"SELECT crop, {_MODEL}, {_MAE} FROM predictions WHERE model = 'B' GROUP BY crop"
+    s["subgroup_metrics"] = f"SELECT crop, {_MODEL}, {_MAE} FROM predictions GROUP BY crop"
     means = ", ".join(
         _r(f"avg({m})", f"{m}_mean") + ", " + _r(f"stddev_samp({m})", f"{m}_std") for m in ("r2", "rmse", "mae")
     )
@@ -372,8 +371,8 @@ def _statements() -> dict[str, str]:
                     UNION ALL SELECT row_id, cell_id, crop, lat, lon, suitability, 0 FROM points WHERE suitability = 0) u) v
         WHERE k <= CASE WHEN stratum = 0 THEN 8 WHEN stratum <= 3 THEN 51 ELSE 50 END"""
     pick = "md5(concat('42|', CAST({k} AS VARCHAR)))"
-    s["sample_exact_n"] = f"""SELECT row_index, observed, predicted FROM predictions WHERE model = 'B'
-        QUALIFY row_number() OVER (ORDER BY {pick.format(k='row_index')}) <= 1000"""
+    s["sample_exact_n"] = f"""SELECT row_id, suitability, qty FROM points
+        QUALIFY row_number() OVER (ORDER BY {pick.format(k='row_id')}) <= 1000"""
     s["sample_per_group"] = f"""SELECT model, row_index, observed, predicted FROM predictions
         QUALIFY row_number() OVER (PARTITION BY model ORDER BY {pick.format(k='row_index')}) <= 700"""
     s["random_split"] = f"""SELECT row_id, suitability,

@@ -2,33 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local-mode session without the setting falls back to a temporary
-    folder; a cluster session without it is refused.
-    """
+    """Folder every executor can reach, as named by ``spark.checkpoint.dir``; without it, work is refused."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before using this operator")
-    if sc.applicationId not in _LOCAL_ROOTS:
-        root = tempfile.mkdtemp(prefix="terrafold-")
-        sc.setCheckpointDir(root)
-        _LOCAL_ROOTS[sc.applicationId] = root
-    return _LOCAL_ROOTS[sc.applicationId]
+    raise RuntimeError("set spark.checkpoint.dir to a shared folder before using this operator")
+
+
+def use_local_folder(spark: SparkSession) -> None:
+    """Give a one-machine session without a shared folder a temporary one; other sessions stay as they are.
+
+    For entry points such as tests and benchmarks; operators never call it.
+    """
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not configured and re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="terrafold-"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
