@@ -7,10 +7,12 @@ stage's ``docs``. All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from terrafold.llm import decontaminate, jaccard_join, line_dedup, packing, quality
-from terrafold.session import materialize
+from terrafold.session import materialize, use_local_folder
 
 #: Near duplicates: shared runs of five words, similarity of 80 percent.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -41,12 +43,23 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+def _with_folder(stage):
+    """The stage, for sessions that may lack a folder for intermediate tables."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        use_local_folder(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", good_documents),
-    ("line dedup", without_boilerplate),
-    ("n-gram Jaccard join", without_copies),
-    ("benchmark decontamination", without_benchmark),
-    ("best-fit packing", packed),
+    ("quality classifier", _with_folder(good_documents)),
+    ("line dedup", _with_folder(without_boilerplate)),
+    ("n-gram Jaccard join", _with_folder(without_copies)),
+    ("benchmark decontamination", _with_folder(without_benchmark)),
+    ("best-fit packing", _with_folder(packed)),
 ]
 
 #: The classifier is a fitted model and packing an iterative search, which SQL cannot express.
@@ -55,6 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
+    use_local_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "stage")
