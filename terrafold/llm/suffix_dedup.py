@@ -42,7 +42,7 @@ from terrafold.session import materialize, release
 
 WIDTH = 100
 GRAM = 32
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
 ANCHOR_RUNS = 50_000
 _LAST = (1 << 63) - 1
 _RUN = "anchor long, bytes_hash long, doc long, start long, n_windows long"
