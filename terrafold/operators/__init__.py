@@ -15,6 +15,7 @@ from terrafold.operators.explain import (
     group_importance,
     indicator_contribution_summary,
     mean_abs_contribution,
+    node_table,
     top_k_features,
     tree_contributions,
 )

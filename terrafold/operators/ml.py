@@ -45,9 +45,12 @@ def forest(
     seed: int = 42,
     max_bins: int = 32,
     max_memory_mb: int = 1024,
+    bootstrap: bool = True,
 ) -> RandomForestRegressor:
     """Random forest; a depth of None means Spark's deepest tree.
 
+    Without ``bootstrap`` every tree sees every row once.
+
     Deep trees pass over the data once per group of open nodes, so the memory
     for node statistics is above Spark's default, and node ids are kept with
     the rows instead of being found again from the root.
@@ -63,6 +66,7 @@ def forest(
         seed=seed,
         maxBins=max_bins,
         maxMemoryInMB=max_memory_mb,
+        bootstrap=bool(bootstrap),
         cacheNodeIds=True,
     )
 

@@ -712,3 +712,81 @@ def contribution_additivity(spark, sf):
     return rounded(
         scored.join(total, "row_id").select("row_id", "crop", F.abs(F.col("predicted") - F.col("total")).alias("gap")), 6
     )
+
+
+# --- fitted models that SQL can replay: single cuts of columns with few values ----
+
+CUT_FEATURES = ["n_lines", "sg_clay_0_30", "sg_sand_0_30", "is_wheat"]
+ONE_CUT = {"n_estimators": 1, "max_depth": 1, "max_features": "all", "bootstrap": False}
+TWO_CUTS = {"n_estimators": 2, "max_depth": 1, "learning_rate": 1.0, "subsample": 1.0, "colsample_bytree": 1.0}
+
+
+def _cut_table(spark, sf):
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in CUT_FEATURES[:3]]
+    return fx.points(spark, sf).select(
+        "row_id", "crop", "lat", "lon", "suitability", *filled, fn.encode_category("crop").alias("is_wheat")
+    )
+
+
+def _cut_folds(spark, sf):
+    return op.spatial_folds(_cut_table(spark, sf), 10.0)
+
+
+@query
+def random_forest_cv_one_cut(spark, sf):
+    return rounded(op.random_forest_cv(_cut_folds(spark, sf), CUT_FEATURES, "suitability", **ONE_CUT))
+
+
+@query
+def boosted_trees_cv_two_cuts(spark, sf):
+    return rounded(op.boosted_trees_cv(_cut_folds(spark, sf), CUT_FEATURES, "suitability", **TWO_CUTS))
+
+
+@query
+def oof_predictions_one_cut(spark, sf):
+    return rounded(op.oof_predictions(_cut_folds(spark, sf), op.forest(**ONE_CUT), CUT_FEATURES, "suitability"))
+
+
+@query
+def holdout_eval_two_cuts(spark, sf):
+    scores = op.holdout_eval(_cut_table(spark, sf), op.boosted_trees(**TWO_CUTS), CUT_FEATURES, "suitability", "row_id")[1]
+    return rounded(scores)
+
+
+@query
+def random_search_one_cut(spark, sf):
+    configs = [{"config_id": f"leaf{n}", "min_samples_leaf": n, **ONE_CUT} for n in (1, 400)]
+    runs = op.random_search(_cut_table(spark, sf), configs, [10.0], "forest", CUT_FEATURES, "suitability")
+    return rounded(runs.drop("file"))
+
+
+def _two_cuts_saved(spark, sf):
+    model = op.full_fit(_cut_table(spark, sf), op.boosted_trees(**TWO_CUTS), CUT_FEATURES, "suitability")
+    return src.save_model(model, scratch_path(spark, "model"))
+
+
+@query
+def full_fit_two_cuts(spark, sf):
+    """The root of each tree of the fitted model: its column, cut and rows."""
+    nodes = op.node_table(spark, _two_cuts_saved(spark, sf)).where(F.col("left") >= 0)
+    names = F.array(*[F.lit(f) for f in CUT_FEATURES])
+    return rounded(nodes.select("tree", F.get(names, F.col("feature_index")).alias("feature"), "threshold",
+                                F.col("rows").cast("long").alias("n_rows"), "gain", "weight"))
+
+
+@query
+def feature_importance_two_cuts(spark, sf):
+    return rounded(op.feature_importance(spark, _two_cuts_saved(spark, sf), CUT_FEATURES), 6)
+
+
+@query
+def tree_contributions_two_cuts(spark, sf):
+    path = _two_cuts_saved(spark, sf)
+    return rounded(op.tree_contributions(_cut_table(spark, sf), path, CUT_FEATURES, "row_id", ["crop"]))
+
+
+@query
+def bias_summary_of_model(spark, sf):
+    path = _two_cuts_saved(spark, sf)
+    explained = op.tree_contributions(_cut_table(spark, sf), path, CUT_FEATURES, "row_id")
+    return rounded(op.bias_summary(explained.where(F.col("feature") == CUT_FEATURES[0])))

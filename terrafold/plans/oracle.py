@@ -449,6 +449,107 @@ def _statements() -> dict[str, str]:
     return s
 
 
+def _cuts(prefix: str, train: str) -> dict[str, str]:
+    """Views that find the best single cut of each job's training rows (job, min_leaf, row_id, y)."""
+    return {
+        f"{prefix}_sums": f"""
+  SELECT job, min_leaf, place, feature, v, count(*) AS n, sum(y) AS s
+  FROM {train} JOIN cut_values ON cut_values.id = {train}.row_id GROUP BY ALL""",
+        f"{prefix}_best": f"""
+  SELECT job, feature, place, v, (v + next_v) / 2 AS threshold, all_n, left_s / left_n AS low,
+         (all_s - left_s) / (all_n - left_n) AS high, all_s / all_n AS mean,
+         left_s * left_s / left_n + (all_s - left_s) * (all_s - left_s) / (all_n - left_n) - all_s * all_s / all_n AS fall
+  FROM (SELECT *, sum(n) OVER up AS left_n, sum(s) OVER up AS left_s, lead(v) OVER up AS next_v,
+               sum(n) OVER (PARTITION BY job, place) AS all_n, sum(s) OVER (PARTITION BY job, place) AS all_s
+        FROM {prefix}_sums WINDOW up AS (PARTITION BY job, place ORDER BY v)) t
+  WHERE next_v IS NOT NULL AND left_n >= min_leaf AND all_n - left_n >= min_leaf
+  QUALIFY row_number() OVER (PARTITION BY job ORDER BY fall DESC, place, v) = 1""",
+    }
+
+
+_VIEWS |= {
+    "cut_points": """
+  SELECT row_id, crop, lat, lon, fold, CAST(suitability AS DOUBLE) AS y, CAST(coalesce(n_lines, 0) AS DOUBLE) AS n_lines,
+         coalesce(sg_clay_0_30, 0) AS clay, coalesce(sg_sand_0_30, 0) AS sand, CAST(crop = 'wheat' AS DOUBLE) AS wheat,
+         row_number() OVER (ORDER BY md5(concat('42|', CAST(row_id AS VARCHAR)))) <= ceil(CAST(0.2 AS DOUBLE) * count(*) OVER ()) AS test
+  FROM folded""",
+    "cut_values": """
+  SELECT row_id AS id, 0 AS place, 'n_lines' AS feature, n_lines AS v FROM cut_points
+  UNION ALL SELECT row_id, 1, 'sg_clay_0_30', clay FROM cut_points
+  UNION ALL SELECT row_id, 2, 'sg_sand_0_30', sand FROM cut_points
+  UNION ALL SELECT row_id, 3, 'is_wheat', wheat FROM cut_points""",
+    "cut_train": """
+  SELECT concat('fold', CAST(k AS VARCHAR), '_', CAST(m AS VARCHAR)) AS job, m AS min_leaf, row_id, y
+  FROM cut_points, range(1, 6) t(k), (VALUES (1), (400)) u(m) WHERE fold <> k
+  UNION ALL SELECT 'all', 1, row_id, y FROM cut_points
+  UNION ALL SELECT 'train', 1, row_id, y FROM cut_points WHERE NOT test""",
+    **_cuts("first", "cut_train"),
+    # Twice the residual: the negative gradient of the squared error.
+    "cut_rest": """
+  SELECT t.job, t.min_leaf, t.row_id, 2 * (t.y - CASE WHEN x.v <= b.v THEN b.low ELSE b.high END) AS y
+  FROM cut_train t JOIN first_best b ON b.job = t.job JOIN cut_values x ON x.id = t.row_id AND x.feature = b.feature""",
+    **_cuts("second", "cut_rest"),
+    "cut_scored": """
+  SELECT j.job, p.row_id, p.crop, p.lat, p.lon, p.fold, p.test, p.y AS observed,
+         CASE WHEN x1.v <= b1.v THEN b1.low ELSE b1.high END AS one,
+         CASE WHEN x1.v <= b1.v THEN b1.low ELSE b1.high END + CASE WHEN x2.v <= b2.v THEN b2.low ELSE b2.high END AS two
+  FROM cut_points p JOIN (SELECT DISTINCT job FROM cut_train) j ON j.job IN ('all', 'train') OR starts_with(j.job, concat('fold', CAST(p.fold AS VARCHAR)))
+  JOIN first_best b1 ON b1.job = j.job JOIN cut_values x1 ON x1.id = p.row_id AND x1.feature = b1.feature
+  JOIN second_best b2 ON b2.job = j.job JOIN cut_values x2 ON x2.id = p.row_id AND x2.feature = b2.feature""",
+}
+
+
+def _error_scores(pred: str) -> str:
+    """Unrounded r2, rmse and mae of a prediction column of cut_scored."""
+    e = f"(observed - {pred})"
+    return f"1 - sum({e} * {e}) / (var_pop(observed) * count(*)) AS r2, sqrt(avg({e} * {e})) AS rmse, avg(abs({e})) AS mae"
+
+
+def _replayed() -> dict[str, str]:
+    """Fitted models of one or two single cuts, replayed."""
+
+    def folds(model: str, pred: str) -> str:
+        return f"""SELECT '{model}' AS model, fold, CAST(sum(n) OVER () - n AS BIGINT) AS n_train, n AS n_test, {_rs('r2 rmse mae')}
+        FROM (SELECT fold, count(*) AS n, {_error_scores(pred)} FROM cut_scored WHERE job = concat('fold', CAST(fold AS VARCHAR), '_1') GROUP BY fold) t"""
+
+    error = "(observed - one)"
+    spatial = ", ".join(
+        f"{_r(f'avg({m})', f'spatial_{m}_mean')}, {_r(f'stddev_samp({m})', f'spatial_{m}_std')}" for m in ("r2", "rmse", "mae")
+    )
+    terms = " UNION ALL ".join(
+        f"""SELECT x.id, x.feature, CASE WHEN x.v <= b.v THEN b.low ELSE b.high END - b.mean AS part
+            FROM {t}_best b JOIN cut_values x ON x.feature = b.feature WHERE b.job = 'all'""" for t in ("first", "second")
+    )
+    bias = "(SELECT sum(mean) AS bias FROM (SELECT mean FROM first_best WHERE job = 'all' UNION ALL SELECT mean FROM second_best WHERE job = 'all') t)"
+    roots = """(SELECT 0 AS tree, * FROM first_best WHERE job = 'all' UNION ALL SELECT 1, * FROM second_best WHERE job = 'all')"""
+    return {
+        "random_forest_cv_one_cut": folds("forest", "one"),
+        "boosted_trees_cv_two_cuts": folds("boosted", "two"),
+        "oof_predictions_one_cut": f"""SELECT fold, row_id, crop, {_rs('lat lon observed')}, {_r('one', 'predicted')}, {_r(error, 'residual')},
+        {_r(f'abs{error}', 'abs_error')}, {_r(f'{error} * {error}', 'squared_error')}, 'model' AS model
+        FROM cut_scored WHERE job = concat('fold', CAST(fold AS VARCHAR), '_1')""",
+        "holdout_eval_two_cuts": f"""SELECT n_test, {_rs('r2 rmse mae')}
+        FROM (SELECT count(*) AS n_test, {_error_scores('two')} FROM cut_scored WHERE job = 'train' AND test) t""",
+        "random_search_one_cut": f"""SELECT concat('rf_leaf', CAST(m AS VARCHAR), '_block10p0_rs') AS run_name, 'RandomForestRegressor' AS model_name,
+        CAST(10 AS DOUBLE) AS spatial_block_deg, {spatial}, count(*) AS spatial_n_splits, CAST(5 AS BIGINT) AS n_splits,
+        CAST(1 AS BIGINT) AS n_estimators, CAST(1 AS BIGINT) AS max_depth, CAST(m AS BIGINT) AS min_samples_leaf, 'all' AS max_features,
+        false AS bootstrap, CAST(4 AS BIGINT) AS n_features_used, any_value(total) AS n_rows
+        FROM (SELECT CAST(split_part(job, '_', 2) AS INTEGER) AS m, fold, {_error_scores('one')} FROM cut_scored
+              WHERE starts_with(job, 'fold') GROUP BY job, fold) t, (SELECT count(*) AS total FROM points) c
+        GROUP BY m""",
+        "full_fit_two_cuts": f"""SELECT CAST(tree AS INTEGER) AS tree, feature, {_r('threshold', 'threshold')}, CAST(all_n AS BIGINT) AS n_rows,
+        {_r('fall / all_n', 'gain')}, CAST(1 AS DOUBLE) AS weight FROM {roots} t""",
+        "feature_importance_two_cuts": f"""SELECT feature, {_r('share', 'importance', 6)}, {_r('share', 'share', 6)}
+        FROM (SELECT f.feature, coalesce(g.raw, 0) / sum(coalesce(g.raw, 0)) OVER () AS share
+              FROM (SELECT DISTINCT feature FROM cut_values) f LEFT JOIN (SELECT feature, avg(fall) AS raw FROM {roots} r GROUP BY feature) g
+                ON g.feature = f.feature) t""",
+        "tree_contributions_two_cuts": f"""SELECT x.id AS row_id, p.crop, x.feature, {_r('x.v', 'value')}, {_r('coalesce(c.part, 0)', 'contribution')}, {_r('b.bias', 'bias')}
+        FROM cut_values x JOIN cut_points p ON p.row_id = x.id
+        LEFT JOIN (SELECT id, feature, sum(part) AS part FROM ({terms}) u GROUP BY id, feature) c ON c.id = x.id AND c.feature = x.feature, {bias} b""",
+        "bias_summary_of_model": f"SELECT {_r('bias', 'mean_bias')}, CAST(0 AS DOUBLE) AS std_bias FROM {bias} b",
+    }
+
+
 def _needed(text: str) -> list[str]:
     """Views a statement uses, directly or through other views, in definition order."""
     seen: set[str] = set()
@@ -464,7 +565,7 @@ def _needed(text: str) -> list[str]:
 def statements() -> dict[str, str]:
     """Complete statements, each with the views it needs in front."""
     out = {}
-    for name, body in _statements().items():
+    for name, body in (_statements() | _replayed()).items():
         body = body.strip()
         views = [f"{v} AS ({_VIEWS[v]})" for v in _needed(body)]
         if body.startswith("WITH "):
