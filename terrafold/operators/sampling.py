@@ -2,8 +2,9 @@
 
 Rows are ordered by ``md5(seed|key)``. ``key`` must identify a row. A sample
 of n rows is then "every row whose hash is at most the n-th smallest hash", so
-each operator finds that one hash per group by counting hash prefixes and
-finishes with a filter: no group is sorted or gathered.
+each operator stores the hashes once, finds that one hash per group by counting
+hash prefixes, and finishes with a filter: the input is read twice, and no group
+is sorted or gathered.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from terrafold.functions.columns import require_columns
 from terrafold.operators.binning import bin_by_edges, quantile_edges
 from terrafold.session import materialize
 
-_PREFIX = 4  # hex digits: 65,536 prefixes, each holding about 1/65,536 of a group
 _ABOVE_ALL = "g"  # sorts after every hex digit
 
 
@@ -38,14 +38,22 @@ def hash_cutoffs(
     table ``(by..., _quota)``. A quota of the whole group or more keeps all.
     Raises when copies of one key would make a sample larger than asked.
     """
+    hashed = materialize(df.select(*by, row_hash(key, seed).alias("_h")), "hashes")
+    return _cutoffs(hashed, key, quotas, by)
+
+
+def _cutoffs(stored: DataFrame, key: str, quotas: DataFrame | Column | int, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`hash_cutoffs` of a stored table ``(by..., _h)``.
+
+    The prefixes are so long that there are about as many as rows have one prefix:
+    both windows hold in the order of the square root of the rows.
+    """
     keys = [*by, "_all"]
-    hashed = df.select(
-        *by, F.lit(0).alias("_all"), row_hash(key, seed).alias("_h")
-    ).withColumn("_p", F.substring("_h", 1, _PREFIX))
+    digits = max(1, math.ceil(math.log(max(stored.count(), 1), 16) / 2))
+    hashed = stored.select(*by, F.lit(0).alias("_all"), "_h", F.substring("_h", 1, digits).alias("_p"))
     counts = hashed.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"))
     within = Window.partitionBy(*keys)
     ordered = within.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 65,536 rows per group reach these windows.
     counts = counts.withColumns(
         {
             "_before": F.coalesce(F.sum("_n").over(ordered), F.lit(0)),
@@ -143,9 +151,10 @@ def stratified_sample(
     """
     require_columns(df, [category, target, key, *required])
     rows = df.dropna(subset=[target, category, *required]).where(F.col(target) >= 0)
+    narrow = materialize(rows.select(category, target, key, row_hash(key, seed).alias("_h")), "narrow")
     # One pass counts the target values; edges and stratum sizes come from the counts.
     counted = materialize(
-        rows.groupBy(category, target).agg(F.count(F.lit(1)).alias("_n")), "target-values"
+        narrow.groupBy(category, target).agg(F.count(F.lit(1)).alias("_n")), "target-values"
     )
     edges = quantile_edges(counted.where(F.col(target) > 0), target, q, [category], "_n")
 
@@ -154,7 +163,6 @@ def stratified_sample(
         stratum = F.when(F.col(target) == 0, F.lit(0)).otherwise(F.col("_bin") + 1)
         return binned.withColumn("_stratum", stratum).drop("_bin", "_bin_lo", "_bin_hi")
 
-    strata = with_stratum(rows)
     sizes = materialize(
         with_stratum(counted).groupBy(category, "_stratum").agg(F.sum("_n").alias("_size")), "strata"
     )
@@ -192,8 +200,11 @@ def stratified_sample(
             f"cannot draw {n_zero} zero and {n_nonzero} nonzero rows: {[r.asDict() for r in bad]}"
         )
     strata_keys = [category, "_stratum"]
-    cutoffs = hash_cutoffs(strata, key, seed, quotas.select(*strata_keys, "_quota"), strata_keys)
-    return _sampled(strata, key, seed, cutoffs, strata_keys).where("_in").select(*df.columns)
+    strata = with_stratum(narrow).select(category, target, key, "_stratum", "_h")
+    cutoffs = _cutoffs(strata, key, quotas.select(*strata_keys, "_quota"), strata_keys)
+    drawn = strata.join(cutoffs, strata_keys).where(F.col("_h") <= F.col("_cut")).select(category, target, key)
+    # Few rows next to the input; their stored size decides how they are joined back.
+    return rows.join(materialize(drawn, "drawn"), [category, target, key], "left_semi").select(*df.columns)
 
 
 def param_sampler(

@@ -92,18 +92,21 @@ def ingest_climatology(
         parsed.withColumn("_ok", answered & readable).drop("body"), params, periods, scalar_params
     )
     values = [c for c in flat.columns if c not in (key, "attempt", "status", "_ok")]
-    error = F.when(answered, F.lit("invalid JSON")).otherwise(
-        F.concat(F.lit("HTTP "), F.col("status").cast("string"))
-    )
+    # Numbers only, so that the aggregation hashes and does not sort. All share one order, so all come from one attempt.
+    failure = F.when(answered, F.lit(0)).otherwise(F.col("status").cast("int"))
+    first, last = F.when(F.col("_ok"), F.col("attempt")), F.when(~F.col("_ok"), F.col("attempt"))
     chosen = flat.groupBy(key).agg(
-        F.min_by(F.struct(*values), F.when(F.col("_ok"), F.col("attempt"))).alias("_first"),
-        F.max_by(error, F.when(~F.col("_ok"), F.col("attempt"))).alias("_error"),
+        *[F.min_by(c, first).alias(f"_first_{c}") for c in values],
+        F.max_by(failure, last).alias("_failure"),
         F.bool_or("_ok").alias("_any"),
     )
+    error = F.when(F.col("_failure") == 0, F.lit("invalid JSON")).otherwise(
+        F.concat(F.lit("HTTP "), F.col("_failure").cast("string"))
+    )
     return chosen.select(
         key,
-        *[F.when(F.col("_any"), F.col(f"_first.{c}")).alias(c) for c in values],
-        F.when(~F.col("_any"), F.col("_error")).alias("power_error"),
+        *[F.when(F.col("_any"), F.col(f"_first_{c}")).alias(c) for c in values],
+        F.when(~F.col("_any"), error).alias("power_error"),
     )
 
 
