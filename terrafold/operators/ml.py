@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -267,8 +268,8 @@ def _recorded(spark: SparkSession, records: str) -> set[str]:
     """Names of runs with a complete record under ``records``."""
     try:
         found = read_run_metrics(spark, f"{records}/*.json")
-    except Exception as e:  # nothing recorded yet
-        if "PATH_NOT_FOUND" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # nothing recorded yet
             return set()
         raise
     return {r[0] for r in found.select("run_name").collect()}

@@ -89,11 +89,15 @@ def category_filter(df: DataFrame, category: str, value: str) -> DataFrame:
 def missing_profile(
     df: DataFrame, columns: Sequence[str] | None = None, digits: int = 6
 ) -> DataFrame:
-    """NULL share of each column in percent: ``column, missing_pct``. One scan."""
+    """NULL or NaN share of each column in percent: ``column, missing_pct``. One scan."""
     columns = list(df.columns if columns is None else columns)
-    wide = df.agg(
-        *[(F.avg(F.col(f"`{c}`").isNull().cast("double")) * 100).alias(c) for c in columns]
-    )
+    fractional = {c for c, t in df.dtypes if t in ("double", "float")}
+
+    def missing(c: str) -> Column:
+        v = F.col(f"`{c}`")
+        return v.isNull() | F.isnan(v) if c in fractional else v.isNull()
+
+    wide = df.agg(*[(F.avg(missing(c).cast("double")) * 100).alias(c) for c in columns])
     return wide.unpivot([], [F.col(f"`{c}`") for c in columns], "column", "missing_pct").withColumn(
         "missing_pct", F.round("missing_pct", digits)
     )
@@ -123,7 +127,7 @@ def median_impute(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def assert_no_missing(df: DataFrame, columns: Sequence[str] | None = None, top: int = 15) -> DataFrame:
-    """Return ``df``, or raise naming the columns with most NULLs (one scan)."""
+    """Return ``df``, or raise naming the columns with most NULL and NaN values (one scan)."""
     profile = missing_profile(df, columns, digits=6)
     worst = (
         profile.where(F.col("missing_pct") > 0)

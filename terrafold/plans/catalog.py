@@ -100,6 +100,19 @@ def read_predictions_lenient(spark, sf):
     return rounded(op.regression_metrics(out, by=["model", "fold"]))
 
 
+@query
+def read_predictions_lenient_file(spark, sf):
+    foreign = fx.predictions(spark, sf).select(
+        F.col("predicted").alias("prediction"), F.col("model").alias("run"), F.col("fold").alias("Fold"), F.col("observed").alias("Y_True")
+    )
+    path = scratch_path(spark, "foreign") + ".csv"
+    src.write_table(foreign.where("run = 'A'").drop("run"), path)
+    other = scratch_path(spark, "foreign") + ".csv"
+    src.write_table(foreign.where("run = 'B'").drop("run"), other)
+    both = op.union_all(*[src.read_predictions_lenient(p, m, spark) for p, m in ((path, "A"), (other, "B"))])
+    return rounded(op.regression_metrics(both, by=["model", "fold"]))
+
+
 @query
 def write_reports(spark, sf):
     folder = scratch_path(spark, "reports")
@@ -126,6 +139,15 @@ def ingest_climatology(spark, sf):
     return src.ingest_climatology(fx.climate_responses(spark, sf), "cell_id", fx.PARAMS, fx.PERIODS)
 
 
+@query
+def ingest_climatology_single_numbers(spark, sf):
+    """A parameter that the service reports as one number instead of one per period."""
+    row = F.substring_index("cell_id", "_", -1).cast("long")
+    added = F.concat(F.lit('"parameter":{"SNODP":'), (row % 50).cast("string"), F.lit(","))
+    responses = fx.climate_responses(spark, sf).withColumn("body", F.replace("body", F.lit('"parameter":{'), added))
+    return src.ingest_climatology(responses, "cell_id", fx.PARAMS, ["ANN"], ["SNODP"])
+
+
 @query
 def flatten_climatology(spark, sf):
     landed = fx.climate_responses(spark, sf).where("status = 200")
@@ -714,6 +736,22 @@ def contribution_additivity(spark, sf):
     )
 
 
+@query
+def cell_identifier(spark, sf):
+    return fx.points(spark, sf).select(
+        "row_id", fn.cell_identifier("crop", F.floor((75 - F.col("lat")) / 2), F.floor((F.col("lon") + 180) / 2)).alias("cell")
+    )
+
+
+@query
+def best_run_of_block(spark, sf):
+    """The best run of each block size, looked up one by one, under its file-name-safe block label."""
+    runs = materialize(fx.runs(spark, sf), "runs")
+    best = [op.best_run(runs, d) | {"label": fn.block_label(d)} for d in (5.0, 10.0)]  # two rows
+    columns = ["run_name", "label", "spatial_rmse_mean"]
+    return rounded(spark.createDataFrame([tuple(b[c] for c in columns) for b in best], "run_name string, label string, spatial_rmse_mean double"))
+
+
 # --- fitted models that SQL can replay: single cuts of columns with few values ----
 
 CUT_FEATURES = ["n_lines", "sg_clay_0_30", "sg_sand_0_30", "is_wheat"]

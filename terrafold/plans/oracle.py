@@ -199,6 +199,14 @@ def _statements() -> dict[str, str]:
         spatial_n_splits FROM runs"""
     s["best_run_per_block"] = s["read_run_metrics"] + """
         QUALIFY row_number() OVER (PARTITION BY spatial_block_deg ORDER BY runs.spatial_r2_mean DESC, run_name) = 1"""
+    s["read_predictions_lenient_file"] = f"SELECT model, fold, {_SCORES} FROM predictions GROUP BY model, fold"
+    s["cell_identifier"] = """SELECT row_id, concat(crop, '_', CAST(CAST(floor((75 - lat) / 2) AS BIGINT) AS VARCHAR), '_',
+        CAST(CAST(floor((lon + 180) / 2) AS BIGINT) AS VARCHAR)) AS cell FROM points"""
+    s["best_run_of_block"] = f"""SELECT run_name, CASE spatial_block_deg WHEN 5 THEN '5p0' ELSE '10p0' END AS label, {_r('spatial_rmse_mean', 'spatial_rmse_mean')}
+        FROM runs QUALIFY row_number() OVER (PARTITION BY spatial_block_deg ORDER BY spatial_r2_mean DESC, run_name) = 1"""
+    s["ingest_climatology_single_numbers"] = """SELECT cell_id, power_lon, power_lat, power_elevation_m,
+        CASE WHEN power_error IS NULL THEN CAST(CAST(split_part(cell_id, '_', 2) AS BIGINT) % 50 AS DOUBLE) END AS "SNODP",
+        "T2M_ANN", "PRECTOTCORR_ANN", power_error FROM climate"""
     s["ingest_climatology"] = "SELECT * FROM climate"
     s["flatten_climatology"] = f"""
         SELECT cell_id, attempt,
