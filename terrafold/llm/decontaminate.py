@@ -1,13 +1,13 @@
 """Benchmark decontamination: find benchmark passages in training documents.
 
 The windows (ten consecutive words) of the benchmark are broadcast as a sorted
-array of hashes with a small bitmap before it; each task slides over the words
-of its documents with numpy and checks every hash hit against the words
-themselves. Documents are read once and not shuffled.
+array of hashes with a bitmap before it, next to the benchmark's words; each
+task slides over the words of its documents with numpy and checks every hash hit
+against the words themselves. Documents are read once and not shuffled.
 
 A benchmark of more than ``broadcast_bytes`` of text is taken in parts of about
-that size, one pass over the documents each, so what is broadcast stays bounded
-whatever its size.
+that size, one pass over the documents each, so what is broadcast (arrays of
+about nine times the text) stays bounded whatever its size.
 
 Defined cases: null or wordless texts have no words and no hits; an item of
 fewer than ten words is one window, one of none is never found; repeated item
@@ -28,46 +28,65 @@ from pyspark.sql import types as T
 
 from terrafold.llm.naming import set_aside
 from terrafold.llm.text_arrays import Hasher, Words, lower_ascii, runs_of, slices, text_bytes, word_bytes
-from terrafold.session import materialize
+from terrafold.session import materialize, release
 
 WINDOW = 10
-BROADCAST_BYTES = 32 << 20
-_FILTER_BITS = 20
+BROADCAST_BYTES = 16 << 20
 _SPANS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()),
                                    T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 RESULT_COLUMNS = ("n_words", "n_hit", "hit_spans", "hit_items")
 
 
+class _WindowGroups:
+    """Windows of one length, grouped by hash; arrays only, so their size is a few times that of the text."""
+
+    def __init__(self, hashes: np.ndarray, first: np.ndarray, item: np.ndarray):
+        order = np.lexsort((first, hashes))
+        self.first, self.item = first[order], item[order]
+        self.hashes, self.begin = np.unique(hashes[order], return_index=True)
+        self.begin = np.append(self.begin, len(order))
+        self.shift = np.uint64(64 - min(24, max(16, len(self.hashes).bit_length() + 3)))
+        self.filter = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.filter[(self.hashes >> self.shift).astype(np.int64)] = True
+
+    def candidates(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places whose hash is known, and the group of each."""
+        maybe = np.flatnonzero(self.filter[(runs >> self.shift).astype(np.int64)])
+        group = np.minimum(np.searchsorted(self.hashes, runs[maybe]), len(self.hashes) - 1)
+        known = self.hashes[group] == runs[maybe]
+        return maybe[known], group[known]
+
+
 class _Windows:
-    """Benchmark windows by their number of words."""
+    """Benchmark windows by their number of words, and the words to check them against."""
 
     def __init__(self, items: list[tuple[int, str]], window: int):
-        table = word_bytes("alphanumeric")
-        self.exact: dict[bytes, list[int]] = defaultdict(list)
-        hashes: dict[int, list[np.ndarray]] = defaultdict(list)
-        for item, text in items:
-            data, at = text_bytes(pa.array([text], pa.string()))
-            data = lower_ascii(data)
-            words = Words(data, at, table)
-            if not len(words):
-                continue
-            length = min(window, len(words))
-            hashes[length].append(runs_of(Hasher(data).spans(words.start, words.end), length))
-            spelled = [data[s:e].tobytes() for s, e in zip(words.start, words.end)]
-            for i in range(len(spelled) - length + 1):
-                self.exact[b" ".join(spelled[i : i + length])].append(item)
-        self.hashes = {n: np.unique(np.concatenate(h)) for n, h in hashes.items()}
-        self.filters = {}
-        for n, h in self.hashes.items():
-            self.filters[n] = np.zeros(1 << _FILTER_BITS, dtype=bool)
-            self.filters[n][(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-
-    def candidates(self, word_hashes: np.ndarray, length: int) -> np.ndarray:
-        runs = runs_of(word_hashes, length)
-        maybe = np.flatnonzero(self.filters[length][(runs >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-        known = self.hashes[length]
-        at = np.minimum(np.searchsorted(known, runs[maybe]), len(known) - 1)
-        return maybe[known[at] == runs[maybe]]
+        data, at = text_bytes(pa.array([text for _, text in items], pa.string()))
+        self.data = lower_ascii(data)
+        words = Words(self.data, at, word_bytes("alphanumeric"))
+        self.start, self.end = words.start, words.end
+        self.groups: dict[int, _WindowGroups] = {}
+        if not len(words):
+            return
+        codes, counts = Hasher(self.data).spans(words.start, words.end), words.counts()
+        owner, names = words.texts(), np.array([item for item, _ in items], dtype=np.int64)
+        for length in np.unique(np.minimum(counts[counts > 0], window)).tolist():
+            runs = runs_of(codes, length)
+            first = np.arange(len(runs))
+            inside = owner[first] == owner[first + length - 1]
+            # Items shorter than a window are one window, so theirs has all their words.
+            whole = counts[owner[first]] >= window if length == window else counts[owner[first]] == length
+            first = first[inside & whole]
+            self.groups[length] = _WindowGroups(runs[first], first, names[owner[first]])
+
+    def spelled(self, first: int, length: int) -> bytes:
+        return b" ".join(self.data[self.start[j] : self.end[j]].tobytes() for j in range(first, first + length))
+
+    def items_of(self, length: int, group: int, spelled: bytes) -> frozenset[int]:
+        """Items with exactly these words in a window of this hash."""
+        g = self.groups[length]
+        members = range(g.begin[group], g.begin[group + 1])
+        return frozenset(int(g.item[m]) for m in members if self.spelled(int(g.first[m]), length) == spelled)
 
 
 def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -85,14 +104,17 @@ def _scan_slice(batch: pa.RecordBatch, text: str, windows: _Windows, earlier: bo
     items: dict[int, set[int]] = defaultdict(set)
     if len(words):
         word_hashes = Hasher(data).spans(words.start, words.end)
-        for length in windows.hashes:
-            for i in windows.candidates(word_hashes, length):
+        seen: dict[bytes, frozenset[int]] = {}  # windows hit in this slice
+        for length, groups in windows.groups.items():
+            for i, group in zip(*groups.candidates(runs_of(word_hashes, length))):
                 if owner[i] != owner[i + length - 1]:
                     continue
                 spelled = b" ".join(data[words.start[j] : words.end[j]].tobytes() for j in range(i, i + length))
-                if spelled in windows.exact:
+                if spelled not in seen:
+                    seen[spelled] = windows.items_of(length, int(group), spelled)
+                if seen[spelled]:
                     hit[i : i + length] = True
-                    items[int(owner[i])].update(windows.exact[spelled])
+                    items[int(owner[i])].update(seen[spelled])
     counts = words.counts()
     hits_before = np.concatenate(([0], np.cumsum(hit)))
     out = {"n_words": counts.tolist(), "n_hit": [], "hit_spans": [], "hit_items": []}
@@ -154,13 +176,15 @@ def find_contamination(
     ).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-int(size) // broadcast_bytes))
-    out, clashing = docs, [c for c in RESULT_COLUMNS if c in docs.columns]
-    out = out.drop(*clashing)
+    out, earlier = docs.drop(*RESULT_COLUMNS), None
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()  # bounded by broadcast_bytes
         out = _pass(out, text, _Windows([(r["item"], r["text"]) for r in rows], window), earlier=part > 0)
         if part + 1 < parts:
             out = materialize(out, "contamination")
+            if earlier is not None:
+                release(earlier)
+            earlier = out
     return out
 
 
