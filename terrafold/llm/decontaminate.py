@@ -45,7 +45,7 @@ class _WindowGroups:
         self.first, self.item = first[order], item[order]
         self.hashes, self.begin = np.unique(hashes[order], return_index=True)
         self.begin = np.append(self.begin, len(order))
-        self.shift = np.uint64(64 - min(24, max(16, len(self.hashes).bit_length() + 3)))
+        self.shift = np.uint64(64 - min(24, max(20, len(self.hashes).bit_length() + 3)))
         self.filter = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
         self.filter[(self.hashes >> self.shift).astype(np.int64)] = True
 
