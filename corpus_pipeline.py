@@ -16,6 +16,8 @@ from terrafold.session import materialize, use_local_folder
 
 #: Near duplicates: shared runs of five words, similarity of 80 percent.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+#: Lines of so many words go from the second document on, other templates from the third.
+LONG_LINE_WORDS = 50
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,13 +26,17 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of recurring templates, which stay in the first document that has them."""
+    """Documents without lines of recurring templates, which stay in the first document that has them.
+
+    Long lines of two documents go in the next stage, which needs them to find whole copies.
+    """
     return line_dedup.clean_lines(docs)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near duplicates."""
-    return jaccard_join.one_per_component(docs, n=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+    """The document with the smallest id of every group of near duplicates, without long lines of an earlier one of them."""
+    kept = materialize(jaccard_join.one_per_component(docs, n=SHINGLE_WORDS, percent=SIMILAR_PERCENT), "one-per-component")
+    return line_dedup.clean_lines(kept, long_words=LONG_LINE_WORDS, only_long=True)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,12 @@ template. A template with enough constants that occurs in at least ``min_docs``
 documents is boilerplate: its lines are dropped everywhere but in the document
 with the smallest id, so no content disappears altogether.
 
+With ``long_words``, a line of that many tokens or more goes from the second
+document on (``long_min_docs``): by its template, or as the same masked line, as a
+token is called constant from ``min_docs`` documents on only. A copy without its
+long lines is no longer found as a copy, so drop whole copies first; a second
+pass with ``only_long`` reads no other lines.
+
 Counting works on line hashes (128 bits) with partial aggregation. Only leaves
 that hold several different lines need their tokens, and those are exploded once
 per different line, however often it occurs. A leaf, line or template shared by
@@ -31,6 +37,7 @@ from terrafold.llm.naming import set_aside
 from terrafold.session import materialize
 
 MIN_DOCS = 3
+LONG_MIN_DOCS = 2
 DEPTH = 3
 CONSTANT_SHARE = 0.6
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -84,9 +91,12 @@ def _varied_templates(lines: DataFrame, varied: DataFrame, counts: DataFrame, mi
 
 def dropped_lines(
     docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH, share: float = CONSTANT_SHARE,
+    long_words: int | None = None, long_min_docs: int = LONG_MIN_DOCS, only_long: bool = False,
 ) -> DataFrame:
     """Places of the lines to drop: one row per document version with ``places``."""
     lines = _lines(docs, key, text, depth)
+    if only_long:
+        lines = lines.where(F.size("tokens") >= long_words)
     narrow = materialize(
         lines.select("doc", "version", "place", "line_a", "line_b", "leaf", F.size("tokens").alias("n_tokens"),
                      F.size(F.filter("tokens", lambda t: t != "<*>")).alias("n_fixed")),
@@ -104,20 +114,23 @@ def dropped_lines(
     alone = counts.join(leaves.where("variants = 1").select("leaf"), "leaf", "left_semi").where(
         F.col("n_fixed") >= share * F.col("n_tokens")
     )
-    templates = materialize(
-        alone.select("line_a", "line_b", F.col("line_a").alias("template_a"), F.col("line_b").alias("template_b")).unionByName(
-            _varied_templates(lines, varied, counts, min_docs, share)
-        ),
-        "templates",
-    )
+    itself = ("line_a", "line_b", F.col("line_a").alias("template_a"), F.col("line_b").alias("template_b"))
+    templates = alone.select(*itself).unionByName(_varied_templates(lines, varied, counts, min_docs, share))
+    if long_words is not None:
+        same = (F.col("n_tokens") >= long_words) & (F.col("docs") >= long_min_docs) & (F.col("n_fixed") >= share * F.col("n_tokens"))
+        templates = templates.unionByName(counts.where(same).select(*itself)).distinct()
+    templates = materialize(templates, "templates")
     found = materialize(
-        narrow.join(templates, ["line_a", "line_b"]).select("doc", "version", "place", "template_a", "template_b"), "occurrences"
+        narrow.join(templates, ["line_a", "line_b"]).select("doc", "version", "place", "n_tokens", "template_a", "template_b"), "occurrences"
     )
     # The smallest document has one version that counts as first: that with the smallest text hash.
-    per_doc = found.groupBy("template_a", "template_b", "doc", "version").agg(F.lit(1).alias("one"))
-    recurring = per_doc.groupBy("template_a", "template_b").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc"))
-    recurring = materialize(recurring.where(F.col("n") >= min_docs).drop("n"), "recurring")
-    later = found.join(recurring, ["template_a", "template_b"]).where("doc > first_doc")
+    per_doc = found.groupBy("template_a", "template_b", "doc", "version").agg(F.first("n_tokens").alias("n_tokens"))  # one length per template
+    recurring = per_doc.groupBy("template_a", "template_b").agg(
+        F.count("*").alias("n"), F.min("doc").alias("first_doc"), F.first("n_tokens").alias("n_tokens")
+    )
+    enough = F.lit(min_docs) if long_words is None else F.when(F.col("n_tokens") >= long_words, long_min_docs).otherwise(min_docs)
+    recurring = materialize(recurring.where(F.col("n") >= enough).drop("n", "n_tokens"), "recurring")
+    later = found.drop("n_tokens").join(recurring, ["template_a", "template_b"]).where("doc > first_doc")
     return later.groupBy("doc", "version").agg(F.collect_set("place").alias("places"))
 
 

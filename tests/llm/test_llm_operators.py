@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from terrafold.llm import (
     chat, components, decontaminate, jaccard_join, line_dedup, packing, quality, span_dedup, spotsigs, suffix_dedup, suffix_sort, warc,
 )
@@ -208,6 +209,29 @@ def test_line_dedup_cases(spark, odd):
     assert by_id[6]["n_dropped"] == 0 and by_id[7]["text"] == "" and by_id[7]["n_chars"] == 0 and by_id[4]["text"] == LONG
 
 
+def test_long_lines_go_from_the_second_document_on(spark):
+    long, other, short = _words(1, 60), _words(2, 60), _words(3, 49)
+    lead = " ".join(long.split()[:3]) + " " + _words(4, 57)  # another line of the same leaf
+    rows = [(1, f"{long}\n{short}"), (2, f"own {_words(5, 9)}\n{long}\n{short}"), (3, lead), (4, other), (5, other), (6, f"{other}\nend"), (7, f"{other}\nend")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda **o: {r["doc_id"]: r["text"].split("\n") for r in line_dedup.clean_lines(docs, **o).collect()}
+    lines = {d: t.split("\n") for d, t in rows}
+    assert kept()[2] == lines[2]
+    every = kept(long_words=50)
+    assert every[1] == lines[1] and every[2] == [lines[2][0], short] and every[3] == [lead]
+    assert every[4] == [other] and every[5] == [""] and every[6] == every[7] == ["end"]
+    assert kept(long_words=50, only_long=True) == every
+
+
+def test_pipeline_drops_long_lines_of_two_documents(spark):
+    long = _words(1, 60)
+    rows = [(1, f"{long}\n{_words(2, 40)}", "en", "a", 1), (2, f"{_words(3, 40)}\n{long}", "en", "a", 1), (3, _words(4, 60), "en", "a", 1), (4, _words(4, 60), "en", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for stage in (corpus_pipeline.without_boilerplate, corpus_pipeline.without_copies):
+        docs = stage(spark, docs, "")
+    assert {r["doc_id"]: r["text"] for r in docs.collect()} == {1: rows[0][1], 2: _words(3, 40), 3: rows[2][1]}
+
+
 # Span dedup
 
 
