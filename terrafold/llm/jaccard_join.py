@@ -41,7 +41,7 @@ from terrafold.session import materialize, release
 
 LOW_RANGE = 0.25
 BLOCK_BYTES = 16 << 20
-_SETS = "doc_id long, n_shingles long, set_id long, n_listed int, tokens array<long>"
+_SETS = "doc_id long, version long, n_shingles long, set_id long, n_listed int, tokens array<long>"
 
 
 def token_sets(data: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
@@ -89,9 +89,9 @@ def _listed_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             offsets = pa.array(np.concatenate(([0], np.cumsum(listed))).astype(np.int32))
             flat = np.concatenate(lists).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(listed, pa.int32()),
+                [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(listed, pa.int32()),
                  pa.ListArray.from_arrays(offsets, pa.array(flat))],
-                names=["doc_id", "n_shingles", "set_id", "n_listed", "tokens"],
+                names=["doc_id", "version", "n_shingles", "set_id", "n_listed", "tokens"],
             )
 
     return docs.mapInArrow(run, _SETS)
@@ -181,8 +181,8 @@ def _likely(rows: DataFrame, members: DataFrame) -> DataFrame:
             marks = part.column(2).to_numpy().view(np.uint64)
             yield part.filter(pa.array(in_bitmap(marks, wanted.value))).select(["doc_id", "text"])
 
-    marked = rows.where(F.col("text").isNotNull()).withColumn("mark", F.xxhash64("doc_id"))
-    return marked.mapInArrow(run, rows.schema)
+    marked = rows.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id").alias("mark"))
+    return marked.mapInArrow(run, "doc_id long, text string")
 
 
 def _links(members: DataFrame, n: int, percent: int) -> DataFrame:
@@ -206,11 +206,8 @@ def _links(members: DataFrame, n: int, percent: int) -> DataFrame:
     return members.groupBy("component", "block_a", "block_b").applyInArrow(verify, "u long, v long")
 
 
-def jaccard_components(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """Per document: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _linked_sets(rows: DataFrame, n: int, percent: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """All sets, one per row (doc_id, version, text), and the classes of those with a link: (node, component), both ``set_id``."""
     sets = materialize(_listed_sets(rows, n, percent), "sets")
     linked = sets.where("n_shingles > 0")
     groups = _groups(linked, percent)
@@ -230,7 +227,24 @@ def jaccard_components(
     placed = placed.select(
         "component", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "set_id", "text"
     )
-    classes = connected_components(_links(placed, n, percent))
+    return sets, connected_components(_links(placed, n, percent))
+
+
+def near_copies(docs: DataFrame, text: str = "text", n: int = 4, percent: int = 85, block_bytes: int = BLOCK_BYTES, key: str = "doc_id") -> DataFrame:
+    """For every text hash that is linked with another set: ``version`` and ``cluster``, the same for all texts of a component."""
+    version = F.xxhash64(text)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), version.alias("version"))
+    sets, classes = _linked_sets(rows, n, percent, block_bytes)
+    found = sets.where("n_shingles > 0").select("version", "set_id").distinct().join(classes.withColumnRenamed("node", "set_id"), "set_id")
+    return materialize(found.groupBy("version").agg(F.min("component").alias("cluster")), "near-copies")
+
+
+def jaccard_components(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """Per document: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("version"))
+    sets, classes = _linked_sets(rows, n, percent, block_bytes)
     labelled = sets.select("doc_id", "n_shingles", "set_id").join(
         classes.withColumnRenamed("node", "set_id"), "set_id", "left"
     ).select("doc_id", "n_shingles", F.coalesce("component", "set_id").alias("class"))

@@ -6,7 +6,8 @@ one bounded group. Inside a shard, pieces go by decreasing length into the open
 bin with the least room that still fits and has no document of the same source
 or duplicate cluster. Bins are kept ordered by room; the search starts at the
 first bin with enough room and goes on to its successors until a bin is
-compatible. A bin carries its sources and clusters as bitmaps. For a source that
+compatible. A bin carries its sources and clusters as bitmaps. A cluster holds
+equal texts; with a table of near copies, all texts of a component too. For a source that
 makes up much of a shard, the bins without it are kept in a list of their own, so the
 search does not walk over bins it cannot use.
 
@@ -25,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.llm.jaccard_join import near_copies
+
 CAPACITY = 2048
 SHARD_DOCS = 4096
 _OFTEN = 1 / 32
@@ -119,11 +122,22 @@ def same_text(text: str) -> Column:
     return F.when(F.col(text).isNotNull(), F.xxhash64(F.lower(text)))
 
 
+def pack_apart(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, **options,
+) -> DataFrame:
+    """:func:`pack` with near copies, by shared runs of ``n`` words, in one cluster."""
+    lower = docs.select(F.col(key).alias("doc_id"), F.lower(text).alias("text"))
+    return pack(docs, key, text, copies=near_copies(lower, n=n, percent=percent), **options)
+
+
 def pack(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cluster: Column | None = None,
-    capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS,
+    capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, copies: DataFrame | None = None,
 ) -> DataFrame:
-    """Where every piece of every document goes: shard, bin, slot, and its words."""
+    """Where every piece of every document goes: shard, bin, slot, and its words.
+
+    ``copies`` names the clusters of some texts: ``version``, as :func:`same_text` gives it, and ``cluster``.
+    """
     shards = max(1, -(-docs.count() // shard_docs))
     length = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     narrow = docs.select(
@@ -131,6 +145,10 @@ def pack(
         F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
         (same_text(text) if cluster is None else cluster).alias("cluster"), length.alias("n_words"),
     )
+    if copies is not None:
+        named = copies.select("version", F.col("cluster").alias("component"))
+        narrow = narrow.join(named, F.col("cluster") == F.col("version"), "left").withColumn("cluster", F.coalesce("component", "cluster"))
+        narrow = narrow.select("shard", "doc_id", "source", "cluster", "n_words")
     return narrow.groupBy("shard").applyInPandas(lambda rows: pack_shard(rows, capacity), PLACED)
 
 

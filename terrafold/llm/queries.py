@@ -195,7 +195,7 @@ from sets d left join classes k on list_sort(d.s) = k.s left join named using (c
 
 
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"))
+    return packing.pack_apart(_read(spark, sf_dir, "documents"))
 
 
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

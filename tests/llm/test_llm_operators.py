@@ -350,6 +350,17 @@ def test_packing_cases(spark, odd, empty):
     assert sorted(w for r in made for w in r["text"].split()) == sorted(w for i in range(80) for w in _words(i, i % 70).split())
 
 
+def test_near_copies_never_share_a_bin(spark):
+    base = _words(5, 100).split()
+    texts = [" ".join(base[:i] + [f"changed{i}"] + base[i + 1 :]) for i in (0, 50, 99)]
+    rows = [(i, t, f"s{i}") for i, t in enumerate(texts)] + [(3, " ".join(base).upper(), "s3"), (4, " ".join(base[:-1]), "s4"), (5, _words(6, 100), "s5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    together = lambda placed: [r["ids"] for r in placed.groupBy("shard", "bin").agg(F.collect_list("doc_id").alias("ids")).collect()]
+    assert any(len({*ids} - {5}) > 1 for ids in together(packing.pack(docs)))
+    found = together(packing.pack_apart(docs))
+    assert sorted(i for ids in found for i in ids) == list(range(6)) and all(len({*ids} - {5}) <= 1 for ids in found)
+
+
 # Suffix dedup
 
 
