@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.llm.bitmap import broadcast_bitmap, in_bitmap
@@ -172,17 +172,26 @@ def linked_members(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return label
 
 
+def _place(doc_id: str, version: str) -> Column:
+    """Where the text of a set is found again: by id, or by text for rows without id."""
+    return F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id)).otherwise(F.xxhash64(F.lit("no id"), version))
+
+
 def _likely(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """Documents that may be members, by a bitmap of their ids, so that few texts are shuffled."""
-    wanted = broadcast_bitmap(members.select(F.xxhash64("doc_id").alias("mark")), "mark")
+    """Texts that may be of members (place, text), by a bitmap of their places, so that few are shuffled; once each without id."""
+    wanted = broadcast_bitmap(members.select("place"), "place")
 
     def run(batches):
         for part in batches:
-            marks = part.column(2).to_numpy().view(np.uint64)
-            yield part.filter(pa.array(in_bitmap(marks, wanted.value))).select(["doc_id", "text"])
+            marks = part.column(0).to_numpy().view(np.uint64)
+            yield part.filter(pa.array(in_bitmap(marks, wanted.value)))
+
+    def likely(part: DataFrame) -> DataFrame:
+        marked = part.where(F.col("text").isNotNull()).select(_place("doc_id", "version").alias("place"), "text")
+        return marked.mapInArrow(run, "place long, text string")
 
-    marked = rows.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id").alias("mark"))
-    return marked.mapInArrow(run, "doc_id long, text string")
+    unnamed = likely(rows.where(F.col("doc_id").isNull())).groupBy("place").agg(F.first("text").alias("text"))
+    return likely(rows.where(F.col("doc_id").isNotNull())).unionByName(unnamed)
 
 
 def _links(members: DataFrame, n: int, percent: int) -> DataFrame:
@@ -216,9 +225,10 @@ def _linked_sets(rows: DataFrame, n: int, percent: int, block_bytes: int) -> tup
         "set_id", F.coalesce("component", "group").alias("component")
     )
     several = materialize(members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "several")
-    first = linked.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    first = linked.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("version").alias("version"))
+    first = first.select("set_id", _place("doc_id", "version").alias("place"))
     members = materialize(members.join(several, "component").join(first, "set_id"), "members")
-    texts = _likely(rows, members).join(members, "doc_id").select("component", "set_id", "text")
+    texts = _likely(rows, members).join(members, "place").select("component", "set_id", "text")
     texts = materialize(texts, "member-texts")
     release(groups, several, members)
     size = texts.groupBy("component").agg(F.ceil(F.sum(F.octet_length("text")) / block_bytes).cast("int").alias("blocks"))

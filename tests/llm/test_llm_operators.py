@@ -315,6 +315,18 @@ def test_jaccard_cases(odd, empty):
     assert kept.where("doc_id in (1, 2, 3, 4)").count() == 4 and kept.where("doc_id = 7").count() == 0
 
 
+def test_row_without_id_links_two_documents(spark):
+    base = _words(8, 60).split()
+    left, right = [f"left{i}" if i in (0, 1) else w for i, w in enumerate(base)], [f"right{i}" if i in (58, 59) else w for i, w in enumerate(base)]
+    texts = [" ".join(w) for w in (left, base, right)]
+    rows = [(7, texts[0]), (None, texts[1]), (None, texts[1]), (9, texts[2]), (11, _words(9, 60)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda part: sorted((str(r["doc_id"]), r["component_id"]) for r in jaccard_join.jaccard_components(part, percent=90).collect())
+    assert found(docs.where("doc_id is not null")) == [("11", 11), ("7", 7), ("9", 9)]
+    assert found(docs.where("text is not null")) == [("11", 11), ("7", 7), ("9", 7), ("None", 7), ("None", 7)]
+    assert jaccard_join.jaccard_components(docs, percent=90).where("component_id is null").count() == 1
+
+
 def test_connected_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(150)]
