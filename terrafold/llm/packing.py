@@ -1,8 +1,9 @@
 """Best-fit packing with conflicts: documents into training sequences of fixed length.
 
-Documents are spread over shards of about ``shard_docs`` by a hash of their id,
-so sources and duplicate clusters of any size are spread too, and every shard is
-one bounded group. Inside a shard, pieces go by decreasing length into the open
+Documents are spread over shards of about ``shard_docs`` by a hash of their id
+and text, so sources and duplicate clusters of any size are spread too. Rows with
+the same id and text go over as many shards as keep ``shard_docs / 16`` of them
+each, so every shard is one bounded group. Inside a shard, pieces go by decreasing length into the open
 bin with the least room that still fits and has no document of the same source
 or duplicate cluster. Bins are kept ordered by room; the search starts at the
 first bin with enough room and goes on to its successors until a bin is
@@ -27,10 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.llm.jaccard_join import near_copies
+from terrafold.session import materialize
 
 CAPACITY = 2048
 SHARD_DOCS = 4096
 _OFTEN = 1 / 32
+_REPEATS = 16
 WORD = r"[^\x20\x09-\x0D]+"
 PLACED = "shard long, bin long, slot int, doc_id long, piece int, first_word long, n_words long"
 
@@ -138,13 +141,23 @@ def pack(
 
     ``copies`` names the clusters of some texts: ``version``, as :func:`same_text` gives it, and ``cluster``.
     """
-    shards = max(1, -(-docs.count() // shard_docs))
     length = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     narrow = docs.select(
-        F.pmod(F.xxhash64(F.col(key), F.xxhash64(text)), F.lit(shards)).alias("shard"),
+        F.xxhash64(F.col(key), F.xxhash64(text)).alias("row"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"),
         F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
         (same_text(text) if cluster is None else cluster).alias("cluster"), length.alias("n_words"),
     )
+    narrow = materialize(narrow, "lengths")
+    shards, most = max(1, -(-narrow.count() // shard_docs)), max(1, shard_docs // _REPEATS)
+    if shards > 1:
+        repeats = narrow.groupBy("row").agg(F.count("*").alias("n")).where(F.col("n") > most)
+        repeats = repeats.select("row", F.least(F.ceil(F.col("n") / most), F.lit(shards)).alias("spread"))
+        narrow = narrow.join(materialize(repeats, "repeats"), "row", "left")
+        offset = F.coalesce(F.pmod("salt", "spread"), F.lit(0))
+        shard = F.pmod(F.pmod("row", F.lit(shards)) + offset, F.lit(shards))
+    else:
+        shard = F.lit(0).cast("long")
+    narrow = narrow.select(shard.alias("shard"), "doc_id", "source", "cluster", "n_words")
     if copies is not None:
         named = copies.select("version", F.col("cluster").alias("component"))
         narrow = narrow.join(named, F.col("cluster") == F.col("version"), "left").withColumn("cluster", F.coalesce("component", "cluster"))

@@ -362,6 +362,16 @@ def test_packing_cases(spark, odd, empty):
     assert sorted(w for r in made for w in r["text"].split()) == sorted(w for i in range(80) for w in _words(i, i % 70).split())
 
 
+def test_repeated_rows_go_over_many_shards(spark):
+    text = _words(1, 20)
+    rows = [(i, _words(i, 20), "s") for i in range(200)] + [(500, text, "s")] * 100 + [(None, None, "s")] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    placed = packing.pack(docs, capacity=50, shard_docs=40)
+    assert placed.count() == 400 and placed.where("doc_id = 500").agg(F.sum("n_words")).first()[0] == 2000
+    assert placed.groupBy("shard").count().agg(F.max("count")).first()[0] < 80
+    assert placed.where("doc_id = 500").groupBy("shard", "bin").count().where("count > 1").count() == 0
+
+
 def test_near_copies_never_share_a_bin(spark):
     base = _words(5, 100).split()
     texts = [" ".join(base[:i] + [f"changed{i}"] + base[i + 1 :]) for i in (0, 50, 99)]
