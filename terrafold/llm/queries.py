@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import chat, decontaminate, jaccard_join, line_dedup, packing, quality, span_dedup, spotsigs, suffix_dedup, warc
+from terrafold.llm import chat, decontaminate, jaccard_join, line_dedup, merkle, packing, quality, span_dedup, spotsigs, suffix_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -216,6 +216,83 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.lower_ascii("text")).otherwise(F.col("text"))
+    return merkle.dataset_manifest(_read(spark, sf_dir, "documents"), tampered=changed).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
+
+
+# CRC-32 of a string of ASCII characters, byte by byte through the table of the polynomial.
+_CRC32 = """list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::bigint)),
+    lambda a, b: xor(a >> 8, table_of_crc[(xor(a, b) & 255) + 1]))"""
+_CRC32_TABLE = """crc_table as (
+  select list_transform(range(256), lambda n: list_reduce(list_prepend(n::bigint, range(8)),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)) as table_of_crc)"""
+
+MERKLE_SQL = rf"""
+with recursive {_CRC32_TABLE},
+texts as (
+  select doc_id, source, lang, n_chars, text,
+    xor({_CRC32.format(text="cast(doc_id as varchar)")}, 4294967295) % 3 = 0 as changed
+  from documents, crc_table),
+both_texts as (
+  select *, case when changed then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as later from texts),
+parts as (
+  select *, coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') as head
+  from both_texts),
+hashed as (
+  select doc_id, case when lang is null then '' else '+' || lang end as tree,
+    sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+    sha256(head || coalesce(strlen(later) || ':' || later, '-')) as claimed
+  from parts),
+leaves as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by tree) as n
+  from hashed),
+part_nodes(tree, n, level, place, digest) as (
+  select tree, n, 0, place, leaf from leaves
+  union all
+  select tree, n, level + 1, place // 8, sha256(string_agg(digest, '' order by place))
+  from part_nodes where cast(pow(8, level) as bigint) < n group by tree, n, level, place // 8),
+subroots as (
+  select tree, max_by(digest, level) as subroot, row_number() over (order by tree) - 1 as place, count(*) over () as n
+  from part_nodes group by tree),
+top_nodes(n, level, place, digest) as (
+  select n, 0, place, subroot from subroots
+  union all
+  select n, level + 1, place // 8, sha256(string_agg(digest, '' order by place))
+  from top_nodes where cast(pow(8, level) as bigint) < n group by n, level, place // 8),
+steps as (
+  select l.tree, l.place as leaf_place, p.level, 0 as over_parts,
+    coalesce(string_agg(p.digest, '' order by p.place) filter (p.place < l.place // cast(pow(8, p.level) as bigint)), '') as before,
+    coalesce(string_agg(p.digest, '' order by p.place) filter (p.place > l.place // cast(pow(8, p.level) as bigint)), '') as after
+  from leaves l join part_nodes p on p.tree = l.tree and cast(pow(8, p.level) as bigint) < l.n
+    and p.place // 8 = l.place // cast(pow(8, p.level + 1) as bigint)
+  group by l.tree, l.place, p.level
+  union all
+  select l.tree, l.place, t.level, 1,
+    coalesce(string_agg(t.digest, '' order by t.place) filter (t.place < s.place // cast(pow(8, t.level) as bigint)), ''),
+    coalesce(string_agg(t.digest, '' order by t.place) filter (t.place > s.place // cast(pow(8, t.level) as bigint)), '')
+  from leaves l join subroots s on s.tree = l.tree join top_nodes t on cast(pow(8, t.level) as bigint) < s.n
+    and t.place // 8 = s.place // cast(pow(8, t.level + 1) as bigint)
+  group by l.tree, l.place, t.level),
+numbered as (
+  select *, row_number() over (partition by tree, leaf_place order by over_parts, level) as k from steps),
+proofs as (select tree, leaf_place, sha256(string_agg(before || after, '' order by k)) as proof_sha256 from numbered group by all),
+folded(tree, place, k, digest) as (
+  select tree, place, 0::bigint, claimed from leaves
+  union all
+  select f.tree, f.place, s.k, sha256(s.before || f.digest || s.after)
+  from folded f join numbered s on s.tree = f.tree and s.leaf_place = f.place and s.k = f.k + 1),
+ended as (select tree, place, max_by(digest, k) as folded_root from folded group by tree, place),
+root as (select max_by(digest, level) as root from top_nodes)
+select l.doc_id, l.leaf, s.subroot, r.root, coalesce(p.proof_sha256, sha256('')) as proof_sha256, e.folded_root, e.folded_root = r.root as verified
+from leaves l join subroots s on s.tree = l.tree join ended e on e.tree = l.tree and e.place = l.place
+  left join proofs p on p.tree = l.tree and p.leaf_place = l.place, root r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring_dedup,
@@ -228,6 +305,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": quality_classifier,
         "op9_document_fingerprints": document_fingerprints,
         "op10_benchmark_decontamination": benchmark_decontamination,
+        "op13_merkle_manifest": merkle_manifest,
     }
 
 
@@ -238,4 +316,5 @@ def statements() -> dict[str, str]:
         "op4_ngram_jaccard_join": JACCARD_SQL,
         "op7_warc_revisits": WARC_SQL,
         "op10_benchmark_decontamination": DECONTAMINATION_SQL,
+        "op13_merkle_manifest": MERKLE_SQL,
     }
