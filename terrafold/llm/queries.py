@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import chat, decontaminate, jaccard_join, line_dedup, merkle, packing, quality, span_dedup, spotsigs, suffix_dedup, warc
+from terrafold.llm import chat, decontaminate, jaccard_join, line_dedup, merkle, packing, quality, span_dedup, spelling, spotsigs, suffix_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -216,6 +216,10 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.count_words(_read(spark, sf_dir, "documents")))
+
+
 def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.lower_ascii("text")).otherwise(F.col("text"))
     return merkle.dataset_manifest(_read(spark, sf_dir, "documents"), tampered=changed).select(
@@ -223,13 +227,46 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# CRC-32 of a string of ASCII characters, byte by byte through the table of the polynomial.
-_CRC32 = """list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::bigint)),
+# CRC-32 of a text up to U+07FF before its last negation, byte by byte through the table of the polynomial.
+_CRC32 = """list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(1, length({text}) + 1), lambda i:
+      case when unicode(substr({text}, i, 1)) < 128 then [unicode(substr({text}, i, 1))::bigint]
+        else [192 + (unicode(substr({text}, i, 1)) >> 6)::bigint, 128 + (unicode(substr({text}, i, 1)) & 63)::bigint] end))),
     lambda a, b: xor(a >> 8, table_of_crc[(xor(a, b) & 255) + 1]))"""
 _CRC32_TABLE = """crc_table as (
   select list_transform(range(256), lambda n: list_reduce(list_prepend(n::bigint, range(8)),
     lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)) as table_of_crc)"""
 
+SPELLING_SQL = rf"""
+with recursive {_CRC32_TABLE},
+runs as (
+  select doc_id, run, count(*) as n from (
+    select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as run
+    from documents) group by all),
+named as (select *, doc_id || ':' || run as name from runs),
+hashed as (select run, n, xor({_CRC32.format(text="name")}, 4294967295) as h from named, crc_table),
+edited as (
+  select case when h % 97 = 0 then substr(run, 1, cast(h % length(run) as int)) || substr(run, cast(h % length(run) as int) + 2) else run end as word, n
+  from hashed),
+words as (select word, cast(sum(n) as bigint) as n from edited where length(word) >= 5 group by word having sum(n) >= 3),
+without as (
+  select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select *, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+  select distinct a.word, b.word as other, b.n as other_n from without a join without b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select a.word, b.word, b.n from without a join words b on a.rest = b.word
+  union select b.word, a.word, a.n from without a join words b on a.rest = b.word),
+ranked as (
+  select word, other, other_n, count(*) over (partition by word) as n_near,
+    row_number() over (partition by word order by other_n desc, encode(other)) as k from near),
+forms as (
+  select w.word, case when r.other_n >= 2 * w.n then r.other end as form, w.n, coalesce(r.n_near, 0) as n_near,
+    case when r.other_n >= 2 * w.n then r.other_n end as form_n
+  from words w left join ranked r on r.word = w.word and r.k = 1),
+chain(word, last, k) as (
+  select word, word, 0 from forms union all select c.word, f.form, k + 1 from chain c join forms f on f.word = c.last where f.form is not null),
+roots as (select word, max_by(last, k) as root from chain group by word)
+select f.word, form, root, n, n_near, form_n from forms f join roots r on r.word = f.word
+"""
+
 MERKLE_SQL = rf"""
 with recursive {_CRC32_TABLE},
 texts as (
@@ -305,6 +342,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": quality_classifier,
         "op9_document_fingerprints": document_fingerprints,
         "op10_benchmark_decontamination": benchmark_decontamination,
+        "op12_spelling_variants": spelling_variants,
         "op13_merkle_manifest": merkle_manifest,
     }
 
@@ -316,5 +354,6 @@ def statements() -> dict[str, str]:
         "op4_ngram_jaccard_join": JACCARD_SQL,
         "op7_warc_revisits": WARC_SQL,
         "op10_benchmark_decontamination": DECONTAMINATION_SQL,
+        "op12_spelling_variants": SPELLING_SQL,
         "op13_merkle_manifest": MERKLE_SQL,
     }
