@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import chat, decontaminate, jaccard_join, line_dedup, merkle, packing, quality, span_dedup, spelling, spotsigs, suffix_dedup, warc
+from terrafold.llm import chat, decontaminate, jaccard_join, line_dedup, merkle, packing, pii, quality, span_dedup, spelling, spotsigs, suffix_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -216,6 +216,19 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_read(spark, sf_dir, "documents"))
+    place = {kind: k for k, kind in enumerate(pii.KINDS)}
+    order = lambda s: F.element_at(F.create_map(*[F.lit(x) for pair in place.items() for x in pair]), s["kind"])
+    by_kind = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(order(s).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spell = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(kind) for kind in pii.KINDS], F.sha2(spell(F.col("base")), 256).alias("base_sha256"),
+        spell(by_kind).alias("spans"), F.size("added").cast("long").alias("n_added"),
+    )
+
+
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(spelling.count_words(_read(spark, sf_dir, "documents")))
 
@@ -342,6 +355,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": quality_classifier,
         "op9_document_fingerprints": document_fingerprints,
         "op10_benchmark_decontamination": benchmark_decontamination,
+        "op11_personal_data": personal_data,
         "op12_spelling_variants": spelling_variants,
         "op13_merkle_manifest": merkle_manifest,
     }
