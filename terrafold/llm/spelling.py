@@ -13,8 +13,8 @@ of the same length (radius two) and of the lengths one below and above (radius o
    the radius. Cells with many words (such as anagrams, which no split parts)
    are cut into blocks and cells with many searches into chunks, by counted size;
    every chunk meets every block, so tasks are bounded and no pair is lost.
-4. A task builds a k-d tree of its block with bounding boxes, searches it with all
-   words of the chunk at once, leaves out boxes beyond the radius, and compares the letters of
+4. A task builds a k-d tree of its block with bounding boxes (counts are written in unary
+   there, so all distances are products of matrices), searches it with all words of the chunk at once, leaves out boxes beyond the radius, and compares the letters of
    the rest in order. It returns the number of near words and the best one per
    word, never the pairs.
 5. Forms are followed to their end by pointer jumping; counts at least double
@@ -41,9 +41,10 @@ from terrafold.session import materialize
 
 MIN_LETTERS, MIN_COUNT = 5, 3
 SAMPLE_WORDS = 200_000
-CELL_WORDS = 4_000
+CELL_WORDS = 12_000
 BLOCK_WORDS, CHUNK_WORDS = 16_384, 16_384
-_LEAF = 24
+_LEAF = 64
+_BITS = 512
 _PAIRS = 1 << 20  # vector entries compared at once
 _FLUSH = 200_000
 _RUN = re.compile("[a-zÀ-ÿ]+")
@@ -182,35 +183,45 @@ def cells_within(tree: Cells, counts: np.ndarray, radius: int) -> tuple[np.ndarr
     return np.concatenate(rows), np.concatenate(cells)
 
 
+def unary(points: np.ndarray, searches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both counts in bits: one per letter and count that it may reach, so that L1 distances become numbers of different bits.
+
+    At most about ``_BITS`` in all: where words are so long that letters vary more, evenly spaced counts
+    stand for the rest. Distances are then too small at most, and no near word is lost.
+    """
+    low, high = np.minimum(points.min(axis=0), searches.min(axis=0)), np.maximum(points.max(axis=0), searches.max(axis=0))
+    letters = np.flatnonzero(high > low)
+    steps = [np.unique(np.linspace(low[x] + 1, high[x], min(high[x] - low[x], max(1, _BITS // len(letters)))).astype(np.int64)) for x in letters]
+    if not steps:
+        return np.zeros((len(points), 0), np.float32), np.zeros((len(searches), 0), np.float32)
+    column, least = np.repeat(letters, [len(x) for x in steps]), np.concatenate(steps)
+    return (points[:, column] >= least).astype(np.float32), (searches[:, column] >= least).astype(np.float32)
+
+
 def balls(points: np.ndarray, searches: np.ndarray, radius: int):
-    """Pairs (search, point) within an L1 distance, by a k-d tree with bounding boxes; yields arrays of both places."""
+    """Pairs (search, point) with at most ``radius`` different bits, by a k-d tree with bounding boxes; yields arrays of both places."""
     pending = [(np.arange(len(points)), np.arange(len(searches)))]
+    size, asked_size = points.sum(axis=1), searches.sum(axis=1)
     while pending:
         at, asked = pending.pop()
         box = points[at]
-        low, high = box.min(axis=0), box.max(axis=0)
-        near = []
-        step = max(1, _PAIRS // _LETTERS)
-        for k in range(0, len(asked), step):
-            some = searches[asked[k : k + step]]
-            away = np.abs(some - np.clip(some, low, high)).sum(axis=1, dtype=some.dtype)
-            near.append(asked[k : k + step][away <= radius])
-        asked = np.concatenate(near) if near else asked
+        number = box.sum(axis=0)
+        always, never = number == len(at), number == 0
+        away = always.sum() + searches[asked] @ (never.astype(np.float32) - always)
+        asked = asked[away <= radius]
         if not len(asked):
             continue
-        split = best_split(box) if len(at) > _LEAF else None
-        if split is not None:
-            lower = box[:, split[0]] <= split[1]
+        even = np.minimum(number, len(at) - number)
+        if len(at) > _LEAF and len(even) and even.max() > 0:
+            lower = box[:, even.argmax()] == 0
             pending += [(at[lower], asked), (at[~lower], asked)]
             continue
-        width = min(len(at), 256)  # equal vectors make leaves of any size
-        step = max(1, _PAIRS // (width * _LETTERS))
-        for first in range(0, len(at), width):
-            some = box[first : first + width]
-            for k in range(0, len(asked), step):
-                away = np.abs(searches[asked[k : k + step], None, :] - some[None, :, :]).sum(axis=2, dtype=box.dtype)
-                s, p = np.nonzero(away <= radius)
-                yield asked[k + s], at[first + p]
+        step = max(1, _PAIRS // len(at))
+        for k in range(0, len(asked), step):
+            some = asked[k : k + step]
+            away = asked_size[some][:, None] + size[at] - 2 * (searches[some] @ box.T)
+            s, p = np.nonzero(away <= radius)
+            yield some[s], at[p]
 
 
 def one_replaced(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -233,9 +244,7 @@ def near_in_block(words: list[str], searches: list[str]) -> tuple[np.ndarray, np
     points, rows = code_points(words, length), code_points(searches, asked)
     check, radius = (one_replaced, 2) if length == asked else (one_inserted, 1)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    there, wanted = vectors(points), vectors(rows)
-    used = there.any(axis=0) | wanted.any(axis=0)
-    for s, p in balls(there[:, used], wanted[:, used], radius):
+    for s, p in balls(*unary(vectors(points), vectors(rows)), radius):
         step = max(1, _PAIRS // length)
         for k in range(0, len(s), step):
             ok = check(rows[s[k : k + step]], points[p[k : k + step]])

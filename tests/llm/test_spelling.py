@@ -115,5 +115,5 @@ def test_cells_cover_every_ball():
     sent = set(zip(*(x.tolist() for x in spelling.cells_within(tree, points, 2))))
     away = np.abs(points[:, None] - points[None]).sum(axis=2)
     assert all((s, own[p]) in sent for s, p in zip(*np.nonzero(away <= 2)))
-    found = {pair for s, p in spelling.balls(points, points, 2) for pair in zip(s.tolist(), p.tolist())}
+    found = {pair for s, p in spelling.balls(*spelling.unary(points, points), 2) for pair in zip(s.tolist(), p.tolist())}
     assert found == set(zip(*(x.tolist() for x in np.nonzero(away <= 2))))
