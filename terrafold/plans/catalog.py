@@ -17,6 +17,8 @@ from terrafold import sources as src
 from terrafold.plans import fixtures as fx
 from terrafold.session import materialize, scratch_path
 
+TILE = 6  # rows and columns of a tile: 12 x 30 tiles
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
@@ -273,6 +275,13 @@ def sample_grid_at_points(spark, sf):
     return src.sample_grid_at_points(spots, fx.grid_cells(spark, sf), dict.fromkeys(fx.DEPTHS, fx.GRID))
 
 
+@query
+def sample_tiled_grid(spark, sf):
+    """The same lookup from tiles, for points in a small region: few tiles are read."""
+    cells = src.write_tiles(fx.grid_cells(spark, sf), scratch_path(spark, "tiled-grid"), TILE)
+    return src.sample_grid_at_points(fx.stations(spark, sf), cells, dict.fromkeys(fx.DEPTHS, fx.GRID), tile=TILE)
+
+
 @query
 def depth_weighted_mean(spark, sf):
     spots = fx.points(spark, sf).select("row_id", "lat", "lon")

@@ -105,6 +105,16 @@ def grid_cells(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stations(spark: SparkSession, sf: str) -> DataFrame:
+    """One point per supplier, all within four degrees; some without a latitude."""
+    key = F.col("s_suppkey")
+    return _read(spark, sf, "supplier").select(
+        key.alias("station"),
+        F.when(key % 13 != 0, F.lit(12.25) + (key * 7 % 16) * F.lit(0.25)).alias("lat"),
+        (F.lit(20.125) + (key * 11 % 16) * F.lit(0.25)).alias("lon"),
+    )
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Two deterministic models, both rows from one pass over the points."""
     a = F.lit(1000.0) + F.coalesce("qty", F.lit(0.0)) * 30

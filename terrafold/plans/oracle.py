@@ -248,6 +248,14 @@ def _statements() -> dict[str, str]:
         FROM points p LEFT JOIN climate c ON c.cell_id = p.cell_id"""
     s["sample_grid_at_points"] = """SELECT row_id, lat, lon, CAST(v1 AS DOUBLE) AS "0-5cm", CAST(v2 AS DOUBLE) AS "5-15cm",
         CAST(v3 AS DOUBLE) AS "15-30cm" FROM sampled"""
+    cells = " ".join(
+        f"LEFT JOIN grid_cells g{i} ON g{i}.grid_id = '{g}' AND g{i}.value <> 300 AND g{i}.r = floor((lat - 75) / -2) AND g{i}.c = floor((lon + 180) / 2)"
+        for i, g in enumerate(("0-5cm", "5-15cm", "15-30cm"), 1)
+    )
+    s["sample_tiled_grid"] = f"""SELECT station, lat, lon, CAST(g1.value AS DOUBLE) AS "0-5cm", CAST(g2.value AS DOUBLE) AS "5-15cm",
+        CAST(g3.value AS DOUBLE) AS "15-30cm"
+        FROM (SELECT s_suppkey AS station, CASE WHEN s_suppkey % 13 <> 0 THEN CAST(12.25 AS DOUBLE) + (s_suppkey * 7 % 16) * CAST(0.25 AS DOUBLE) END AS lat,
+                     CAST(20.125 AS DOUBLE) + (s_suppkey * 11 % 16) * CAST(0.25 AS DOUBLE) AS lon FROM supplier) p {cells}"""
     weighted = " + ".join(
         f"CAST(v{i} AS DOUBLE) / 10 * (CAST({w} AS DOUBLE) / 30)" for i, w in ((1, 5), (2, 10), (3, 15))
     )

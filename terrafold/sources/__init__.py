@@ -6,7 +6,15 @@ from terrafold.sources.climate import (
     ingest_climatology,
     parse_climatology,
 )
-from terrafold.sources.grids import GridMeta, depth_weighted_mean, grid_to_points, rescale, sample_grid_at_points
+from terrafold.sources.grids import (
+    GridMeta,
+    depth_weighted_mean,
+    grid_to_points,
+    read_tiles,
+    rescale,
+    sample_grid_at_points,
+    write_tiles,
+)
 from terrafold.sources.models import load_model, save_model
 from terrafold.sources.tables import (
     PREDICTION_SCHEMA,
@@ -39,6 +47,7 @@ __all__ = [
     "read_predictions_lenient",
     "read_run_metrics",
     "read_table",
+    "read_tiles",
     "rescale",
     "sample_grid_at_points",
     "save_model",
@@ -47,4 +56,5 @@ __all__ = [
     "write_reports",
     "write_run_metrics",
     "write_table",
+    "write_tiles",
 ]

@@ -6,7 +6,7 @@ from collections import defaultdict
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.session import materialize
@@ -62,6 +62,41 @@ def grid_to_points(
     )
 
 
+def write_tiles(cells: DataFrame, path: str, tile: int, row: str = "r", col: str = "c") -> DataFrame:
+    """Store cells by square tiles of ``tile`` rows and columns, one folder per tile, and return them read back.
+
+    A lookup that needs few tiles reads only their folders. A tile is written by
+    one task and holds at most ``tile * tile`` cells of each grid.
+    """
+    cells.withColumn("tile", _tile(row, col, tile)).repartition("tile").write.partitionBy("tile").parquet(path)
+    return read_tiles(cells.sparkSession, path)
+
+
+def read_tiles(spark: SparkSession, path: str) -> DataFrame:
+    """Cells stored by :func:`write_tiles`, with their ``tile``."""
+    return spark.read.parquet(path)
+
+
+def _tile(row: str, col: str, tile: int) -> Column:
+    """Number of the tile of a cell."""
+    return F.floor(F.col(row) / F.lit(tile)) * F.lit(1 << 24) + F.floor(F.col(col) / F.lit(tile))
+
+
+def cells_under(cells: DataFrame, places: DataFrame, tile: int, row: str = "r", col: str = "c") -> DataFrame:
+    """Tiled cells at the given distinct places (``_r``, ``_c``).
+
+    The tiles of the places are counted first. Their stored table is small, so
+    Spark broadcasts it and reads only the folders of these tiles (dynamic
+    partition pruning; it looks for a filter on the smaller side, which the count
+    gives). Of these, only cells at a place go on.
+    """
+    number = _tile("_r", "_c", tile).cast(cells.schema["tile"].dataType)  # folders may be read back as int
+    tiles = materialize(places.groupBy(number.alias("tile")).agg(F.count("*").alias("n")), "tiles").where("n > 0")
+    near = cells.join(tiles, "tile", "left_semi")
+    place = [F.col(row).cast("long") == places["_r"], F.col(col).cast("long") == places["_c"]]
+    return near.join(places, place, "left_semi")
+
+
 def sample_grid_at_points(
     points: DataFrame,
     cells: DataFrame,
@@ -72,6 +107,7 @@ def sample_grid_at_points(
     row: str = "r",
     col: str = "c",
     value: str = "value",
+    tile: int | None = None,
 ) -> DataFrame:
     """Append one column per grid with the value of the cell under each point.
 
@@ -80,6 +116,10 @@ def sample_grid_at_points(
     grid. Points off the grid, missing cells and no-data cells give NULL.
     The wide table is stored first: a small one is then broadcast, and in a
     shuffle join the points of a hot cell are split over tasks.
+
+    With ``tile``, the cells are those of :func:`write_tiles`: only tiles with
+    points are read, and only cells under points are shuffled and widened. That reads
+    the points twice, so give a stored table where they are expensive to compute.
     """
     by_geometry: dict[tuple, list[str]] = defaultdict(list)
     for name, meta in grids.items():
@@ -89,9 +129,16 @@ def sample_grid_at_points(
         keep = F.lit(False)
         for name in names:
             keep = keep | ((F.col(grid_id) == name) & _has_data(value, grids[name].nodata))
+        place = {
+            "_r": F.floor((F.col(lat) - F.lit(y0)) / F.lit(dy)),
+            "_c": F.floor((F.col(lon) - F.lit(x0)) / F.lit(dx)),
+        }
+        wanted = cells.where(keep)
+        if tile is not None:
+            places = points.select(*[c.alias(n) for n, c in place.items()]).dropna().distinct()
+            wanted = cells_under(wanted, materialize(places, "places"), tile, row, col)
         wide = (
-            cells.where(keep)
-            .groupBy(F.col(row).cast("long").alias("_r"), F.col(col).cast("long").alias("_c"))
+            wanted.groupBy(F.col(row).cast("long").alias("_r"), F.col(col).cast("long").alias("_c"))
             .agg(
                 *[
                     F.max(F.when(F.col(grid_id) == name, F.col(value).cast("double"))).alias(name)
@@ -99,13 +146,7 @@ def sample_grid_at_points(
                 ]
             )
         )
-        placed = out.withColumns(
-            {
-                "_r": F.floor((F.col(lat) - F.lit(y0)) / F.lit(dy)),
-                "_c": F.floor((F.col(lon) - F.lit(x0)) / F.lit(dx)),
-            }
-        )
-        out = placed.join(materialize(wide, "cells"), ["_r", "_c"], "left").drop("_r", "_c")
+        out = out.withColumns(place).join(materialize(wide, "cells"), ["_r", "_c"], "left").drop("_r", "_c")
     return out
 
 
