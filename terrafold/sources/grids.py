@@ -90,7 +90,7 @@ def cells_under(cells: DataFrame, places: DataFrame, tile: int, row: str = "r",
     partition pruning; it looks for a filter on the smaller side, which the count
     gives). Of these, only cells at a place go on.
     """
-    number = _tile("_r", "_c", tile).cast(cells.schema["tile"].dataType)  # folders may be read back as int
+    number = _tile("_r", "_c", tile).try_cast(cells.schema["tile"].dataType)  # folders are read back as int if they fit
     tiles = materialize(places.groupBy(number.alias("tile")).agg(F.count("*").alias("n")), "tiles").where("n > 0")
     near = cells.join(tiles, "tile", "left_semi")
     place = [F.col(row).cast("long") == places["_r"], F.col(col).cast("long") == places["_c"]]
