@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark import Broadcast
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,9 +16,9 @@ from pyspark.sql import types as T
 from terrafold.functions.columns import require_columns
 from terrafold.functions.scalars import guarded_share
 from terrafold.sources.models import model_kind
-from terrafold.session import materialize
+from terrafold.session import materialize, scratch_path
 
-LEAVES_PER_PASS = 200_000  # at most some tens of MB of paths are broadcast at a time
+LEAVES_PER_BLOCK = 20_000  # at depth 30 some 17 MB of paths in a task at a time
 
 
 def top_k_features(importances: DataFrame, k: int, value: str = "importance") -> DataFrame:
@@ -135,41 +137,40 @@ def feature_importance(
     )
 
 
-_PATHS = T.StructType(
-    [
-        T.StructField("tree", T.IntegerType()),
-        T.StructField("leaf", T.IntegerType()),
-        T.StructField("value", T.DoubleType()),
-        T.StructField("feature_index", T.ArrayType(T.IntegerType())),
-        T.StructField("above", T.ArrayType(T.DoubleType())),
-        T.StructField("upto", T.ArrayType(T.DoubleType())),
-        T.StructField("cover", T.ArrayType(T.DoubleType())),
-    ]
-)
-
-
-def _paths_of_tree(nodes: pd.DataFrame) -> pd.DataFrame:
-    """Leaves of one tree: weighted value and, per feature on the path, interval and cover share."""
-    by_id = {n.node: n for n in nodes.itertuples(index=False)}
-    rows, stack = [], [(0, {})]
-    while stack:
-        node_id, path = stack.pop()
-        n = by_id[node_id]
-        if n.left < 0:
-            intervals = map(list, zip(*path.values())) if path else ([], [], [])
-            rows.append((n.tree, len(rows), n.value * n.weight, list(path), *intervals))
-            continue
-        low, high, share = path.get(n.feature_index, (-np.inf, np.inf, 1.0))
-        left, right = by_id[n.left].rows / n.rows, by_id[n.right].rows / n.rows
-        stack.append((n.left, path | {n.feature_index: (low, min(high, n.threshold), share * left)}))
-        stack.append((n.right, path | {n.feature_index: (max(low, n.threshold), high, share * right)}))
-    return pd.DataFrame(rows, columns=_PATHS.fieldNames())
+def _hops(nodes: DataFrame) -> DataFrame:
+    """For every node but the roots its parent and the step that leads to it: feature, interval and share of the parent's rows."""
+    low, high = F.lit(float("-inf")), F.lit(float("inf"))
+    sides = F.array(
+        F.struct(F.col("left").alias("node"), low.alias("above"), F.col("threshold").alias("upto")),
+        F.struct(F.col("right").alias("node"), F.col("threshold").alias("above"), high.alias("upto")),
+    )
+    sides = nodes.where("left >= 0").select(
+        "tree", F.col("node").alias("up"), "feature_index", F.col("rows").alias("_all"), F.explode(sides).alias("_s")
+    ).select("tree", "up", "feature_index", "_all", "_s.*")
+    step = F.struct("feature_index", "above", "upto", (F.col("rows") / F.col("_all")).alias("cover"))
+    return sides.join(nodes.select("tree", "node", "rows"), ["tree", "node"]).select("tree", "node", "up", F.array(step).alias("steps"))
+
+
+def _steps_from_root(nodes: DataFrame) -> DataFrame:
+    """All steps from the root to each node, by pointer jumping.
+
+    A join replaces every node's ancestor by that ancestor's and puts the
+    ancestor's steps before the node's, so the distance doubles each round: log2(depth)
+    joins, whatever the number of nodes. Rows hold as many steps as a tree is deep.
+    """
+    now = materialize(_hops(nodes), "steps")
+    while now.where("up is not null").take(1):
+        above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("_further"), F.col("steps").alias("_before"))
+        steps = F.coalesce(F.concat("_before", "steps"), F.col("steps"))
+        now = materialize(now.join(above, ["tree", "up"], "left").select("tree", "node", F.col("_further").alias("up"), steps.alias("steps")), "steps")
+    return now.drop("up")
 
 
 def leaf_paths(spark: SparkSession, path: str) -> DataFrame:
-    """One row per leaf of a saved ensemble, built tree by tree on the executors.
+    """One row per leaf of a saved ensemble: its weighted value and, per feature on its path, interval and share of the rows.
 
-    Forest trees count with weight 1/trees, boosted trees with their own.
+    Features are in order of their first split. Forest trees count with weight
+    1/trees, boosted trees with their own. No task holds a whole tree.
     """
     nodes = node_table(spark, path)
     if nodes.where(F.col("categories") > 0).limit(1).count():
@@ -177,19 +178,52 @@ def leaf_paths(spark: SparkSession, path: str) -> DataFrame:
     if model_kind(spark, path).startswith("RandomForest"):
         trees = nodes.agg(F.count_distinct("tree").alias("n")).scalar()
         nodes = nodes.withColumn("weight", 1.0 / trees)
+    return paths_of_nodes(nodes)
+
+
+def paths_of_nodes(nodes: DataFrame) -> DataFrame:
+    """:func:`leaf_paths` of a node table with its tree weights."""
     needed = ["tree", "node", "left", "right", "feature_index", "threshold", "rows", "value", "weight"]
-    return nodes.select(*needed).groupBy("tree").applyInPandas(_paths_of_tree, _PATHS)
+    nodes = materialize(nodes.select(*needed), "nodes")
+    leaves = nodes.where("left < 0").select("tree", "node", (F.col("value") * F.col("weight")).alias("value"))
+    steps = leaves.join(_steps_from_root(nodes), ["tree", "node"], "left")
+    index = F.array_distinct(F.transform("steps", lambda s: s["feature_index"]))
+
+    def of_feature(what: str, merge) -> Column:
+        return F.transform("index", lambda f: merge(F.transform(F.filter("steps", lambda s: s["feature_index"] == f), lambda s: s[what])))
+
+    product = lambda x: F.aggregate(x, F.lit(1.0), lambda a, y: a * y)
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+    rows = steps.withColumn("index", index)
+    return rows.select(
+        "tree", "node", "value", F.coalesce("index", empty("int")).alias("feature_index"),
+        F.coalesce(of_feature("above", F.array_max), empty("double")).alias("above"),
+        F.coalesce(of_feature("upto", F.array_min), empty("double")).alias("upto"),
+        F.coalesce(of_feature("cover", product), empty("double")).alias("cover"),
+    )
+
+
+def stored_paths(paths: DataFrame, leaves_per_block: int) -> tuple[list[str], float]:
+    """Write leaf paths to the shared folder in files of bounded size; returns the files and the base value."""
+    spark = paths.sparkSession
+    folder = scratch_path(spark, "paths")
+    paths.select("value", "feature_index", "above", "upto", "cover").write.option("maxRecordsPerFile", leaves_per_block).parquet(folder)
+    stored = spark.read.parquet(folder)
+    base = stored.agg(F.sum(F.col("value") * F.aggregate("cover", F.lit(1.0), lambda a, y: a * y)))
+    return sorted(stored.inputFiles()), float(base.first()[0] or 0.0)
 
 
-def _path_blocks(leaves: pd.DataFrame) -> tuple[float, list[tuple]]:
-    """Base value, and the leaves stacked into arrays by path length."""
-    base = float(sum(v * np.prod(c) for v, c in zip(leaves["value"], leaves["cover"])))
+def path_block(file: str) -> list[tuple]:
+    """Leaves of one file, stacked into arrays by path length."""
+    place, inside = pafs.FileSystem.from_uri(file)
+    table = pq.read_table(inside, filesystem=place, partitioning=None).combine_chunks()
+    lengths = pc.list_value_length(table["feature_index"]).to_numpy()
     blocks = []
-    for length, part in leaves.groupby(leaves["feature_index"].map(len)):
-        if length:
-            stacked = [np.array(part[c].tolist()) for c in ("feature_index", "above", "upto", "cover")]
-            blocks.append((part["value"].to_numpy(), *stacked))
-    return base, blocks
+    for length in np.unique(lengths[lengths > 0]).tolist():
+        part = table.filter(pa.array(lengths == length))
+        columns = [part[c].combine_chunks().flatten().to_numpy().reshape(-1, length) for c in ("feature_index", "above", "upto", "cover")]
+        blocks.append((part["value"].to_numpy(), *columns))
+    return blocks
 
 
 def _contributions(x: np.ndarray, blocks: list[tuple]) -> np.ndarray:
@@ -230,41 +264,29 @@ def tree_contributions(
     key: str = "row_id",
     keep: Sequence[str] = (),
     partitions: int | None = None,
-    leaves_per_pass: int = LEAVES_PER_PASS,
+    leaves_per_block: int = LEAVES_PER_BLOCK,
 ) -> DataFrame:
     """Additive contributions: ``key, keep..., feature, value, contribution, bias``.
 
     For every row the contributions and the bias add up to the prediction.
     The work per row is large next to its bytes, so a small table gains from
     being spread over ``partitions`` tasks first.
-    Contributions add over leaves, so a model with more than
-    ``leaves_per_pass`` leaves is applied in several passes, each adding to the
-    stored sums of the one before; what the driver collects and broadcasts
-    stays bounded. A NULL feature raises, as the model has no prediction there.
+    Contributions add over leaves: the paths lie in the shared folder in files of at most
+    ``leaves_per_block`` leaves, and a task reads them one after the other for each of its batches, so any
+    model takes one pass over the rows, and neither the driver nor a task holds it
+    whole. The folder must be one that Arrow can open (a mounted path, HDFS, S3 or GCS).
+    A NULL feature raises, as the model has no prediction there.
     """
     require_columns(df, [key, *keep, *features])
-    spark = df.sparkSession
-    leaves = materialize(leaf_paths(spark, model_path), "paths")
-    # Per-tree leaf counts: one number per tree of the model.
-    sizes = [(r["tree"], r["count"]) for r in leaves.groupBy("tree").count().orderBy("tree").collect()]
-    total = sum(n for _, n in sizes)
-    firsts = np.concatenate(([0], np.cumsum([n for _, n in sizes])))[:-1]
-    offset = F.create_map(*[F.lit(int(x)) for (tree, _), first in zip(sizes, firsts) for x in (tree, first)])
-    placed = leaves.withColumn("place", offset[F.col("tree")] + F.col("leaf"))
+    files, bias = stored_paths(leaf_paths(df.sparkSession, model_path), leaves_per_block)
     names = list(features)
     carried = [key, *[c for c in keep if c != key]]
     numbers = F.array(*[F.col(c).cast("double") for c in names])
-    rows = df.select(*carried, numbers.alias("_x"), F.array_repeat(F.lit(0.0), len(names)).alias("_phi"))
+    rows = df.select(*carried, numbers.alias("_x"))
     if partitions:
         rows = rows.repartition(partitions, key)
-    bias = 0.0
-    for start in range(0, max(total, 1), leaves_per_pass):
-        part = placed.where((F.col("place") >= start) & (F.col("place") < start + leaves_per_pass)).toPandas()
-        base, blocks = _path_blocks(part)
-        bias += base
-        rows = rows.mapInPandas(_add_contributions(spark.sparkContext.broadcast(blocks)), rows.schema)
-        if start + leaves_per_pass < total:
-            rows = materialize(rows, "contributions")
+    schema = T.StructType([*rows.schema, T.StructField("_phi", T.ArrayType(T.DoubleType()))])
+    rows = rows.mapInArrow(_explain(files), schema)
     entry = F.transform(
         F.sequence(F.lit(0), F.lit(len(names) - 1)),
         lambda i: F.struct(
@@ -274,21 +296,30 @@ def tree_contributions(
         ),
     )
     return rows.select(*carried, F.explode(entry).alias("_e")).select(
-        *carried, "_e.feature", "_e.value", "_e.contribution", F.lit(float(bias)).alias("bias")
+        *carried, "_e.feature", "_e.value", "_e.contribution", F.lit(bias).alias("bias")
     )
 
 
-def _add_contributions(shared: Broadcast):
-    """A function for mapInPandas that adds the contributions of some leaves to ``_phi``."""
+def _explain(files: list[str]):
+    """A function for mapInArrow that appends the contributions of all leaves, read file by file, as ``_phi``."""
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, list[tuple]] = {}  # the last file's leaves, so a model of one file is read once
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            x = np.array(batch["_x"].tolist(), dtype=float)
+            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
             if np.isnan(x).any():
                 raise ValueError("a feature is NULL or NaN: the model has no prediction to explain there")
-            phi = np.array(batch["_phi"].tolist(), dtype=float) + _contributions(x, shared.value)
-            yield batch.assign(_phi=list(phi))
+            phi = np.zeros(x.shape)
+            for file in files:
+                if file not in kept:
+                    kept.clear()
+                    kept[file] = path_block(file)
+                phi += _contributions(x, kept[file])
+            ends = pa.array(np.arange(0, phi.size + 1, phi.shape[1], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.ListArray.from_arrays(ends, pa.array(phi.ravel()))], names=[*batch.schema.names, "_phi"]
+            )
 
     return explain

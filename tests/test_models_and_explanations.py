@@ -59,12 +59,12 @@ def test_contributions_add_up(spark, data, saved):
     assert all(r["t"] == pytest.approx(want[r["row_id"]], abs=1e-6) for r in rows)
 
 
-def test_several_passes_give_the_same(spark, data, saved):
+def test_several_blocks_give_the_same(spark, data, saved):
     _, _, path = saved
     few = data.where("row_id < 40")
     few = few.unionByName(few)  # copies of a key keep their rows
     one = op.tree_contributions(few, path, FEATURES).orderBy("row_id", "feature").collect()
-    many = op.tree_contributions(few, path, FEATURES, leaves_per_pass=20).orderBy("row_id", "feature").collect()
+    many = op.tree_contributions(few, path, FEATURES, leaves_per_block=20).orderBy("row_id", "feature").collect()
     assert [r["contribution"] for r in one] == pytest.approx([r["contribution"] for r in many], abs=1e-9)
     assert len(one) == len(many) == 40 * 2 * len(FEATURES)
     assert one[0]["bias"] == pytest.approx(many[0]["bias"])
