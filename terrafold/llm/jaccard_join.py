@@ -140,36 +140,49 @@ def linked_members(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
     Sets are taken by size. Each looks up the earlier sets that share a token of
     its prefix (rarest tokens of this collection first) and verifies those it is
-    not connected with yet.
+    not connected with yet. They are held by token and component, so a component
+    the set already belongs to is passed over at once, however large.
     """
-    label = np.arange(len(sets))
-    sizes = np.array([len(s) for s in sets])
+    above = list(range(len(sets)))
+    sizes = [len(s) for s in sets]
     if len(sets) < 2:
-        return label
+        return np.array(above, dtype=np.int64)
+
+    def root(i: int) -> int:
+        while above[i] != i:
+            above[i] = above[above[i]]
+            i = above[i]
+        return i
+
     tokens, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(tokens), dtype=np.int64)
     rank[np.lexsort((tokens, df))] = np.arange(len(tokens))
+    alone = int((df == 1).sum())  # tokens of one set come first
     ranks = np.split(rank[inverse], np.cumsum(sizes)[:-1])
-    by_token: dict[int, list[int]] = {}
-    common = set(np.sort(rank)[np.sort(df) > 1].tolist()) if len(tokens) else set()
-    for x in np.argsort(sizes, kind="stable"):
-        n = int(sizes[x])
-        if not n:
-            continue
-        prefix = [t for t in np.sort(ranks[x])[: prefix_length(n, percent)].tolist() if t in common]
-        met = [by_token[t] for t in prefix if t in by_token]
-        if met:
-            near = np.unique(np.concatenate([np.asarray(m) for m in met]))
-            near = near[100 * sizes[near] >= percent * n]
-            while len(near := near[label[near] != label[x]]):
-                y = near[-1]
-                near = near[:-1]
-                if _similar(sets[x], sets[y], percent):
-                    low, high = sorted((int(label[x]), int(label[y])))
-                    label[label == high] = low
+    by_token: dict[int, dict[int, list[int]]] = {}
+    for x in np.argsort(sizes, kind="stable").tolist():
+        n = sizes[x]
+        prefix = np.sort(ranks[x])[: prefix_length(n, percent)] if n else np.zeros(0, np.int64)
+        prefix = prefix[prefix >= alone].tolist()
+        tried: set[int] = set()
+        for t in prefix:
+            held = by_token.setdefault(t, {})
+            for r in [r for r in held if above[r] != r]:
+                held.setdefault(root(r), []).extend(held.pop(r))
+            for r, members in held.items():
+                if root(r) == root(x):
+                    continue
+                for y in members:
+                    if y in tried or 100 * sizes[y] < percent * n:
+                        continue
+                    tried.add(y)
+                    if _similar(sets[x], sets[y], percent):
+                        low, high = sorted((root(x), root(y)))
+                        above[high] = low
+                        break
         for t in prefix:
-            by_token.setdefault(t, []).append(int(x))
-    return label
+            by_token[t].setdefault(root(x), []).append(x)
+    return np.array([root(i) for i in range(len(sets))], dtype=np.int64)
 
 
 def _place(doc_id: str, version: str) -> Column:
@@ -194,23 +207,25 @@ def _likely(rows: DataFrame, members: DataFrame) -> DataFrame:
     return likely(rows.where(F.col("doc_id").isNotNull())).unionByName(unnamed)
 
 
+def linked_sets(table: pa.Table, n: int, percent: int) -> pa.Table:
+    """Links (u, v) that connect what is similar among texts given with the hashes of their sets (set_id, text)."""
+    kept, ids = [], []
+    for part in slices(table.select(["set_id", "text"]).to_batches(), "text"):  # hashing needs many times its input
+        for tokens, set_id in zip(token_sets(*text_bytes(part.column(1)), n), part.column(0).to_numpy()):
+            if len(tokens) and set_hash(tokens) == set_id:  # else another text of the same id
+                kept.append(tokens.copy())  # not a view that keeps the whole slice
+                ids.append(set_id)
+    label = linked_members(kept, percent)
+    ids = np.asarray(ids, dtype=np.int64)
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return pa.table({"u": ids[moved], "v": ids[label[moved]]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+
 def _links(members: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (u, v) between sets of one block pair that connect what is similar in it."""
+    """Links (u, v) between sets of one block pair."""
 
     def verify(table: pa.Table) -> pa.Table:
-        texts = table.column("text").combine_chunks()
-        if isinstance(texts, pa.ChunkedArray):
-            texts = pa.concat_arrays(texts.chunks)
-        wanted = table.column("set_id").to_numpy()
-        kept, ids = [], []
-        for tokens, set_id in zip(token_sets(*text_bytes(texts), n), wanted):
-            if len(tokens) and set_hash(tokens) == set_id:  # else another text of the same id
-                kept.append(tokens)
-                ids.append(set_id)
-        label = linked_members(kept, percent)
-        ids = np.asarray(ids, dtype=np.int64)
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"u": ids[moved], "v": ids[label[moved]]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+        return linked_sets(table, n, percent)
 
     return members.groupBy("component", "block_a", "block_b").applyInArrow(verify, "u long, v long")
 

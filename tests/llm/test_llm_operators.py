@@ -1,6 +1,9 @@
 """Operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -466,3 +469,46 @@ def test_similar_classes_equal_brute_force(spark):
         (a, b) for i, a in enumerate(heads) for b in heads[i + 1 :] if len(known[a] & known[b]) >= 0.8 * len(known[a] | known[b]) - 1e-9
     }
     assert {(r["class_a"], r["class_b"]) for r in links.collect()} == expected and expected
+
+
+def test_verifying_near_copies_needs_little_memory_per_megabyte():
+    """Hashing 24 MB of near copies, as one task does, takes no more than 12 times their size beyond what the process had."""
+    code = """
+import resource
+import numpy as np, pyarrow as pa
+from terrafold.llm import jaccard_join as j
+draw = np.random.default_rng(1)
+words = np.array([f"w{i:05d}" for i in range(4000)])
+base = words[draw.integers(0, 4000, 3000)]
+texts = [" ".join(np.where(draw.random(3000) < 0.002, "other", base)) for _ in range(1150)]
+size = sum(map(len, texts))
+ids = [j.set_hash(s) for t in texts for s in j.token_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 5)]
+table = pa.table({"set_id": pa.array(ids, pa.int64()), "text": texts})
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = j.linked_sets(table, 5, 80)
+grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / size
+print(found.num_rows, grown)
+assert found.num_rows == len(ids) - 1 and size > 20e6 and grown < 12, (found.num_rows, len(ids), grown)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stdout + done.stderr
+
+
+def test_linked_members_against_all_pairs():
+    for seed in range(200):
+        draw = random.Random(seed)
+        size, percent = draw.randint(5, 60), draw.choice([60, 80, 85])
+        kinds = [set(draw.sample(range(size), draw.randint(1, size))) for _ in range(4)]
+        sets = []
+        for _ in range(draw.randint(0, 40)):
+            tokens = set(draw.choice(kinds)).symmetric_difference(draw.randrange(size) for _ in range(draw.randint(0, 3)))
+            sets.append(np.array(sorted(tokens), dtype=np.uint64))
+        label = list(range(len(sets)))
+        for a in range(len(sets)):
+            for b in range(a):
+                common = len(np.intersect1d(sets[a], sets[b]))
+                if common and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                    low, high = sorted((label[a], label[b]))
+                    label = [low if x == high else x for x in label]
+        assert list(jaccard_join.linked_members(sets, percent)) == label
