@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,6 +119,36 @@ def signed_rank_null(sizes: DataFrame) -> DataFrame:
     )
 
 
+def signed_rank_tail(n: int, k: int) -> tuple[float, float]:
+    """P(W <= k) and P(W = k) for the rank sum W of n ranks with random signs, by counting.
+
+    Ways to reach each sum up to ``k`` are counted rank by rank; sums beyond are never
+    built. Counts are scaled down by powers of two as they grow, so any
+    ``n`` keeps its relative accuracy, down to the smallest number there is.
+    """
+    ways, scale = np.zeros(k + 1), 0
+    ways[0] = 1.0
+    for rank in range(1, min(n, k) + 1):
+        top = min(k, rank * (rank + 1) // 2)
+        ways[rank : top + 1] += ways[: top + 1 - rank]
+        if rank % 512 == 0:  # each rank doubles the largest count at most
+            power = int(np.frexp(ways.max())[1])
+            ways, scale = np.ldexp(ways, -power), scale + power
+    return math.ldexp(float(ways.sum()), scale - n), math.ldexp(float(ways[k]), scale - n)
+
+
+def _tails(wanted: DataFrame) -> DataFrame:
+    """:func:`signed_rank_tail` for every pair ``n_used``, ``_k``; one pair at a time in a task."""
+
+    def run(batches):
+        for batch in batches:
+            found = [signed_rank_tail(n, k) for n, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            sides = [pa.array([f[x] for f in found], pa.float64()) for x in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *sides], names=["n_used", "_k", "_at_most", "_just"])
+
+    return wanted.mapInArrow(run, "n_used long, _k long, _at_most double, _just double")
+
+
 def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
     """Append ``_rank``, the mid-rank of |_d| among the nonzero differences of the group."""
     nonzero = F.col("_d") != 0
@@ -139,6 +171,7 @@ def paired_tests(
     ``method`` is ``"exact"`` (for groups without zeros), ``"approx"`` (the
     normal approximation with tie correction on the nonzero differences, which
     groups with zeros always take) or ``"auto"``: exact up to 50 differences.
+    ``"exact"`` takes any number of differences, with work of the order of their cube.
     All-zero groups have no Wilcoxon result.
     """
     if method not in ("auto", "exact", "approx"):
@@ -171,18 +204,18 @@ def paired_tests(
     m, plus = F.col("n_used"), F.col("_plus")
     most = {"auto": F.lit(AUTO_EXACT), "exact": n, "approx": F.lit(0)}[method]
     exact = (n == m) & (m > 0) & (n <= most)
-    tested = materialize(tested.withColumn("_exact", exact), "tested")
-    null = materialize(signed_rank_null(tested.where("_exact").select("n_used").distinct()), "null")
-    tested = tested.join(null, "n_used", "left")
+    most_sum = (m * (m + 1) / 2).cast("long")
+    place = F.floor(plus).cast("long")
+    tested = materialize(tested.withColumn("_exact", exact).withColumn("_k", F.least(place, most_sum - place)), "tested")
+    tails = materialize(_tails(tested.where("_exact").select("n_used", "_k").distinct()), "tails")
+    tested = tested.join(tails, ["n_used", "_k"], "left")
     exact = F.col("_exact")
-    place = F.floor(plus).cast("int")
-
-    def add(acc: Column, x: Column) -> Column:
-        return acc + x
-
-    at_least = F.aggregate(F.slice("chances", place + 1, F.size("chances")), F.lit(0.0), add)
-    at_most = F.aggregate(F.slice("chances", F.lit(1), place + 1), F.lit(0.0), add)
-    centre = place == F.floor((F.size("chances") - 1) / 2)
+    # The smaller tail is counted; the other one and it share the sum itself.
+    rest = 1 - F.col("_at_most") + F.col("_just")
+    at_most = F.when(place == F.col("_k"), F.col("_at_most")).otherwise(rest)
+    at_least = F.when(place == F.col("_k"), rest).otherwise(F.col("_at_most"))
+    at_least = F.when(2 * place == most_sum, at_most).otherwise(at_least)
+    centre = place == F.floor(most_sum / 2)
     exact_two = F.when(centre, F.lit(1.0)).otherwise(
         F.least(F.lit(1.0), 2 * F.least(at_least, at_most))
     )

@@ -1,5 +1,6 @@
 import itertools
 import math
+from fractions import Fraction
 
 import numpy as np
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafold import operators as op
-from terrafold.operators.compare import normal_upper_tail, signed_rank_null, student_t_beyond
+from terrafold.operators.compare import normal_upper_tail, signed_rank_null, signed_rank_tail, student_t_beyond
 
 
 def score(spark, pairs):
@@ -167,3 +168,31 @@ def test_best_run_breaks_ties_by_name(spark):
     assert op.best_run(runs, 2.0)["run_name"] == "a"
     with pytest.raises(ValueError):
         op.best_run(runs, 9.0)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 60, 400, 2000])
+def test_exact_tail_against_whole_numbers(n):
+    """Counts of rank sums in Python's whole numbers, up to the tail that is asked for."""
+    k = n * (n + 1) // 4 if n <= 60 else 3 * n
+    ways = [1] + [0] * k
+    for rank in range(1, min(n, k) + 1):
+        for total in range(k, rank - 1, -1):
+            ways[total] += ways[total - rank]
+    at_most, just = signed_rank_tail(n, k)
+    scale = 2**n
+    if n < 1000:
+        assert at_most == pytest.approx(sum(ways) / scale, rel=1e-12)
+        assert just == pytest.approx(ways[k] / scale, rel=1e-12)
+    else:  # below the smallest number
+        assert at_most == pytest.approx(float(Fraction(sum(ways), scale)), abs=1e-300)
+
+
+def test_exact_test_of_many_differences(spark):
+    """The exact test of 2,000 differences is near its approximation, and far tails do not vanish."""
+    rows = [("mixed", (-1) ** (i % 5 == 0) * (i + 1.0)) for i in range(700)] + [("even", (-1) ** i * (i + 1.0)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "metric string, difference double")
+    exact = {r["metric"]: r for r in op.paired_tests(df, method="exact").collect()}
+    near = {r["metric"]: r for r in op.paired_tests(df, method="approx").collect()}
+    assert exact["even"]["wilcoxon_p_two_sided"] == pytest.approx(near["even"]["wilcoxon_p_two_sided"], rel=1e-2)
+    assert 0 < exact["mixed"]["wilcoxon_p_one_sided"] < 1e-40
+    assert exact["mixed"]["wilcoxon_stat_one_sided"] == near["mixed"]["wilcoxon_stat_one_sided"]
