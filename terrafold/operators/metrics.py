@@ -169,12 +169,14 @@ def mae_by_reference_bin(
     labels: Sequence[str] = BIN_LABELS,
     models: Sequence[str] | None = None,
     digits: int = 2,
+    empty_bins: bool = False,
 ) -> DataFrame:
     """Mean absolute error per labelled bin, models side by side.
 
     Edges are the observed quantiles of ``reference`` and serve every model.
     Raises when ties leave fewer bins than labels. Without ``models`` the report
-    is long, ``bin, bin_label, model, mae`` for every model there is.
+    is long, ``bin, bin_label, model, mae`` for every model there is;
+    with ``empty_bins`` it has every bin of every model, NULL where there are no rows.
     """
     q = len(labels)
     edges = quantile_edges(preds.where(F.col("model") == reference), "observed", q)
@@ -185,7 +187,11 @@ def mae_by_reference_bin(
     if models is None:
         name = F.get(F.array(*[F.lit(x) for x in labels]), F.col("bin"))
         long = binned.groupBy("bin", "model").agg(F.round(F.avg("abs_error"), digits).alias("mae"))
-        return long.select("bin", name.alias("bin_label"), "model", "mae").orderBy("bin", "model")
+        if not empty_bins:
+            return long.select("bin", name.alias("bin_label"), "model", "mae").orderBy("bin", "model")
+        each = F.posexplode(F.array(*[F.lit(x) for x in labels])).alias("bin", "bin_label")
+        every = preds.select("model").dropna().distinct().select("model", each)
+        return every.join(long, ["bin", "model"], "left").select("bin", "bin_label", "model", "mae").orderBy("bin", "model")
     measured = binned.groupBy("bin").agg(
         *[F.avg(F.when(F.col("model") == m, F.col("abs_error"))).alias(f"mae_{m}") for m in models]
     )

@@ -122,6 +122,15 @@ def test_reference_edges_leave_outside_values_out(spark):
     assert wide["Lowest"] == 3.0 and wide["Highest"] is None and len(wide) == 5
 
 
+def test_long_bins_without_rows_stay_on_request(spark):
+    rows = [("A", float(i), 1.0) for i in range(11)] + [("B", 100.0, 9.0), ("B", 0.0, 3.0), (None, 3.0, 1.0)]
+    df = spark.createDataFrame(rows, "model string, observed double, abs_error double")
+    out = op.mae_by_reference_bin(df, "A", empty_bins=True).collect()
+    assert [(r["bin"], r["bin_label"], r["mae"]) for r in out if r["model"] == "B"] == [
+        (0, "Lowest", 3.0), (1, "Low-mid", None), (2, "Middle", None), (3, "High-mid", None), (4, "Highest", None)]
+    assert len(out) == 10 and all(r["mae"] == 1.0 for r in out if r["model"] == "A")
+
+
 def test_describe_and_zero_rate(spark):
     df = column(spark, [0.0, 0, 10, 20, None])
     d = op.describe_target(df, "v", [0.5, 0.125]).first()
