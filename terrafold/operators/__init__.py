@@ -54,6 +54,10 @@ from terrafold.operators.ml import (
     oof_predictions,
     random_forest_cv,
     random_search,
+    run_artifacts,
+    run_folds,
+    run_importances,
+    run_model,
 )
 from terrafold.operators.prep import (
     Prepared,

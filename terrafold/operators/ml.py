@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 
 from terrafold.functions.columns import require_columns
 from terrafold.functions.scalars import block_label, with_residuals
+from terrafold.operators.explain import feature_importance
 from terrafold.operators.folds import spatial_folds
 from terrafold.operators.joins import union_all
 from terrafold.operators.metrics import cv_summary, metrics_by_fold, regression_metrics
 from terrafold.operators.sampling import random_split
 from terrafold.session import materialize, scratch_path
+from terrafold.sources.models import load_model, save_model
 from terrafold.sources.tables import read_run_metrics, write_run_metrics
 
 MAX_TREE_DEPTH = 30  # Spark ML's limit; stands for "no limit"
@@ -216,12 +219,17 @@ def random_search(
     lon: str = "lon",
     parallelism: int = 4,
     records: str | None = None,
+    full_fits: bool = True,
 ) -> DataFrame:
     """Score every configuration under every block size; one row per run.
 
-    Each finished run writes its record (parameters and fold summary) under
-    ``records``, so a stopped search keeps what it has; the runs table is
-    read back from there. A run that is already recorded is not repeated.
+    A finished run keeps its fold table, its model fitted on all rows and that model's
+    feature importances (see :func:`run_folds`, :func:`run_importances`,
+    :func:`run_model`; the latter two not without ``full_fits``). They go to a folder of their own for every attempt;
+    the run's record (parameters and fold summary) is written last and names the folder.
+    So a stopped search keeps what it has, and what an unfinished attempt left
+    is never read. The runs table is read back from the records, and a run
+    that is already recorded is not repeated.
     """
     spark = df.sparkSession
     records = (records or scratch_path(spark, "runs")).rstrip("/")
@@ -235,7 +243,7 @@ def random_search(
     table = materialize(assemble(folded, features, target, list(fold_of.values())), "search")
     n_rows = table.count()
     short = {"forest": "rf", "boosted": "gbt"}[family]
-    done = _recorded(spark, records)
+    done = run_artifacts(spark, records)
 
     def run(job) -> None:
         block, config = job
@@ -244,7 +252,14 @@ def random_search(
         if name in done:
             return
         oof = _oof(table, FAMILIES[family](**hp), fold_of[block], (), name, 1)
-        summary = cv_summary(metrics_by_fold(oof)).drop("model").first().asDict()
+        kept = f"{records}/artifacts/{name}-{uuid.uuid4().hex}"
+        metrics_by_fold(oof).withColumnRenamed("model", "run_name").write.parquet(f"{kept}/folds")
+        folds = spark.read.parquet(f"{kept}/folds").withColumnRenamed("run_name", "model")
+        summary = cv_summary(folds).drop("model").first().asDict()
+        if full_fits:
+            save_model(FAMILIES[family](**hp).fit(table.select("features", "label")), f"{kept}/model")
+            named = feature_importance(spark, f"{kept}/model", features).withColumn("run_name", F.lit(name))
+            named.select("run_name", "feature", "importance", "share").write.parquet(f"{kept}/importance")
         write_run_metrics(
             spark,
             f"{records}/{name}.json",
@@ -255,6 +270,7 @@ def random_search(
                 "n_features_used": len(features),
                 "params": hp | {"spatial_block_deg": float(block), "n_splits": k},
                 "spatial_cv": summary,
+                "artifacts": kept,
             },
         )
 
@@ -264,15 +280,44 @@ def random_search(
     return read_run_metrics(spark, f"{records}/*.json")
 
 
-def _recorded(spark: SparkSession, records: str) -> set[str]:
-    """Names of runs with a complete record under ``records``."""
+def run_artifacts(spark: SparkSession, records: str) -> dict[str, str | None]:
+    """Folder of the kept results of every recorded run; None for records that name none."""
     try:
-        found = read_run_metrics(spark, f"{records}/*.json")
+        found = spark.read.option("multiLine", True).json(f"{records.rstrip('/')}/*.json")
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":  # nothing recorded yet
-            return set()
+            return {}
         raise
-    return {r[0] for r in found.select("run_name").collect()}
+    if "run_name" not in found.columns:
+        return {}
+    folder = F.col("artifacts") if "artifacts" in found.columns else F.lit(None).cast("string")
+    # One row per run of the search.
+    return {r[0]: r[1] for r in found.where("run_name is not null").select("run_name", folder).collect()}
+
+
+def _kept_tables(spark: SparkSession, records: str, name: str) -> DataFrame:
+    folders = [f for f in run_artifacts(spark, records).values() if f]
+    if not folders:
+        raise ValueError(f"no recorded run under {records}")
+    return spark.read.parquet(*[f"{f}/{name}" for f in folders])
+
+
+def run_folds(spark: SparkSession, records: str) -> DataFrame:
+    """Fold scores of all recorded runs: ``run_name, fold`` and the scores."""
+    return _kept_tables(spark, records, "folds")
+
+
+def run_importances(spark: SparkSession, records: str) -> DataFrame:
+    """Importances of the full fits of all recorded runs: ``run_name, feature, importance, share``."""
+    return _kept_tables(spark, records, "importance")
+
+
+def run_model(spark: SparkSession, records: str, name: str):
+    """The model of a recorded run, fitted on all rows."""
+    folder = run_artifacts(spark, records).get(name)
+    if folder is None:
+        raise ValueError(f"no recorded run {name!r} under {records}")
+    return load_model(spark, f"{folder}/model")
 
 
 def best_run_per_block(

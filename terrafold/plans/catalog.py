@@ -424,6 +424,14 @@ def mae_by_reference_bin(spark, sf):
     return op.mae_by_reference_bin(fx.predictions(spark, sf), "A", models=["A", "B"])
 
 
+@query
+def mae_by_reference_bin_long(spark, sf):
+    """The open-ended form, with a model that has no rows in the lower bins."""
+    rows = fx.predictions(spark, sf)
+    high = rows.where("model = 'B' and observed > 3000").withColumn("model", F.lit("high"))
+    return op.mae_by_reference_bin(rows.unionByName(high), "A", empty_bins=True)
+
+
 @query
 def plot_extent(spark, sf):
     return op.plot_extent(fx.predictions(spark, sf), ["model"])
@@ -807,6 +815,15 @@ def random_search_one_cut(spark, sf):
     return rounded(runs.drop("file"))
 
 
+@query
+def run_folds_one_cut(spark, sf):
+    """The fold tables that the runs of a search keep."""
+    records = scratch_path(spark, "runs")
+    configs = [{"config_id": f"leaf{n}", "min_samples_leaf": n, **ONE_CUT} for n in (1, 400)]
+    op.random_search(_cut_table(spark, sf), configs, [10.0], "forest", CUT_FEATURES, "suitability", records=records, full_fits=False)
+    return rounded(op.run_folds(spark, records))
+
+
 def _two_cuts_saved(spark, sf):
     model = op.full_fit(_cut_table(spark, sf), op.boosted_trees(**TWO_CUTS), CUT_FEATURES, "suitability")
     return src.save_model(model, scratch_path(spark, "model"))

@@ -318,6 +318,13 @@ def _statements() -> dict[str, str]:
     s["mae_by_reference_bin"] = f"""SELECT CAST(bin AS INTEGER) AS bin, ['Lowest', 'Low-mid', 'Middle', 'High-mid', 'Highest'][bin + 1] AS bin_label,
         round(avg(abs_error) FILTER (model = 'A'), 2) AS "mae_A", round(avg(abs_error) FILTER (model = 'B'), 2) AS "mae_B"
         FROM ({_binned('predictions', 'predictions', 'observed', 5, where="model = 'A'")}) t GROUP BY bin"""
+    binned = _binned('predictions', 'predictions', 'observed', 5, where="model = 'A'")
+    s["mae_by_reference_bin_long"] = f"""
+        SELECT CAST(g.bin AS INTEGER) AS bin, ['Lowest', 'Low-mid', 'Middle', 'High-mid', 'Highest'][g.bin + 1] AS bin_label, g.model, x.mae
+        FROM (SELECT * FROM range(5) b(bin), (VALUES ('A'), ('B'), ('high')) n(model)) g
+        LEFT JOIN (SELECT bin, model, round(avg(abs_error), 2) AS mae FROM (
+            SELECT bin, model, abs_error FROM ({binned}) t
+            UNION ALL SELECT bin, 'high', abs_error FROM ({binned}) t WHERE model = 'B' AND observed > 3000) m GROUP BY ALL) x ON x.bin = g.bin AND x.model = g.model"""
     s["plot_extent"] = """SELECT model, least(min(observed), min(predicted)) AS extent_min,
         greatest(max(observed), max(predicted)) AS extent_max FROM predictions GROUP BY model"""
     s["missing_profile"] = " UNION ALL ".join(
@@ -553,6 +560,8 @@ def _replayed() -> dict[str, str]:
         FROM (SELECT CAST(split_part(job, '_', 2) AS INTEGER) AS m, fold, {_error_scores('one')} FROM cut_scored
               WHERE starts_with(job, 'fold') GROUP BY job, fold) t, (SELECT count(*) AS total FROM points) c
         GROUP BY m""",
+        "run_folds_one_cut": f"""SELECT concat('rf_leaf', split_part(job, '_', 2), '_block10p0_rs') AS run_name, fold, n_test, {_rs('r2 rmse mae')}
+        FROM (SELECT job, fold, count(*) AS n_test, {_error_scores('one')} FROM cut_scored WHERE starts_with(job, 'fold') GROUP BY job, fold) t""",
         "full_fit_two_cuts": f"""SELECT CAST(tree AS INTEGER) AS tree, feature, {_r('threshold', 'threshold')}, CAST(all_n AS BIGINT) AS n_rows,
         {_r('fall / all_n', 'gain')}, CAST(1 AS DOUBLE) AS weight FROM {roots} t""",
         "feature_importance_two_cuts": f"""SELECT feature, {_r('share', 'importance', 6)}, {_r('share', 'share', 6)}
