@@ -4,7 +4,8 @@ Alternates the large-star and small-star steps of Kiveris et al. (2014) until
 the edges no longer change; every remaining edge then leads from a node to the
 smallest node of its component. A step takes minima with partial aggregation and
 joins them back, so a node with very many neighbours is a skewed join at most.
-Each round is stored, so neither the lineage nor the driver grows with the data.
+Each round is stored in place of the one before, so neither the lineage, the driver nor
+the disk grows with the rounds.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.session import materialize
+from terrafold.session import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -43,8 +44,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where("u <> v").select("u", "v").distinct(), "edges")
     before, state = None, _state(now)
     while state != before:
-        now = materialize(_small_star(_large_star(now)), "edges")
+        old, now = now, materialize(_small_star(_large_star(now)), "edges")
         before, state = state, _state(now)
+        release(old)
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots)

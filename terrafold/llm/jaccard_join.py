@@ -114,7 +114,9 @@ def _groups(sets: DataFrame, percent: int) -> DataFrame:
     prefix = F.transform(F.slice("found", F.lit(1), F.col("wanted")), lambda t: t["token"])
     rows = rows.select("set_id", "n_shingles", (alone > 0).alias("own"), prefix.alias("prefix"))
     group = F.xxhash64("n_shingles", "prefix", F.when(F.col("own"), F.col("set_id")))
-    return materialize(rows.select("set_id", "n_shingles", group.alias("group"), "prefix"), "groups")
+    groups = materialize(rows.select("set_id", "n_shingles", group.alias("group"), "prefix"), "groups")
+    release(shared)
+    return groups
 
 
 def _candidates(groups: DataFrame, percent: int) -> DataFrame:
@@ -127,7 +129,9 @@ def _candidates(groups: DataFrame, percent: int) -> DataFrame:
     rays = met.join(stars.where("n > 1"), ["token", "band"]).select(F.col("group").alias("u"), F.col("centre").alias("v"))
     above = stars.select("token", (F.col("band") - 1).alias("band"), F.col("centre").alias("v"))
     steps = stars.select("token", "band", F.col("centre").alias("u")).join(above, ["token", "band"]).select("u", "v")
-    return connected_components(rays.unionByName(steps)).withColumnRenamed("node", "group")
+    found = connected_components(rays.unionByName(steps)).withColumnRenamed("node", "group")
+    release(met, stars)  # the components are stored
+    return found
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -247,12 +251,15 @@ def _linked_sets(rows: DataFrame, n: int, percent: int, block_bytes: int) -> tup
     texts = materialize(texts, "member-texts")
     release(groups, several, members)
     size = texts.groupBy("component").agg(F.ceil(F.sum(F.octet_length("text")) / block_bytes).cast("int").alias("blocks"))
-    placed = texts.join(materialize(size, "blocks"), "component").withColumn("block", F.pmod(F.col("set_id"), "blocks").cast("int"))
+    size = materialize(size, "blocks")
+    placed = texts.join(size, "component").withColumn("block", F.pmod(F.col("set_id"), "blocks").cast("int"))
     placed = placed.select("component", "set_id", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.select(
         "component", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "set_id", "text"
     )
-    return sets, connected_components(_links(placed, n, percent))
+    classes = connected_components(_links(placed, n, percent))
+    release(texts, size)
+    return sets, classes
 
 
 def near_copies(docs: DataFrame, text: str = "text", n: int = 4, percent: int = 85, block_bytes: int = BLOCK_BYTES, key: str = "doc_id") -> DataFrame:
