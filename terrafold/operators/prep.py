@@ -19,7 +19,7 @@ from terrafold.functions.columns import (
     select_by_keyword,
 )
 from terrafold.functions.scalars import clip_target, encode_category
-from terrafold.operators.quantiles import exact_quantiles
+from terrafold.operators.quantiles import column_quantiles
 
 # Service coordinates that are never predictors.
 SERVICE_COLUMNS = ["power_lat", "power_lon"]
@@ -104,14 +104,9 @@ def missing_profile(
 
 
 def median_values(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
-    """Exact median of each column, all columns in one pass."""
-    columns = list(columns)
-    long = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).unpivot(
-        [], columns, "_column", "_value"
-    )
-    found = exact_quantiles(long, "_value", [0.5], ["_column"])
+    """Exact median of each column, all columns together; NULL and NaN are ignored."""
     # One number per column reaches the driver.
-    return dict.fromkeys(columns) | {r["_column"]: r["quantiles"][0] for r in found.collect()}
+    return {c: quantiles[0] for c, (_, quantiles) in column_quantiles(df, columns, [0.5]).items()}
 
 
 def median_impute(df: DataFrame, columns: Sequence[str]) -> DataFrame:

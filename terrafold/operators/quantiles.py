@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,6 +93,134 @@ def exact_quantiles(
     return filled.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("quantiles").alias("quantiles"))
 
 
+#: Ranks a sketch may be off, as a share of the rows, and the share kept on either side of a wanted rank.
+SKETCH_ACCURACY = 10_000
+SKETCH_MARGIN = 2 / SKETCH_ACCURACY
+
+
+@dataclass
+class _Bracket:
+    """Values of one column strictly between two others, which hold wanted ranks (``below`` copies come before them)."""
+
+    column: int
+    ranks: list[int]
+    below: int
+    rows: int
+    low: float | None = None
+    high: float | None = None
+
+    def inside(self) -> Column:
+        value = F.col(f"_{self.column}")
+        within = value.isNotNull()
+        if self.low is not None:
+            within = within & (value > F.lit(self.low))
+        return within if self.high is None else within & (value < F.lit(self.high))
+
+    def sketch(self, shares: Sequence[float]) -> Column:
+        wanted = [x for p in shares for x in (max(0.0, p - SKETCH_MARGIN), min(1.0, p + SKETCH_MARGIN))]
+        return F.percentile_approx(F.when(self.inside(), F.col(f"_{self.column}")), wanted, SKETCH_ACCURACY)
+
+
+def column_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], rows_per_task: int = ROWS_PER_TASK
+) -> dict[str, tuple[int, list[float | None]]]:
+    """Exact, linearly interpolated quantiles of many columns: ``{column: (n, quantiles)}``.
+
+    The columns are stored once, side by side; no row is turned into one row per
+    column. One aggregation sketches all columns and so brackets every wanted
+    rank, a second one counts what lies below, on and between the brackets'
+    ends. A rank on an end is settled, however many copies that value has;
+    otherwise the bracket's inside, a few ten-thousandths of the rows, is
+    bracketed again until it has at most ``rows_per_task`` rows, which are sorted.
+    The counts are exact, so a poor sketch costs another round and never a wrong rank.
+    NULL and NaN are ignored; a column without values has n = 0 and no quantiles.
+    A few numbers per column and probability reach the driver.
+    """
+    columns, probs = list(columns), [float(p) for p in probs]
+    if not columns:
+        return {}
+
+    def clean(c: str) -> Column:
+        value = F.col(f"`{c}`").cast("double") + 0.0
+        return F.when(~F.isnan(value), value)
+
+    rows = materialize(df.select(*[clean(c).alias(f"_{i}") for i, c in enumerate(columns)]), "columns")
+    whole = [_Bracket(i, [], 0, 0) for i in range(len(columns))]
+    first = rows.agg(
+        *[F.count(f"_{i}").alias(f"n{i}") for i in range(len(columns))],
+        *[b.sketch(probs).alias(f"s{b.column}") for b in whole],
+    ).first()
+    n = [first[f"n{i}"] for i in range(len(columns))]
+    settled: dict[tuple[int, int], float] = {}
+    brackets: list[tuple[_Bracket, float, float]] = []  # with the ends a sketch proposes
+    small: list[_Bracket] = []
+    for i, total in enumerate(n):
+        wanted = [sorted({math.floor((total - 1) * p), math.ceil((total - 1) * p)}) for p in probs] if total else []
+        if total and total <= rows_per_task:
+            small.append(_Bracket(i, sorted({r for ranks in wanted for r in ranks}), 0, total))
+            continue
+        for j, ranks in enumerate(wanted):
+            brackets.append((_Bracket(i, ranks, 0, total), first[f"s{i}"][2 * j], first[f"s{i}"][2 * j + 1]))
+    while brackets:
+        cut = [part for b in _cut(rows, brackets) for part in b]
+        for part in cut:
+            if part.low is not None and part.low == part.high:
+                settled.update({(part.column, r): part.low for r in part.ranks})
+        open_parts = [part for part in cut if part.low is None or part.low != part.high]
+        small += [part for part in open_parts if part.rows <= rows_per_task]
+        large = [part for part in open_parts if part.rows > rows_per_task]
+        if not large:
+            break
+        shares = [(part.ranks[0] - part.below) / (part.rows - 1) for part in large]
+        ends = rows.agg(*[part.sketch([p]).alias(f"s{k}") for k, (part, p) in enumerate(zip(large, shares))]).first()
+        brackets = [(part, ends[k][0], ends[k][1]) for k, part in enumerate(large)]
+    settled |= _sorted_ranks(rows, small)
+
+    def quantile(i: int, p: float) -> float | None:
+        if not n[i]:
+            return None
+        place = (n[i] - 1) * p
+        low, high = math.floor(place), math.ceil(place)
+        a, b = settled[i, low], settled[i, high]
+        return a if a == b else (high - place) * a + (place - low) * b
+
+    return {c: (n[i], [quantile(i, p) for p in probs]) for i, c in enumerate(columns)}
+
+
+def _cut(rows: DataFrame, brackets: list[tuple[_Bracket, float, float]]) -> Iterator[list[_Bracket]]:
+    """Split every bracket at two of its values and keep the parts with wanted ranks; a part that is one value has equal ends."""
+    counts = []
+    for k, (b, low, high) in enumerate(brackets):
+        value, inside = F.col(f"_{b.column}"), b.inside()
+        parts = [value < low, value == low, (value > low) & (value < high), (value == high) & F.lit(low != high)]
+        counts.append(F.array(*[F.count_if(inside & part) for part in parts]).alias(f"c{k}"))
+    found = rows.agg(*counts).first()
+    for k, (b, low, high) in enumerate(brackets):
+        sizes = [*found[f"c{k}"], b.rows - sum(found[f"c{k}"])]
+        ends = [(b.low, low), (low, low), (low, high), (high, high), (high, b.high)]
+        below, parts = b.below, []
+        for size, (a, z) in zip(sizes, ends):
+            ranks = [r for r in b.ranks if below <= r < below + size]
+            if ranks:
+                parts.append(_Bracket(b.column, ranks, below, size, a, z))
+            below += size
+        yield parts
+
+
+def _sorted_ranks(rows: DataFrame, brackets: list[_Bracket]) -> dict[tuple[int, int], float]:
+    """Values of the wanted ranks of brackets small enough to be sorted, one group each."""
+    if not brackets:
+        return {}
+    held = [
+        F.when(b.inside(), F.struct(F.lit(k).alias("k"), F.col(f"_{b.column}").alias("v"))) for k, b in enumerate(brackets)
+    ]
+    values = rows.select(F.explode(F.array_compact(F.array(*held))).alias("_h")).select("_h.k", "_h.v")
+    ordered = values.groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("v"))
+    places = F.create_map(*[x for k, b in enumerate(brackets) for x in (F.lit(k), F.array(*[F.lit(r - b.below) for r in b.ranks]))])
+    picked = ordered.select("k", F.transform(places[F.col("k")], lambda r: F.get("v", r)).alias("v")).collect()
+    return {(brackets[r["k"]].column, rank): v for r in picked for rank, v in zip(brackets[r["k"]].ranks, r["v"])}
+
+
 def _count_cells(placed: DataFrame, keys: list[str], cell: str) -> DataFrame:
     """Copies, rows and limits of every cell, and the copies in lower cells of the same keys."""
     earlier = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)

@@ -123,6 +123,22 @@ def write_reports(spark, sf):
     return spark.read.json(f"{folder}/folds.json").withColumn("fold", F.col("fold").cast("int"))
 
 
+@query
+def publish_reports_csv(spark, sf):
+    """Two CSV reports published together, a set that fails half-way, and the first set read back."""
+    folder = scratch_path(spark, "published")
+    predictions = fx.predictions(spark, sf)
+    by_fold = rounded(op.metrics_by_fold(predictions))
+    src.publish_tables(spark, {"folds": by_fold, "models": rounded(op.metrics_by_model(predictions))}, folder, "csv")
+    broken = by_fold.select(F.raise_error(F.lit("the second table fails")).cast("string").alias("broken"))
+    try:
+        src.publish_tables(spark, {"folds": by_fold.limit(0), "models": broken}, folder, "csv")
+    except Exception as error:  # Spark raises its own types from within tasks
+        if "the second table fails" not in str(error):
+            raise
+    return src.read_published(spark, folder)["folds"]
+
+
 @query
 def read_run_metrics(spark, sf):
     folder = scratch_path(spark, "runs")

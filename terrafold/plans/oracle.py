@@ -294,6 +294,7 @@ def _statements() -> dict[str, str]:
     s["regression_metrics"] = f"SELECT {_SCORES} FROM predictions"
     s["metrics_by_fold"] = f"SELECT model, fold, {_SCORES.replace('AS n,', 'AS n_test,')} FROM predictions GROUP BY model, fold"
     s["write_reports"] = s["metrics_by_fold"]
+    s["publish_reports_csv"] = s["metrics_by_fold"]
     s["metrics_by_model"] = f"SELECT model, {_MODEL}, {_STD}, {_MAE} FROM predictions GROUP BY model"
     s["metrics_by_model_category"] = f"SELECT model, crop, {_MODEL}, {_STD}, {_MAE} FROM predictions GROUP BY model, crop"
     s["metrics_all_levels"] = f"""

@@ -16,6 +16,7 @@ from terrafold.sources.grids import (
     write_tiles,
 )
 from terrafold.sources.models import load_model, save_model
+from terrafold.sources.published import publish_tables, read_published
 from terrafold.sources.tables import (
     PREDICTION_SCHEMA,
     read_model_ready,
@@ -42,9 +43,11 @@ __all__ = [
     "ingest_climatology",
     "load_model",
     "parse_climatology",
+    "publish_tables",
     "read_model_ready",
     "read_predictions",
     "read_predictions_lenient",
+    "read_published",
     "read_run_metrics",
     "read_table",
     "read_tiles",
