@@ -4,6 +4,7 @@ import os
 import random
 import subprocess
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -107,6 +108,29 @@ def test_chat_reads_back_what_was_written(spark):
     assert chat.format_chat(spark.createDataFrame([], CHAT)).collect() == []
 
 
+def test_chat_of_very_many_turns(spark):
+    """100,000 turns, some of them in long runs of one role, in time that grows with their number."""
+    n = 100_000
+    role = F.when(F.col("id") < n // 2, F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")).otherwise("assistant")
+    text = F.concat(F.lit("ü𝄞 <|im_sep|>"), F.col("id").cast("string"), F.repeat(F.lit("x"), F.when(F.col("id") % 9999 == 7, 3000).otherwise(0)))
+    turns = spark.range(n).select(
+        F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"),
+        F.when(F.col("id") % 5 > 0, text).alias("text"),
+    )
+    began = time.monotonic()
+    out = chat.format_chat(turns).select(
+        chat.read_chat(F.col("formatted")).alias("turns"), chat.read_loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")
+    ).first()
+    took = time.monotonic() - began
+
+    def said(i):
+        return "" if i % 5 == 0 else f"ü𝄞 <|im_sep|>{i}" + "x" * (3000 if i % 9999 == 7 else 0)
+
+    assert [t["text"] for t in out["turns"]] == [said(i) for i in range(n)]
+    assert out["loss"] == "".join(said(i) for i in range(n) if i % 2 or i >= n // 2)
+    assert took < 30
+
+
 # WARC
 
 
