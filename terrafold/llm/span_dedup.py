@@ -3,8 +3,8 @@
 A span is the shortest run of consecutive sentences that begins at a given
 sentence, has at least ``min_sentences`` sentences and at least ``min_words``
 words; a sentence of ``long_sentence`` words or more is a span by itself too.
-Spans are hashed (96 bits, over lower-cased words) in one numpy pass over Arrow
-batches. A span that already began earlier in its document is a repeat there and
+Spans are hashed in one numpy pass over Arrow batches: lower-cased words by a
+polynomial modulo the prime 2**61 - 1, runs of words by two more, so by 122 bits. A span that already began earlier in its document is a repeat there and
 then; the others are joined globally: a span in several documents stays in the
 one with the smallest id, and all sentences it covers go in the others.
 
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from terrafold.llm.bitmap import broadcast_bitmap, in_bitmap
 from terrafold.llm.naming import set_aside
-from terrafold.llm.text_arrays import Hasher, ValueHasher, Words, lower_ascii, slices, text_bytes, word_bytes
+from terrafold.llm.text_arrays import RUN_BASES, WORD_BASE, RunHasher, Words, lower_ascii, mix, slices, text_bytes, word_bytes
 from terrafold.session import materialize
 
 MIN_SENTENCES = 2
@@ -39,7 +39,7 @@ LONG_SENTENCE = 25
 _LAST = (1 << 63) - 1
 _STOPS = np.zeros(256, dtype=bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
-_SPANS = "doc long, version long, span_a long, span_b int, first int, last int, again boolean"
+_SPANS = "doc long, version long, span_a long, span_b long, first int, last int, again boolean"
 
 
 def sentence_spans(data: np.ndarray, at: np.ndarray, min_sentences: int, min_words: int, long_sentence: int):
@@ -59,7 +59,8 @@ def sentence_spans(data: np.ndarray, at: np.ndarray, min_sentences: int, min_wor
     sentence_end = np.flatnonzero(ends) + 1  # word index after each sentence
     sentence_start = np.concatenate(([0], sentence_end[:-1]))
     sentence_owner = owner[sentence_start]
-    hasher = ValueHasher(Hasher(lower_ascii(data)).spans(words.start, words.end))
+    codes = RunHasher(lower_ascii(data).astype(np.uint16) + np.uint16(1), WORD_BASE).spans(words.start, words.end)
+    hashers = [RunHasher(codes + np.uint64(1), base) for base in RUN_BASES]
     n = len(sentence_start)
     # Shortest run with enough sentences and words.
     run_end = np.searchsorted(sentence_end, sentence_start + min_words)
@@ -73,7 +74,7 @@ def sentence_spans(data: np.ndarray, at: np.ndarray, min_sentences: int, min_wor
     text_end = at[owner[begin] + 1]
     byte_end = np.where(last_of_text[end - 1], text_end, next_start[end - 1])
     ranges = np.stack((owner[begin], words.start[begin] - at[owner[begin]], byte_end - at[owner[begin]]), axis=1)
-    return ranges, np.stack(hasher.spans(begin, end), axis=1)
+    return ranges, np.stack([h.spans(begin, end) for h in hashers], axis=1)
 
 
 def _numbered_spans(part: pa.RecordBatch, limits: tuple[int, int, int]):
@@ -83,7 +84,7 @@ def _numbered_spans(part: pa.RecordBatch, limits: tuple[int, int, int]):
     ranges, codes = ranges[order], codes[order]
     again = np.zeros(len(ranges), dtype=bool)
     again[1:] = (ranges[1:, 0] == ranges[:-1, 0]) & (codes[1:] == codes[:-1]).all(axis=1)
-    return ranges, codes[:, 0], (codes[:, 1] >> np.uint64(33)).astype(np.int32), again
+    return ranges, mix(codes[:, 0]), codes[:, 1].view(np.int64), again
 
 
 def _span_counts(docs: DataFrame, limits: tuple[int, int, int]) -> DataFrame:
@@ -98,7 +99,7 @@ def _span_counts(docs: DataFrame, limits: tuple[int, int, int]) -> DataFrame:
                 names=["span_a", "span_b", "doc"],
             )
 
-    spans = docs.mapInArrow(run, "span_a long, span_b int, doc long")
+    spans = docs.mapInArrow(run, "span_a long, span_b long, doc long")
     return spans.groupBy("span_a", "span_b").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
 
 

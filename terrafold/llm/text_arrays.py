@@ -140,16 +140,63 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
 
-class ValueHasher:
-    """Two hashes of any run of 64-bit values in constant time per run."""
-
-    def __init__(self, values: np.ndarray):
-        up, self._down = _power_tables(len(values) + 1)
-        self._prefix = []
-        for turned in (values, mix(values ^ _STEP)):
-            prefix = np.zeros(len(values) + 1, dtype=np.uint64)
-            np.cumsum(turned * up[: len(values)], out=prefix[1:])
-            self._prefix.append(prefix)
-
-    def spans(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(mix((p[end] - p[start]) * self._down[start]) for p in self._prefix)
+PRIME = np.uint64((1 << 61) - 1)
+_LOW31, _LOW30, _LOW32 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1), np.uint64((1 << 32) - 1)
+# Fixed bases below the prime, drawn once.
+WORD_BASE, RUN_BASES = 1_337_006_139_375_617_731, (1_028_917_546_013_259_041, 2_147_823_401_889_173_207)
+_PART = 1 << 15  # values worked on at a time, so that intermediate arrays stay in the cache
+_prime_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _below_prime(x: np.ndarray) -> np.ndarray:
+    x = (x >> np.uint64(61)) + (x & PRIME)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of numbers below 2**61 - 1, modulo it."""
+    a_high, a_low = a >> np.uint64(31), a & _LOW31
+    b_high, b_low = b >> np.uint64(31), b & _LOW31
+    middle = a_low * b_high + a_high * b_low
+    whole = ((a_high * b_high) << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & _LOW30) << np.uint64(31)) + a_low * b_low
+    return _below_prime(whole)
+
+
+def _powers_below_prime(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` and of its inverse modulo the prime, at least ``n`` of each; kept up to some slices' length."""
+    known = _prime_powers.get(base)
+    if known is not None and len(known[0]) >= n:
+        return known
+    size, found = max(n, SLICE_BYTES + 4096), []
+    for b in (base, pow(base, -1, int(PRIME))):
+        table = np.ones(1, dtype=np.uint64)
+        while len(table) < size:
+            more = min(len(table), size - len(table))
+            table = np.concatenate((table, times(table[:more], np.uint64(pow(b, len(table), int(PRIME))))))
+        found.append(table)
+    if size <= 2 * SLICE_BYTES:
+        _prime_powers[base] = (found[0], found[1])
+    return found[0], found[1]
+
+
+class RunHasher:
+    """Hashes modulo 2**61 - 1 of any run of values in constant time per run.
+
+    The values are below the prime and not 0, so runs of other lengths or values
+    agree by chance only: a polynomial modulo a prime has no more zeros than its degree.
+    """
+
+    def __init__(self, values: np.ndarray, base: int):
+        up, self._down = _powers_below_prime(base, len(values) + 1)
+        self._prefix = np.zeros(len(values) + 1, dtype=np.uint64)
+        total = np.uint64(0)
+        for first in range(0, len(values), _PART):
+            part = values[first : first + _PART].astype(np.uint64)
+            terms = times(part, up[first : first + len(part)])
+            low, high = np.cumsum(terms & _LOW32), np.cumsum(terms >> np.uint64(32))
+            sums = ((high << np.uint64(32)) & PRIME) + (high >> np.uint64(29)) + low + total
+            self._prefix[first + 1 : first + 1 + len(part)] = _below_prime(sums)
+            total = self._prefix[first + len(part)]
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return times(_below_prime(self._prefix[end] + PRIME - self._prefix[start]), self._down[start])

@@ -14,6 +14,7 @@ import corpus_pipeline
 from terrafold.llm import (
     chat, components, decontaminate, jaccard_join, line_dedup, packing, quality, span_dedup, spotsigs, suffix_dedup, suffix_sort, warc,
 )
+from terrafold.llm.text_arrays import PRIME, RUN_BASES, RunHasher
 
 from .test_llm_queries import brute_covered, brute_spans
 
@@ -274,6 +275,29 @@ def test_span_dedup_cases(spark, odd, empty):
     assert len([r for r in out if r["doc_id"] == 6]) == 2 and twice
 
 
+def test_span_dedup_keeps_texts_that_fool_power_of_two_hashes(spark):
+    """Complementary Thue-Morse sequences of words, and of letters, differ and stay."""
+    turns = [bin(i).count("1") % 2 for i in range(2048)]
+    texts = {
+        1: "begin " + " ".join("ab"[t] for t in turns) + " end.", 2: "begin " + " ".join("ba"[t] for t in turns) + " end.",
+        3: " ".join(f"w{i}" for i in range(30)) + " " + "".join("xy"[t] for t in turns) + ".",
+        4: " ".join(f"w{i}" for i in range(30)) + " " + "".join("yx"[t] for t in turns) + ".",
+    }
+    rows = span_dedup.remove_repeated_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == texts and not any(r["n_removed"] for r in rows)
+
+
+def test_run_hashes_equal_plain_polynomials():
+    random.seed(3)
+    values = np.array([random.randrange(1, int(PRIME)) for _ in range(70_000)], dtype=np.uint64)
+    values[40_000:40_100] = values[10:110]
+    base, prime = RUN_BASES[0], int(PRIME)
+    places = [(0, 1), (0, 300), (32_700, 32_900), (69_990, 70_000), (10, 110), (40_000, 40_100)]
+    got = RunHasher(values, base).spans(np.array([a for a, _ in places]), np.array([b for _, b in places]))
+    expected = [sum(int(v) * pow(base, k, prime) for k, v in enumerate(values[a:b])) % prime for a, b in places]
+    assert got.tolist() == expected and expected[4] == expected[5]
+
+
 def test_span_dedup_repeats_inside_a_document(spark):
     texts = {1: " ".join(["Again."] * 60), 2: f"{PASSAGE} Middle. {PASSAGE}", 3: "Short. Short.", 4: _words(9, 30) + ". " + _words(9, 30) + "."}
     rows = span_dedup.remove_repeated_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
