@@ -41,7 +41,8 @@ LONG_MIN_DOCS = 2
 DEPTH = 3
 CONSTANT_SHARE = 0.6
 TOKEN = r"[^\x20\x09-\x0D]+"
-VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+# Tried at the beginning of a token only and never taken back, so that a very long token is read once.
+VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 _LAST = (1 << 63) - 1
 
 
@@ -152,7 +153,8 @@ def drop_template_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     joined = keyed.join(cuts, same, "left").withColumn(
         "lines", F.when(F.col("places").isNotNull(), F.split(text_now, "\n"))
     )
-    kept = F.array_join(F.filter("lines", lambda line, i: ~F.array_contains("places", i)), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "places")
+    kept = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
     changes = {
         "n_lines": F.coalesce(F.regexp_count(F.col(text_now), F.lit("\n")) + 1, F.lit(0)).cast("long"),
         "n_dropped": F.when(F.col("places").isNotNull(), F.size("places")).otherwise(0).cast("long"),

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import subprocess
 import sys
 import time
@@ -287,6 +288,26 @@ def test_span_dedup_keeps_texts_that_fool_power_of_two_hashes(spark):
     assert {r["doc_id"]: r["text"] for r in rows} == texts and not any(r["n_removed"] for r in rows)
 
 
+def test_lines_with_long_tokens_and_documents_of_many_lines(spark):
+    """A token of a megabyte and 20,000 dropped lines, in time that grows with their length."""
+    token = "é" + "x" * 1_000_000
+    lines = [f"menu entry with item {i} here" for i in range(20_000)]
+    texts = [f"{token} 5\n" + "\n".join(lines + [f"own words of text {'abc'[d]} only"]) for d in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.monotonic()
+    rows = {r["doc_id"]: r for r in line_dedup.drop_template_lines(docs).collect()}
+    took = time.monotonic() - began
+    assert rows[0]["text"] == texts[0] and rows[0]["n_lines"] == 20_002
+    assert rows[1]["text"] == rows[2]["text"] == f"{token} 5"  # half of it is constant, which makes no template
+    assert took < 30
+
+
+def test_variable_tokens_are_masked_whole(spark):
+    texts = ["a1 b 2c\t3", "x" * 50 + " 9", "é7é\u00a0z q", "12", "", "no digit", " 4 ", "a\x0b5\x0c6b"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(line_dedup.masked(F.col("t"))).collect()]
+    assert got == [re.sub(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>", t) for t in texts]
+
+
 def test_run_hashes_equal_plain_polynomials():
     random.seed(3)
     values = np.array([random.randrange(1, int(PRIME)) for _ in range(70_000)], dtype=np.uint64)
