@@ -41,14 +41,14 @@ LONG_MIN_DOCS = 2
 DEPTH = 3
 CONSTANT_SHARE = 0.6
 TOKEN = r"[^\x20\x09-\x0D]+"
-# Tried at the beginning of a token only and never taken back, so that a very long token is read once.
-VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 _LAST = (1 << 63) - 1
 
 
-def masked(line: Column) -> Column:
-    """The line with ``<*>`` for every token that has a digit."""
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
+def masked_tokens(line: Column) -> Column:
+    """The tokens of a line, ``<*>`` for every one that has a digit; a very long token is read once."""
+    tokens = F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0))
+    masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
+    return F.when(line.rlike("[0-9]"), masked).otherwise(tokens)
 
 
 def _lines(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
@@ -57,8 +57,7 @@ def _lines(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
         F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("version"),
         F.posexplode(F.split(text, "\n")).alias("place", "line"),
     )
-    rows = rows.select("doc", "version", "place", masked(F.col("line")).alias("line"))
-    rows = rows.select("doc", "version", "place", F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    rows = rows.select("doc", "version", "place", masked_tokens(F.col("line")).alias("tokens"))
     rows = rows.where(F.size("tokens") > 0)
     return rows.select(
         "doc", "version", "place", "tokens",
