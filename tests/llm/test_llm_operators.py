@@ -526,19 +526,55 @@ def test_next_document_runs_over_partitions(spark):
     assert got == {b: a for a, b in zip([ids[-1], *ids[:-1]], ids)}
 
 
-def test_similar_classes_equal_brute_force(spark):
+def _components(sets, percent):
+    above = {d: d for d in sets}
+
+    def root(d):
+        return d if above[d] == d else root(above[d])
+
+    order = sorted(sets)
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((root(a), root(b)))
+                above[high] = low
+    return {d: root(d) for d in sets}
+
+
+@pytest.mark.parametrize("centres", [1, 16])
+def test_similar_classes_equal_brute_force(spark, centres):
     texts = _near_copies(11, 5, 10, 120)
     rows = [(d, " the ".join(t.split())) for d, t in texts.items()]
-    sets = spotsigs.with_signatures(spark.createDataFrame(rows, "id long, text string"), {"s": "text"}).select("id", "s").cache()
-    known = {r["id"]: set(r["s"]) for r in sets.collect()}
-    members, links = spotsigs.similar_classes(sets, "id", "s", 0.8)
-    of = {r["id"]: r["class_id"] for r in members.collect()}
-    assert all(of[a] == min(b for b in known if known[b] == known[a]) for a in known)
-    heads = sorted(set(of.values()))
-    expected = {
-        (a, b) for i, a in enumerate(heads) for b in heads[i + 1 :] if len(known[a] & known[b]) >= 0.8 * len(known[a] | known[b]) - 1e-9
-    }
-    assert {(r["class_a"], r["class_b"]) for r in links.collect()} == expected and expected
+    rows += [(max(texts) + 1, None), (max(texts) + 2, ""), *rows[:3]]  # nothing to compare, and repeated rows
+    sets = spotsigs.signature_sets(spark.createDataFrame(rows, "doc_id long, text string"))
+    known = {r["id"]: r for r in sets.collect()}
+    of = {(r["code_a"], r["code_b"]): r["class_id"] for r in spotsigs.similar_classes(sets, 80, centres).collect()}
+    expected = _components({d: set(r["s"]) for d, r in known.items()}, 80)
+    assert {d: of.get((r["code_a"], r["code_b"]), d) for d, r in known.items()} == expected
+    assert 1 < len(set(expected.values())) < len(texts)
+
+
+@pytest.mark.parametrize("percent", [50, 80])
+def test_sets_link_as_by_comparing_all_pairs(spark, percent):
+    """Chains, a frequent signature in sets that are not similar, and a large group; few sets have their turn in a round."""
+    draw = np.random.default_rng(percent)
+    sets = {i: {0, *draw.integers(100, 4000, 6).tolist()} for i in range(60)}  # 0 is in all, else apart
+    for i in range(60):
+        sets[100 + i] = set(range(10_000 + i, 10_012 + i))  # each is near the next one only
+    base = draw.choice(5000, 40, replace=False) + 20_000
+    for i in range(60):
+        sets[200 + i] = {int(b) for b in base if draw.random() > 0.06}
+    rows = [(i, sorted(s)) for i, s in sets.items()]
+    heads = spark.createDataFrame(rows, "node long, s array<long>")
+    found = {r["node"]: r["component"] for r in spotsigs.link_sets(heads, percent, 2).collect()}
+    assert {i: found.get(i, i) for i in sets} == _components(sets, percent)
+
+
+def test_chains_run_over_any_number_of_anchors(spark):
+    words = "the " * 5 + "cat " + "a un der " * 30_000 + "dog is bird"
+    rows = spark.createDataFrame([(1, words), (2, "the the the"), (3, "plain words the")], "id long, text string")
+    sets = {r["id"]: len(r["s"]) for r in spotsigs.with_signatures(rows, {"s": "text"}).collect()}
+    assert sets == {1: 5, 2: 1, 3: 1}  # "the cat dog", then a, un and der before "dog bird", and "is bird"
 
 
 def test_verifying_near_copies_needs_little_memory_per_megabyte():

@@ -210,27 +210,42 @@ def _signatures(text):
     out = set()
     for i, w in enumerate(content):
         if w in spotsigs.ANCHORS:
-            chain, anchors = [], 0
-            for x in content[i + 1 :]:
-                if x in spotsigs.ANCHORS:
-                    anchors += 1
-                    if anchors == spotsigs._AHEAD:
-                        break
-                elif len(chain) < spotsigs.CHAIN:
-                    chain.append(x)
+            chain = [x for x in content[i + 1 :] if x not in spotsigs.ANCHORS][: spotsigs.CHAIN]
             if chain:
                 out.add(f"{w} {' '.join(chain)}")
     if not out and content:
-        # Anchors alone still have a line break before each.
-        out = {re.sub(r"\n ", "\n", " ".join(("\n" + w) if w in spotsigs.ANCHORS else w for w in content)).strip(" ")}
+        # Content words, then perhaps anchors, which have a line break before and a tab behind them.
+        first = next((i for i, w in enumerate(content) if w in spotsigs.ANCHORS), len(content))
+        out = {" ".join(content) if first == len(content) else (" ".join(content[:first]) + " " if first else "") + "\n" + " ".join(content[first:]) + " \t"}
     hashed = (xxhash.xxh64_intdigest(s.encode(), 42) for s in out)
     return sorted(h - (1 << 64) if h >= 1 << 63 else h for h in hashed)
 
 
+def _classes(sets, percent=spotsigs.PERCENT):
+    """The smallest id that similar sets connect with each id, by comparing all pairs."""
+    above = {d: d for d in sets}
+
+    def root(d):
+        while above[d] != d:
+            d = above[d]
+        return d
+
+    order = sorted(sets)
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((root(a), root(b)))
+                above[high] = low
+    return {d: root(d) for d in sets}
+
+
 def test_fingerprints_equal_brute_force(spark, sf_dir, texts):
     rows = {r["doc_id"]: r for r in queries.document_fingerprints(spark, sf_dir).collect()}
     order = sorted(texts, reverse=True)
     assert sorted(rows) == sorted(texts)
+    classes = _classes({d: set(_signatures(t)) for d, t in texts.items()})
+    assert {d: r["class_id"] for d, r in rows.items()} == classes
+    assert len(set(classes.values())) < len(texts)
     for d, after in zip(order, [*order[1:], order[0]]):
         n = len(texts[d])
         edited = texts[d][: n - n // 3] + texts[after][: n // 3]
