@@ -199,10 +199,9 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spotsigs.edited_pairs(_read(spark, sf_dir, "documents"))
-    sets = spotsigs.with_signatures(pairs, {"edited_set": "edited"})
+    sets = spotsigs.compared(_read(spark, sf_dir, "documents"))
     return sets.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        "doc_id", "n_chars", "edited_sha256",
         spotsigs.fingerprint(F.col("own_set")).alias("fingerprint"),
         spotsigs.fingerprint(F.col("edited_set")).alias("edited_fingerprint"),
         spotsigs.likeness(F.col("own_set"), F.col("edited_set")).alias("near_edited"),

@@ -242,27 +242,13 @@ def next_by_id(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return linked.select("id", "version", "n", after["id"].alias("next_id"), after["version"].alias("next_version"))
 
 
-def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every document with its edited text, its signature set and class, and the signature set of the next document.
+def edited_pairs(docs: DataFrame, links: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every document with its edited text: ``id``, ``version``, ``n_chars``, ``edited``; ``links`` as of :func:`next_by_id`.
 
     In the edited text the last third (rounded down, in code points) is replaced
     by as many of the first code points of the next document, or all it has.
-    Every set is computed once; the next document's is joined.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(text).alias("version"))
-    sets = signature_sets(docs, key, text)
-    classes = similar_classes(sets)
-    links = materialize(next_by_id(docs, key, text), "next")
-    following = sets.select(F.col("id").alias("w_id"), F.col("version").alias("w_version"), F.col("s").alias("next_set"))
-    own = links.select("id", "version", "next_id", "next_version").join(
-        following, F.col("next_id").eqNullSafe(F.col("w_id")) & (F.col("next_version") == F.col("w_version"))
-    ).select(F.col("id").alias("o_id"), F.col("version").alias("o_version"), "next_set")
-    own = own.join(sets, F.col("o_id").eqNullSafe(F.col("id")) & (F.col("o_version") == F.col("version"))).drop("id", "version")
-    own = own.join(classes, ["code_a", "code_b"], "left").select(
-        "o_id", "o_version", F.col("s").alias("own_set"), "next_set", F.coalesce("class_id", "o_id").alias("class_id")
-    )
-    own = materialize(own, "own-sets")
-    release(sets, classes)
     wanted = links.select(
         F.col("next_id").alias("w_id"), F.col("next_version").alias("w_version"),
         F.col("id").alias("h_id"), F.col("version").alias("h_version"), F.floor(F.col("n") / 3).cast("int").alias("third"),
@@ -271,9 +257,38 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         "h_id", "h_version", F.substring(F.col("text"), F.lit(1), F.col("third")).alias("head")
     ).dropDuplicates(["h_id", "h_version"])
     both = rows.join(given, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("version") == F.col("h_version")))
-    both = both.join(own, F.col("id").eqNullSafe(F.col("o_id")) & (F.col("version") == F.col("o_version")))
     n = F.char_length("text")
     return both.select(
-        F.col("id").alias("doc_id"), "class_id", n.cast("long").alias("n_chars"),
-        F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 3)).cast("int")), "head").alias("edited"), "own_set", "next_set",
+        "id", "version", n.cast("long").alias("n_chars"),
+        F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 3)).cast("int")), "head").alias("edited"),
+    )
+
+
+def _edited_sets(docs: DataFrame, links: DataFrame, key: str, text: str) -> DataFrame:
+    found = with_signatures(edited_pairs(docs, links, key, text), {"edited_set": "edited"})
+    return found.withColumn("edited_sha256", F.sha2(F.col("edited"), 256)).drop("edited")
+
+
+def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every document with ``n_chars``, ``edited_sha256``, ``own_set``, ``edited_set``, ``next_set`` and ``class_id``.
+
+    The only step that shuffles texts comes first and is stored as sets, so its
+    shuffle files go before the classes are searched. Every set is computed once.
+    """
+    links = materialize(next_by_id(docs, key, text), "next")
+    edited = materialize(_edited_sets(docs, links, key, text), "edited-sets")
+    after = materialize(links.select("id", "version", "next_id", "next_version"), "following")
+    release(links)
+    sets = signature_sets(docs, key, text)
+    classes = similar_classes(sets)
+    of_next = sets.select(F.col("id").alias("w_id"), F.col("version").alias("w_version"), F.col("s").alias("next_set"))
+    of_next = after.join(of_next, F.col("next_id").eqNullSafe(F.col("w_id")) & (F.col("next_version") == F.col("w_version")))
+    of_next = of_next.select(F.col("id").alias("n_id"), F.col("version").alias("n_version"), "next_set")
+    own = sets.join(classes, ["code_a", "code_b"], "left").select(
+        F.col("id").alias("o_id"), F.col("version").alias("o_version"), F.col("s").alias("own_set"), "class_id"
+    )
+    rows = edited.join(own, F.col("id").eqNullSafe(F.col("o_id")) & (F.col("version") == F.col("o_version")))
+    rows = rows.join(of_next, F.col("id").eqNullSafe(F.col("n_id")) & (F.col("version") == F.col("n_version")))
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "own_set", "edited_set", "next_set", F.coalesce("class_id", "id").alias("class_id")
     )

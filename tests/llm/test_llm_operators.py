@@ -511,8 +511,8 @@ def test_suffix_dedup_cases(odd, empty):
 
 
 def test_fingerprint_cases(spark, odd, empty):
-    rows = spotsigs.edited_pairs(odd).collect()
-    assert len(rows) == 11 and spotsigs.edited_pairs(empty).collect() == []
+    rows = spotsigs.compared(odd).collect()
+    assert len(rows) == 11 and spotsigs.compared(empty).collect() == []
     texts = spark.createDataFrame([(1, ""), (2, "heading"), (3, "The cat is on the mat."), (4, "the Cat is, on the mat!"), (5, "the")], "id long, text string")
     sets = {r["id"]: r["s"] for r in spotsigs.with_signatures(texts, {"s": "text"}).collect()}
     assert sets[1] == [] and len(sets[2]) == 1 and sets[3] == sets[4] and len(sets[3]) == 3 and len(sets[5]) == 1
