@@ -53,7 +53,7 @@ SKIPPED = (
 ).split()
 CHAIN = 2
 PERCENT = 80
-CENTRES = 16  # sets of a list that are compared with the others in the first round; twice as many in each next
+CENTRES = 16  # sets of a list that are compared with the others in the first round; four times as many in each next
 
 
 def _any(words: list[str]) -> str:
@@ -176,18 +176,19 @@ def link_sets(heads: DataFrame, percent: int = PERCENT, centres: int = CENTRES)
         similar = both.where(100 * F.col("common") >= percent * (F.size("s_a") + F.size("s_b") - F.col("common")))
         similar = similar.select(F.col("a").alias("u"), F.col("b").alias("v"))
         known = [] if labels is None else [labels]
-        if labels is not None:
-            similar = similar.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
         links = materialize(similar, "links")
-        labels = materialize(connected_components(links), "labels")
+        new = labels is None or not links.isEmpty()
+        if new:
+            whole = links if labels is None else links.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
+            labels = materialize(connected_components(whole), "labels")
         last = first.groupBy("token", "band").agg(F.max(F.struct("n", "node")).alias("last"))
         rest = now.drop("component").join(last, ["token", "band"], "left").where(
             F.col("last").isNull() | (F.struct("n", "node") > F.col("last"))
         ).drop("last")
         rest = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         old, now = now, materialize(_open(rest), "lists")
-        release(old, first, pairs, links, *known)
-        centres *= 2
+        release(old, first, pairs, links, *(known if new else []))
+        centres *= 4
     if labels is None:
         return heads.select("node", F.col("node").alias("component")).limit(0)
     return labels
