@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from terrafold.sources.models import load_model, save_model
 from terrafold.sources.tables import read_run_metrics, write_run_metrics
 
 MAX_TREE_DEPTH = 30  # Spark ML's limit; stands for "no limit"
+TASK_BYTES = 128_000_000  # of training rows as Spark ML holds them, in one task
 
 # Search spaces of the two model families.
 FOREST_GRID = {
@@ -124,6 +126,22 @@ def assemble(
     return VectorAssembler(inputCols=names, outputCol="features").transform(narrow).drop(*names)
 
 
+def _fit(estimator, rows: DataFrame, n_rows: int):
+    """Fit on ``features`` and ``label`` of a stored table of ``n_rows`` rows.
+
+    Every pass of a fit reads the rows as Spark ML holds them: unpacked, with a
+    count and a node id for every tree, many times what they take on disk. So
+    many rows are dealt evenly over partitions of about ``TASK_BYTES``.
+    """
+    rows = rows.select("features", "label")
+    first = rows.select(F.size(vector_to_array("features"))).first()
+    trees = estimator.getNumTrees() if isinstance(estimator, RandomForestRegressor) else 1
+    needed = -(-n_rows * (224 + 12 * (first[0] if first else 0) + 8 * trees) // TASK_BYTES)
+    if needed > 1:
+        rows = rows.repartition(max(needed, rows.rdd.getNumPartitions()))
+    return estimator.fit(rows)
+
+
 def oof_predictions(
     df: DataFrame,
     estimator,
@@ -148,10 +166,12 @@ def _oof(
     table: DataFrame, estimator, fold: str, keep: Sequence[str], model: str, parallelism: int
 ) -> DataFrame:
     """Out-of-fold predictions from a stored table with ``features`` and ``label``."""
-    folds = sorted(r[0] for r in table.select(fold).distinct().collect())
+    sizes = dict(table.groupBy(fold).count().collect())
+    folds = sorted(sizes)
+    n_rows = sum(sizes.values())
 
     def predict(k) -> DataFrame:
-        fitted = estimator.fit(table.where(F.col(fold) != k).select("features", "label"))
+        fitted = _fit(estimator, table.where(F.col(fold) != k), n_rows - sizes[k])
         return fitted.transform(table.where(F.col(fold) == k))
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -187,7 +207,8 @@ def boosted_trees_cv(
 
 def full_fit(df: DataFrame, estimator, features: Sequence[str], target: str):
     """Fit on all rows and return the model."""
-    return estimator.fit(materialize(assemble(df, features, target), "features"))
+    table = materialize(assemble(df, features, target), "features")
+    return _fit(estimator, table, table.count())
 
 
 def holdout_eval(
@@ -202,7 +223,8 @@ def holdout_eval(
     """Fit on the training rows of an exact random split; return model and test scores."""
     split = random_split(df, key, test_size, seed, "_test")
     table = materialize(assemble(split, features, target, ["_test"]), "features")
-    fitted = estimator.fit(table.where(~F.col("_test")).select("features", "label"))
+    train = table.where(~F.col("_test"))
+    fitted = _fit(estimator, train, train.count())
     scored = fitted.transform(table.where("_test"))
     return fitted, regression_metrics(scored, "label", "predicted").withColumnRenamed("n", "n_test")
 
@@ -257,7 +279,7 @@ def random_search(
         folds = spark.read.parquet(f"{kept}/folds").withColumnRenamed("run_name", "model")
         summary = cv_summary(folds).drop("model").first().asDict()
         if full_fits:
-            save_model(FAMILIES[family](**hp).fit(table.select("features", "label")), f"{kept}/model")
+            save_model(_fit(FAMILIES[family](**hp), table, n_rows), f"{kept}/model")
             named = feature_importance(spark, f"{kept}/model", features).withColumn("run_name", F.lit(name))
             named.select("run_name", "feature", "importance", "share").write.parquet(f"{kept}/importance")
         write_run_metrics(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terrafold import operators as op
 from terrafold import sources as src
 from terrafold.functions import feature_group_prefix
+from terrafold.operators import ml
 from terrafold.operators.explain import node_table
 from terrafold.operators.ml import BOOSTED_GRID, FOREST_GRID
 
@@ -187,3 +188,19 @@ def test_contribution_tables(spark):
         ("Crop indicator", 1, 0.6), ("Climate variables", 1, 0.4)]
     b = op.bias_summary(spark.createDataFrame([(1.0,), (3.0,)], "bias double")).first()
     assert (b["mean_bias"], b["std_bias"]) == (2.0, 1.0)
+
+
+@pytest.mark.parametrize("estimator", [op.forest(6, 4, 2), op.boosted_trees(2, 3)], ids=["forest", "boosted"])
+def test_training_rows_are_dealt_over_bounded_partitions(data, monkeypatch, estimator):
+    """Partitions of a fit follow the rows as Spark ML holds them, not the few files they were read from."""
+    seen = []
+
+    def fit(self, rows, params=None):
+        seen.append([len(p) for p in rows.rdd.glom().collect()])
+
+    monkeypatch.setattr(type(estimator), "fit", fit)
+    rows = op.assemble(data, FEATURES, "y").coalesce(1)
+    ml._fit(estimator, rows, 1200)
+    monkeypatch.setattr(ml, "TASK_BYTES", 30_000)
+    ml._fit(estimator, rows, 1200)
+    assert seen[0] == [1200] and sum(seen[1]) == 1200 and len(seen[1]) > 8 and max(seen[1]) < 130
