@@ -40,25 +40,36 @@ MIN_DOCS = 3
 LONG_MIN_DOCS = 2
 DEPTH = 3
 CONSTANT_SHARE = 0.6
-TOKEN = r"[^\x20\x09-\x0D]+"
+NOT_BLANK = r"[^\x20\x09-\x0D]"
+SPACES = r"[\x09-\x0D]"
+#: A token with a digit; beginning at the token's first character, it looks at every character once.
+DIGIT_TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 _LAST = (1 << 63) - 1
 
 
 def masked_tokens(line: Column) -> Column:
-    """The tokens of a line, ``<*>`` for every one that has a digit; a very long token is read once."""
-    tokens = F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0))
-    masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
-    return F.when(line.rlike("[0-9]"), masked).otherwise(tokens)
+    """The tokens of a line, ``<*>`` for every one that has a digit; a very long token is read once.
+
+    Lines are cut at single spaces, which needs no pattern; the few with other white space or digits are rewritten first.
+    """
+    plain = F.when(line.rlike(SPACES), F.regexp_replace(line, SPACES, " ")).otherwise(line)
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(plain, DIGIT_TOKEN, "<*>")).otherwise(plain)
+    return F.array_remove(F.split(masked, " "), "")
 
 
-def _lines(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
-    """One row per line with tokens: document, place, tokens, line hash and leaf."""
+def _lines(docs: DataFrame, key: str, text: str, depth: int, least: int = 1) -> DataFrame:
+    """One row per line of at least ``least`` tokens: document, place, tokens, line hash and leaf.
+
+    Lines that are blank or too short for so many tokens go first, as a filter on tokens makes Spark cut every line twice.
+    """
     rows = docs.where(F.col(text).isNotNull()).select(
         F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("version"),
         F.posexplode(F.split(text, "\n")).alias("place", "line"),
     )
+    rows = rows.where(F.col("line").rlike(NOT_BLANK) if least <= 1 else F.octet_length("line") >= 2 * least - 1)
     rows = rows.select("doc", "version", "place", masked_tokens(F.col("line")).alias("tokens"))
-    rows = rows.where(F.size("tokens") > 0)
+    if least > 1:
+        rows = rows.where(F.size("tokens") >= least)
     return rows.select(
         "doc", "version", "place", "tokens",
         F.xxhash64("tokens").alias("line_a"), F.xxhash64(F.lit("second"), "tokens").alias("line_b"),
@@ -94,12 +105,10 @@ def dropped_lines(
     long_words: int | None = None, long_min_docs: int = LONG_MIN_DOCS, only_long: bool = False,
 ) -> DataFrame:
     """Places of the lines to drop: one row per document version with ``places``."""
-    lines = _lines(docs, key, text, depth)
-    if only_long:
-        lines = lines.where(F.size("tokens") >= long_words)
+    lines = _lines(docs, key, text, depth, long_words if only_long else 1)
     narrow = materialize(
         lines.select("doc", "version", "place", "line_a", "line_b", "leaf", F.size("tokens").alias("n_tokens"),
-                     F.size(F.filter("tokens", lambda t: t != "<*>")).alias("n_fixed")),
+                     F.size(F.array_remove("tokens", "<*>")).alias("n_fixed")),
         "lines",
     )
     in_docs = narrow.select("doc", "version", "line_a", "line_b", "leaf", "n_tokens", "n_fixed").distinct()

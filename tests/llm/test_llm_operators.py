@@ -618,3 +618,14 @@ def test_linked_members_against_all_pairs():
                     low, high = sorted((label[a], label[b]))
                     label = [low if x == high else x for x in label]
         assert list(jaccard_join.linked_members(sets, percent)) == label
+
+
+def test_every_line_is_cut_into_tokens_once(spark):
+    """A filter on the number of tokens made Spark cut the lines for the filter and again for the result."""
+    docs = spark.createDataFrame([(1, "a b 7c\n\n \t\x0b\x0c\r \n d\te  f "), (2, None)], "doc_id long, text string")
+    lines = line_dedup._lines(docs, "doc_id", "text", 3)
+    assert [(r["place"], r["tokens"]) for r in lines.orderBy("place").collect()] == [(0, ["a", "b", "<*>"]), (3, ["d", "e", "f"])]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Filter .*size\(", plan)
+    assert [r["place"] for r in line_dedup._lines(docs, "doc_id", "text", 3, 4).collect()] == []
+    assert [r["place"] for r in line_dedup._lines(docs, "doc_id", "text", 3, 3).orderBy("place").collect()] == [0, 3]
