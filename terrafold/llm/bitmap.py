@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 BITS = 1 << 27  # 16 MB, whatever the data
 
 
+def bits_for(n: int) -> int:
+    """A size, :data:`BITS` at most, that gives each of ``n`` hashes 64 bits or more, so that small tables need little of the driver."""
+    return min(BITS, max(1 << 15, 1 << (64 * n).bit_length()))
+
+
 def broadcast_bitmap(hashes: DataFrame, column: str, bits: int = BITS) -> Broadcast:
     """Broadcast a bitmap of ``bits`` bits (a power of two) with those of the hashes set."""
     place = F.col(column).bitwiseAND(F.lit(bits - 1)) + 1  # Spark's bitmap buckets begin at place 1

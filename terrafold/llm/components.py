@@ -10,7 +10,7 @@ the disk grows with the rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terrafold.session import materialize, release
@@ -31,8 +31,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stored(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The stored edges, and their number and a sum of their hashes, taken while they are written."""
+    seen = Observation()
+    sums = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hashes")
+    return materialize(edges.observe(seen, *sums), "edges"), seen.get
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -41,11 +44,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ``edges`` has the columns ``u`` and ``v``; loops, repeated edges and either
     direction are allowed, nulls are not.
     """
-    now = materialize(edges.where("u <> v").select("u", "v").distinct(), "edges")
-    before, state = None, _state(now)
+    now, state = _stored(edges.where("u <> v").select("u", "v").distinct())
+    before = None
     while state != before:
-        old, now = now, materialize(_small_star(_large_star(now)), "edges")
-        before, state = state, _state(now)
+        old, before = now, state
+        now, state = _stored(_small_star(_large_star(now)))
         release(old)
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -33,21 +33,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from terrafold.llm.bitmap import broadcast_bitmap, in_bitmap
+from terrafold.llm.bitmap import bits_for, broadcast_bitmap, in_bitmap
 from terrafold.llm.components import connected_components
 from terrafold.llm.text_arrays import Hasher, Words, lower_ascii, mix, runs_of, slices, text_bytes, word_bytes
 from terrafold.session import materialize, release
 
 LOW_RANGE = 0.25
 BLOCK_BYTES = 16 << 20
-_SETS = "doc_id long, version long, n_shingles long, set_id long, n_listed int, tokens array<long>"
+_SETS = "doc_id long, version long, n_words long, n_shingles long, set_id long, n_listed int, tokens array<long>"
+
+
+def _lower_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, Words]:
+    data = lower_ascii(data)
+    return data, Words(data, at, word_bytes("not_space"))
 
 
 def token_sets(data: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text."""
-    data = lower_ascii(data)
-    words = Words(data, at, word_bytes("not_space"))
+    return _token_sets(*_lower_words(data, at), at, n)
+
+
+def _token_sets(data: np.ndarray, words: Words, at: np.ndarray, n: int) -> list[np.ndarray]:
     if not len(words):
         return [np.zeros(0, np.uint64)] * (len(at) - 1)
     codes = Hasher(data).spans(words.start, words.end)
@@ -74,12 +82,17 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _listed_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """One row per document with its tokens; columns besides ``doc_id``, ``text`` and ``version`` come last, as they are."""
     low_end = np.uint64(int(LOW_RANGE * 2**64))
+    more = [f for f in docs.schema.fields if f.name not in ("doc_id", "text", "version")]
+    own = T._parse_datatype_string(_SETS)
 
     def run(batches):
         for part in slices(batches, "text"):
             sizes, ids, listed, lists = [], [], [], []
-            for tokens in token_sets(*text_bytes(part.column(1)), n):
+            raw, at = text_bytes(part.column(1))
+            data, words = _lower_words(raw, at)
+            for tokens in _token_sets(data, words, at, n):
                 low = int(np.searchsorted(tokens, low_end))
                 count = max(low, prefix_length(len(tokens), percent)) if len(tokens) else 0
                 sizes.append(len(tokens))
@@ -89,12 +102,12 @@ def _listed_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             offsets = pa.array(np.concatenate(([0], np.cumsum(listed))).astype(np.int32))
             flat = np.concatenate(lists).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(listed, pa.int32()),
-                 pa.ListArray.from_arrays(offsets, pa.array(flat))],
-                names=["doc_id", "version", "n_shingles", "set_id", "n_listed", "tokens"],
+                [part.column(0), part.column(2), pa.array(words.counts(), pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()),
+                 pa.array(listed, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat)), *part.columns[3:]],
+                names=[*own.names, *part.schema.names[3:]],
             )
 
-    return docs.mapInArrow(run, _SETS)
+    return docs.select("doc_id", "text", "version", *[f.name for f in more]).mapInArrow(run, T.StructType([*own.fields, *more]))
 
 
 def _groups(sets: DataFrame, percent: int) -> DataFrame:
@@ -196,12 +209,13 @@ def _place(doc_id: str, version: str) -> Column:
 
 def _likely(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Texts that may be of members (place, text), by a bitmap of their places, so that few are shuffled; once each without id."""
-    wanted = broadcast_bitmap(members.select("place"), "place")
+    bits = bits_for(members.count())
+    wanted = broadcast_bitmap(members.select("place"), "place", bits)
 
     def run(batches):
         for part in batches:
             marks = part.column(0).to_numpy().view(np.uint64)
-            yield part.filter(pa.array(in_bitmap(marks, wanted.value)))
+            yield part.filter(pa.array(in_bitmap(marks, wanted.value, bits)))
 
     def likely(part: DataFrame) -> DataFrame:
         marked = part.where(F.col("text").isNotNull()).select(_place("doc_id", "version").alias("place"), "text")
@@ -264,11 +278,16 @@ def _linked_sets(rows: DataFrame, n: int, percent: int, block_bytes: int) -> tup
 
 def near_copies(docs: DataFrame, text: str = "text", n: int = 4, percent: int = 85, block_bytes: int = BLOCK_BYTES, key: str = "doc_id") -> DataFrame:
     """For every text hash that is linked with another set: ``version`` and ``cluster``, the same for all texts of a component."""
-    version = F.xxhash64(text)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), version.alias("version"))
+    return counted_near_copies(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), n, percent, block_bytes)[1]
+
+
+def counted_near_copies(docs: DataFrame, n: int = 4, percent: int = 85, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Every document's other columns, ``version`` and ``n_words``, counted in the pass that makes the sets, and :func:`near_copies`."""
+    rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "version": F.xxhash64("text")})
     sets, classes = _linked_sets(rows, n, percent, block_bytes)
     found = sets.where("n_shingles > 0").select("version", "set_id").distinct().join(classes.withColumnRenamed("node", "set_id"), "set_id")
-    return materialize(found.groupBy("version").agg(F.min("component").alias("cluster")), "near-copies")
+    copies = materialize(found.groupBy("version").agg(F.min("component").alias("cluster")), "near-copies")
+    return sets.select(*[c for c in rows.columns if c != "text"], "n_words"), copies
 
 
 def jaccard_components(

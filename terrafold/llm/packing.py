@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.jaccard_join import near_copies
+from terrafold.llm.jaccard_join import counted_near_copies
 from terrafold.session import materialize
 
 CAPACITY = 2048
@@ -125,12 +125,24 @@ def same_text(text: str) -> Column:
     return F.when(F.col(text).isNotNull(), F.xxhash64(F.lower(text)))
 
 
+def _row_columns(key: str, text: str, source: str) -> dict[str, Column]:
+    return {
+        "doc_id": F.col(key).cast("long"), "row": F.xxhash64(F.col(key), F.xxhash64(text)),
+        "salt": F.xxhash64(F.monotonically_increasing_id()), "source": F.col(source).cast("string"),
+    }
+
+
 def pack_apart(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, **options,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", n: int = 5, percent: int = 80,
+    capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS,
 ) -> DataFrame:
-    """:func:`pack` with near copies, by shared runs of ``n`` words, in one cluster."""
-    lower = docs.select(F.col(key).alias("doc_id"), F.lower(text).alias("text"))
-    return pack(docs, key, text, copies=near_copies(lower, n=n, percent=percent), **options)
+    """:func:`pack` with near copies, by shared runs of ``n`` words, in one cluster.
+
+    Words are counted in the pass over the texts that finds the copies.
+    """
+    lower = docs.select(*[c.alias(name) for name, c in _row_columns(key, text, source).items()], same_text(text).alias("cluster"), F.lower(text).alias("text"))
+    counted, copies = counted_near_copies(lower, n=n, percent=percent)
+    return _pack(counted, capacity, shard_docs, copies)
 
 
 def pack(
@@ -143,11 +155,14 @@ def pack(
     """
     length = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     narrow = docs.select(
-        F.xxhash64(F.col(key), F.xxhash64(text)).alias("row"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"),
-        F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
+        *[c.alias(name) for name, c in _row_columns(key, text, source).items()],
         (same_text(text) if cluster is None else cluster).alias("cluster"), length.alias("n_words"),
     )
-    narrow = materialize(narrow, "lengths")
+    return _pack(materialize(narrow, "lengths"), capacity, shard_docs, copies)
+
+
+def _pack(narrow: DataFrame, capacity: int, shard_docs: int, copies: DataFrame | None = None) -> DataFrame:
+    """:func:`pack` for a stored table with the columns of ``_row_columns``, ``cluster`` and ``n_words``."""
     shards, most = max(1, -(-narrow.count() // shard_docs)), max(1, shard_docs // _REPEATS)
     if shards > 1:
         repeats = narrow.groupBy("row").agg(F.count("*").alias("n")).where(F.col("n") > most)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from terrafold.llm import (
-    chat, components, decontaminate, jaccard_join, line_dedup, packing, quality, span_dedup, spotsigs, suffix_dedup, suffix_sort, warc,
+    bitmap, chat, components, decontaminate, jaccard_join, line_dedup, packing, quality, span_dedup, spotsigs, suffix_dedup, suffix_sort, warc,
 )
 from terrafold.llm.text_arrays import PRIME, RUN_BASES, RunHasher
 
@@ -629,3 +629,24 @@ def test_every_line_is_cut_into_tokens_once(spark):
     assert not re.search(r"Filter .*size\(", plan)
     assert [r["place"] for r in line_dedup._lines(docs, "doc_id", "text", 3, 4).collect()] == []
     assert [r["place"] for r in line_dedup._lines(docs, "doc_id", "text", 3, 3).orderBy("place").collect()] == [0, 3]
+
+
+def test_packing_apart_reads_the_words_once(spark, odd, monkeypatch):
+    """Texts are not cut into words a second time to count them; lengths are those that pack counts."""
+    expected = {(r["doc_id"], r["n"]) for r in packing.pack(odd).groupBy("doc_id").agg(F.sum("n_words").alias("n")).collect()}
+    monkeypatch.setattr(packing, "WORD", "never")
+    placed = packing.pack_apart(odd)
+    assert {(r["doc_id"], r["n"]) for r in placed.groupBy("doc_id").agg(F.sum("n_words").alias("n")).collect()} == expected
+
+
+def test_components_take_one_write_per_round(spark, monkeypatch):
+    """Whether the edges still change is seen while they are written, so a round is no second job over them."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
+    monkeypatch.setattr(type(edges), "first", None)
+    found = {tuple(r) for r in components.connected_components(edges).collect()}
+    assert found == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+    assert components.connected_components(edges.where("u = v")).collect() == []
+
+
+def test_bitmap_size_follows_the_hashes():
+    assert [bitmap.bits_for(n) for n in (0, 1000, 1 << 30)] == [1 << 15, 1 << 16, bitmap.BITS]
