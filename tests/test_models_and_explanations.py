@@ -190,10 +190,10 @@ def test_contribution_tables(spark):
     assert (b["mean_bias"], b["std_bias"]) == (2.0, 1.0)
 
 
-@pytest.mark.parametrize("estimator", [op.forest(6, 4, 2), op.boosted_trees(2, 3)], ids=["forest", "boosted"])
-def test_training_rows_are_dealt_over_bounded_partitions(data, monkeypatch, estimator):
+@pytest.mark.parametrize("family", ["forest", "boosted"])
+def test_training_rows_are_dealt_over_bounded_partitions(data, monkeypatch, family):
     """Partitions of a fit follow the rows as Spark ML holds them, not the few files they were read from."""
-    seen = []
+    estimator, seen = ml.FAMILIES[family](2), []
 
     def fit(self, rows, params=None):
         seen.append([len(p) for p in rows.rdd.glom().collect()])
