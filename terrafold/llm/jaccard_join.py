@@ -42,6 +42,8 @@ from terrafold.session import materialize, release
 
 LOW_RANGE = 0.25
 BLOCK_BYTES = 16 << 20
+SLICE_BYTES = 1 << 18  # hashing needs many times its input, which stays in the cache so
+_PART = 1 << 18  # tokens ranked at a time
 _SETS = "doc_id long, version long, n_words long, n_shingles long, set_id long, n_listed int, tokens array<long>"
 
 
@@ -52,28 +54,46 @@ def _lower_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, Words]:
 
 def token_sets(data: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text."""
-    return _token_sets(*_lower_words(data, at), at, n)
+    tokens, first = _token_sets(*_lower_words(data, at), n)
+    return [tokens[a:b] for a, b in zip(first[:-1], first[1:])]
 
 
-def _token_sets(data: np.ndarray, words: Words, at: np.ndarray, n: int) -> list[np.ndarray]:
-    if not len(words):
-        return [np.zeros(0, np.uint64)] * (len(at) - 1)
+def _token_sets(data: np.ndarray, words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of all texts end to end, and where each begins."""
+    counts = words.counts()
+    first = _begins(np.where(counts >= n, counts - n + 1, counts > 0))
+    tokens = np.empty(first[-1], dtype=np.uint64)
+    if not len(tokens):
+        return tokens, first
     codes = Hasher(data).spans(words.start, words.end)
     grams = runs_of(codes, n)
-    sets = []
-    for a, b in zip(words.first[:-1], words.first[1:]):
-        if b - a >= n:
-            sets.append(np.unique(grams[a : b - n + 1]))
-        elif b > a:
-            sets.append(runs_of(codes[a:b], int(b - a)) + np.uint64(b - a))
-        else:
-            sets.append(np.zeros(0, np.uint64))
-    return sets
+    for at, to, a, count in zip(first[:-1].tolist(), first[1:].tolist(), words.first.tolist(), counts.tolist()):
+        if count >= n:
+            one = tokens[at:to]
+            one[:] = grams[a : a + to - at]
+            one.sort()
+        elif count:
+            tokens[at] = runs_of(codes[a : a + count], count)[0] + np.uint64(count)
+    fresh = np.ones(len(tokens), dtype=bool)
+    fresh[1:] = tokens[1:] != tokens[:-1]
+    fresh[first[:-1][counts > 0]] = True
+    return tokens[fresh], _begins(fresh)[first]
+
+
+def _begins(counts: np.ndarray) -> np.ndarray:
+    """Where each of consecutive runs of these lengths begins, and the total at the end."""
+    return np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+
+
+def set_hashes(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each of the sets that lie end to end."""
+    sums = np.zeros(len(tokens) + 1, dtype=np.uint64)
+    np.cumsum(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1:])
+    return mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
 
 
 def set_hash(tokens: np.ndarray) -> int:
-    total = mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    return int(mix(np.array([total + np.uint64(len(tokens))], dtype=np.uint64)).view(np.int64)[0])
+    return int(set_hashes(tokens, np.array([0, len(tokens)]))[0])
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -88,22 +108,19 @@ def _listed_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     own = T._parse_datatype_string(_SETS)
 
     def run(batches):
-        for part in slices(batches, "text"):
-            sizes, ids, listed, lists = [], [], [], []
+        for part in slices(batches, "text", SLICE_BYTES):
             raw, at = text_bytes(part.column(1))
             data, words = _lower_words(raw, at)
-            for tokens in _token_sets(data, words, at, n):
-                low = int(np.searchsorted(tokens, low_end))
-                count = max(low, prefix_length(len(tokens), percent)) if len(tokens) else 0
-                sizes.append(len(tokens))
-                ids.append(set_hash(tokens) if len(tokens) else None)
-                listed.append(count)
-                lists.append(tokens[:count])
-            offsets = pa.array(np.concatenate(([0], np.cumsum(listed))).astype(np.int32))
-            flat = np.concatenate(lists).view(np.int64)
+            tokens, first = _token_sets(data, words, n)
+            sizes = np.diff(first)
+            low = np.diff(_begins(tokens < low_end)[first])
+            listed = np.where(sizes > 0, np.maximum(low, prefix_length(sizes, percent)), 0)
+            place = np.arange(len(tokens)) - np.repeat(first[:-1], sizes)
+            flat = tokens[place < np.repeat(listed, sizes)].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(words.counts(), pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()),
-                 pa.array(listed, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat)), *part.columns[3:]],
+                [part.column(0), part.column(2), pa.array(words.counts(), pa.int64()), pa.array(sizes, pa.int64()),
+                 pa.array(set_hashes(tokens, first), pa.int64(), mask=sizes == 0), pa.array(listed.astype(np.int32), pa.int32()),
+                 pa.ListArray.from_arrays(pa.array(_begins(listed).astype(np.int32)), pa.array(flat)), *part.columns[3:]],
                 names=[*own.names, *part.schema.names[3:]],
             )
 
@@ -147,23 +164,65 @@ def _candidates(groups: DataFrame, percent: int) -> DataFrame:
     return found
 
 
-def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (len(a) + len(b) - common)
+def _shared_ranks(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """For sets that lie end to end: the ranks of their tokens that other sets have too, ascending in each set,
+    where each set's begin, and the number of such tokens. Tokens of few sets come first."""
+    ordered = np.sort(tokens)
+    again = ordered[1:] == ordered[:-1]
+    begin = np.flatnonzero(again & ~np.append(False, again[:-1]))
+    df = np.flatnonzero(again & ~np.append(again[1:], False)) - begin + 2
+    shared = ordered[begin]
+    del ordered, again, begin
+    if not len(shared):
+        return np.zeros(0, np.int32), np.zeros(len(first), np.int64), 0
+    rank = np.empty(len(shared), dtype=np.int32)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(shared), dtype=np.int32)
+    ranks, is_shared = [], np.empty(len(tokens), dtype=bool)
+    for a in range(0, len(tokens), _PART):
+        part = tokens[a : a + _PART]
+        at = np.minimum(np.searchsorted(shared, part), len(shared) - 1)
+        same = is_shared[a : a + _PART] = shared[at] == part
+        ranks.append(rank[at[same]])
+    ranks, begins = np.concatenate(ranks), _begins(is_shared)[first]
+    for a, b in zip(begins[:-1].tolist(), begins[1:].tolist()):
+        ranks[a:b].sort()
+    return ranks, begins, len(shared)
+
+
+def _meeting_prefixes(ranks: np.ndarray, begins: np.ndarray, wanted: np.ndarray, n_shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens by which the sets' prefixes, their first ``wanted`` ranks, meet, end to end, and where each set's begin.
+
+    Of the tokens that the same sets have in their prefixes, one is enough.
+    """
+    length = np.maximum(wanted, 0)
+    owner = np.repeat(np.arange(len(wanted), dtype=np.int32), length)
+    token = ranks[np.repeat(begins[:-1] - _begins(length)[:-1], length) + np.arange(len(owner))]
+    who = np.zeros(n_shared, dtype=np.uint64)
+    np.add.at(who, token, mix(np.arange(1, len(wanted) + 1, dtype=np.uint64))[owner])
+    several = np.flatnonzero(np.bincount(token, minlength=n_shared) > 1)
+    kept = np.zeros(n_shared, dtype=bool)
+    kept[several[np.unique(who[several], return_index=True)[1]]] = True
+    use = kept[token]
+    return token[use], _begins(np.bincount(owner[use], minlength=len(wanted)))
 
 
 def linked_members(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For every set the first set of its connected component, by position.
+    """For every set the first set of its connected component, by position."""
+    tokens = np.concatenate([np.zeros(0, np.uint64), *sets])
+    return _linked_members(tokens, _begins(np.array([len(s) for s in sets], dtype=np.int64)), percent)
+
+
+def _linked_members(tokens: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
+    """:func:`linked_members` of sets that lie end to end.
 
     Sets are taken by size. Each looks up the earlier sets that share a token of
     its prefix (rarest tokens of this collection first) and verifies those it is
     not connected with yet. They are held by token and component, so a component
-    the set already belongs to is passed over at once, however large.
+    the set already belongs to is passed over at once, however large. Tokens of one
+    set come first in its prefix and are no more than a number.
     """
-    above = list(range(len(sets)))
-    sizes = [len(s) for s in sets]
-    if len(sets) < 2:
-        return np.array(above, dtype=np.int64)
+    n = np.diff(first)
+    above, sizes = list(range(len(n))), n.tolist()
 
     def root(i: int) -> int:
         while above[i] != i:
@@ -171,16 +230,18 @@ def linked_members(sets: list[np.ndarray], percent: int) -> np.ndarray:
             i = above[i]
         return i
 
-    tokens, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(tokens), dtype=np.int64)
-    rank[np.lexsort((tokens, df))] = np.arange(len(tokens))
-    alone = int((df == 1).sum())  # tokens of one set come first
-    ranks = np.split(rank[inverse], np.cumsum(sizes)[:-1])
+    ranks, begins, n_shared = _shared_ranks(tokens, first)
+    wanted = np.where(n > 0, prefix_length(n, percent) - (n - np.diff(begins)), 0)
+    meeting, ends = _meeting_prefixes(ranks, begins, wanted, n_shared)
+    begins, ends = begins.tolist(), ends.tolist()
+    marked = np.zeros(n_shared, dtype=bool)
     by_token: dict[int, dict[int, list[int]]] = {}
-    for x in np.argsort(sizes, kind="stable").tolist():
-        n = sizes[x]
-        prefix = np.sort(ranks[x])[: prefix_length(n, percent)] if n else np.zeros(0, np.int64)
-        prefix = prefix[prefix >= alone].tolist()
+    for x in np.argsort(n, kind="stable").tolist():
+        prefix = meeting[ends[x] : ends[x + 1]].tolist()
+        if not prefix:
+            continue
+        size, own = sizes[x], ranks[begins[x] : begins[x + 1]]
+        marked[own] = True
         tried: set[int] = set()
         for t in prefix:
             held = by_token.setdefault(t, {})
@@ -190,16 +251,18 @@ def linked_members(sets: list[np.ndarray], percent: int) -> np.ndarray:
                 if root(r) == root(x):
                     continue
                 for y in members:
-                    if y in tried or 100 * sizes[y] < percent * n:
+                    if y in tried or 100 * sizes[y] < percent * size:
                         continue
                     tried.add(y)
-                    if _similar(sets[x], sets[y], percent):
+                    common = int(np.count_nonzero(marked[ranks[begins[y] : begins[y + 1]]]))
+                    if 100 * common >= percent * (size + sizes[y] - common):
                         low, high = sorted((root(x), root(y)))
                         above[high] = low
                         break
+        marked[own] = False
         for t in prefix:
             by_token[t].setdefault(root(x), []).append(x)
-    return np.array([root(i) for i in range(len(sets))], dtype=np.int64)
+    return np.array([root(i) for i in range(len(n))], dtype=np.int64)
 
 
 def _place(doc_id: str, version: str) -> Column:
@@ -227,14 +290,17 @@ def _likely(rows: DataFrame, members: DataFrame) -> DataFrame:
 
 def linked_sets(table: pa.Table, n: int, percent: int) -> pa.Table:
     """Links (u, v) that connect what is similar among texts given with the hashes of their sets (set_id, text)."""
-    kept, ids = [], []
-    for part in slices(table.select(["set_id", "text"]).to_batches(), "text"):  # hashing needs many times its input
-        for tokens, set_id in zip(token_sets(*text_bytes(part.column(1)), n), part.column(0).to_numpy()):
-            if len(tokens) and set_hash(tokens) == set_id:  # else another text of the same id
-                kept.append(tokens.copy())  # not a view that keeps the whole slice
-                ids.append(set_id)
-    label = linked_members(kept, percent)
-    ids = np.asarray(ids, dtype=np.int64)
+    kept, sizes, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part in slices(table.select(["set_id", "text"]).to_batches(), "text", SLICE_BYTES):
+        tokens, first = _token_sets(*_lower_words(*text_bytes(part.column(1))), n)
+        size, set_id = np.diff(first), part.column(0).to_numpy()
+        same = (size > 0) & (set_hashes(tokens, first) == set_id)  # else another text of the same id
+        kept.append(tokens[np.repeat(same, size)])
+        sizes.append(size[same])
+        ids.append(set_id[same])
+    tokens, first, ids = np.concatenate(kept), _begins(np.concatenate(sizes)), np.concatenate(ids)
+    del kept
+    label = _linked_members(tokens, first, percent)
     moved = np.flatnonzero(label != np.arange(len(label)))
     return pa.table({"u": ids[moved], "v": ids[label[moved]]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 

@@ -25,7 +25,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each."""
     if not _powers or len(_powers["up"]) < n:
-        size = max(n, SLICE_BYTES + 4096)
+        size = 1 << max(n, 1 << 16).bit_length()
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             table = np.full(size, base, dtype=np.uint64)
             table[0] = 1
@@ -78,15 +78,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches, column: str) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in slices of about ``SLICE_BYTES`` of text, at least a row each."""
+def slices(batches, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of about ``size`` bytes of text, at least a row each."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, at = text_bytes(batch.column(batch.schema.get_field_index(column)))
         first = 0
         while first < batch.num_rows:
-            last = int(np.searchsorted(at, at[first] + SLICE_BYTES, side="right")) - 1
+            last = int(np.searchsorted(at, at[first] + size, side="right")) - 1
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first)
             first = last

@@ -650,3 +650,55 @@ def test_components_take_one_write_per_round(spark, monkeypatch):
 
 def test_bitmap_size_follows_the_hashes():
     assert [bitmap.bits_for(n) for n in (0, 1000, 1 << 30)] == [1 << 15, 1 << 16, bitmap.BITS]
+
+
+def test_verifying_pairs_of_copies_needs_little_memory_per_megabyte():
+    """Verifying 24 MB of texts that are near copies in pairs takes no more than 8.5 times their size beyond what the process had."""
+    code = """
+import resource
+import numpy as np, pyarrow as pa
+from terrafold.llm import jaccard_join as j
+draw = np.random.default_rng(2)
+words = np.array([f"w{i:05d}" for i in range(20000)])
+texts = []
+for _ in range(3400):
+    base = words[draw.integers(0, 20000, 500)]
+    texts += [" ".join(base), " ".join(np.where(draw.random(500) < 0.005, "other", base))]
+ids = [j.set_hash(s) for t in texts for s in j.token_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 5)]
+size = sum(map(len, texts))
+table = pa.table({"set_id": pa.array(ids, pa.int64()), "text": texts})
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = j.linked_sets(table, 5, 80)
+grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / size
+assert found.num_rows == 3400 and size > 20e6 and grown < 8.5, (found.num_rows, grown)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stdout + done.stderr
+
+
+def test_sets_of_a_slice_are_made_together(monkeypatch):
+    """Sets and their hashes equal those of each text alone, and hashing takes as few passes for many texts as for one."""
+    draw, n = random.Random(5), 3
+    texts = ["", " \n", "one", "One TWO", "a a a a a a"] + [" ".join(draw.choice("abCde") for _ in range(draw.randint(0, 30))) for _ in range(300)]
+    data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    alone = [jaccard_join.token_sets(d, np.array([0, len(d)]), n)[0] for d in data]
+    grams = [t.lower().split() for t in texts]
+    assert [len(s) for s in alone] == [len({tuple(w[i : i + n]) for i in range(max(len(w) - n + 1, min(len(w), 1)))}) for w in grams]
+    passes, mix = [], jaccard_join.mix
+    monkeypatch.setattr(jaccard_join, "mix", lambda x: passes.append(1) or mix(x))
+    at = np.concatenate(([0], np.cumsum([len(d) for d in data])))
+    words = jaccard_join._lower_words(np.concatenate(data), at)
+    tokens, first = jaccard_join._token_sets(*words, n)
+    found = jaccard_join.set_hashes(tokens, first).tolist()
+    assert len(passes) == 2
+    assert [tokens[a:b].tolist() for a, b in zip(first, first[1:])] == [s.tolist() for s in alone]
+    assert found == [jaccard_join.set_hash(s) for s in alone]
+
+
+def test_prefixes_meet_by_one_token_of_the_same_sets():
+    """Sets 0 and 1 share three tokens of their prefixes, 1 and 2 two; a token of all three and one of 2 alone come besides."""
+    ranks, begins = np.array([0, 1, 2, 5, 9, 0, 1, 2, 3, 4, 5, 3, 4, 5, 6], np.int32), np.array([0, 5, 11, 15])
+    meeting, ends = jaccard_join._meeting_prefixes(ranks, begins, np.array([4, 6, 4]), 10)
+    assert [meeting[a:b].tolist() for a, b in zip(ends, ends[1:])] == [[0, 5], [0, 3, 5], [3, 5]]
+    assert jaccard_join._meeting_prefixes(ranks, begins, np.array([-3, 0, 4]), 10)[1].tolist() == [0, 0, 0, 0]
