@@ -8,8 +8,9 @@ made of rare tokens; the other tokens follow by hash.
 
 1. One numpy pass lists, for every document, its set's size, a hash of the set
    and its tokens of the low range (and as many others as a prefix may need).
-2. Frequencies of the listed tokens are counted; tokens of one set only need no
-   partner. Sets whose prefix is made of such tokens are done: no link.
+2. Frequencies of the listed tokens are counted, in blocks of tokens that Spark
+   deals out by hash range; tokens of one set only, however many copies it has, need
+   no partner. Sets whose prefix is made of such tokens are done: no link.
 3. Sets with equal size and prefix become one group. Groups that meet in a token
    and lie in the same or the next size band are linked in stars, not in pairs,
    and the connected components of these links are the candidates.
@@ -30,6 +31,7 @@ named after its smallest id that is not null; further columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +46,8 @@ LOW_RANGE = 0.25
 BLOCK_BYTES = 16 << 20
 SLICE_BYTES = 1 << 18  # hashing needs many times its input, which stays in the cache so
 _PART = 1 << 18  # tokens ranked at a time
+_BLOCK = 1 << 20  # listed tokens counted at a time before they are dealt out
+_BUCKET = 1 << 18  # listed tokens that a bucket has on average
 _SETS = "doc_id long, version long, n_words long, n_shingles long, set_id long, n_listed int, tokens array<long>"
 
 
@@ -127,21 +131,82 @@ def _listed_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text", "version", *[f.name for f in more]).mapInArrow(run, T.StructType([*own.fields, *more]))
 
 
+def _token_counts(key: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys, ascending, with the smallest ``low``, the largest ``high`` and the sum of ``n`` of each."""
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[at], np.minimum.reduceat(low[order], at), np.maximum.reduceat(high[order], at), np.add.reduceat(n[order], at)
+
+
+def _binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """One binary value for each run of values between two cuts."""
+    at = (cuts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def token_blocks(batches, buckets: int):
+    """For batches (set_id, tokens): the counts of their tokens, a row per bucket of the hash range.
+
+    A token that many sets have is one entry per block. The largest set is given by its
+    bits that differ from the smallest: zeros for most tokens, which compress well.
+    """
+    for batch in batches:
+        first = _begins(np.diff(batch.column(1).offsets.to_numpy()))
+        tokens, set_id = batch.column(1).flatten().to_numpy().view(np.uint64), batch.column(0).to_numpy()
+        ends = [0, *(np.flatnonzero(np.diff(first[:-1] // _BLOCK)) + 1).tolist(), len(set_id)]
+        for a, b in zip(ends[:-1], ends[1:]):
+            part = tokens[first[a] : first[b]]
+            if not len(part):
+                continue
+            owner = np.repeat(set_id[a:b], np.diff(first[a : b + 1]))
+            key = part << np.uint64(2) | part >> np.uint64(62)  # most tokens are of the low range, so their first bits say little
+            key, low, high, n = _token_counts(key, owner, owner, np.ones(len(key), dtype=np.int64))
+            bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(key)]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[cuts[:-1]].view(np.int64)), *(_binaries(x, cuts) for x in (key, low, low ^ high, n))],
+                names=["bucket", "key", "low", "differ", "n"],
+            )
+
+
+def shared_tokens(blocks: pa.Table) -> pa.Table:
+    """Tokens of one bucket's blocks that more than one set has, and how many rows have them."""
+    key, low, differ, n = (
+        np.frombuffer(b"".join(blocks.column(name).to_pylist()), kind)
+        for name, kind in (("key", np.uint64), ("low", np.int64), ("differ", np.int64), ("n", np.int64))
+    )
+    key, low, high, n = _token_counts(key, low, low ^ differ, n)
+    token = (key >> np.uint64(2) | key << np.uint64(62)).view(np.int64)
+    return pa.table({"token": token[low < high], "df": n[low < high]})
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """Listed tokens of more than one set: (token, df)."""
+    buckets = max(1, -(-(sets.agg(F.sum("n_listed")).first()[0] or 0) // _BUCKET))
+
+    def count(batches):
+        return token_blocks(batches, buckets)
+
+    blocks = sets.select("set_id", "tokens").mapInArrow(count, "bucket long, key binary, low binary, differ binary, n binary")
+    return blocks.groupBy("bucket").applyInArrow(shared_tokens, "token long, df long")
+
+
 def _groups(sets: DataFrame, percent: int) -> DataFrame:
     """Groups of sets with equal size and prefix: (set_id, n_shingles, group, prefix), sets without a partner left out."""
     rows = sets.select("set_id", F.explode("tokens").alias("token"))
-    shared = materialize(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-tokens")
+    shared = materialize(_shared(sets), "shared-tokens")
     is_high = (F.col("token") < 0) | (F.col("token") >= int(LOW_RANGE * 2**64))  # as signed numbers
-    found = rows.join(shared, "token").select(
+    found = rows.join(shared.hint("shuffle_hash"), "token").select(  # a few of the tokens: rows need no sort
         "set_id", F.struct(is_high.alias("high"), F.when(is_high, 0).otherwise(F.col("df")).alias("df"), "token").alias("t")
     )
-    found = found.groupBy("set_id").agg(F.array_sort(F.collect_set("t")).alias("found"))
+    found = found.groupBy("set_id").agg(F.sort_array(F.collect_set("t")).alias("found"))
     sizes = sets.groupBy("set_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_listed").alias("n_listed"))
     n = F.col("n_shingles")
     length = n - F.ceil(n * percent / 100) + 1
     alone = F.col("n_listed") - F.size("found")
     rows = found.join(sizes, "set_id").withColumn("wanted", (length - alone).cast("int")).where("wanted > 0")
-    prefix = F.transform(F.slice("found", F.lit(1), F.col("wanted")), lambda t: t["token"])
+    prefix = F.slice("found", F.lit(1), F.col("wanted"))["token"]
     rows = rows.select("set_id", "n_shingles", (alone > 0).alias("own"), prefix.alias("prefix"))
     group = F.xxhash64("n_shingles", "prefix", F.when(F.col("own"), F.col("set_id")))
     groups = materialize(rows.select("set_id", "n_shingles", group.alias("group"), "prefix"), "groups")
@@ -156,9 +221,9 @@ def _candidates(groups: DataFrame, percent: int) -> DataFrame:
     band = F.floor(F.log(F.col("n_shingles")) / float(np.log(100 / percent))).cast("int")
     met = materialize(heads.select(F.explode("prefix").alias("token"), band.alias("band"), "group"), "prefix-tokens")
     stars = materialize(met.groupBy("token", "band").agg(F.min("group").alias("centre"), F.count("*").alias("n")), "stars")
-    rays = met.join(stars.where("n > 1"), ["token", "band"]).select(F.col("group").alias("u"), F.col("centre").alias("v"))
+    rays = met.join(stars.where("n > 1").hint("shuffle_hash"), ["token", "band"]).select(F.col("group").alias("u"), F.col("centre").alias("v"))
     above = stars.select("token", (F.col("band") - 1).alias("band"), F.col("centre").alias("v"))
-    steps = stars.select("token", "band", F.col("centre").alias("u")).join(above, ["token", "band"]).select("u", "v")
+    steps = stars.select("token", "band", F.col("centre").alias("u")).join(above.hint("shuffle_hash"), ["token", "band"]).select("u", "v")
     found = connected_components(rays.unionByName(steps)).withColumnRenamed("node", "group")
     release(met, stars)  # the components are stored
     return found
@@ -275,14 +340,13 @@ def _likely(rows: DataFrame, members: DataFrame) -> DataFrame:
     bits = bits_for(members.count())
     wanted = broadcast_bitmap(members.select("place"), "place", bits)
 
-    def run(batches):
-        for part in batches:
-            marks = part.column(0).to_numpy().view(np.uint64)
-            yield part.filter(pa.array(in_bitmap(marks, wanted.value, bits)))
+    @F.pandas_udf("boolean")
+    def is_marked(places: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(places.to_numpy(np.int64).view(np.uint64), wanted.value, bits))
 
     def likely(part: DataFrame) -> DataFrame:
-        marked = part.where(F.col("text").isNotNull()).select(_place("doc_id", "version").alias("place"), "text")
-        return marked.mapInArrow(run, "place long, text string")
+        part = part.where(F.col("text").isNotNull()).select(_place("doc_id", "version").alias("place"), "text")
+        return part.where(is_marked("place"))  # only places leave the JVM
 
     unnamed = likely(rows.where(F.col("doc_id").isNull())).groupBy("place").agg(F.first("text").alias("text"))
     return likely(rows.where(F.col("doc_id").isNotNull())).unionByName(unnamed)

@@ -8,6 +8,8 @@ import sys
 import time
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -702,3 +704,49 @@ def test_prefixes_meet_by_one_token_of_the_same_sets():
     meeting, ends = jaccard_join._meeting_prefixes(ranks, begins, np.array([4, 6, 4]), 10)
     assert [meeting[a:b].tolist() for a, b in zip(ends, ends[1:])] == [[0, 5], [0, 3, 5], [3, 5]]
     assert jaccard_join._meeting_prefixes(ranks, begins, np.array([-3, 0, 4]), 10)[1].tolist() == [0, 0, 0, 0]
+
+
+def test_tokens_are_counted_in_blocks(monkeypatch):
+    """Blocks of few tokens over many buckets give what counting all tokens at once gives; copies of a set share nothing."""
+    draw = np.random.default_rng(3)
+    pool = draw.integers(0, 2**64, 400, dtype=np.uint64) >> np.uint64(2)
+    pool[:100] |= np.uint64(1 << 63)
+    sets = [np.unique(draw.choice(pool, draw.integers(0, 9))) for _ in range(300)]
+    ids = draw.integers(-(2**63), 2**63, 300)
+    rows = [*zip(ids.tolist(), sets), *[(i, s) for i, s in zip(ids.tolist(), sets)][:200]]  # copies have the id of their set
+    monkeypatch.setattr(jaccard_join, "_BLOCK", 64)
+    table = pa.table({"set_id": pa.array([i for i, _ in rows], pa.int64()), "tokens": pa.array([s.view(np.int64).tolist() for _, s in rows], pa.list_(pa.int64()))})
+    found = pa.Table.from_batches(jaccard_join.token_blocks(table.to_batches(max_chunksize=150), 7))
+    owners, df = {}, {}
+    for i, s in rows:
+        for t in s.view(np.int64).tolist():
+            owners.setdefault(t, set()).add(i)
+            df[t] = df.get(t, 0) + 1
+    got = {}
+    for b in set(found.column("bucket").to_pylist()):
+        part = jaccard_join.shared_tokens(found.filter(pc.equal(found.column("bucket"), b)))
+        assert not got.keys() & set(part.column("token").to_pylist())
+        got |= dict(zip(part.column("token").to_pylist(), part.column("df").to_pylist()))
+    assert set(found.column("bucket").to_pylist()) == set(range(7))
+    assert got == {t: n for t, n in df.items() if len(owners[t]) > 1} and 0 < len(got) < len(df)
+
+
+def test_copies_alone_make_no_groups(spark):
+    """A text that only its copies share tokens with is neither counted as shared nor joined any further."""
+    texts = [_words(1, 60)] * 5 + [_words(2, 60)] * 2 + [_words(3, 60), _words(3, 60) + " more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("version", F.xxhash64("text"))
+    sets = jaccard_join._listed_sets(docs, 4, 85).where("n_shingles > 0")
+    assert jaccard_join._groups(sets, 85).select("set_id").distinct().count() == 2
+    labels = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+    assert [labels[i] for i in range(9)] == [0] * 5 + [5] * 2 + [7] * 2
+
+
+def test_texts_are_picked_without_leaving_the_jvm(spark):
+    """Only places go to Python; before, every text was sent there and back."""
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (None, "c"), (None, "d"), (3, None)], "doc_id long, text string")
+    rows = rows.withColumn("version", F.xxhash64("text"))
+    members = rows.where("text in ('b', 'c')").select(jaccard_join._place("doc_id", "version").alias("place")).distinct()
+    likely = jaccard_join._likely(rows, members)
+    assert sorted(r["text"] for r in likely.join(members, "place").collect()) == ["b", "c"]
+    plan = likely._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
